@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redactica.llm import decontaminate
+from redactica.llm import decontaminate, packing, records, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.query,
+        "op2_simhash": simhash.query,
+        "op3_records": records.query,
+        "op4_packing": packing.query,
     }
 
 
