@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from redactica.llm import decontaminate, packing, records, simhash
+from redactica.llm import decontaminate, packing, records, simhash, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,8 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": simhash.query,
         "op3_records": records.query,
         "op4_packing": packing.query,
+        "op5_toxicity": toxicity.query,
+        "op6_substring": substring.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op6_substring": substring.SQL}
