@@ -1,7 +1,9 @@
 """Toxicity by weak supervision.
 
 Lexicons (words, and word beginnings of four to six letters, which catch inflected forms) are mined from the labelled training rows:
-entries whose share of toxic documents is surely high. They become many voters, by kind, shard and number or density of hits, beside
+entries whose share of toxic documents is surely high, taken greedily while they still explain toxic documents that the entries so
+far explain too little. Documents with the same smallest word hash, as copies have, count as one there, so that chance words of a
+copied toxic document gain nothing. The entries become many voters, by kind, shard and number or density of hits, beside
 pattern voters and voters for clean text. A generative label model then estimates, by expectation maximisation, how often each voter
 votes either way or abstains on toxic and on clean text. Voters that agree beyond what the label explains are correlated; the
 estimated correlations lower their weights, so that ten views of one word do not count ten times. The model's posterior labels train
@@ -23,6 +25,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,9 @@ from redactica.llm.common import map_arrow, short_batches, stored
 
 FIT_ROWS = 30_000
 LEXICON = 800
+CANDIDATES = 20_000
+#: Entries that a toxic document should have before it counts as explained.
+DEPTH = 6
 THRESHOLD = 0.7
 KINDS = ("word", 4, 5, 6)
 SHARDS = 6
@@ -57,8 +63,41 @@ def training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(kept, "id").select("text", "toxic")
 
 
-def mine(rows: DataFrame, n_toxic: int, size: int = LEXICON) -> list[str]:
-    """Entries by the lower confidence bound of their toxic share (Wilson), best first."""
+def _sure(toxic, clean, z2: float = 2.6**2):
+    """Lower confidence bound of the toxic share (Wilson), for numbers or columns."""
+    n = clean + toxic
+    p = toxic / n
+    return (p + z2 / (2 * n) - (z2 * (p * (1 - p) / n + z2 / (4 * n * n))) ** 0.5) / (1 + z2 / n)
+
+
+def greedy(candidates: list[tuple[str, int]], found: list[list[int]], weight: list[float], size: int) -> list[str]:
+    """candidates: (entry, clean documents with it); found: the candidates in each toxic document; weight: of each of these."""
+    docs_of: list[list[int]] = [[] for _ in candidates]
+    gain = np.zeros(len(candidates))
+    for d, own in enumerate(found):
+        gain[own] += weight[d]
+        for c in own:
+            docs_of[c].append(d)
+    need, least, chosen, clean = [DEPTH] * len(found), max(2.5, 0.01 * sum(weight)), [], np.array([c for _, c in candidates], float)
+    size_of = np.array([len(e) for e, _ in candidates])
+    open_ = np.ones(len(candidates), bool)
+    while len(chosen) < size:
+        sure = np.where(open_ & (gain >= least), _sure(np.maximum(gain, 1e-9), clean, 1.96**2), 0)
+        if not len(sure) or sure.max() < 0.5:
+            break
+        best = int(np.lexsort((np.arange(len(sure)), size_of, -gain, -np.round(sure, 2)))[0])
+        entry = candidates[best][0][1:]
+        chosen.append(candidates[best][0])
+        open_ &= np.array([not (e[1:].startswith(entry) or entry.startswith(e[1:])) for e, _ in candidates])
+        for d in docs_of[best]:
+            need[d] -= 1
+            if not need[d]:
+                gain[found[d]] -= weight[d]
+    return chosen
+
+
+def mine(rows: DataFrame, size: int = LEXICON) -> list[str]:
+    """Entries of the lexicon, surest first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[int]] = {}
@@ -77,11 +116,23 @@ def mine(rows: DataFrame, n_toxic: int, size: int = LEXICON) -> list[str]:
         if held:
             yield out()
 
-    n, p, z2 = F.col("clean") + F.col("toxic"), F.col("toxic") / (F.col("clean") + F.col("toxic")), 2.6**2
-    lower = (p + z2 / (2 * n) - F.sqrt(z2 * (p * (1 - p) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
     counted = rows.mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    best = counted.filter(F.col("toxic") >= 3).withColumn("sure", lower).filter(F.col("sure") >= 0.4).orderBy(F.desc("sure"), F.desc("toxic"), "entry").limit(size)
-    return [r.entry for r in best.select("entry").collect()]
+    best = counted.filter(F.col("toxic") >= 3).withColumn("sure", _sure(F.col("toxic"), F.col("clean"))).filter(F.col("sure") >= 0.3)
+    candidates = [(r.entry, r.clean) for r in best.orderBy(F.desc("sure"), F.desc("toxic"), "entry").limit(CANDIDATES).select("entry", "clean").collect()]
+    number = {e: i for i, (e, _) in enumerate(candidates)}
+
+    def holds(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, mark = [], []
+        for t in batch.column(0).to_pylist():
+            words = set(words_of(t))
+            own.append(sorted({number[e] for w in words for e in entries_of(w) if e in number}))
+            mark.append(min((xxhash.xxh64_intdigest(w) for w in words), default=0) >> 1)
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), pa.array(mark, pa.int64())], ["own", "mark"])
+
+    found = map_arrow(rows.filter("toxic > 0").select("text"), holds, "own array<int>, mark long").toPandas()
+    copies = found.groupby("mark")["mark"].transform("size")
+    pairs = sorted((list(own), 1 / n) for own, n in zip(found["own"], copies, strict=True))
+    return greedy(candidates, [p[0] for p in pairs], [p[1] for p in pairs], size)
 
 
 class Features:
@@ -154,7 +205,7 @@ def label_model(v: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray
     return q, weight
 
 
-def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 0.1, rounds: int = 30) -> np.ndarray:
     """Weights, the intercept last, of a logistic model of soft labels, by Newton's method."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -173,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = stored(training(docs, labels, id_col, text_col, fit_rows), "toxicity")
     n, n_toxic = rows.agg(F.count(F.lit(1)), F.sum((F.col("toxic") > 0).cast("long"))).first()
     n_toxic = n_toxic or 0
-    lexicon = mine(rows, n_toxic) if 0 < n_toxic < n else []
+    lexicon = mine(rows) if 0 < n_toxic < n else []
     features = Features(lexicon)
     if not lexicon:
         rate = min(max(n_toxic / n, 1e-9), 1 - 1e-9) if n else 1e-9
