@@ -44,8 +44,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc, end = encoder(file), struct.pack("<I", end_id)
         out: list[tuple] = []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = enc.ids(text) + end
+        for i, ids in zip(batch.column(0).to_pylist(), enc.many(batch.column(1).to_pylist()), strict=True):
+            ids += end
             for k, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
                 own = ids[4 * s : 4 * (s + n)]
                 out.append((i, k, s, n, zlib.crc32(own), own))

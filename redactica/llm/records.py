@@ -73,7 +73,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc, end = encoder(file), struct.pack("<I", end_id)
-        made = [frame(i, np.frombuffer(enc.ids(t) + end, "<u4")) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        made = [frame(i, np.frombuffer(ids + end, "<u4")) for i, ids in zip(batch.column(0).to_pylist(), enc.many(batch.column(1).to_pylist()), strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["frame"])
 
     map_arrow(rows.select("doc_id", "text"), one, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(f"{path}/records")

@@ -13,8 +13,10 @@ import re
 
 import numpy as np
 
-#: Words remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Words in one of the two generations that a worker remembers; the older one is dropped when the younger is full.
+REMEMBERED = 250_000
+#: Words that are encoded as one text.
+JOINED = 500
 _BEYOND = re.compile("[^\x00-ɏ]")
 
 
@@ -35,27 +37,48 @@ class Encoder:
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _BEYOND.search(text) or any(s in text for s in self.special):
-            return self._whole(text)
-        words, known = self.split(text), self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for w in words if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        known, plain, other = self.known, [], []
+        for w in words:
+            if (b := self.older.get(w)) is not None:
+                known[w] = b
+            else:  # a blank and letters: such words, joined, are split at their blanks again
+                (plain if w[0] == " " and w[1:].isalpha() else other).append(w)
+        for k in range(0, len(plain), JOINED):
+            part = plain[k : k + JOINED]
+            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+            word = np.array(e.word_ids)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            if len(starts) != len(part):
+                other += part
+                continue
+            ids, cuts = np.array(e.ids, "<u4").tobytes(), [*(4 * starts).tolist(), 4 * len(word)]
+            for w, a, b in zip(part, cuts, cuts[1:], strict=False):
+                known[w] = ids[a:b]
+        known.update(zip(other, self._alone(other), strict=True))
+
+    def many(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        whole = [i for i, t in enumerate(texts) if t and (_BEYOND.search(t) or any(s in t for s in self.special))]
+        for i, ids in zip(whole, self._alone([texts[i] for i in whole]), strict=True):
+            out[i] = ids
+        skip = set(whole)
+        for k in range(0, len(texts), 64):
+            split = {i: self.split(t) for i, t in enumerate(texts[k : k + 64], k) if t and i not in skip}
+            if len(self.known) > REMEMBERED:
+                self.older, self.known = self.known, {}
+            known = self.known
+            if new := {w for words in split.values() for w in words if w not in known}:
+                self._learn(list(new))
+            for i, words in split.items():
+                out[i] = b"".join([known[w] for w in words])
+        return out
 
 
 @functools.cache
