@@ -169,20 +169,23 @@ def votes(c: np.ndarray) -> np.ndarray:
     k = len(KINDS)
     by_kind, n = c[:, 0 : 2 * k : 2] + c[:, 1 : 2 * k : 2], np.maximum(c[:, -4], 1)
     says: list[np.ndarray] = []
+    total = by_kind.sum(axis=1)
     for i in range(k):
         h = by_kind[:, i]
-        says += [np.where(h >= 1, 1, 0), np.where(h >= 2, 1, -1), np.where(h >= 4, 1, -1), np.where(h / n >= 0.005, 1, -1), np.where(c[:, 2 * i] >= 1, 1, np.where(h == 0, 0, -1))]
+        says += [np.where(h >= 1, 1, -1), np.where(h >= 2, 1, -1), np.where(h >= 4, 1, -1), np.where(h / n >= 0.005, 1, -1), np.where(c[:, 2 * i] >= 1, 1, -1)]
+    says += [np.where(total >= t, 1, 0) for t in (1, 2, 3)] + [np.where(total / n >= t, 1, 0) for t in (0.002, 0.01)]
     shards = c[:, 2 * k : 2 * k + k * SHARDS]
     says += [np.where(shards[:, j] >= 1, 1, -1) for j in range(shards.shape[1])]
     says += [np.where((shards[:, i * SHARDS : (i + 1) * SHARDS] > 0).sum(axis=1) >= 2, 1, -1) for i in range(k)]
-    says += [np.where(c[:, -3] / n > 0.03, 1, -1), np.where(c[:, -2] / n > 0.1, 1, -1), np.where(c[:, -1] / n > 0.1, 0, -1), np.where(by_kind.sum(axis=1) == 0, 0, -1)]
+    says += [np.where(c[:, -3] / n > 0.03, 1, -1), np.where(c[:, -2] / n > 0.1, 1, -1), np.where(c[:, -1] / n > 0.1, 0, -1), np.where(total == 0, 0, -1)]
     return np.stack(says, axis=1).astype(np.int8)
 
 
 def inputs(c: np.ndarray) -> np.ndarray:
     """What the linear classifier sees."""
     k, n = len(KINDS), np.maximum(c[:, -4:-3], 1)
-    return np.concatenate([np.log1p(c[:, : 2 * k]), np.minimum(c[:, : 2 * k] / n, 0.1) * 10, (votes(c) == 1).astype(float), np.minimum(c[:, -3:] / n, 1)], axis=1)
+    total = c[:, : 2 * k].sum(axis=1, keepdims=True)
+    return np.concatenate([np.log1p(c[:, : 2 * k]), np.log1p(total), np.minimum(total / n, 0.1) * 10, np.minimum(c[:, : 2 * k] / n, 0.1) * 10, (votes(c) == 1).astype(float), np.minimum(c[:, -3:] / n, 1)], axis=1)
 
 
 def label_model(v: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
