@@ -1,8 +1,10 @@
 """Token ids of whole texts by a public byte-level BPE file.
 
-Words repeat far more than texts do, so the words that the file's own splitting rule makes are encoded once and remembered, up to
-a bound. Texts with characters beyond the Latin blocks, or with the string of a special token, go to the tokenizer whole: there the
-splitting rule of the two libraries might differ.
+Words repeat far more than texts do, so they are encoded once and remembered, up to a bound. The tokenizer never merges across the
+places where its splitting rule cuts, and the rule cuts before every single blank and line break. So a text with single blanks and
+breaks only is the sum of its blank-separated words; other texts are cut by the rule itself. Texts with characters beyond the Latin
+blocks or control characters, where the rule of two libraries might differ, and texts with the string of a special token go to the
+tokenizer whole.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ import numpy as np
 REMEMBERED = 250_000
 #: Words that are encoded as one text.
 JOINED = 500
-_BEYOND = re.compile("[^\x00-ɏ]")
+_BEYOND = re.compile("[^\t-\r\x20-\x7e\xa0-\u024f]")
+_RARE_SPACE = re.compile("[\t\x0b-\r\xa0]")
 
 
 def default_path() -> str:
@@ -38,46 +41,86 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.cut: dict[str, bytes] = {}
+        self.marks = {c: self._alone([c])[0] for c in ".,;:!?"}
 
     def _alone(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        known, plain, other = self.known, [], []
-        for w in words:
-            if (b := self.older.get(w)) is not None:
-                known[w] = b
-            else:  # a blank and letters: such words, joined, are split at their blanks again
-                (plain if w[0] == " " and w[1:].isalpha() else other).append(w)
-        for k in range(0, len(plain), JOINED):
-            part = plain[k : k + JOINED]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            word = np.array(e.word_ids)
-            starts = np.flatnonzero(np.diff(word, prepend=-1))
-            if len(starts) != len(part):
+    def _joined(self, words: list[str], lead: str, other: list[str]) -> None:
+        """Encodes words of letters, each with `lead` before it; as they are joined, the rule cuts them apart again."""
+        each = len(self.split(f"{lead}a"))
+        for k in range(0, len(words), JOINED):
+            part = words[k : k + JOINED]
+            e = self.tokenizer.encode("".join([lead + w.strip("\n") for w in part]), add_special_tokens=False)
+            starts = np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1))
+            if len(starts) != each * len(part):
                 other += part
                 continue
-            ids, cuts = np.array(e.ids, "<u4").tobytes(), [*(4 * starts).tolist(), 4 * len(word)]
-            for w, a, b in zip(part, cuts, cuts[1:], strict=False):
-                known[w] = ids[a:b]
-        known.update(zip(other, self._alone(other), strict=True))
+            ids, cuts = np.array(e.ids, "<u4").tobytes(), [*(4 * starts[::each]).tolist(), 4 * len(e.ids)]
+            self.known.update((w, ids[a:b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+
+    def _learn(self, words: set[str]) -> None:
+        """A word that begins with a line break stands for itself, any other for itself behind a blank."""
+        known, older, marks, plain, first, marked, other = self.known, self.older, self.marks, set(), [], [], []
+        for w in words:
+            if (b := older.get(w)) is not None:
+                known[w] = b
+            elif w.isalpha():
+                plain.add(w)
+            elif w[-1:] in marks and w[:-1].isalpha():
+                marked.append(w)
+                if (base := w[:-1]) not in known:
+                    if base in older:
+                        known[base] = older[base]
+                    else:
+                        plain.add(base)
+            elif w[:1] == "\n" and w[1:].isalpha():
+                first.append(w)
+            else:
+                other.append(w)
+        self._joined(list(plain), " ", other)
+        self._joined(first, "\n", other)
+        known.update(zip(other, self._alone([w if w[:1] == "\n" else f" {w}" for w in other]), strict=True))
+        known.update((w, known[w[:-1]] + marks[w[-1]]) for w in marked)
+
+    def _by_rule(self, text: str) -> bytes:
+        if len(self.cut) > REMEMBERED:
+            self.cut.clear()
+        words, cut = self.split(text), self.cut
+        if new := list({w for w in words if w not in cut}):
+            cut.update(zip(new, self._alone(new), strict=True))
+        return b"".join([cut[w] for w in words])
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Texts without two white spaces in a row."""
+        split = [f"\n{t}".replace("\n", " \n").split(" ")[1:] for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        if new := set().union(*split).difference(self.known):
+            self._learn(new)
+        get = self.known.__getitem__
+        return [b"".join(map(get, words))[4:] for words in split]
 
     def many(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         out: list[bytes] = [b""] * len(texts)
-        whole = [i for i, t in enumerate(texts) if t and (_BEYOND.search(t) or any(s in t for s in self.special))]
+        whole, plain = [], []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if _BEYOND.search(t) or any(s in t for s in self.special):
+                whole.append(i)
+            elif "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[0] in " \n" or _RARE_SPACE.search(t):
+                out[i] = self._by_rule(t)
+            else:
+                plain.append(i)
         for i, ids in zip(whole, self._alone([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        skip = set(whole)
-        for k in range(0, len(texts), 64):
-            split = {i: self.split(t) for i, t in enumerate(texts[k : k + 64], k) if t and i not in skip}
-            if len(self.known) > REMEMBERED:
-                self.older, self.known = self.known, {}
-            known = self.known
-            if new := {w for words in split.values() for w in words if w not in known}:
-                self._learn(list(new))
-            for i, words in split.items():
-                out[i] = b"".join([known[w] for w in words])
+        for k in range(0, len(plain), 200):
+            part = plain[k : k + 200]
+            for i, ids in zip(part, self._plain([texts[i] for i in part]), strict=True):
+                out[i] = ids
         return out
 
 
