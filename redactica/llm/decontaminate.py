@@ -15,7 +15,7 @@ document rows give a row each. An empty benchmark leaves every document clean. O
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -143,15 +143,18 @@ def scan(classes: list[PatternClass], texts: list[str | None]) -> Iterator[tuple
 SCHEMA = "id long, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: int = 20, block_bytes: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
     """Rows (doc_id, n_words, n_hit, spans, item_ids, n_items, contaminated); spans are half-open word intervals.
 
-    A document is contaminated if it has hit words and they are at least one in `share` of its words.
+    A document is contaminated if it has hit words and they are at least one in `share` of its words. With `carry`, the text and the
+    columns named stand beside them, so that documents can be filtered without a join.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    now = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
-    schema = "id long, text string, " + SCHEMA.partition(", ")[2]
+    kinds = [docs.schema[c].dataType.simpleString() for c in carry]
+    carried = [f"_{i}" for i in range(len(kinds))]
+    now = docs.select(*[F.col(c).alias(n) for c, n in zip(carry, carried, strict=True)], F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    schema = "".join(f"{n} {k}, " for n, k in zip(carried, kinds, strict=True)) + "id long, text string, " + SCHEMA.partition(", ")[2]
     for k, block in enumerate(pattern_blocks(benchmark, item_col, item_text_col, window, block_bytes)):
         shared = spark.sparkContext.broadcast(block)
 
@@ -164,13 +167,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 spans.append(_merged([(x["start"], x["end"]) for x in old or ()] + new) if old else [{"start": a, "end": b} for a, b in new])
                 items.append(sorted(found.union(had or ())))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], ["id", "text", "n_words", "spans", "items"])
+            same = [*carried, "id", "text"]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in same), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string()))], [*same, "n_words", "spans", "items"])
 
         now = map_arrow(now, one, schema)
         if k % CHAIN == CHAIN - 1:
             now = stored(now, "decontaminate")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + (x["end"] - x["start"]))
-    out = now.select(F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), "spans", F.col("items").alias("item_ids"))
+    kept = [F.col(n).alias(c) for n, c in zip(carried, carry, strict=True)] + [F.col("text").alias(text_col)] * bool(carry)
+    out = now.select(*kept, F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), "spans", F.col("items").alias("item_ids"))
     return out.select("*", F.size("item_ids").cast("long").alias("n_items"), ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
 
 

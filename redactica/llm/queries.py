@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from redactica.llm import decontaminate, packing, records, simhash, substring, toxicity
+from redactica.llm import chat, decontaminate, packing, quality, records, sharding, simhash, substring, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,8 +18,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": packing.query,
         "op5_toxicity": toxicity.query,
         "op6_substring": substring.query,
+        "op7_quality": quality.query,
+        "op8_chat": chat.query,
+        "op9_sharding": sharding.query,
+        "op10_topk": topk.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.SQL, "op6_substring": substring.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op6_substring": substring.SQL, "op8_chat": chat.SQL, "op10_topk": topk.SQL}

@@ -218,29 +218,51 @@ def merged(runs: list[tuple[int, int]], window: int, n_words: int) -> list[tuple
     return out
 
 
+def _shortened(batch: pa.RecordBatch, window: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Per text: words, words removed, what is left."""
+    n, removed, kept = [], [], []
+    for text, runs in zip(batch.column("_text").to_pylist(), batch.column("_runs").to_pylist(), strict=True):
+        words = text.encode("utf-8", "surrogatepass").split() if text else []
+        gone = merged([(r["at"], r["n"]) for r in runs or ()], window, len(words))
+        left, at = [], 0
+        for a, b in gone:
+            left += words[at:a]
+            at = b
+        n.append(len(words))
+        removed.append(sum(b - a for a, b in gone))
+        kept.append(b" ".join(left + words[at:]))
+    return n, removed, kept
+
+
+def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, bits: int, carry: list[str]) -> DataFrame:
+    short_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    runs = repeats(rows, window, gram, bits).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(id_col).cast("long").alias("_doc_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in carry])
+    return own.join(runs, own["_id"] == runs["id"], "left").drop("_id", "id")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept): kept is what is left of the words, joined by one space."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeats(rows, window, gram, bits).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, removed, kept = [], [], []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-            words = text.encode("utf-8", "surrogatepass").split() if text else []
-            gone = merged([(r["at"], r["n"]) for r in runs or ()], window, len(words))
-            left, at = [], 0
-            for a, b in gone:
-                left += words[at:a]
-                at = b
-            n.append(len(words))
-            removed.append(sum(b - a for a, b in gone))
-            kept.append(b" ".join(left + words[at:]))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
-
-    joined = rows.withColumn("id", F.coalesce("doc_id", F.lit(LAST_ID))).join(spans, "id", "left").select("doc_id", "text", "runs")
-    return map_arrow(joined, one, "doc_id long, n_words long, n_removed long, kept string")
+        n, removed, kept = _shortened(batch, window)
+        return pa.RecordBatch.from_arrays([batch.column("_doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+    return map_arrow(_with_runs(docs, id_col, text_col, window, gram, bits, []), one, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS) -> DataFrame:
+    """The documents, all columns, without the repeats in their texts; a text that loses nothing stays as it is."""
+    others = [c for c in docs.columns if c != text_col]
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, removed, kept = _shortened(batch, window)
+        texts = [k.decode("utf-8", "surrogatepass") if r else t for t, r, k in zip(batch.column("_text").to_pylist(), removed, kept, strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], [*others, text_col])
+
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, text_col])
+    return map_arrow(_with_runs(docs, id_col, text_col, window, gram, bits, others), one, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ Repeated rows give a row each; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import numpy as np
@@ -245,8 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return lexicon, fit_linear(inputs(c), q)
 
 
-def score(docs: DataFrame, lexicon: list[str], weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted)."""
+def score(docs: DataFrame, lexicon: list[str], weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows (doc_id, held_out, score, predicted); with `carry`, the text and the columns named stand beside them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(lexicon)
@@ -256,12 +256,16 @@ def score(docs: DataFrame, lexicon: list[str], weights: np.ndarray, id_col: str
             while part := list(islice(texts, 256)):
                 x = inputs(np.array([features.counts(t) for t in part]))
                 made += (1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.float64())], ["doc_id", "score"])
+            same = batch.columns if carry else batch.columns[:1]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(made, pa.float64())], [*batch.schema.names[: len(same)], "score"])
 
     short_batches(docs.sparkSession)
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(each, "doc_id long, score double")
+    kinds = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])
+    scored = rows.mapInArrow(each, "doc_id long" + (f", text string{kinds}" if carry else "") + ", score double")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    kept = [F.col("text").alias(text_col)] * bool(carry) + [F.col(f"_{i}").alias(c) for i, c in enumerate(carry)]
+    return scored.select("doc_id", *kept, held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS) -> DataFrame:
