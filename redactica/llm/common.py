@@ -9,13 +9,18 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows in one Arrow batch; texts can be very long, so batches are kept short.
 BATCH_ROWS = 1000
+#: Longer words are hashed one by one.
+LONG_WORD = 512
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 @functools.cache
@@ -59,6 +64,31 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None
     return df.mapInArrow(each, schema)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def word_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of words, eight bytes at a time; data has eight bytes more than the last word."""
+    blocks = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    a = mixed(sizes.astype(np.uint64) + np.uint64(0x8CB92BA72F3D8DD7))
+    b = mixed(sizes.astype(np.uint64) + np.uint64(0x589965CC75374CC3))
+    at, left, own = starts, sizes, slice(None)
+    while len(at):
+        x = blocks[at] & _MASK[np.minimum(left, 8)]
+        a[own] = mixed((a[own] ^ x) * np.uint64(0xA0761D6478BD642F))
+        b[own] = mixed((b[own] + x) * np.uint64(0xE7037ED1A0B428DB))
+        going = np.flatnonzero((left > 8) & (left <= LONG_WORD) | (left > 8) & (at > starts[own]))
+        own = going if isinstance(own, slice) else own[going]
+        at, left = at[going] + 8, left[going] - 8
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        d = xxhash.xxh3_128_intdigest(data[starts[i] : starts[i] + sizes[i]])
+        a[i], b[i] = d >> 64, d & 0xFFFFFFFFFFFFFFFF
+    return a, b
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a: long, b: long): rows (node, component), component being the smallest node reachable.
 

@@ -21,53 +21,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactica.llm.common import map_arrow, short_batches, stored
+from redactica.llm.common import map_arrow, mixed, short_batches, stored, word_hashes
 
 WINDOW = 20
 GRAM = 6
 #: Bits of the filter of repeated grams, a power of two: the broadcast has an eighth as many bytes at any size of the corpus.
 FILTER_BITS = 1 << 27
+#: Bits of one row that comes to the driver.
+BLOCK_BITS = 1 << 20
 LAST_ID = (1 << 63) - 1
 #: Paths that a task compares with each other before it starts anew.
 HELD = 200_000
 _PLACE_BITS = 26
 _M = 0x9E3779B97F4A7C15 | 1
-_WORDS: dict[str, Words] = {}
-
-
-class Words:
-    """Two independent 64-bit hashes of words, remembered by a worker."""
-
-    def __init__(self):
-        self.index: dict[bytes, int] = {}
-        self.hashes = np.zeros((1 << 12, 2), np.uint64)
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        index = self.index
-        if len(index) > 600_000:
-            index.clear()
-        try:
-            return self.hashes[[index[w] for w in words]]
-        except KeyError:
-            pass
-        for w in words:
-            if w not in index:
-                i = index[w] = len(index)
-                if i >= len(self.hashes):
-                    self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-                d = xxhash.xxh3_128_intdigest(w)
-                self.hashes[i] = d >> 64, d & 0xFFFFFFFFFFFFFFFF
-        return self.hashes[[index[w] for w in words]]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -81,21 +51,29 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
                 n = len(h) - (taken + width) + 1
                 out, taken = out[:n] * np.uint64(power) + left[taken : taken + n], taken + width
         if 2 * width > k:
-            return _mixed(out)
+            return mixed(out)
         left = left[:-width] * np.uint64(power) + left[width:]
         width, power = 2 * width, power * power & 0xFFFFFFFFFFFFFFFF
 
 
 def paths(texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...] | None:
     """(document, position, windows, gram hash, content hash, first window) of each path, and all window hashes."""
-    split = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-    sizes = np.array([len(s) if len(s) >= window else 0 for s in split])
-    if not sizes.any():
+    encoded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = b"\n".join([b"", *encoded, b"", b"12345678"])
+    space = _SPACE[np.frombuffer(data, np.uint8)]
+    starts = np.flatnonzero(space[:-1] & ~space[1:])[:-1] + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    offsets = np.cumsum([1, *(len(e) + 1 for e in encoded)])
+    doc = np.searchsorted(offsets, starts, "right") - 1
+    sizes = np.bincount(doc, minlength=len(texts))
+    sizes[sizes < window] = 0
+    kept = sizes[doc] > 0
+    if not kept.any():
         return None
-    flat = [w for s in split if len(s) >= window for w in s]
-    h = _WORDS.setdefault("words", Words()).of(flat)
+    doc, starts, ends = doc[kept], starts[kept], ends[kept]
+    flat, (ha, hb) = doc, word_hashes(data, starts, ends - starts)
     n = len(flat) - window + 1
-    small = _grams(h[:, 0].copy(), gram)
+    small = _grams(ha, gram)
     place = np.uint64((1 << _PLACE_BITS) - 1)
     if len(flat) > int(place):
         raise ValueError("too many words in a batch")
@@ -105,7 +83,6 @@ def paths(texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> tu
         low, width = np.minimum(low[:-width], low[width:]), 2 * width
     low = np.minimum(low[:n], low[span - width :][:n])
     at = (low & place).astype(np.int64)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
     own = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     whole = own[:n] + window <= sizes[doc[:n]]
     change = np.ones(n, bool)
@@ -113,8 +90,8 @@ def paths(texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> tu
     first = np.flatnonzero(change)
     length = np.diff(np.append(first, n))
     first, length = first[whole[first]], length[whole[first]]
-    windows = _grams(h[:, 1].copy(), window)
-    content = _mixed(windows[first] * np.uint64(_M) + windows[first + length - 1] + length.astype(np.uint64))
+    windows = _grams(hb, window)
+    content = mixed(windows[first] * np.uint64(_M) + windows[first + length - 1] + length.astype(np.uint64))
     return doc[first], own[first], length, small[at[first]], content, first, windows
 
 
@@ -144,13 +121,24 @@ def repeated_grams(rows: DataFrame, window: int, gram: int, bits: int) -> np.nda
         m, n = np.unique(np.concatenate(found), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(_signed(m)), pa.array(np.minimum(n, 2).astype(np.int8))], ["m", "n"])
 
-    counted = map_arrow(rows, one, "m long, n byte").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1")
-    place = F.col("m").bitwiseAND(F.lit(bits - 1))
-    word = counted.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast((m & {bits - 1}L) & 63L as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    got = word.toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column(0).to_numpy() & (bits - 1)
+            for block in np.unique(slot // BLOCK_BITS).tolist():
+                own = slot[slot // BLOCK_BITS == block] % BLOCK_BITS
+                if block not in held:
+                    held[block] = np.zeros(BLOCK_BITS // 64, np.uint64)
+                np.bitwise_or.at(held[block], own >> 6, np.uint64(1) << (own & 63).astype(np.uint64))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["block", "bits"])
+
+    counted = map_arrow(rows, one, "m long, n byte").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m")
+    out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 64), np.uint64)
+    by_block = counted.repartition(F.shiftrightunsigned(F.col("m").bitwiseAND(F.lit(bits - 1)), BLOCK_BITS.bit_length() - 1))
+    for block, data in by_block.mapInArrow(blocks, "block long, bits binary").toLocalIterator():
+        out[block] |= np.frombuffer(bytes(data), np.uint64)
+    return out.reshape(-1)
 
 
 PATHS = "settled boolean, m long, e long, id long, at int, n int, windows array<long>"
