@@ -48,7 +48,7 @@ def merged(sorted_spans: Column) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
         return F.when((F.size(acc) > 0) & (x["s"] < F.try_element_at(acc, F.lit(-1))["e"]), joined).otherwise(F.concat(acc, F.array(x)))
 
     return F.aggregate(sorted_spans, empty(), step)
