@@ -121,6 +121,12 @@ def repeated_grams(rows: DataFrame, window: int, gram: int, bits: int) -> np.nda
         m, n = np.unique(np.concatenate(found), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(_signed(m)), pa.array(np.minimum(n, 2).astype(np.int8))], ["m", "n"])
 
+    return gram_filter(map_arrow(rows, one, "m long, n byte").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m"), bits)
+
+
+def gram_filter(grams: DataFrame, bits: int) -> np.ndarray:
+    """Bit (hash mod bits) of all rows (m), built in tasks and put together on the driver: an eighth of `bits` bytes at any size."""
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -133,21 +139,25 @@ def repeated_grams(rows: DataFrame, window: int, gram: int, bits: int) -> np.nda
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["block", "bits"])
 
-    counted = map_arrow(rows, one, "m long, n byte").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m")
     out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 64), np.uint64)
-    by_block = counted.repartition(F.shiftrightunsigned(F.col("m").bitwiseAND(F.lit(bits - 1)), BLOCK_BITS.bit_length() - 1))
+    by_block = grams.select("m").repartition(F.shiftrightunsigned(F.col("m").bitwiseAND(F.lit(bits - 1)), BLOCK_BITS.bit_length() - 1))
     for block, data in by_block.mapInArrow(blocks, "block long, bits binary").toLocalIterator():
         out[block] |= np.frombuffer(bytes(data), np.uint64)
     return out.reshape(-1)
 
 
+def _set(bits: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which hashes are in a filter."""
+    slot = m & np.uint64(64 * len(bits) - 1)
+    return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
 PATHS = "settled boolean, m long, e long, id long, at int, n int, windows array<long>"
 
 
 def candidate_paths(rows: DataFrame, seen: np.ndarray, window: int, gram: int) -> DataFrame:
     """The paths with repeated grams. Those whose equal came earlier in the same task are settled: they are repeats."""
     shared = rows.sparkSession.sparkContext.broadcast(seen)
-    low = np.uint64(64 * len(seen) - 1)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
@@ -158,8 +168,7 @@ def candidate_paths(rows: DataFrame, seen: np.ndarray, window: int, gram: int) -
                 if (p := paths(batch.column(1).to_pylist(), window, gram)) is None:
                     continue
                 doc, at, n, m, e, first, hashes = p
-                slot = m & low
-                keep = np.flatnonzero((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1))
+                keep = np.flatnonzero(_set(bits, m))
                 if not keep.size:
                     continue
                 owner, at, n, m, e, first = ids[doc[keep]], at[keep], n[keep], m[keep], e[keep], first[keep]
@@ -177,6 +186,23 @@ def candidate_paths(rows: DataFrame, seen: np.ndarray, window: int, gram: int) -
     return rows.mapInArrow(each, PATHS)
 
 
+def windows_of(laid: DataFrame, branching: np.ndarray) -> DataFrame:
+    """Rows (h, id, at) of the windows of all paths whose gram leads different paths."""
+    shared = laid.sparkSession.sparkContext.broadcast(branching)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        own = np.flatnonzero(_set(shared.value, batch.column(0).to_numpy().view(np.uint64)))
+        if not own.size:
+            return None
+        batch = batch.take(pa.array(own))
+        n = batch.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(batch.column(2).to_numpy(), n) + place.astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(3).flatten(), pa.array(np.repeat(batch.column(1).to_numpy(), n)), pa.array(at.astype(np.int32))], ["h", "id", "at"])
+
+    return map_arrow(laid.select("m", "id", "at", "windows"), one, "h long, id long, at int")
+
+
 def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS) -> DataFrame:
     """Rows (id, at, n): n windows from position `at` on, each of which also starts earlier."""
     laid = stored(candidate_paths(rows, repeated_grams(rows, window, gram, bits), window, gram), "paths")
@@ -186,9 +212,8 @@ def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int =
     firsts = stored(firsts, "firsts")
     several = firsts.filter("copies > 1").select("m", "e", "first")
     later = open_.select("m", "e", "id", "at", "n").join(several, ["m", "e"]).filter(place > F.col("first")).select("id", "at", "n")
-    branching = firsts.groupBy("m").count().filter("count > 1").select("m")
-    corners = firsts.select("m", "e", F.col("first.id").alias("id"), F.col("first.at").alias("at")).join(branching, "m", "left_semi")
-    single = stored(open_.join(corners, ["m", "e", "id", "at"], "left_semi").select("id", "at", F.posexplode("windows").alias("k", "h")).select("h", "id", (F.col("at") + F.col("k")).alias("at")), "windows")
+    branching = gram_filter(firsts.groupBy("m").count().filter("count > 1"), bits)
+    single = stored(windows_of(open_, branching), "windows")
     shared = single.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "first")
     alone = single.join(shared, "h").filter(place > F.col("first")).select("id", "at", F.lit(1).alias("n"))
     return laid.filter("settled").select("id", "at", "n").unionByName(later).unionByName(alone)
