@@ -37,7 +37,7 @@ def error_text(kind: Column) -> Column:
 
 def batch_summary(files: DataFrame) -> DataFrame:
     """One row (input_count, success_count, error_count, total_masked) of files (error_kind, masked)."""
-    return files.agg(F.count(F.lit(1)).alias("input_count"), F.count_if("error_kind is null").alias("success_count"), F.count_if("error_kind is not null").alias("error_count"), F.coalesce(F.sum("masked"), F.lit(0)).alias("total_masked"))
+    return files.agg(F.count(F.lit(1)).alias("input_count"), F.count_if(F.col("error_kind").isNull()).alias("success_count"), F.count_if(F.col("error_kind").isNotNull()).alias("error_count"), F.coalesce(F.sum("masked"), F.lit(0)).alias("total_masked"))
 
 
 def detected(counters: DataFrame, audit: DataFrame, ner: DataFrame) -> DataFrame:

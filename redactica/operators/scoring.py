@@ -56,7 +56,7 @@ def char_status(chars: DataFrame, fills: DataFrame, glyphs: DataFrame | None = N
 
 def span_scores(status: DataFrame) -> DataFrame:
     """Rows (doc_id, span_id, total, leaked, residue, status) of characters' status."""
-    rows = status.groupBy("doc_id", "span_id").agg(F.count(F.lit(1)).alias("total"), F.count_if("leaked").alias("leaked"), F.count_if("leaked and covered").alias("residue"))
+    rows = status.groupBy("doc_id", "span_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("leaked")).alias("leaked"), F.count_if(F.col("leaked") & F.col("covered")).alias("residue"))
     return rows.withColumn("status", F.when(F.col("leaked") == 0, "covered").when(F.col("leaked") >= F.col("total"), "full").otherwise("partial"))
 
 
