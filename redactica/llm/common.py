@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 BATCH_ROWS = 1000
 #: Longer words are hashed one by one.
 LONG_WORD = 512
+#: Bits of one row of a filter that comes to the driver, and of a whole filter of ids.
+BLOCK_BITS = 1 << 20
+ID_BITS = 1 << 26
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -89,6 +92,48 @@ def word_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return a, b
 
 
+def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
+    """Bit (m mod bits) of all rows (m: a hash), built in tasks and put together on the driver: an eighth of `bits` bytes at any size.
+
+    It lets too much pass when it is too small, but never too little, so an exact join can follow a cheap selection."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            slot = batch.column(0).to_numpy() & (bits - 1)
+            for block in np.unique(slot // BLOCK_BITS).tolist():
+                own = slot[slot // BLOCK_BITS == block] % BLOCK_BITS
+                if block not in held:
+                    held[block] = np.zeros(BLOCK_BITS // 64, np.uint64)
+                np.bitwise_or.at(held[block], own >> 6, np.uint64(1) << (own & 63).astype(np.uint64))
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["block", "bits"])
+
+    out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 64), np.uint64)
+    by_block = keys.select("m").repartition(F.shiftrightunsigned(F.col("m").bitwiseAND(F.lit(bits - 1)), BLOCK_BITS.bit_length() - 1))
+    for block, data in by_block.mapInArrow(blocks, "block long, bits binary").toLocalIterator():
+        out[block] |= np.frombuffer(bytes(data), np.uint64)
+    return out.reshape(-1)
+
+
+def in_filter(bits: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Which hashes are in a filter."""
+    slot = m & np.uint64(64 * len(bits) - 1)
+    return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def selected(rows: DataFrame, keys: DataFrame, bits: int = ID_BITS) -> DataFrame:
+    """Inner join on id of rows with long texts and keys (id, ...): a filter of ids picks the rows before they are shuffled."""
+    shared = rows.sparkSession.sparkContext.broadcast(key_filter(keys.select(F.xxhash64("id").alias("m")), bits))
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = in_filter(shared.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
+        return pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
+
+    picked = map_arrow(rows.withColumn("_m", F.xxhash64("id")), one, rows.schema)
+    return picked.join(keys.hint("merge"), "id")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a: long, b: long): rows (node, component), component being the smallest node reachable.
 

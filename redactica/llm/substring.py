@@ -24,14 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactica.llm.common import map_arrow, mixed, short_batches, stored, word_hashes
+from redactica.llm.common import in_filter, key_filter, map_arrow, mixed, short_batches, stored, word_hashes
 
 WINDOW = 20
 GRAM = 6
 #: Bits of the filter of repeated grams, a power of two: the broadcast has an eighth as many bytes at any size of the corpus.
 FILTER_BITS = 1 << 27
-#: Bits of one row that comes to the driver.
-BLOCK_BITS = 1 << 20
 LAST_ID = (1 << 63) - 1
 #: Paths that a task compares with each other before it starts anew.
 HELD = 200_000
@@ -121,35 +119,7 @@ def repeated_grams(rows: DataFrame, window: int, gram: int, bits: int) -> np.nda
         m, n = np.unique(np.concatenate(found), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(_signed(m)), pa.array(np.minimum(n, 2).astype(np.int8))], ["m", "n"])
 
-    return gram_filter(map_arrow(rows, one, "m long, n byte").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m"), bits)
-
-
-def gram_filter(grams: DataFrame, bits: int) -> np.ndarray:
-    """Bit (hash mod bits) of all rows (m), built in tasks and put together on the driver: an eighth of `bits` bytes at any size."""
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slot = batch.column(0).to_numpy() & (bits - 1)
-            for block in np.unique(slot // BLOCK_BITS).tolist():
-                own = slot[slot // BLOCK_BITS == block] % BLOCK_BITS
-                if block not in held:
-                    held[block] = np.zeros(BLOCK_BITS // 64, np.uint64)
-                np.bitwise_or.at(held[block], own >> 6, np.uint64(1) << (own & 63).astype(np.uint64))
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], ["block", "bits"])
-
-    out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 64), np.uint64)
-    by_block = grams.select("m").repartition(F.shiftrightunsigned(F.col("m").bitwiseAND(F.lit(bits - 1)), BLOCK_BITS.bit_length() - 1))
-    for block, data in by_block.mapInArrow(blocks, "block long, bits binary").toLocalIterator():
-        out[block] |= np.frombuffer(bytes(data), np.uint64)
-    return out.reshape(-1)
-
-
-def _set(bits: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Which hashes are in a filter."""
-    slot = m & np.uint64(64 * len(bits) - 1)
-    return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+    return key_filter(map_arrow(rows, one, "m long, n byte").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m"), bits)
 
 
 PATHS = "settled boolean, m long, e long, id long, at int, n int, windows array<long>"
@@ -168,7 +138,7 @@ def candidate_paths(rows: DataFrame, seen: np.ndarray, window: int, gram: int) -
                 if (p := paths(batch.column(1).to_pylist(), window, gram)) is None:
                     continue
                 doc, at, n, m, e, first, hashes = p
-                keep = np.flatnonzero(_set(bits, m))
+                keep = np.flatnonzero(in_filter(bits, m))
                 if not keep.size:
                     continue
                 owner, at, n, m, e, first = ids[doc[keep]], at[keep], n[keep], m[keep], e[keep], first[keep]
@@ -191,7 +161,7 @@ def windows_of(laid: DataFrame, branching: np.ndarray) -> DataFrame:
     shared = laid.sparkSession.sparkContext.broadcast(branching)
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        own = np.flatnonzero(_set(shared.value, batch.column(0).to_numpy().view(np.uint64)))
+        own = np.flatnonzero(in_filter(shared.value, batch.column(0).to_numpy().view(np.uint64)))
         if not own.size:
             return None
         batch = batch.take(pa.array(own))
@@ -212,7 +182,7 @@ def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int =
     firsts = stored(firsts, "firsts")
     several = firsts.filter("copies > 1").select("m", "e", "first")
     later = open_.select("m", "e", "id", "at", "n").join(several, ["m", "e"]).filter(place > F.col("first")).select("id", "at", "n")
-    branching = gram_filter(firsts.groupBy("m").count().filter("count > 1"), bits)
+    branching = key_filter(firsts.groupBy("m").count().filter("count > 1"), bits)
     single = stored(windows_of(open_, branching), "windows")
     shared = single.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "first")
     alone = single.join(shared, "h").filter(place > F.col("first")).select("id", "at", F.lit(1).alias("n"))
@@ -251,7 +221,8 @@ def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int, gram: i
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     runs = repeats(rows, window, gram, bits).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(id_col).cast("long").alias("_doc_id"), F.col(text_col).alias("_text"), *[F.col(c) for c in carry])
+    carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carry")] * bool(carry)
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(id_col).cast("long").alias("_doc_id"), F.col(text_col).alias("_text"), *carried)
     return own.join(runs, own["_id"] == runs["id"], "left").drop("_id", "id")
 
 
@@ -272,7 +243,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, removed, kept = _shortened(batch, window)
         texts = [k.decode("utf-8", "surrogatepass") if r else t for t, r, k in zip(batch.column("_text").to_pylist(), removed, kept, strict=True)]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], [*others, text_col])
+        return pa.RecordBatch.from_arrays([*batch.column("_carry").flatten(), pa.array(texts, pa.string())], [*others, text_col])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, text_col])
     return map_arrow(_with_runs(docs, id_col, text_col, window, gram, bits, others), one, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
