@@ -2,7 +2,7 @@
 
 Lexicons (words, and word beginnings of four to six letters, which catch inflected forms) are mined from the labelled training rows:
 entries whose share of toxic documents is surely high, taken greedily while they still explain toxic documents that the entries so
-far explain too little. Documents with the same smallest word hash, as copies have, count as one there, so that chance words of a
+far explain too little. Documents with the same smallest shingle hash, as copies have, count as one there, so that chance words of a
 copied toxic document gain nothing. The entries become many voters, by kind, shard and number or density of hits, beside
 pattern voters and voters for clean text. A generative label model then estimates, by expectation maximisation, how often each voter
 votes either way or abstains on toxic and on clean text. Voters that agree beyond what the label explains are correlated; the
@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactica.llm.common import map_arrow, short_batches, stored
+from redactica.llm.common import map_arrow, selected, short_batches, stored
 
 FIT_ROWS = 30_000
 LEXICON = 800
 CANDIDATES = 20_000
 #: Entries that a toxic document should have before it counts as explained.
 DEPTH = 6
+#: Words of a shingle.
+SHINGLE = 5
 THRESHOLD = 0.7
 KINDS = ("word", 4, 5, 6)
 SHARDS = 6
@@ -60,7 +62,7 @@ def training(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fit
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, fit_rows / max(1, known.count()))
     kept = known.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(kept, "id").select("text", "toxic")
+    return selected(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), kept).select("text", "toxic")
 
 
 def _sure(toxic, clean, z2: float = 2.6**2):
@@ -124,9 +126,10 @@ def mine(rows: DataFrame, size: int = LEXICON) -> list[str]:
     def holds(batch: pa.RecordBatch) -> pa.RecordBatch:
         own, mark = [], []
         for t in batch.column(0).to_pylist():
-            words = set(words_of(t))
+            said = words_of(t)
+            words, runs = set(said), (" ".join(said[i : i + SHINGLE]) for i in range(max(1, len(said) - SHINGLE + 1)))
             own.append(sorted({number[e] for w in words for e in entries_of(w) if e in number}))
-            mark.append(min((xxhash.xxh64_intdigest(w) for w in words), default=0) >> 1)
+            mark.append(min(map(xxhash.xxh64_intdigest, runs)) >> 1)
         return pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int32())), pa.array(mark, pa.int64())], ["own", "mark"])
 
     found = map_arrow(rows.filter("toxic > 0").select("text"), holds, "own array<int>, mark long").toPandas()
