@@ -19,9 +19,11 @@ import numpy as np
 from redactica.llm.common import word_hashes
 
 #: Words that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 800_000
 #: Words that are encoded as one text.
 JOINED = 500
+#: Texts that are taken apart at once.
+AT_ONCE = 500
 _BEYOND = re.compile("[^\t-\r\x20-\x7e\xa0-\u024f]")
 _RARE_SPACE = re.compile("[\t\x0b-\r\xa0]")
 
@@ -151,8 +153,9 @@ class Encoder:
                 plain.append(i)
         for i, ids in zip(whole, self._alone([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        if plain:
-            for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+        for k in range(0, len(plain), AT_ONCE):
+            part = plain[k : k + AT_ONCE]
+            for i, ids in zip(part, self._plain([texts[i] for i in part]), strict=True):
                 out[i] = ids
         return out
 
