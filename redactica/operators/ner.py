@@ -172,3 +172,25 @@ def zero_filled(found: DataFrame, labels: tuple[str, ...] = C.NER_LABELS) -> Dat
     """Rows (label, n) for every label, found or not."""
     dim = found.sparkSession.createDataFrame([(x,) for x in labels], "label string")
     return dim.join(found.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+STATUSES = ("available", "unavailable", "dependency_missing", "model_missing", "disabled", "processing_error")
+
+
+def masked(docs: DataFrame, found: DataFrame, allowed: tuple[str, ...] | None = None) -> DataFrame:
+    """Rows (doc_id, masked, redacted, detected): accepted entities replaced; counters of what was replaced and of all that was found."""
+    ok = found.filter("exclusion is null")
+    spans = F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e"), "label")))
+    rows = docs.select("doc_id", "text").join(ok.groupBy("doc_id").agg(spans.alias("all")), "doc_id", "left")
+    every = F.coalesce("all", S.empty("array<struct<s:int,e:int,label:string>>"))
+    kept = every if allowed is None else F.filter(every, lambda x: x["label"].isin(*allowed))
+    count = lambda a: F.map_from_entries(F.transform(F.array(*[F.lit(x) for x in C.NER_LABELS]), lambda k: F.struct(k, F.size(F.filter(a, lambda x: x["label"] == k)))))
+    return rows.select("doc_id", S.spliced(F.col("text"), kept, lambda x: F.concat(F.lit("["), x["label"], F.lit("]"))).alias("masked"), count(kept).alias("redacted"), count(every).alias("detected"))
+
+
+def metadata(status: str, found: DataFrame) -> DataFrame:
+    """One row (status, counters, exclusions): zero-filled over the closed enumerations; an unknown status is 'unavailable'."""
+    fill = lambda names, counted: F.map_from_entries(F.transform(F.array(*[F.lit(x) for x in names]), lambda k: F.struct(k, F.coalesce(F.try_element_at(counted, k), F.lit(0)))))
+    kinds = found.groupBy(F.coalesce("exclusion", "label").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    one = kinds.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"))
+    return one.select(F.lit(status if status in STATUSES else "unavailable").alias("status"), fill(C.NER_LABELS, F.col("m")).alias("counters"), fill(EXCLUSIONS, F.col("m")).alias("exclusions"))

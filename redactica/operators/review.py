@@ -127,3 +127,24 @@ def parsed_report(text: Column) -> tuple[Column, Column]:
     """(risk level or null, array of 'label: n' entries with n > 0) of a report's text."""
     risk = F.nullif(F.regexp_extract(text, r"(?m)^Risk level:\s*(ok|warning|high_risk)\s*$", 1), F.lit(""))
     return risk, F.regexp_extract_all(text, F.lit(r"(?m)^\* ([A-Z_]+: [1-9][0-9]*)$"), F.lit(1))
+
+
+def workspace(listing: DataFrame, reports: DataFrame) -> DataFrame:
+    """Items of review folders: rows (workspace, output_name, report_name, risk_level, status).
+
+    listing has (folder, sub, name), sub being '' or 'txt'; a name in txt hides its flat twin. reports has (folder, name, text)."""
+    files = classified(listing).filter(F.col("family").isin("anon_txt", "anon_docx"))
+    w = Window.partitionBy("folder", "name").orderBy(F.when(F.col("sub") == "txt", 0).otherwise(1))
+    outputs = files.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    known = classified(reports).filter("family = 'report'")
+    paired = paired_reports(outputs, known)
+    risk = parsed_report(F.col("text"))[0]
+    risks = known.select("folder", F.col("name").alias("report"), risk.alias("risk_level"))
+    rows = paired.join(risks, ["folder", "report"], "left")
+    return rows.select(F.col("folder").alias("workspace"), F.col("name").alias("output_name"), F.col("report").alias("report_name"), "risk_level", F.lit("needs_review").alias("status"))
+
+
+def newest_folder(folders: DataFrame) -> DataFrame:
+    """Rows (root, folder): of dated folders (root, folder) the one with the latest calendar date."""
+    day = F.try_to_date("folder", "d.M.yyyy")
+    return folders.filter(F.col("folder").rlike(r"^[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}$") & day.isNotNull()).groupBy("root").agg(F.max_by("folder", day).alias("folder"))
