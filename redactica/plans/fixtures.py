@@ -37,14 +37,20 @@ def notes_sql(dialect: str) -> str:
     return f"SELECT k AS doc_id, concat({_ALWAYS.replace('{d}', day)}, {some}) AS text FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d FROM orders)"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt out evenly; a table of many files stays as its files are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate"))
     return spark.sql(notes_sql("spark").replace("FROM orders", "FROM {orders}"), orders=orders)
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (doc_id, page, block_no, line_no, word_no, text, conf, x0, y0, x1, y1) of blank-separated words of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     rows = docs.select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]"), lambda w: w != "")).alias("k", "text"))
     k = F.col("k")
     return rows.select("doc_id", F.expr("cast(k div 36 + 1 as int)").alias("page"), F.lit(0).alias("block_no"), F.expr("cast(k div 12 % 3 as int)").alias("line_no"), F.expr("cast(k % 12 as int)").alias("word_no"), "text", F.when(k % 17 == 0, "x").otherwise((k % 101).cast("string")).alias("conf"), (k % 12 * 50).cast("double").alias("x0"), F.expr("cast(k div 12 % 3 * 12 as double)").alias("y0"), (k % 12 * 50 + 45).cast("double").alias("x1"), F.expr("cast(k div 12 % 3 * 12 + 10 as double)").alias("y1"))

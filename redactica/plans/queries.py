@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from redactica.functions import catalogue as C
 from redactica.functions import spans as S
 from redactica.operators import audit, cascade, detect, dictionary, geometry, model_review, ner, retrieval, review, rollup, scoring
-from redactica.plans.fixtures import CURRENT_YEAR, TERMS, listing, listing_sql, notes, notes_sql, words, words_sql
+from redactica.plans.fixtures import CURRENT_YEAR, TERMS, listing, listing_sql, notes, notes_sql, spread, words, words_sql
 from redactica.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 K = "(SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d FROM orders)"
 
 
@@ -51,7 +55,7 @@ def when(cond: str) -> str:
 
 @query("email_count_by_lang", r"SELECT lang, CAST(sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS BIGINT) AS n FROM documents GROUP BY lang")
 def email_count_by_lang(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", F.regexp_count("text", F.lit(detect.detector("EMAIL"))).alias("n"))
+    docs = documents(spark, sf_dir).select("lang", F.regexp_count("text", F.lit(detect.detector("EMAIL"))).alias("n"))
     return docs.groupBy("lang").agg(F.sum("n").cast("long").alias("n"))
 
 
@@ -74,7 +78,7 @@ def label_counts(spark, sf_dir):
 
 @query("label_counts_documents")
 def label_counts_documents(spark, sf_dir):
-    return detect.label_counts(table(spark, sf_dir, "documents"), F.col("text"), CURRENT_YEAR, keep=["lang"]).groupBy("lang", "label").agg(F.sum("n").alias("n"))
+    return detect.label_counts(documents(spark, sf_dir), F.col("text"), CURRENT_YEAR, keep=["lang"]).groupBy("lang", "label").agg(F.sum("n").alias("n"))
 
 
 AUDITED = {
@@ -106,7 +110,7 @@ def risk_histogram(spark, sf_dir):
 
 @query("audit_documents")
 def audit_documents(spark, sf_dir):
-    return audit.findings(table(spark, sf_dir, "documents"), F.col("text"), CURRENT_YEAR, ["doc_id"])
+    return audit.findings(documents(spark, sf_dir), F.col("text"), CURRENT_YEAR, ["doc_id"])
 
 
 @query("dictionary_hits", f"SELECT label, count(*) AS n FROM {K}, (SELECT unnest(['KLIENT', 'BANK']) AS label) GROUP BY label")
@@ -155,7 +159,7 @@ def cascade_counters(spark, sf_dir):
 
 @query("cascade_documents")
 def cascade_documents(spark, sf_dir):
-    return cascade.masked(table(spark, sf_dir, "documents"), CURRENT_YEAR).select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.aggregate(F.map_values("counters"), F.lit(0).cast("long"), lambda a, x: a + x).alias("replaced"))
+    return cascade.masked(documents(spark, sf_dir), CURRENT_YEAR).select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.aggregate(F.map_values("counters"), F.lit(0).cast("long"), lambda a, x: a + x).alias("replaced"))
 
 
 ON = {k: v for k, v in MASKED.items() if k in {"ULICA", "MIEJSCOWOSC", "POSTAL_CODE", "DOWOD_OSOBISTY", "PERSON_NAME_TYPO"}}
@@ -462,7 +466,7 @@ h AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(^|[^{_LET}])({_ABBR})',
 s AS (SELECT doc_id, trim(unnest(string_split(regexp_replace(t, '([.!?])[ \t\r\f\v]+([{C.UPPER}0-9"„“(])', '\1' || chr(10) || '\2', 'g'), chr(10)))) AS s FROM h)
 SELECT doc_id, count(*) AS n, CAST(sum(least(length(s), 500)) AS BIGINT) AS chars FROM s WHERE s <> '' GROUP BY doc_id""")
 def sentences(spark, sf_dir):
-    rows = model_review.numbered(table(spark, sf_dir, "documents"))
+    rows = model_review.numbered(documents(spark, sf_dir))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).cast("long").alias("chars"))
 
 
@@ -514,14 +518,14 @@ def sentence_run(spark, sf_dir):
 
 @query("chunks")
 def chunks(spark, sf_dir):
-    return retrieval.chunks(table(spark, sf_dir, "documents"), "doc_id").select("source_file", "chunk_index", F.sha2("text", 256).alias("text_sha256"))
+    return retrieval.chunks(documents(spark, sf_dir), "doc_id").select("source_file", "chunk_index", F.sha2("text", 256).alias("text_sha256"))
 
 
 TOKENS = r"t AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda x: length(x) >= 2), lambda x: lower(x)) AS ws FROM documents), i AS (SELECT doc_id, len(ws) AS n, token, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS token FROM t) GROUP BY ALL)"
 
 
 def _index(spark, sf_dir):
-    return retrieval.token_index(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.lit(1).alias("chunk_index"), "text"))
+    return retrieval.token_index(documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_file"), F.lit(1).alias("chunk_index"), "text"))
 
 
 @query("token_index", f"WITH {TOKENS} SELECT token, count(*) AS docs, CAST(sum(tf) AS BIGINT) AS uses FROM i GROUP BY token")
