@@ -1,6 +1,7 @@
 """Private dictionaries: parsing, one longest-first alternation, counting, masking and spans, all on columns.
 
 A dictionary is configuration: its terms are checked against MOST_TERMS and become one literal pattern that is compiled once per task.
+A larger one is a table, and meets the texts in an equality join (spans_by_join).
 """
 
 from __future__ import annotations
@@ -90,3 +91,21 @@ def counts(docs: DataFrame, text: Column, terms: list[Term], *keep: str) -> Data
 
 def masked(text: Column, terms: list[Term]) -> Column:
     return S.spliced(text, labelled_spans(text, terms), lambda x: F.concat(F.lit("["), x["label"], F.lit("]")))
+
+
+def spans_by_join(docs: DataFrame, terms: DataFrame, most_words: int = 8) -> DataFrame:
+    """Rows (doc_id, s, e, label) for a dictionary of any size: a table (key, label) of keys made of words, joined by equality.
+
+    Runs of one to `most_words` words of the documents (doc_id, text), with blanks but no line break between, are the other side of
+    the join. Of the hits of a document the leftmost count, the longest first, as with the pattern."""
+    text = F.col("text")
+    words = docs.select("doc_id", "text", S.spans(text, java(r"\w+")).alias("w")).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w")))).filter("size(w) > 0")
+    runs = words.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("i") + 1))))
+    runs = runs.select("doc_id", F.element_at("w", F.col("i"))["s"].alias("s"), F.element_at("w", F.col("i") + F.col("n") - 1)["e"].alias("e"), "text")
+    value = F.substring(text, F.col("s") + 1, F.col("e") - F.col("s"))
+    keyed = runs.select("doc_id", "s", "e", value.alias("v")).filter(~F.col("v").rlike(java(r"[^\w\s]|[\r\n]")))
+    hits = keyed.withColumn("key", F.lower(F.regexp_replace("v", java(r"\s+"), " "))).join(terms.select("key", "label"), "key")
+    found = F.array_sort(F.collect_list(F.struct("s", (-F.col("e")).alias("back"), "e", "label")))
+    kind = "array<struct<s:int,back:int,e:int,label:string>>"
+    kept = F.aggregate("all", S.empty(kind), lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] < F.try_element_at(acc, F.lit(-1))["e"]), acc).otherwise(F.concat(acc, F.array(x))))
+    return hits.groupBy("doc_id").agg(found.alias("all")).select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.s", "x.e", "x.label")

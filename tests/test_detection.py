@@ -129,3 +129,13 @@ def test_no_value_leaves_the_engine(spark):
     docs = spark.createDataFrame([(1, GOLDEN[5][0])], "doc_id long, text string")
     rows = str(cascade.claimed(docs, 2026).collect()) + str(audit.findings(docs, F.col("text"), 2026, ["doc_id"]).collect())
     assert "Borow" not in rows and "Lipowa" not in rows
+
+
+def test_large_dictionary_by_join(spark):
+    terms = dictionary.parse("alfa = [A]\nalfa beta = [B]\nbeta gamma = [C]\nŻółć = [D]")
+    texts = ["Alfa  beta gamma, alfa\nbeta", "żółć alfabeta alfa-beta", "", None, "beta gamma beta\tgamma 😀 alfa"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame([(t.key, t.label) for t in terms], "key string, label string")
+    got = sorted(r[:] for r in dictionary.spans_by_join(docs, table).collect())
+    want = docs.select("doc_id", F.explode(dictionary.labelled_spans(F.col("text"), terms)).alias("x")).select("doc_id", "x.s", "x.e", "x.label").collect()
+    assert got == sorted(r[:] for r in want) and len(got) > 6
