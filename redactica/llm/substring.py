@@ -34,6 +34,7 @@ LAST_ID = (1 << 63) - 1
 #: Paths that a task compares with each other before it starts anew.
 HELD = 200_000
 _PLACE_BITS = 26
+_BLOCK = 1 << 25
 _M = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -72,15 +73,15 @@ def paths(texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> tu
     flat, (ha, hb) = doc, word_hashes(data, starts, ends - starts)
     n = len(flat) - window + 1
     small = _grams(ha, gram)
-    place = np.uint64((1 << _PLACE_BITS) - 1)
-    if len(flat) > int(place):
-        raise ValueError("too many words in a batch")
-    low = (small & ~place) | np.arange(len(small), dtype=np.uint64)
-    span, width = window - gram + 1, 1
-    while 2 * width <= span:
-        low, width = np.minimum(low[:-width], low[width:]), 2 * width
-    low = np.minimum(low[:n], low[span - width :][:n])
-    at = (low & place).astype(np.int64)
+    place, span = np.uint64((1 << _PLACE_BITS) - 1), window - gram + 1
+    at = np.empty(n, np.int64)
+    for b in range(0, n, _BLOCK):  # the leftmost smallest gram of each window; ties of the upper bits go to the left
+        part, width = small[b : b + _BLOCK + span - 1], 1
+        low = (part & ~place) | np.arange(len(part), dtype=np.uint64)
+        while 2 * width <= span:
+            low, width = np.minimum(low[:-width], low[width:]), 2 * width
+        m = min(_BLOCK, n - b)
+        at[b : b + m] = b + (np.minimum(low[:m], low[span - width :][:m]) & place).astype(np.int64)
     own = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     whole = own[:n] + window <= sizes[doc[:n]]
     change = np.ones(n, bool)
@@ -97,7 +98,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded size of text; a single text is never split."""
     sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)])
     start, total = 0, 0
