@@ -402,6 +402,45 @@ def test_quality_odd(spark):
     assert quality.quality(docs.limit(0), labels).count() == 0
 
 
+def test_quality_any_script_and_any_number_of_languages(spark):
+    rng = random.Random(10)
+    scripts = ["абвгдежзиклмнопрст", "αβγδεζηθικλμνξοπρστ", "ابتثجحخدذرزسشصض", "的一是不了人我在有他这中大来上国和说们为"]
+    good, noise = [], []
+    for k in range(20):
+        words = ["".join(rng.choice(scripts[k % 4]) for _ in range(rng.randint(2, 6))) for _ in range(12)]
+        good += [(1000 * k + i, prose(rng.randint(60, 90), rng, words), f"l{k}") for i in range(40)]
+        letters = "".join(words)
+        noise += [(1000 * k + 500, " ".join("".join(rng.choice(letters) for _ in w) for w in prose(80, rng, words).split()), f"l{k}")]
+    docs = spark.createDataFrame(good + noise, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1) for d, _, _ in good], "doc_id long, quality int")
+    rows = quality.quality(docs, labels).collect()
+    assert sum(r.keep for r in rows if r.doc_id % 1000 == 500) == 0
+    assert sum(r.keep for r in rows if r.doc_id % 1000 != 500) >= 0.9 * len(good)
+    assert len({(r.lang, r.threshold) for r in rows}) == len({r.threshold for r in rows}) == 20
+
+
+def test_quality_model_sums_to_one(spark):
+    text = prose(300, random.Random(3), ["ab", "ba", "ящ", "a"])
+    rows = spark.createDataFrame([(text, "x")], "text string, lang string")
+    table = {(r.p, r.q): (r.alpha or 0, 1 if r.gamma is None else r.gamma) for r in quality.model(quality.counted(rows, {"x": 0}, False)).collect()}
+    rest = quality.UNICODE - sum(p == -1 for p, _ in table if (p, _) != (0, 0) and table[p, _][0])
+
+    def chance(c, context):
+        own = 0
+        for x in context + c:
+            own = own << quality.BITS | ord(x)
+        k = len(context) + 1
+        key = (own >> 2 * quality.BITS, own & (1 << 2 * quality.BITS) - 1) if k == 4 else (-k, own)
+        before = 0
+        for x in context:
+            before = before << quality.BITS | ord(x)
+        gamma = table.get((1 - k, before), (0, 1))[1]
+        return table.get(key, (0, 1))[0] + gamma * (chance(c, context[1:]) if context else 1 / quality.UNICODE)
+
+    for context in ("", "a", "a b", " ящ", "zzz"):
+        assert abs(sum(chance(c, context) for c in "ab ящ") + rest * chance("一", context) - 1) < 1e-9
+
+
 # --- chat -----------------------------------------------------------------------------------------------------------------------
 
 
