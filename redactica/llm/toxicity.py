@@ -36,6 +36,8 @@ LEXICON = 800
 CANDIDATES = 20_000
 #: Entries that a toxic document should have before it counts as explained.
 DEPTH = 6
+#: Toxic documents, copies counted once, that an entry must still explain, at any number of training rows.
+SUPPORT = 2.5
 #: Words of a shingle.
 SHINGLE = 5
 THRESHOLD = 0.7
@@ -80,11 +82,11 @@ def greedy(candidates: list[tuple[str, int]], found: list[list[int]], weight: li
         gain[own] += weight[d]
         for c in own:
             docs_of[c].append(d)
-    need, least, chosen, clean = [DEPTH] * len(found), max(2.5, 0.01 * sum(weight)), [], np.array([c for _, c in candidates], float)
+    need, chosen, clean = [DEPTH] * len(found), [], np.array([c for _, c in candidates], float)
     size_of = np.array([len(e) for e, _ in candidates])
     open_ = np.ones(len(candidates), bool)
     while len(chosen) < size:
-        sure = np.where(open_ & (gain >= least), _sure(np.maximum(gain, 1e-9), clean, 1.96**2), 0)
+        sure = np.where(open_ & (gain >= SUPPORT), _sure(np.maximum(gain, 1e-9), clean, 1.96**2), 0)
         if not len(sure) or sure.max() < 0.5:
             break
         best = int(np.lexsort((np.arange(len(sure)), size_of, -gain, -np.round(sure, 2)))[0])

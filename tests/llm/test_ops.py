@@ -300,6 +300,11 @@ def test_toxicity_odd(spark):
     assert toxicity.toxicity(frame(spark, ODD).limit(0), labels).count() == 0
 
 
+def test_lexicon_takes_rare_entries_at_any_number_of_toxic_rows():
+    found = [[0]] * 1996 + [[1]] * 4
+    assert toxicity.greedy([("wcommon", 0), ("wrare", 0), ("wchance", 0)], [*found, [2], [2]], [1.0] * 2002, 10) == ["wcommon", "wrare"]
+
+
 def test_label_model_weighs_correlated_voters_down():
     rng = np.random.default_rng(0)
     y = rng.random(2000) < 0.3
