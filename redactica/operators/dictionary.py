@@ -93,17 +93,20 @@ def masked(text: Column, terms: list[Term]) -> Column:
     return S.spliced(text, labelled_spans(text, terms), lambda x: F.concat(F.lit("["), x["label"], F.lit("]")))
 
 
-def spans_by_join(docs: DataFrame, terms: DataFrame, most_words: int = 8) -> DataFrame:
-    """Rows (doc_id, s, e, label) for a dictionary of any size: a table (key, label) of keys made of words, joined by equality.
-
-    Runs of one to `most_words` words of the documents (doc_id, text), with blanks but no line break between, are the other side of
-    the join. Of the hits of a document the leftmost count, the longest first, as with the pattern."""
-    text = F.col("text")
-    words = docs.select("doc_id", "text", S.spans(text, java(r"\w+")).alias("w")).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w")))).filter("size(w) > 0")
-    runs = words.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("i") + 1))))
+def spans_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Rows (doc_id, s, e, label) for a dictionary of any size: a table (key, label), joined by equality.
+
+    Words and single marks are the atoms of keys and texts. Runs of as many atoms of the documents (doc_id, text) as some key has,
+    with blanks but no line break between, are the other side of the join. Of the hits of a document the leftmost count, the longest
+    first, as with the pattern."""
+    text, atom = F.col("text"), java(r"\w+|[^\w\s]")
+    sizes = [r.n for r in terms.select(F.size(S.found(F.col("key"), atom)).alias("n")).filter("n > 0").distinct().orderBy("n").collect()]
+    atoms = docs.select("doc_id", "text", S.spans(text, atom).alias("w")).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w")))).filter("size(w) > 0")
+    fitting = F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.size("w") - F.col("i") + 1)
+    runs = atoms.withColumn("n", F.explode(fitting))
     runs = runs.select("doc_id", F.element_at("w", F.col("i"))["s"].alias("s"), F.element_at("w", F.col("i") + F.col("n") - 1)["e"].alias("e"), "text")
     value = F.substring(text, F.col("s") + 1, F.col("e") - F.col("s"))
-    keyed = runs.select("doc_id", "s", "e", value.alias("v")).filter(~F.col("v").rlike(java(r"[^\w\s]|[\r\n]")))
+    keyed = runs.select("doc_id", "s", "e", value.alias("v")).filter(~F.col("v").rlike(r"[\r\n]"))
     hits = keyed.withColumn("key", F.lower(F.regexp_replace("v", java(r"\s+"), " "))).join(terms.select("key", "label"), "key")
     found = F.array_sort(F.collect_list(F.struct("s", (-F.col("e")).alias("back"), "e", "label")))
     kind = "array<struct<s:int,back:int,e:int,label:string>>"

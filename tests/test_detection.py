@@ -139,3 +139,15 @@ def test_large_dictionary_by_join(spark):
     got = sorted(r[:] for r in dictionary.spans_by_join(docs, table).collect())
     want = docs.select("doc_id", F.explode(dictionary.labelled_spans(F.col("text"), terms)).alias("x")).select("doc_id", "x.s", "x.e", "x.label").collect()
     assert got == sorted(r[:] for r in want) and len(got) > 6
+
+
+def test_large_dictionary_by_join_finds_marks_and_long_terms(spark):
+    long = "a b c d e f g h i j"
+    terms = dictionary.parse(f"Nowak-Kowalska = [A]\nSp. z o.o. = [B]\n{long} = [C]\nC++ = [D]\n-x = [E]\nz = [F]\n😀 k. = [G]")
+    texts = ["Anna NOWAK-KOWALSKA, Acme sp. z  o.o., Nowak - Kowalska", f"{long} k", "C++ c+ xC++ C++y", "a-x a-xy --x", "sp.\nz o.o. 😀 K.😀\nk.", "...", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame([(t.key, t.label) for t in terms], "key string, label string")
+    got = sorted(r[:] for r in dictionary.spans_by_join(docs, table).collect())
+    want = docs.select("doc_id", F.explode(dictionary.labelled_spans(F.col("text"), terms)).alias("x")).select("doc_id", "x.s", "x.e", "x.label").collect()
+    assert got == sorted(r[:] for r in want) and {r[3] for r in got} == set("ABCDEFG")
+    assert dictionary.spans_by_join(docs, table.limit(0)).count() == 0
