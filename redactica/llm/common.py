@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,9 +35,26 @@ def _own_dir() -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; own only where unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_dir()}"
-    return f"{root.rstrip('/')}/redactica/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir), deleted when the application ends.
+
+    Without that setting a local session gets a folder of its own; a cluster, whose machines see different disks, is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{_own_dir()}"
+    path = f"{root.rstrip('/')}/redactica/{name}-{uuid.uuid4().hex}"
+    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing reads any more."""
+    _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -122,16 +140,23 @@ def in_filter(bits: np.ndarray, m: np.ndarray) -> np.ndarray:
     return ((bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
 
 
-def selected(rows: DataFrame, keys: DataFrame, bits: int = ID_BITS) -> DataFrame:
-    """Inner join on id of rows with long texts and keys (id, ...): a filter of ids picks the rows before they are shuffled."""
-    shared = rows.sparkSession.sparkContext.broadcast(key_filter(keys.select(F.xxhash64("id").alias("m")), bits))
+def parted(rows: DataFrame, keys: DataFrame, on: list[str], bits: int = ID_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have their like in keys, rows that surely have none): a filter of keys tells them apart without a shuffle."""
+    shared = rows.sparkSession.sparkContext.broadcast(key_filter(keys.select(F.xxhash64(*on).alias("m")), bits))
+
+    def kept(want: bool) -> DataFrame:
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keep = in_filter(shared.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)) == want
+            return pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
+
+        return map_arrow(rows.withColumn("_m", F.xxhash64(*on)), one, rows.schema)
 
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = in_filter(shared.value, batch.column(batch.num_columns - 1).to_numpy().view(np.uint64))
-        return pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
+    return kept(True), kept(False)
 
-    picked = map_arrow(rows.withColumn("_m", F.xxhash64("id")), one, rows.schema)
-    return picked.join(keys.hint("merge"), "id")
+
+def selected(rows: DataFrame, keys: DataFrame, bits: int = ID_BITS) -> DataFrame:
+    """Inner join on id of rows with long texts and keys (id, ...): a filter of ids picks the rows before they are shuffled."""
+    return parted(rows, keys, ["id"], bits)[0].join(keys.hint("merge"), "id")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,38 +1,47 @@
-"""Substring deduplication on a compacted de Bruijn graph of word k-mers.
-
-Windows of 20 words are the edges of the graph. A document is a walk; its stretches that share the leftmost smallest 6-word gram are
-short nonbranching paths that can be found within the document, and every window lies on exactly one of them. Equal windows share
-that gram, so:
-
-1. Grams are counted; those seen once cannot lie in a repeated window. The others go into a bit filter of fixed size, which may let
-   too many pass but never too few.
-2. The paths with such grams are laid down with their source coordinates (document, position), content hash and window hashes. Equal
-   paths are joined, first in each task and then by key: all but the first at their coordinates are repeats as a whole.
-3. The paths that are left and share a gram with a different path are where the graph branches: their windows are joined one by one.
-4. The repeated windows of each document merge into spans of words, and the words under them are removed from the text.
-
-Defined results: a null text, or one without words, keeps nothing and loses nothing. Rows of one id count as one document at the same
-coordinates and never remove each other. A null id comes after all others. Other columns are ignored.
+"""Substring deduplication on the de Bruijn graph of word k-mers.
+
+A window of 20 words is an edge of the graph, from the node of its first 19 words to that of its last 19; a document is a walk. Equal
+edges are repeats, and stretches of them that run side by side in two documents are nonbranching paths, compacted to spans:
+
+1. Grams: the windows of a document that share their leftmost smallest 6-word gram lie side by side, and equal windows share that gram.
+   Such grams are counted; one seen once leads no repeated edge. The others go into a bit filter of fixed size, which may let too many
+   edges pass but never too few.
+2. Edges: each edge that passes has a key, an independent proof (64 bits each) and its source coordinates (document, position). A task
+   joins the equal edges it meets, so that of a very common passage it hands on one edge each; one join by key and proof over all tasks
+   then gives every later edge the coordinates of its first.
+3. Paths: edges of a document whose first edges also follow each other are one path, a span (document, position, length, source
+   document, source position). Where the sources part, the graph branches and a new span begins.
+4. The spans of a document merge into stretches of words, and these words go. Only texts with spans are shuffled.
+
+Every edge of a span is held against its source coordinates by key and proof, which are made of two independent hashes of each word,
+128 bits in all; words are not shipped to be compared again.
+
+Defined results: a null text, or one without words, keeps nothing and loses nothing. A very long text is walked whole. Rows of one id
+with different texts are documents of their own, and neither is earlier than the other; repeated rows count as one document and give a
+row each. A null id comes after all others. Ties cannot be: of equal windows the smaller (document, position) is first. An empty table
+gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactica.llm.common import in_filter, key_filter, map_arrow, mixed, short_batches, stored, word_hashes
+from redactica.llm.common import ID_BITS, in_filter, key_filter, map_arrow, mixed, parted, short_batches, stored, word_hashes
 
 WINDOW = 20
 GRAM = 6
 #: Bits of the filter of repeated grams, a power of two: the broadcast has an eighth as many bytes at any size of the corpus.
 FILTER_BITS = 1 << 27
 LAST_ID = (1 << 63) - 1
-#: Paths that a task compares with each other before it starts anew.
-HELD = 200_000
+#: Edges that a task joins with each other before it hands them on.
+HELD = 1_000_000
 _PLACE_BITS = 26
 _BLOCK = 1 << 25
 _M = 0x9E3779B97F4A7C15 | 1
@@ -55,23 +64,34 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
         width, power = 2 * width, power * power & 0xFFFFFFFFFFFFFFFF
 
 
-def paths(texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...] | None:
-    """(document, position, windows, gram hash, content hash, first window) of each path, and all window hashes."""
+class Walk(NamedTuple):
+    """The windows of some texts, in runs that share their smallest gram."""
+
+    text: np.ndarray  #: of each run: its text,
+    at: np.ndarray  #: its first word,
+    n: np.ndarray  #: its windows,
+    gram: np.ndarray  #: the hash of its gram,
+    first: np.ndarray  #: the place of its first window in the next two
+    key: np.ndarray
+    proof: np.ndarray
+
+
+def walk(texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> Walk | None:
     encoded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     data = b"\n".join([b"", *encoded, b"", b"12345678"])
     space = _SPACE[np.frombuffer(data, np.uint8)]
     starts = np.flatnonzero(space[:-1] & ~space[1:])[:-1] + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
     offsets = np.cumsum([1, *(len(e) + 1 for e in encoded)])
-    doc = np.searchsorted(offsets, starts, "right") - 1
-    sizes = np.bincount(doc, minlength=len(texts))
+    text = np.searchsorted(offsets, starts, "right") - 1
+    sizes = np.bincount(text, minlength=len(texts))
     sizes[sizes < window] = 0
-    kept = sizes[doc] > 0
+    kept = sizes[text] > 0
     if not kept.any():
         return None
-    doc, starts, ends = doc[kept], starts[kept], ends[kept]
-    flat, (ha, hb) = doc, word_hashes(data, starts, ends - starts)
-    n = len(flat) - window + 1
+    text, starts, ends = text[kept], starts[kept], ends[kept]
+    ha, hb = word_hashes(data, starts, ends - starts)
+    n = len(text) - window + 1
     small = _grams(ha, gram)
     place, span = np.uint64((1 << _PLACE_BITS) - 1), window - gram + 1
     at = np.empty(n, np.int64)
@@ -82,27 +102,21 @@ def paths(texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> tu
             low, width = np.minimum(low[:-width], low[width:]), 2 * width
         m = min(_BLOCK, n - b)
         at[b : b + m] = b + (np.minimum(low[:m], low[span - width :][:m]) & place).astype(np.int64)
-    own = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    whole = own[:n] + window <= sizes[doc[:n]]
+    own = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    whole = own[:n] + window <= sizes[text[:n]]
     change = np.ones(n, bool)
-    change[1:] = (at[1:] != at[:-1]) | (whole[1:] != whole[:-1]) | (doc[1:n] != doc[: n - 1])
+    change[1:] = (at[1:] != at[:-1]) | (whole[1:] != whole[:-1]) | (text[1:n] != text[: n - 1])
     first = np.flatnonzero(change)
     length = np.diff(np.append(first, n))
     first, length = first[whole[first]], length[whole[first]]
-    windows = _grams(hb, window)
-    content = mixed(windows[first] * np.uint64(_M) + windows[first + length - 1] + length.astype(np.uint64))
-    return doc[first], own[first], length, small[at[first]], content, first, windows
-
+    return Walk(text[first], own[first], length, small[at[first]], first, _grams(hb, window), _grams(ha, window))
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
 
-
-def _slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with a bounded size of text; a single text is never split."""
-    sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in batch.column(1)])
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, total = 0, 0
-    for i, s in enumerate(sizes.tolist()):
+    for i, s in enumerate(sizes):
         if total + s > most and i > start:
             yield batch.slice(start, i - start)
             start, total = i, 0
@@ -111,83 +125,110 @@ def _slices(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBat
 
 
 def repeated_grams(rows: DataFrame, window: int, gram: int, bits: int) -> np.ndarray:
-    """The filter: bit (hash mod bits) is set for all grams that lead two paths or more."""
+    """The filter over rows (id, t, text): bit (hash mod bits) is set for all grams that lead two runs or more."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [p[3] for part in _slices(batch) if (p := paths(part.column(1).to_pylist(), window, gram))]
+        found = [w.gram for part in _slices(batch, 0) if (w := walk(part.column(0).to_pylist(), window, gram))]
         if not found:
             return None
         m, n = np.unique(np.concatenate(found), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(_signed(m)), pa.array(np.minimum(n, 2).astype(np.int8))], ["m", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["m", "n"])
 
-    return key_filter(map_arrow(rows, one, "m long, n byte").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m"), bits)
+    return key_filter(map_arrow(rows.select("text"), one, "m long, n byte").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m"), bits)
 
 
-PATHS = "settled boolean, m long, e long, id long, at int, n int, windows array<long>"
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where any column differs from the row before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
 
 
-def candidate_paths(rows: DataFrame, seen: np.ndarray, window: int, gram: int) -> DataFrame:
-    """The paths with repeated grams. Those whose equal came earlier in the same task are settled: they are repeats."""
+def joined(key: np.ndarray, proof: np.ndarray, ids: np.ndarray, t: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(edges without an earlier equal one among these, runs (id, t, at, n, id0, at0) of the others with the places of their first)."""
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    twin = np.append(same, False) | np.append(False, same)
+    g = order[twin]
+    g = g[np.lexsort((at[g], t[g], ids[g], proof[g], key[g]))]
+    new = _starts(key[g], proof[g])
+    first = g[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]
+    last = np.roll(g, 1)
+    own = ~new & (ids[g] == ids[last]) & (t[g] == t[last])  # the edge before is of the same document
+    above = ids[g] > ids[first]
+    later = above | own & (at[g] > at[last])
+    free = np.ones(len(key), bool)
+    free[g[later | own]] = False
+    e, source = g[later], np.where(above, first, last)[later]
+    e, source = (x[np.lexsort((at[e], t[e], ids[e]))] for x in (e, source))
+    head = _starts(ids[e], t[e], ids[source], at[e] - np.arange(len(e)), at[source] - np.arange(len(e)))
+    k = np.flatnonzero(head)
+    n = np.diff(np.append(k, len(e)))
+    return np.flatnonzero(free), (ids[e[k]], t[e[k]], at[e[k]], n, ids[source[k]], at[source[k]])
+
+
+EDGES = "done boolean, key long, proof long, id long, t long, at int, n int, id0 long, at0 int"
+_EDGES = [pa.bool_(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+
+
+def edges(rows: DataFrame, seen: np.ndarray, window: int, gram: int) -> DataFrame:
+    """The edges of rows (id, t, text) that the filter lets pass. Those with an earlier equal one in the task are done, in runs."""
     shared = rows.sparkSession.sparkContext.broadcast(seen)
 
+    def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, _EDGES, strict=True)], [c.split()[0] for c in EDGES.split(", ")])
+
+    def out(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, proof, ids, t, at = (np.concatenate(c) for c in zip(*held, strict=True))
+        free, (id_, t_, at_, n, id0, at0) = joined(key, proof, ids, t, at)
+        none, one = np.zeros(len(free), np.int64), np.ones(len(free), np.int64)
+        yield batch_of(none.astype(bool), key[free].view(np.int64), proof[free].view(np.int64), ids[free], t[free], at[free], one, none, none)
+        if len(id_):
+            spread = mixed((id_ ^ t_).view(np.uint64)).view(np.int64)
+            yield batch_of(np.ones(len(id_), bool), spread, np.zeros(len(id_), np.int64), id_, t_, at_, n, id0, at0)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        firsts: dict[tuple[int, int], tuple[int, int]] = {}
+        bits, held, size = shared.value, [], 0
         for whole in batches:
-            for batch in _slices(whole):
-                ids = np.array([LAST_ID if i is None else i for i in batch.column(0).to_pylist()])
-                if (p := paths(batch.column(1).to_pylist(), window, gram)) is None:
+            for batch in _slices(whole, 2):
+                if (w := walk(batch.column(2).to_pylist(), window, gram)) is None:
                     continue
-                doc, at, n, m, e, first, hashes = p
-                keep = np.flatnonzero(in_filter(bits, m))
+                keep = np.flatnonzero(in_filter(bits, w.gram))
                 if not keep.size:
                     continue
-                owner, at, n, m, e, first = ids[doc[keep]], at[keep], n[keep], m[keep], e[keep], first[keep]
-                settled = np.zeros(len(keep), bool)
-                for k, key, place in zip(range(len(keep)), zip(m.tolist(), e.tolist(), strict=True), zip(owner.tolist(), at.tolist(), strict=True), strict=True):
-                    settled[k] = firsts.setdefault(key, place) < place
-                if len(firsts) > HELD:
-                    firsts.clear()
-                count = np.where(settled, 0, n)
-                ends = np.cumsum(count)
-                inner = np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(first, count)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(_signed(hashes[inner])))
-                yield pa.RecordBatch.from_arrays([pa.array(settled), pa.array(_signed(m)), pa.array(_signed(e)), pa.array(owner), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), lists], ["settled", "m", "e", "id", "at", "n", "windows"])
-
-    return rows.mapInArrow(each, PATHS)
-
-
-def windows_of(laid: DataFrame, branching: np.ndarray) -> DataFrame:
-    """Rows (h, id, at) of the windows of all paths whose gram leads different paths."""
-    shared = laid.sparkSession.sparkContext.broadcast(branching)
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        own = np.flatnonzero(in_filter(shared.value, batch.column(0).to_numpy().view(np.uint64)))
-        if not own.size:
-            return None
-        batch = batch.take(pa.array(own))
-        n = batch.column(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(batch.column(2).to_numpy(), n) + place.astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(3).flatten(), pa.array(np.repeat(batch.column(1).to_numpy(), n)), pa.array(at.astype(np.int32))], ["h", "id", "at"])
-
-    return map_arrow(laid.select("m", "id", "at", "windows"), one, "h long, id long, at int")
-
-
-def repeats(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows (id, at, n): n windows from position `at` on, each of which also starts earlier."""
-    laid = stored(candidate_paths(rows, repeated_grams(rows, window, gram, bits), window, gram), "paths")
-    open_ = laid.filter("not settled")
-    place = F.struct("id", "at")
-    firsts = open_.groupBy("m", "e").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = stored(firsts, "firsts")
-    several = firsts.filter("copies > 1").select("m", "e", "first")
-    later = open_.select("m", "e", "id", "at", "n").join(several, ["m", "e"]).filter(place > F.col("first")).select("id", "at", "n")
-    branching = key_filter(firsts.groupBy("m").count().filter("count > 1"), bits)
-    single = stored(windows_of(open_, branching), "windows")
-    shared = single.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last").select("h", "first")
-    alone = single.join(shared, "h").filter(place > F.col("first")).select("id", "at", F.lit(1).alias("n"))
-    return laid.filter("settled").select("id", "at", "n").unionByName(later).unionByName(alone)
+                ids, t = (batch.column(c).to_numpy() for c in (0, 1))
+                n = w.n[keep]
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                own, text = place + np.repeat(w.first[keep], n), np.repeat(w.text[keep], n)
+                held.append((w.key[own], w.proof[own], ids[text], t[text], place + np.repeat(w.at[keep], n)))
+                size += len(own)
+                if size >= HELD:
+                    yield from out(held)
+                    held, size = [], 0
+        if held:
+            yield from out(held)
+
+    return rows.mapInArrow(each, EDGES)
+
+
+def spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows (id, t, at, n, id0, at0) of rows (id, t, text): n windows from position `at` of a document, which start at `at0` of id0 first."""
+    equal = Window.partitionBy("done", "key", "proof").orderBy("id", "t", "at")
+    found = edges(rows, repeated_grams(rows, window, gram, bits), window, gram)
+    found = found.select("*", *[F.first(c).over(equal.rowsBetween(Window.unboundedPreceding, 0)).alias(f"f_{c}") for c in ("id", "at")], *[F.lag(c).over(equal).alias(f"p_{c}") for c in ("id", "t", "at")])
+    above = F.col("id") > F.col("f_id")
+    own = F.coalesce((F.col("p_id") == F.col("id")) & (F.col("p_t") == F.col("t")) & (F.col("p_at") < F.col("at")), F.lit(False))
+    source = {c: F.when(F.col("done"), F.col(f"{c}0")).when(above, F.col(f"f_{c}")).otherwise(F.col(f"p_{c}")) for c in ("id", "at")}
+    later = found.filter(F.col("done") | above | own).select("id", "t", "at", "n", source["id"].alias("id0"), source["at"].alias("at0"))
+
+    document = Window.partitionBy("id", "t").orderBy("at", F.desc("n"))
+    end = F.max(F.col("at") + F.col("n")).over(document.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("end", end).filter(F.col("end").isNull() | (F.col("at") + F.col("n") > F.col("end")))  # repeated rows say the same twice
+    before = {c: F.lag(c).over(document) for c in ("at", "n", "id0", "at0")}
+    follows = (F.col("at") == before["at"] + before["n"]) & (F.col("id0") == before["id0"]) & (F.col("at0") == before["at0"] + before["n"])
+    path = later.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("path", F.sum("new").over(document.rowsBetween(Window.unboundedPreceding, 0)))
+    out = path.groupBy("id", "t", "path").agg(F.min("at").alias("at"), F.sum("n").cast("int").alias("n"), F.min("id0").alias("id0"), F.min("at0").alias("at0"))
+    return out.drop("path")
 
 
 def merged(runs: list[tuple[int, int]], window: int, n_words: int) -> list[tuple[int, int]]:
@@ -218,13 +259,18 @@ def _shortened(batch: pa.RecordBatch, window: int) -> tuple[list[int], list[int]
     return n, removed, kept
 
 
-def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, bits: int, carry: list[str]) -> DataFrame:
+def _with_runs(docs: DataFrame, id_col: str, text_col: str, window: int, gram: int, bits: int, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows (_doc_id, _text[, _carry], _runs): those that may have runs, and those that have none and were never shuffled."""
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    runs = repeats(rows, window, gram, bits).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    mark = F.xxhash64(F.coalesce(text, F.lit("")))  # tells rows of one id apart; all of it where there is no id
+    place = [F.coalesce(doc_id, F.lit(LAST_ID)).alias("id"), F.when(doc_id.isNull(), mark).otherwise(F.pmod(mark, F.lit(1 << 32))).alias("t")]
+    found = stored(spans(docs.select(*place, text.alias("text")), window, gram, bits), "spans")
     carried = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carry")] * bool(carry)
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("_id"), F.col(id_col).cast("long").alias("_doc_id"), F.col(text_col).alias("_text"), *carried)
-    return own.join(runs, own["_id"] == runs["id"], "left").drop("_id", "id")
+    picked, rest = parted(docs.select(*place, doc_id.alias("_doc_id"), text.alias("_text"), *carried), found, ["id", "t"], ID_BITS)
+    runs = found.groupBy("id", "t").agg(F.collect_list(F.struct("at", "n")).alias("_runs"))
+    none = F.expr("cast(array() as array<struct<at:int,n:int>>)").alias("_runs")
+    return picked.join(runs, ["id", "t"], "left").drop("id", "t"), rest.drop("id", "t").select("*", none)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS) -> DataFrame:
@@ -234,7 +280,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         n, removed, kept = _shortened(batch, window)
         return pa.RecordBatch.from_arrays([batch.column("_doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    return map_arrow(_with_runs(docs, id_col, text_col, window, gram, bits, []), one, "doc_id long, n_words long, n_removed long, kept string")
+    picked, rest = (map_arrow(x, one, "doc_id long, n_words long, n_removed long, kept string") for x in _with_runs(docs, id_col, text_col, window, gram, bits, []))
+    return picked.unionByName(rest)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS) -> DataFrame:
@@ -247,7 +294,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.RecordBatch.from_arrays([*batch.column("_carry").flatten(), pa.array(texts, pa.string())], [*others, text_col])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [*others, text_col])
-    return map_arrow(_with_runs(docs, id_col, text_col, window, gram, bits, others), one, schema).select(*[F.col(f"`{c}`") for c in docs.columns])
+    picked, rest = _with_runs(docs, id_col, text_col, window, gram, bits, others)
+    same = rest.select(*[F.col("_carry")[c].alias(c) for c in others], F.col("_text").alias(text_col))
+    return map_arrow(picked, one, schema).unionByName(same).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -118,11 +118,26 @@ def test_links_find_chains_and_large_keys(spark, block):
             fps[len(fps) + 1000 * k] = base[k] ^ sum(1 << x for x in rng.sample(range(12), 2))
     distinct = {v: k for k, v in sorted(fps.items(), reverse=True)}
     nodes = spark.createDataFrame([(k, simhash._signed(v)) for v, k in distinct.items()], "node long, fp long")
-    found = {r.node: r.component for r in common.components(simhash.links(nodes, block=block)).collect()}
+    table = simhash.pivot_table(nodes)
+    row = table.first()
+    assert list(np.array([row[f"p{i}"] for i in range(3)], np.int64).view(np.int8)) == [(row.fp % (1 << 64) ^ p).bit_count() for p in simhash.pivots()]
+    found = {r.node: r.component for r in common.components(simhash.links(table, block=block)).collect()}
     want = brute_components({k: v for v, k in distinct.items()})
     assert {k: found.get(k, k) for k in want} == want
 
 
+def test_large_keys_are_taken_apart(spark):
+    rng = random.Random(5)
+    nodes = [(i, 5 | rng.getrandbits(33) << 30) for i in range(2000)]  # one key of two bands, wide apart in the others
+    rows = simhash.keyed(simhash.pivot_table(spark.createDataFrame(nodes, "node long, fp long")), block=300)
+    sizes = rows.groupBy("mask", "bits", "lo", "hi").count().agg(F.max("count"), F.sum("count"), F.max("hi")).first()
+    assert sizes[0] <= 300 and sizes[1] <= 2000 * (10 + 3) and sizes[2] == 0
+    for m in simhash.band_masks():
+        parts = simhash.finer(m)
+        assert len(parts) == 4 and all(p & m == m for p in parts) and parts[0] | parts[1] | parts[2] | parts[3] == (1 << 64) - 1
+        assert sum((p ^ m).bit_count() for p in parts) == 64 - m.bit_count()
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(5, 5), (None, 3), (1000, 1001)], "a long, b long"))
     got = {r.node: r.component for r in common.components(edges).collect()}
@@ -176,6 +191,23 @@ def test_records_round_trip(spark, tmp_path):
     assert [r.doc_id for r in records.read_shuffled(spark, path, 4).collect()] != [r.doc_id for r in shuffled]
 
 
+def test_files_are_ordered_by_number_and_equal_rows_split(spark, tmp_path, monkeypatch):
+    names = [f"part-{k:05d}-u-c{c:03d}.txt" for k in (0, 9, 99_999, 100_000) for c in (0, 2, 1000)]
+    rows = spark.createDataFrame([(n,) for n in names], "file string").repartition(3)
+    assert [r.file for r in rows.orderBy(*records.place("file")).collect()] == names
+    path = f"file://{tmp_path}/same"
+    docs = spark.createDataFrame([(7, "one and the same text")] * 400, "doc_id long, text string").repartition(2)
+    assert records._parts(docs) == 4  # an unknown size
+    docs.write.parquet(f"{path}-docs")
+    docs = spark.read.parquet(f"{path}-docs")
+    monkeypatch.setattr(records, "FILE_BYTES", 200)
+    assert records._parts(docs) > 4
+    records.write(docs, path)
+    assert records.index(spark, path).groupBy("file").count().agg(F.max("count")).first()[0] < 300
+    ends = sorted((r.start, r.n_tokens) for r in records.read(spark, path).collect())
+    assert len(ends) == 400 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:], strict=False))
+
+
 def test_records_odd(spark, tmp_path):
     odd = [(d, t) for d, t in ODD]
     records.write(frame(spark, odd), f"file://{tmp_path}/a")
@@ -301,8 +333,8 @@ def test_toxicity_odd(spark):
 
 
 def test_lexicon_takes_rare_entries_at_any_number_of_toxic_rows():
-    found = [[0]] * 1996 + [[1]] * 4
-    assert toxicity.greedy([("wcommon", 0), ("wrare", 0), ("wchance", 0)], [*found, [2], [2]], [1.0] * 2002, 10) == ["wcommon", "wrare"]
+    found = [np.array([0])] * 1996 + [np.array([1])] * 4 + [np.array([2])] * 2 + [np.array([3, 4])] * 4
+    assert toxicity.greedy([("wcommon", 0), ("wrare", 0), ("wchance", 0), ("wgrimfolken", 0), ("4grim", 0)], found, [1.0] * 2006) == ["wcommon", "wrare", "4grim"]
 
 
 def test_label_model_weighs_correlated_voters_down():
@@ -358,12 +390,37 @@ def test_substring_odd(spark):
     rows = substring.substring_dedup(frame(spark, ODD)).collect()
     by = {r.doc_id: r for r in rows}
     assert len(rows) == len(ODD) and by[1].n_words == 0 and by[1].kept == "" and by[4].kept == "one"
-    assert by[7].n_removed == 29_999 and by[7].kept == "word"[: len(by[7].kept)] and by[7].n_words == 30_000 or by[7].n_removed >= 29_980
+    assert (by[7].n_words, by[7].n_removed, by[7].kept) == (30_000, 29_999, "word")
     assert substring.substring_dedup(frame(spark, ODD).limit(0)).count() == 0
+    long = prose(40, random.Random(1), [f"w{i}" for i in range(500)])
+    shared = [(5, long), (5, "other words " + long), (6, long), (None, long), (None, "x " + long), (None, prose(30))]
+    left = substring.substring_dedup(frame(spark, shared * 2).repartition(3)).collect()
+    assert sorted((r.doc_id or 99, r.n_words, r.n_removed) for r in left) == sorted([(5, 40, 0), (5, 42, 0), (6, 40, 40), (99, 40, 40), (99, 41, 40), (99, 30, 0)] * 2)
     kept = substring.deduplicated(frame(spark, [(1, "a  b"), (2, None)]))
     assert kept.columns == frame(spark, []).columns and {r.doc_id: r.text for r in kept.collect()} == {1: "a  b", 2: None}
 
 
+def test_edges_of_one_task_join_like_those_of_many(spark, monkeypatch):
+    rng = random.Random(18)
+    words = ["a"] * 30 + ["b"]
+    docs = [(rng.randint(0, 12), prose(rng.randint(20, 60), rng, words)) for _ in range(60)]
+    want = None
+    for held, parts in ((1_000_000, 1), (50, 1), (1_000_000, 7), (50, 7)):
+        monkeypatch.setattr(substring, "HELD", held)
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.substring_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect())
+        want = want or got
+        assert got == want
+    assert any(r[2] for r in want)
+
+
+def test_spans_name_their_sources(spark):
+    words = [f"w{i}" for i in range(200)]
+    docs = [(1, " ".join(words[:100])), (2, " ".join(words[10:60] + ["x"] + words[120:160])), (3, " ".join(["y", *words[120:150], *words[20:80]]))]
+    rows = spark.createDataFrame(docs, "id long, text string").withColumn("t", F.lit(0).cast("long"))
+    got = sorted(r[:] for r in substring.spans(rows.select("id", "t", "text")).select("id", "at", "n", "id0", "at0").collect())
+    assert got == [(2, 0, 31, 1, 10), (3, 1, 11, 2, 51), (3, 31, 41, 1, 20)]
+
+
 def test_word_hashes_tell_words_apart():
     words = [b"a", b"aa", b"ab", b"ba", b"abcdefgh", b"abcdefghi", b"abcdefgi", b"x" * 600, b"x" * 601, b"\xc5\x82"]
     data = b" " + b" ".join(words) + b" 12345678"
@@ -378,20 +435,67 @@ def test_word_hashes_tell_words_apart():
 # --- quality --------------------------------------------------------------------------------------------------------------------
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(1)
-    counts = np.zeros(quality.SIZE, np.int64)
-    np.add.at(counts, quality.grams(prose(3000)), 1)
-    p = np.exp(quality.kneser_ney(counts).astype(float)).reshape(-1, quality.CLASSES)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and p.min() > 0
-    assert np.allclose(np.exp(quality.kneser_ney(np.zeros_like(counts)).astype(float)), 1 / quality.CLASSES)
-    assert rng is not None
+def brute_kneser_ney(texts):
+    """ln P of each 4-gram's last character, by interpolated modified Kneser-Ney, in plain dictionaries."""
+    counts = defaultdict(int)
+    for t in texts:
+        for i in range(len(t) - 3):
+            counts[t[i : i + 4]] += 1
+    level = {4: dict(counts)}
+    for k in (3, 2, 1):
+        level[k] = defaultdict(int)
+        for g in level[k + 1]:
+            level[k][g[1:]] += 1
+    off, totals = {}, {}
+    for k, own in level.items():
+        n = {j: max(1, sum(c == j for c in own.values())) for j in (1, 2, 3, 4)}
+        y = n[1] / (n[1] + 2 * n[2])
+        off[k] = {j: max(0.05, min(j - 0.05, j - (j + 1) * y * n[j + 1] / n[j])) for j in (1, 2, 3)}
+        totals[k] = defaultdict(list)
+        for g, c in own.items():
+            totals[k][g[:-1]].append(c)
+
+    def chance(g):
+        k = len(g)
+        if not k:
+            return 1 / quality.UNICODE
+        below, seen = chance(g[1:]), totals[k].get(g[:-1])
+        if not seen:
+            return below
+        c = level[k].get(g, 0)
+        return (c - (off[k][min(c, 3)] if c else 0)) / sum(seen) + sum(off[k][min(x, 3)] for x in seen) / sum(seen) * below
+
+    return lambda t: sum(-np.log(chance(t[i : i + 4])) for i in range(len(t) - 3))
+
+
+def test_quality_equals_a_plain_model(spark):
+    rng = random.Random(14)
+    vocab = VOCAB + ["ящик", "中文"]
+    docs = [(i, prose(rng.randint(0, 60), rng, vocab), "ab"[i % 2]) for i in range(240)] + [(900, "the the the", "a"), (901, None, "b"), (902, "zzz", "c")]
+    labels = [(d, 1) for d, _, _ in docs[:150]]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    held = {r.id for r in spark.range(150).filter(quality._held()).collect()}
+    read = lambda t: f"   {quality.written(t)} " if t else ""
+    symbols = lambda t: len(quality.written(t)) + 1 if t else 0
+    for lang, model in (("a", "a"), ("b", "b"), ("c", "ab")):
+        own = [(d, t) for d, t, x in docs if d < 150 and x in model]
+        surprise = brute_kneser_ney([read(t) for d, t in own if d not in held])
+        kept = [(d, t) for d, t in own if d in held]
+        mean = sum(surprise(read(t)) for _, t in kept) / max(1, sum(symbols(t) for _, t in kept))
+        worth = lambda t: np.exp((surprise(read(t)) + quality.PRIOR * mean) / (symbols(t) + quality.PRIOR))  # noqa: E731, B023
+        limit = sorted(worth(t) for _, t in kept)[int(np.ceil(quality.QUANTILE * len(kept))) - 1] * quality.MARGIN
+        for d, t, x in docs:
+            if x == lang:
+                assert got[d].n_symbols == symbols(t) and abs(got[d].perplexity / worth(t) - 1) < 1e-4 and abs(got[d].threshold / limit - 1) < 1e-4
+                assert got[d].keep == (got[d].perplexity <= got[d].threshold or not symbols(t))
+    assert quality.written(" The the\n the The cat ") == f"the {quality.AGAIN} {quality.AGAIN} {quality.AGAIN} cat"
 
 
 def test_quality_keeps_clean_and_drops_noise(spark):
     rng = random.Random(9)
     good = [(i, prose(rng.randint(20, 120), rng)) for i in range(300)]
     noise = [(1000 + i, "".join(rng.choice("#$%&qxzj@ ") for _ in range(300))) for i in range(20)]
+    noise += [(1100 + i, " ".join(f"{w} " * 20 for w in rng.sample(VOCAB, 4))) for i in range(20)]
     docs = spark.createDataFrame([(d, t, ["en", "de", None][d % 3]) for d, t in good + noise], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(d, 1) for d, _ in good if d < 200], "doc_id long, quality int")
     rows = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
@@ -443,7 +547,7 @@ def test_quality_model_sums_to_one(spark):
         return table.get(key, (0, 1))[0] + gamma * (chance(c, context[1:]) if context else 1 / quality.UNICODE)
 
     for context in ("", "a", "a b", " ящ", "zzz"):
-        assert abs(sum(chance(c, context) for c in "ab ящ") + rest * chance("一", context) - 1) < 1e-9
+        assert abs(sum(chance(c, context) for c in "ab ящ" + quality.AGAIN) + rest * chance("一", context) - 1) < 1e-9
 
 
 # --- chat -----------------------------------------------------------------------------------------------------------------------
@@ -508,6 +612,41 @@ def test_shards_are_even_and_gapless(spark):
     assert sharding.shard_rows(frame(spark, docs).limit(0)).count() == 0
 
 
+def brute_ring(keys, shards, nodes=sharding.NODES):
+    """A plain walk: cells clockwise, each row to the next node whose shard has room, all rows of a round before the next node."""
+    cells, owners = sharding.ring(shards, nodes)
+    room = sharding.quotas(len(keys), shards, 0.0)
+    waiting = [(c, int(np.searchsorted(cells, c)) % len(owners)) for c in sorted(keys)]
+    placed = defaultdict(lambda: defaultdict(int))
+    while waiting:
+        onward = []
+        for cell, node in waiting:
+            shard = int(owners[node])
+            if room[shard]:
+                room[shard] -= 1
+                placed[cell][shard] += 1
+            else:
+                onward.append((cell, (node + 1) % len(owners)))
+        waiting = onward
+    return placed
+
+
+@pytest.mark.parametrize("hot_rows", [100_000, 20])
+def test_shards_are_those_of_a_plain_walk(spark, hot_rows):
+    docs = [(i, prose(i % 5)) for i in range(700)] + [(None, "same")] * 300 + [(3, "twice")] * 40
+    df = frame(spark, docs)
+    cell = dict(df.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - sharding.CELL_BITS).cast("int")).distinct().collect())
+    rows = sharding.shard_rows(df, hot_rows=hot_rows).collect()
+    got = defaultdict(lambda: defaultdict(int))
+    for r in rows:
+        got[cell[r.doc_id]][r.shard] += 1
+    assert got == brute_ring([cell[d] for d, _ in docs], 16)
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(rows) == len(docs) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_plan_is_the_ring_walked_row_by_row():
     counts = {c: 1 + c % 3 for c in range(0, 65536, 97)}
     runs = sharding.plan(counts, 5, 0.05, nodes=16)
@@ -533,32 +672,36 @@ def test_one_more_shard_moves_little():
 # --- top k ----------------------------------------------------------------------------------------------------------------------
 
 
-def brute_top(vectors, queries, k=5):
+def brute_top(rows, asks, k=5):
+    """rows: (id, vector); asks: positions of those that ask."""
     out = []
-    for q in queries:
-        scores = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))
+    for a in asks:
+        q, v = rows[a]
+        scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for n, (i, w) in enumerate(rows) if n != a and len(w) == len(v))
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize(("shard", "leaf", "block"), [(4096, 64, 2048), (40, 4, 3)])
-def test_top_k(spark, shard, leaf, block):
+@pytest.mark.parametrize(("shard", "leaf", "block", "group"), [(4096, 64, 2048, 32), (40, 4, 3, 2)])
+def test_top_k(spark, shard, leaf, block, group):
     rng = random.Random(12)
-    raw = {i: [rng.uniform(-1, 1) for _ in range(6)] for i in range(300)}
-    raw |= {1000 + i: raw[7] for i in range(60)} | {2000: [0.5] * 3, 2050: [0.25] * 3, 2100: []}
+    raw = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(300)]
+    raw += [(1000 + i, raw[7][1]) for i in range(60)] + [(2000, [0.5] * 3), (2050, [0.25] * 3), (2100, []), (50, raw[50][1]), (100, raw[7][1])]
     bad = [(3000, None), (3050, [1.0, None]), (3100, [float("nan")] * 6), (3150, [float("inf")] * 6), (None, [0.0] * 6)]
-    df = spark.createDataFrame([*raw.items(), *bad], "vec_id long, embedding array<double>")
+    df = spark.createDataFrame([(*r, "x", 7, 0.5) for r in raw + bad], "vec_id long, embedding array<double>, v string, dim int, score double")
     rows = topk.integers(df)
-    vectors = {i: [int(np.floor(256 * x)) for x in v] for i, v in raw.items()}
-    got = topk.top_k(rows, rows.filter("vec_id % 50 = 0"), shard_rows=shard, leaf=leaf, block=block).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(vectors, [i for i in vectors if i % 50 == 0])
+    vectors = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in raw]
+    got = topk.top_k(rows, rows.filter("vec_id % 50 = 0"), shard_rows=shard, leaf=leaf, block=block, group=group).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(vectors, [n for n, (i, _) in enumerate(vectors) if i % 50 == 0])
 
 
 def test_top_k_large_components_and_empty(spark):
-    df = spark.createDataFrame([(0, [3e7, 1.0]), (1, [3e7, 2.0]), (2, [3e7, 3.0])], "vec_id long, embedding array<double>")
-    rows = topk.integers(df)
-    got = topk.top_k(rows, rows.filter("vec_id = 0")).collect()
-    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(2, (256 * 30_000_000) ** 2 + 3 * 65536), (1, (256 * 30_000_000) ** 2 + 2 * 65536)] or (256 * 30_000_000) ** 2 > 2**63
+    big = {0: [3e7, 1.0], 1: [3e7, 2.0], 2: [3e7, 3.0], 3: [-3e7, 0.0], 4: [1e6, 0.0]}
+    rows = topk.integers(spark.createDataFrame(list(big.items()), "vec_id long, embedding array<double>"))
+    got = topk.top_k(rows, rows.filter("vec_id = 0"), shard_rows=2).collect()
+    least, most = -(1 << 63), (1 << 63) - 1
+    want = [(i, max(least, min(most, s))) for _, _, i, s in brute_top([(i, [int(256 * x) for x in v]) for i, v in big.items()], [0])]
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == want == [(2, most), (1, most), (4, 256**2 * 3 * 10**13), (3, least)]
     assert topk.top_k(rows.limit(0), rows.limit(0)).count() == 0 and topk.top_k(rows, rows.limit(0)).count() == 0
 
 
