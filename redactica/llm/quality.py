@@ -1,7 +1,9 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
 Trusted text is what labels mark as good. Four fifths of it are counted, the rest sets the thresholds; no row is left out. The model
-is one of 4-grams of characters of any script (lower case, white space collapsed), one for each language with trusted text. Counts,
+is one of 4-grams of characters of any script (lower case, white space collapsed), one for each language with trusted text. A word that
+repeats the word before it is written as one character of its own (`AGAIN`), so the model learns how rare that is in trusted text, and
+text that repeats a word over and over surprises it as noise does. Counts,
 and the shares and backoff weights made of them, are rows by (language, n-gram) and are never gathered. Texts are packed into
 compressed blocks of one language; a block asks for its distinct n-grams only, the answers come by an equality join and meet the
 block's texts again by its number. So what is shuffled is trusted texts, packed texts and the distinct n-grams of each block, and it
@@ -10,15 +12,15 @@ grows with the corpus. Documents are read twice; if they were dealt to other par
 A document's mean surprise is drawn towards its language's trusted mean by `PRIOR` symbols, so short texts are not judged by a few
 letters. A document is kept if its perplexity is at most `MARGIN` times its language's quantile of the held-back trusted documents.
 
-Defined results: null and empty texts have no symbols and the trusted mean, and are kept. A null language is 'und'. A language without
+Defined results: null and empty texts have no symbols and the trusted mean, and are kept. Very long texts are read whole. A perplexity
+that equals the threshold is kept. A null language is 'und'. A language without
 both counted and held-back trusted documents uses the model and threshold of all trusted text ('other'). Where that has none either,
-all documents are kept. Repeated rows give a row each; other columns are ignored. One row per language goes to all tasks.
+all documents are kept. Repeated rows give a row each; an empty table gives no rows; other columns are ignored, whatever their names.
+One row per language goes to all tasks.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,82 +33,24 @@ from pyspark.sql import functions as F
 
 from redactica.llm.common import selected, short_batches, stored
 
-#: Of the dense form of the model (grams, kneser_ney), which the tests hold the sharded one against.
-CLASSES, ORDER = 40, 4
-SIZE = CLASSES**ORDER
 PRIOR = 60.0
 QUANTILE = 0.99
 #: How far above the quantile a perplexity may lie: a quantile of few documents is unsure, and noise lies far above it.
 MARGIN = 1.1
 OTHER = -1
 #: Characters of a block of texts, and of all blocks that a task has open (one for each language); how hard blocks are compressed.
-BLOCK_CHARS, HELD_CHARS, ZSTD = 4_000_000, 24_000_000, 9
+BLOCK_CHARS, HELD_CHARS, ZSTD = 3_000_000, 18_000_000, 9
 #: Bits of a character, and the characters an unseen one is among.
 BITS, UNICODE = 21, 0x110000
 LAST = (1 << BITS) - 1
+#: From the private use area.
+AGAIN = "\ue000"
 
 
-def _class(c: str) -> int:
-    if c.isspace():
-        return 0
-    if "a" <= c <= "z":
-        return ord(c) - 96
-    if c.isdigit():
-        return 27
-    if c in ".,":
-        return 28 + ".,".index(c)
-    if c in ";:!?'\"-()":
-        return 30
-    if not c.isalpha():
-        return 31
-    base = unicodedata.normalize("NFD", c)[0].lower()
-    return 32 + "aeiou".index(base) if base in "aeiou" else 37 if base in "cn" else 38
-
-
-TABLE = np.array([_class(chr(c).lower()[0]) for c in range(0x250)], np.uint8)
-
-
-def symbols(text: str) -> np.ndarray:
-    """Classes of a text with a blank before and behind, white space collapsed."""
-    cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    s = np.concatenate([[0], np.where(cp < 0x250, TABLE[np.minimum(cp, 0x24F)], 39), [0]]).astype(np.uint8)
-    keep = np.ones(len(s), bool)
-    keep[1:] = (s[1:] != 0) | (s[:-1] != 0)
-    return s[keep]
-
-
-def grams(text: str | None) -> np.ndarray:
-    """Codes of all n-grams of a text."""
-    if not text:
-        return np.zeros(0, np.int64)
-    s = symbols(text).astype(np.int64)
-    s = np.concatenate([np.zeros(ORDER - 2, np.int64), s])
-    code = s[: len(s) - ORDER + 1]
-    for k in range(1, ORDER):
-        code = code * CLASSES + s[k : len(s) - ORDER + 1 + k]
-    return code
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """What is taken from counts of 0, 1, 2 and more (Chen and Goodman)."""
-    n1, n2, n3, n4 = (max(int((counts == k).sum()), 1) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
-    return np.array([0, *(min(max(k - (k + 1) * y * b / a, 0.05), k - 0.05) for k, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))])
-
-
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """ln P(last symbol | the others) of all n-grams, from counts of the longest."""
-    levels = [counts.reshape(-1, CLASSES)]
-    for _ in range(ORDER - 1):  # a shorter n-gram counts the symbols seen before it
-        levels.append((levels[-1].reshape(CLASSES, -1) > 0).sum(axis=0).reshape(-1, CLASSES))
-    p = np.full((1, CLASSES), 1 / CLASSES)
-    for c in reversed(levels):
-        below = np.tile(p, (len(c) // len(p), 1))
-        d, total = discounts(c)[np.minimum(c, 3)], c.sum(axis=1, keepdims=True)
-        share = d.sum(axis=1, keepdims=True) / np.maximum(total, 1)
-        p = np.where(total > 0, (c - d) / np.maximum(total, 1) + share * below, below)
-        p = p.reshape(-1, CLASSES) if len(c) == 1 else p
-    return np.log(p).astype(np.float32).reshape(-1)
+def written(text: str | None) -> str:
+    """The text as the model reads it: lower case, single blanks, and AGAIN in place of a word that repeats the one before."""
+    words = text.lower().split() if text else []
+    return " ".join([AGAIN if a == b else b for a, b in zip(["", *words], words, strict=False)])
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -148,7 +92,7 @@ def _unpacked(data: bytes) -> list:
 
 def coded(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(p, q, which, n): first and last two characters of the distinct 4-grams; which of them stand in the texts, in order; how many in each text."""
-    normal = [" ".join(t.lower().split()) if t else "" for t in texts]
+    normal = [written(t) for t in texts]
     n = np.array([len(t) + 1 if t else 0 for t in normal], np.int64)
     cp = np.frombuffer("".join(f"   {t} " for t in normal if t).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     if not len(cp):
