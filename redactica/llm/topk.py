@@ -1,14 +1,17 @@
 """Exact top-k inner products by KD-trees per shard.
 
 Vectors become integer vectors. They are dealt out evenly into shards of bounded size; each shard becomes a KD-tree (median splits of
-the widest dimension, tight bounding boxes, the smallest id below each node), stored as one row of an index table. Queries come in
-blocks of bounded size, each broadcast and run against the whole index. A query walks a tree best-first by the largest product that a
-box admits and stops where no box can beat its k-th best so far; that bound is carried from shard to shard within a task. The k best
-of all tasks meet at the end: k rows for each query and task.
+the widest dimension, tight bounding boxes, the smallest id below each node), stored as one row of an index table. Shards form groups.
+Queries are packed into blocks of bounded size; every block is sent to every group, where the group's trees come first and the blocks
+then stream by, all in one job that holds one group's trees and one block at a time. The driver sees no vector. A query walks a tree
+best-first by the largest product that a box admits and stops where no box can beat its k-th best so far; that bound is carried from
+tree to tree within the group. The best of all groups meet at the end: k + 1 rows for each query and group, as the query's own row is
+among them and is then left out.
 
 Defined results: null vectors, and those with null or non-finite components, take no part; nor do rows without an id. A query meets
-vectors of its own length only. Rows of the query's own id are no candidates. If a query's id repeats, the smallest of its vectors
-asks. Ties go to the smaller id. Queries without candidates give no rows.
+vectors of its own length only. Every row with a fitting id asks, and meets all rows but itself: of rows that share an id each asks, and
+meets the others. Ties go to the smaller id. Queries without candidates give no rows, nor does an empty table. Scores are exact; one
+beyond 64 bits is shown as the nearest 64-bit integer, but ranks as what it is. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from __future__ import annotations
 import heapq
 import pickle
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,10 @@ K = 5
 EVERY = 50
 SHARD_ROWS = 4096
 LEAF = 64
-#: Queries in one broadcast.
+#: Queries in one block, and trees in one group.
 BLOCK = 2048
-_EXACT = 2**53
+GROUP = 32
+_EXACT, _LONG = 2**53, 2**63
 
 
 class Tree:
@@ -64,7 +67,7 @@ class Tree:
         """The largest product of each query with any point of each box."""
         return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
 
-    def search(self, q: np.ndarray, own: int, bounds: list, best: list[tuple[int, int]], k: int) -> None:
+    def search(self, q: np.ndarray, bounds: list, best: list[tuple[int, int]], k: int) -> None:
         """best: a heap of (score, -id), the worst first; it is improved in place."""
         queue = [(-bounds[0], 0)]
         while queue:
@@ -81,23 +84,24 @@ class Tree:
             scores = self.rows[a:b] @ q
             near = np.flatnonzero(scores >= best[0][0]) if len(best) == k else range(b - a)
             for i in near:
-                if (at := int(self.ids[a + i])) != own:
-                    pair = (int(scores[i]), -at)
-                    if len(best) < k:
-                        heapq.heappush(best, pair)
-                    elif pair > best[0]:
-                        heapq.heapreplace(best, pair)
+                pair = (int(scores[i]), -int(self.ids[a + i]))
+                if len(best) < k:
+                    heapq.heappush(best, pair)
+                elif pair > best[0]:
+                    heapq.heapreplace(best, pair)
+
+    def cast(self, kind: type) -> None:
+        self.rows, self.low, self.high = self.rows.astype(kind), self.low.astype(kind), self.high.astype(kind)
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (vec_id, v): v holds floor(256 * x) of the components."""
-    x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
+    x = F.transform(F.col(f"`{vector_col}`"), lambda c: c.cast("double"))
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~bad)
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x")).filter(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ~bad)
     return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * 256)).alias("v"))
 
 
-
 def _by_length(ids: np.ndarray, lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.array(lists.value_lengths())
     for n in np.unique(sizes):
@@ -107,61 +111,83 @@ def _by_length(ids: np.ndarray, lists: pa.Array) -> Iterator[tuple[np.ndarray, n
 
 
 def index(rows: DataFrame, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
-    """Rows (dim, tree): the trees of all shards."""
+    """Rows (shard, dim, data): the trees of all shards."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held = [b for b in batches if b.num_rows]
         if held:
-            table = pa.Table.from_batches(held).combine_chunks()
-            trees = [(m.shape[1], pickle.dumps(Tree(i, m, leaf))) for i, m in _by_length(table.column(0).to_numpy(), table.column(1).chunk(0))]
-            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in trees], pa.int32()), pa.array([t[1] for t in trees], pa.binary())], ["dim", "tree"])
+            shard, table = TaskContext.get().partitionId(), pa.Table.from_batches(held).combine_chunks()
+            for i, m in _by_length(table.column(0).to_numpy(), table.column(1).chunk(0)):
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([m.shape[1]], pa.int32()), pa.array([pickle.dumps(Tree(i, m, leaf))], pa.binary())], ["shard", "dim", "data"])
 
     shards = max(1, -(-rows.count() // shard_rows))
-    return stored(rows.repartition(shards).mapInArrow(each, "dim int, tree binary"), "trees")
+    return stored(rows.repartition(shards).mapInArrow(each, "shard int, dim int, data binary"), "trees")
 
 
-def _search(trees: DataFrame, ids: list[int], vectors: list[list[int]], k: int) -> DataFrame:
-    by_dim: dict[int, tuple[list[int], list[list[int]]]] = {}
-    for i, v in zip(ids, vectors, strict=True):
-        pair = by_dim.setdefault(len(v), ([], []))
-        pair[0].append(i)
-        pair[1].append(v)
-    shared = trees.sparkSession.sparkContext.broadcast({d: (i, np.array(v, np.int64).reshape(len(i), d)) for d, (i, v) in by_dim.items()})
+def packed(queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (dim, data): blocks of queries (vec_id, v), which are numbered."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[tuple[int, int]]] = {}
+        from pyspark import TaskContext
+
+        n = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for dim, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if dim not in shared.value:
-                    continue
-                own, q = shared.value[dim]
-                tree: Tree = pickle.loads(blob.as_py())
-                most = int(max(np.abs(tree.rows).max(initial=0), np.abs(q).max(initial=0)))
-                if most * most * max(dim, 1) < _EXACT:  # then products in floating point are exact, and faster
-                    q = q.astype(float)
-                    tree.rows, tree.low, tree.high = tree.rows.astype(float), tree.low.astype(float), tree.high.astype(float)
-                bounds = tree.bounds(q)
-                for j, i in enumerate(own):
-                    tree.search(q[j], i, bounds[j].tolist(), best.setdefault(i, []), k)
-        rows = [(i, -at, score) for i, found in best.items() for score, at in found]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
-
-    return trees.mapInArrow(each, "query_id long, vec_id long, score long")
-
-
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
-    """Rows (query_id, rank, vec_id, score); rows and queries are (vec_id, v)."""
+            for ids, m in _by_length(batch.column(0).to_numpy(), batch.column(1)):
+                for a in range(0, len(ids), block):
+                    own = ids[a : a + block]
+                    yield pa.RecordBatch.from_arrays([pa.array([m.shape[1]], pa.int32()), pa.array([pickle.dumps((n, own, m[a : a + block]))], pa.binary())], ["dim", "data"])
+                    n += len(own)
+
+    return queries.select("vec_id", "v").mapInArrow(each, "dim int, data binary")
+
+
+def _answers(trees: list[Tree], n: int, ids: np.ndarray, q: np.ndarray, k: int) -> pa.RecordBatch:
+    """The k best of each query over all trees; products in floating point where they are exact, which is faster, else in integers."""
+    most = max([int(abs(int(x))) for m in (q, *(t.rows for t in trees)) if m.size for x in (m.min(), m.max())], default=0) ** 2 * max(q.shape[1], 1)
+    kind = float if most < _EXACT else np.int64 if most < _LONG else object
+    own = q.astype(kind)
+    best: list[list[tuple[int, int]]] = [[] for _ in range(len(ids))]
+    for tree in trees:
+        tree.cast(kind)
+        bounds = tree.bounds(own)
+        for j in range(len(ids)):
+            tree.search(own[j], bounds[j].tolist(), best[j], k)
+    exact = q.astype(object if kind is object else np.int64)
+    rows = [(n + j, int(ids[j]), -at, int(score), at == -ids[j] and score == int(exact[j] @ exact[j])) for j, found in enumerate(best) for score, at in found]
+    #: what is clipped is told apart by its digits, which sort as the numbers do
+    clip = [max(-_LONG, min(_LONG - 1, r[3])) for r in rows]
+    return pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], pa.int64()) for c in range(3)), pa.array(clip, pa.int64()), pa.array([f"{r[3] + (1 << 200):051x}" if c != r[3] else "" for r, c in zip(rows, clip, strict=True)]), pa.array([r[4] for r in rows], pa.bool_())], ["q", "query_id", "vec_id", "score", "beyond", "own"])
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = K, block: int = BLOCK, shard_rows: int = SHARD_ROWS, leaf: int = LEAF, group: int = GROUP) -> DataFrame:
+    """Rows (query_id, rank, vec_id, score); rows are (vec_id, v), and queries are some of them."""
     trees = index(rows, shard_rows, leaf)
-    asked = queries.groupBy("vec_id").agg(F.min("v").alias("v")).toLocalIterator()
-    found: DataFrame | None = None
-    while part := list(islice(asked, block)):
-        now = stored(_search(trees, [r.vec_id for r in part], [list(r.v) for r in part], k), "found")
-        found = now if found is None else found.unionByName(now)
-    if found is None:
-        found = _search(trees, [], [], k)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    shards = (trees.agg(F.max("shard")).first()[0] or 0) + 1
+    groups = max(min(shards, rows.sparkSession.sparkContext.defaultParallelism), -(-shards // group))
+    left = trees.select((F.col("shard") % groups).alias("g"), F.lit(0).alias("kind"), "dim", "data")
+    right = packed(queries, block).select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), "dim", "data")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            for g, kind, dim, data in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
+                if g != now:
+                    now, held = g, {}
+                if kind == 0:
+                    held.setdefault(dim, []).append(pickle.loads(data.as_py()))
+                elif dim in held and (out := _answers(held[dim], *pickle.loads(data.as_py()), k + 1)).num_rows:
+                    yield out
+
+    sorted_ = left.unionByName(right).repartition(groups, "g").sortWithinPartitions("g", "kind")
+    found = sorted_.mapInArrow(each, "q long, query_id long, vec_id long, score long, beyond string, own boolean")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
+    best = found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1)
+    best = best.withColumn("o", F.min(F.when(F.col("own"), F.col("r"))).over(Window.partitionBy("q")))
+    rank = F.col("r") - F.when(F.col("o") < F.col("r"), 1).otherwise(0)
+    kept = best.filter(F.col("o").isNull() | (F.col("o") != F.col("r"))).withColumn("rank", rank.cast("int"))
+    return kept.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
