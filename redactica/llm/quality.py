@@ -2,7 +2,7 @@
 
 Trusted text is what labels mark as good. Four fifths of it are counted, the rest sets the thresholds; no row is left out. The model
 is one of 4-grams of characters of any script (lower case, white space collapsed), one for each language with trusted text. A word that
-repeats the word before it is written as one character of its own (`AGAIN`), so the model learns how rare that is in trusted text, and
+repeats the word before it is written, with its blank, as one character of its own (`AGAIN`), so the model learns how rare that is in trusted text, and
 text that repeats a word over and over surprises it as noise does. Counts,
 and the shares and backoff weights made of them, are rows by (language, n-gram) and are never gathered. Texts are packed into
 compressed blocks of one language; a block asks for its distinct n-grams only, the answers come by an equality join and meet the
@@ -48,9 +48,9 @@ AGAIN = "\ue000"
 
 
 def written(text: str | None) -> str:
-    """The text as the model reads it: lower case, single blanks, and AGAIN in place of a word that repeats the one before."""
+    """The text as the model reads it: lower case, single blanks, and AGAIN for a word that repeats the one before and for its blank."""
     words = text.lower().split() if text else []
-    return " ".join([AGAIN if a == b else b for a, b in zip(["", *words], words, strict=False)])
+    return "".join([AGAIN if a == b else f" {b}" for a, b in zip(["", *words], words, strict=False)])[1:]
 
 
 def packed(rows: DataFrame) -> DataFrame:

@@ -488,7 +488,7 @@ def test_quality_equals_a_plain_model(spark):
             if x == lang:
                 assert got[d].n_symbols == symbols(t) and abs(got[d].perplexity / worth(t) - 1) < 1e-4 and abs(got[d].threshold / limit - 1) < 1e-4
                 assert got[d].keep == (got[d].perplexity <= got[d].threshold or not symbols(t))
-    assert quality.written(" The the\n the The cat ") == f"the {quality.AGAIN} {quality.AGAIN} {quality.AGAIN} cat"
+    assert quality.written(" The the\n the The cat ") == f"the{quality.AGAIN * 3} cat"
 
 
 def test_quality_keeps_clean_and_drops_noise(spark):
