@@ -41,7 +41,7 @@ GRAM = 6
 FILTER_BITS = 1 << 27
 LAST_ID = (1 << 63) - 1
 #: Edges that a task joins with each other before it hands them on.
-HELD = 1_000_000
+HELD = 400_000
 _PLACE_BITS = 26
 _BLOCK = 1 << 25
 _M = 0x9E3779B97F4A7C15 | 1
