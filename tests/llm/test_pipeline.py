@@ -66,6 +66,33 @@ def test_repeated_rows_stay_whole(spark, tables):
     assert corpus_pipeline.cut_substrings(spark, twice, path).filter("doc_id = 2").count() == 2
 
 
+def test_near_duplicates_are_judged_row_by_row(spark):
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five " * 9, "quite another text altogether here " * 9)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in [(1, a), (1, a), (5, a), (5, b), (None, a), (None, c), (None, c), (7, a.upper()), (9, None), (10, ""), (9, "  ")]], DOCS + ", component_id string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert left.columns == corpus_pipeline.COLUMNS
+    got = sorted(((r.doc_id or 0, r.text) for r in left.collect()), key=str)
+    wordless = [x for x in got if not (x[1] or "").strip()]
+    assert [x for x in got if x not in wordless] == sorted([(0, c), (0, c), (1, a), (1, a), (5, b)], key=str) and [i for i, _ in wordless] == [9]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_of_a_stage(spark, tables, name):
+    path, _ = tables
+    stage = dict(corpus_pipeline.STAGES)[name]
+    odd = [(1, None), (2, ""), (3, "word " * 30_000), (3, "other text of that id " * 3), (4, "tie tie"), (4, "tie tie"), (None, None), (None, "no id " + "x y z " * 9)]
+    docs = spark.createDataFrame([(i, t, None, None, None, "score", "item", 1) for i, t in odd], DOCS + ", score string, item_ids string, _0 int")
+    rows = stage(spark, docs, path).collect()
+    if name == "packing":
+        assert {(r.doc_id, r.piece) for r in rows} >= {(1, 0), (2, 0), (3, 0), (3, 14), (4, 0), (None, 0)}
+    elif name == "near_duplicates":
+        assert sorted(str(r.doc_id) for r in rows) == sorted(["1", "3", "3", "4", "4", "None"])
+    else:
+        assert sorted(str(r.doc_id) for r in rows) == sorted(str(i) for i, _ in odd)
+        assert {r.text for r in rows if r.doc_id == 4} == {"tie tie"} and all(tuple(r.asDict()) == tuple(corpus_pipeline.COLUMNS) for r in rows)
+    assert stage(spark, docs.limit(0), path).count() == 0
+
+
 def test_rest_works_without_this_subpackage(tmp_path):
     code = "import sys; sys.modules['redactica.llm'] = None; import __spark_entry__ as e; n = e.queries(); assert 'cascade_masked' in n and not any(k.startswith('op') for k in n); print(len(n))"
     done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
