@@ -8,10 +8,13 @@ A file is a run of frames in ascending id order, and files follow each other in
 
 The mask is ((crc >> 15 | crc << 17) + 0xA282EAD8) mod 2^32, so that a checksum of data that hold checksums stays sound. Frames are
 written by Spark's own writer through its commit protocol, into any file system that Spark reaches; the closing newline is the
-writer's row separator. The index (file, seq, doc_id, at, size, n_tokens) is a table of its own, made from the frame headers.
+writer's row separator. The index (file, seq, doc_id, at, size, n_tokens) is a table of its own, made from the frame headers. Files
+follow each other by the numbers in their names. How many there are goes by the size of the table, so that a file, which is read whole,
+stays far below the 2 GB that Spark can hold in one value, however large the table is.
 
-Defined results: a null text is an empty one, its record holds the end id alone. Null ids come first. Rows of one id are ordered by
-a hash of their text. An empty table gives no records. Other columns are ignored. A damaged frame raises when read.
+Defined results: a null text is an empty one, its record holds the end id alone. A very long text is one record. Null ids come first.
+Rows of one id are ordered by a hash of their text; equal rows, which may be many, are dealt over several files. An empty table gives
+no records. Other columns are ignored, whatever their names. A damaged frame raises when read.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from redactica.llm.common import map_arrow, scratch, short_batches
 from redactica.llm.tokens import default_path, encoder
 
 END_ID = 2
+#: Bytes of the table, as it is stored, that one file of records is made of.
+FILE_BYTES = 64 << 20
 _HEAD = struct.Struct("<QI")
 _META = struct.Struct("<qBBH")
 
@@ -64,12 +69,20 @@ def parsed(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if none else doc_id, np.frombuffer(payload, f"<u{width}", offset=_META.size)
 
 
+def _parts(rows: DataFrame) -> int:
+    """Files to write: by the size that the optimizer knows, and no fewer than there are shuffle partitions."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-size // FILE_BYTES)) if size < 1 << 60 else least  # beyond it the size is unknown
+
+
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Writes path/records and path/index."""
     spark, file = docs.sparkSession, tokenizer or default_path()
     short_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange(_parts(docs), "doc_id", "h", "row").sortWithinPartitions("doc_id", "h")
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         enc, end = encoder(file), struct.pack("<I", end_id)
@@ -98,13 +111,18 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/records").select(name.alias("file"), "content")
 
 
+def place(file: str) -> list[Column]:
+    """What files are ordered by: the numbers of the writer's task and of its file."""
+    return [F.regexp_extract(file, pattern, 1).cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
+
+
 def index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("file string, seq long, doc_id long, at long, size long, n_tokens long").parquet(f"{path}/index")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32) in the file order, every frame checked; start counts the ids of all records before."""
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*place("file")).rowsBetween(Window.unboundedPreceding, -1)
     base = index(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
