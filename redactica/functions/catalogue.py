@@ -72,6 +72,13 @@ DETECTORS: dict[str, tuple[str, bool]] = {
     "POSTAL_CODE": (r"(?<!\w)\d{2}-\d{3}(?!\w)", False),
     "PERSON_NAME_TYPO": (PERSON_NAME_TYPO, False),
 }
+#: What a text must hold anywhere for a detector or an audit pattern to match: (pattern, ignores case), cheap to look for.
+NEEDED: dict[str, tuple[str, bool]] = {
+    "EMAIL": ("@", False), "PESEL": (r"\d{11}", False), "IBAN": (r"PL\s?[\dO]{2}", True), "NIP": ("NIP", True), "REGON": ("REGON", True),
+    "NAZWA_FIRMY": (r"(?:sp|s\.a|s\.k\.a)\.", True), "TELEFON": (r"\d{9}|\+48|0048", False), "DATA": (r"\d{4}", False),
+    "MIEJSCOWOSC": (r"\d{2}-\d{3}", False), "POSTAL_CODE": (r"\d{2}-\d{3}", False), "PERSON_NAME_TYPO": (rf"{HYPHEN}{GAP}*[{UPPER}]", False),
+    "LONG_NUMBER_SEQUENCE": (r"\d(?:[ -]?\d){11}", False), "CASE_REFERENCE": (r"/\s*\d|[A-Z]\.\d|(?:REF|CASE|SPRAWA)[- ]\d", False),
+}
 WEAK_PHONE = r"(?<![\w+])(?<!\d\.)\d{3}[-\s.]\d{3}[-\s.]\d{3}(?!\.\d)(?!\w)"
 PHONE_CONTEXT = r"(?:tel\.?|telefon|kom\.?|mobile|fax|kontakt|numer telefonu|phone|pod\s+numerem|z\s+numeru|komórk\w*)\s*[:\-]?\s*$"
 BARE_LABEL = {"NIP": r"(?<!\w)NIP(?!\w)", "REGON": r"(?<!\w)REGON(?!\w)"}
@@ -85,7 +92,8 @@ LEGAL_ACT = r"(?<!\w)(?:ustaw\w*|rozporządz\w*|dyrektyw\w*|kodeks\w*|obwieszcz\
 Z_DNIA = r"(?<!\w)z\s+dnia\s*$"
 SENTENCE_BREAK = rf"[.!?;]\s+[{UPPER}]"
 PERSONAL_DATE = r"(?:(?<!\w)ur\.|urodz\w*|(?<!\w)zm\.|zmar\w*|zgon\w*|śmier\w*|(?<!\w)data(?!\w))"
-PLACE_ENDING = "(?:iec|ec|ie|e|y|i|a|o)$"
+PLACE_ENDINGS = ("iec", "ec", "ie", "e", "y", "i", "a", "o")
+PLACE_ENDING = f"(?:{'|'.join(PLACE_ENDINGS)})$"
 PLACE_GAP = rf"(?:{GAP}+|{GAP}*\n{GAP}*)"
 PLACE_ADJECTIVE = rf"[{UPPER}][{LETTER}]*(?:y|i|a|e|ym|im|ej|ego|iego|emu|ą|ie)"
 

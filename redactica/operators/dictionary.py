@@ -1,7 +1,9 @@
 """Private dictionaries: parsing, one longest-first alternation, counting, masking and spans, all on columns.
 
-A dictionary is configuration: its terms are checked against MOST_TERMS and become one literal pattern that is compiled once per task.
-A larger one is a table, and meets the texts in an equality join (spans_by_join).
+A dictionary is configuration: its terms are checked against MOST_TERMS and become one literal pattern that is compiled once per task;
+of each match the patterns of the labels say which it is. A larger dictionary, or one of more labels than MOST_LABELS, is a table, and
+meets the texts in an equality join (spans_by_join). Letters match as the pattern's engine says, whatever the case: the join only
+chooses candidates by a coarser folding, and the term's own pattern decides.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from redactica.functions.regex import java
 
 #: Terms of one dictionary. More belong in a table of documents to scan, not in a pattern.
 MOST_TERMS = 20_000
+#: Labels of one dictionary that is a pattern.
+MOST_LABELS = 100
 
 
 @dataclass(frozen=True)
@@ -57,6 +61,11 @@ def load(spark: SparkSession, path: str) -> list[Term]:
     return parse(rows[0].value)
 
 
+def ordered(terms: list[Term]) -> list[Term]:
+    """Longer terms first."""
+    return sorted(terms, key=lambda t: (len(t.key), len(t.term)), reverse=True)
+
+
 def pattern(terms: list[Term]) -> str:
     """The alternation in Python's dialect, longer terms first."""
 
@@ -65,22 +74,32 @@ def pattern(terms: list[Term]) -> str:
         word = lambda c: c.isalnum() or c == "_"
         return (r"(?<!\w)" if word(t.term[0]) else "") + body + (r"(?!\w)" if word(t.term[-1]) else "")
 
-    return "|".join(one(t) for t in sorted(terms, key=lambda t: (len(t.key), len(t.term)), reverse=True))
+    return "|".join(map(one, ordered(terms)))
 
 
 def java_pattern(terms: list[Term]) -> str:
     return java(pattern(terms).replace(r"[^\S\r\n]", r"(?:(?![\r\n])\s)"), True) if terms else "(?!)x"
 
 
-def _labels(terms: list[Term]) -> Column:
-    return F.create_map(*[F.lit(x) for t in terms for x in (t.key, t.label)]) if terms else F.expr("cast(map() as map<string,string>)")
-
-
 def labelled_spans(text: Column, terms: list[Term]) -> Column:
     """array<struct<s, e, label>>"""
-    names = _labels(terms)
-    key = lambda x: F.lower(F.trim(F.regexp_replace(S.value(text, x), java(r"\s+"), " ")))
-    return F.transform(S.spans(text, java_pattern(terms)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.element_at(names, key(x)).alias("label")))
+    by_label: dict[str, list[Term]] = {}
+    for t in ordered(terms):
+        by_label.setdefault(t.label, []).append(t)
+    if len(by_label) > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} labels; a table of terms can be joined")
+
+    def label(value: Column) -> Column:
+        name = F.lit(next(reversed(by_label), None)).cast("string")  # what no other label's pattern takes is of the last
+        for x in [*reversed(by_label)][1:]:
+            name = F.when(value.rlike(_whole(java_pattern(by_label[x]))), x).otherwise(name)
+        return name
+
+    return F.transform(S.spans(text, java_pattern(terms)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), label(S.value(text, x)).alias("label")))
+
+
+def _whole(pattern: str) -> str:
+    return rf"\A(?:{pattern})\z"
 
 
 def counts(docs: DataFrame, text: Column, terms: list[Term], *keep: str) -> DataFrame:
@@ -93,6 +112,12 @@ def masked(text: Column, terms: list[Term]) -> Column:
     return S.spliced(text, labelled_spans(text, terms), lambda x: F.concat(F.lit("["), x["label"], F.lit("]")))
 
 
+def folded(value: Column) -> Column:
+    """At least as coarse as any matching that ignores case: both cases, single blanks, and the letters whose cases are not of one length."""
+    plain = F.trim(F.regexp_replace(F.translate(value, "\u0130\u1e9e\u0131", "i\u00dfi"), java(r"\s+"), " "))
+    return F.lower(F.translate(F.upper(plain), "\u212a\u2126\u212b", "K\u03a9\u00c5"))
+
+
 def spans_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Rows (doc_id, s, e, label) for a dictionary of any size: a table (key, label), joined by equality.
 
@@ -107,7 +132,10 @@ def spans_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
     runs = runs.select("doc_id", F.element_at("w", F.col("i"))["s"].alias("s"), F.element_at("w", F.col("i") + F.col("n") - 1)["e"].alias("e"), "text")
     value = F.substring(text, F.col("s") + 1, F.col("e") - F.col("s"))
     keyed = runs.select("doc_id", "s", "e", value.alias("v")).filter(~F.col("v").rlike(r"[\r\n]"))
-    hits = keyed.withColumn("key", F.lower(F.regexp_replace("v", java(r"\s+"), " "))).join(terms.select("key", "label"), "key")
+    own = F.concat(F.lit(r"(?iu)\A\Q"), F.regexp_replace(F.replace(F.trim("key"), F.lit("\\E"), F.lit(r"\E\\E\Q")), java(r"\s+"), r"\\E\\s+\\Q"), F.lit(r"\E\z"))
+    named = terms.select(folded(F.col("key")).alias("fold"), own.alias("own"), "label")
+    hits = keyed.withColumn("fold", folded(F.col("v"))).join(named, "fold")
+    hits = hits.filter(F.regexp(F.regexp_replace("v", java(r"\s+"), " "), F.col("own")))
     found = F.array_sort(F.collect_list(F.struct("s", (-F.col("e")).alias("back"), "e", "label")))
     kind = "array<struct<s:int,back:int,e:int,label:string>>"
     kept = F.aggregate("all", S.empty(kind), lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] < F.try_element_at(acc, F.lit(-1))["e"]), acc).otherwise(F.concat(acc, F.array(x))))
