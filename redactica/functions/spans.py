@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<s:int,e:int>>"
+#: Matches that are appended to one array; more are put together from blocks, as appending copies what is there.
+BLOCK = 256
 
 
 def empty(kind: str = SPANS) -> Column:
@@ -17,17 +19,41 @@ def found(text: Column, pattern: str | Column) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(0))
 
 
+def _pair(a: str, x: Column, b: str, y: Column) -> Column:
+    """A struct whose names also hold beside a generator, where aliases inside of expressions get lost."""
+    return F.named_struct(F.lit(a), x, F.lit(b), y)
+
+
 def spans(text: Column, pattern: str | Column) -> Column:
     """Spans of all matches of a pattern that matches no empty string: what lies between the matches, and they, add up."""
     m = found(text, pattern)
-    sizes = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(m)), m, lambda a, b: F.struct(F.length(a).alias("g"), F.length(b).alias("m")))
+    sizes = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(m)), m, lambda a, b: _pair("g", F.length(a), "m", F.length(b)))
 
     def step(acc: Column, x: Column) -> Column:
         s = acc["pos"] + x["g"]
         e = s + x["m"]
-        return F.struct(e.alias("pos"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
+        return _pair("pos", e, "out", F.concat(acc["out"], F.array(_pair("s", s, "e", e))))
+
+    def few(part: Column, start: Column) -> Column:
+        return F.aggregate(part, _pair("pos", start, "out", empty()), step, lambda acc: acc["out"])
+
+    def many(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + x["g"] + x["m"]))
+        starts = F.aggregate(totals, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), few))
+
+    def cut(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def of(all_: Column) -> Column:
+        return F.when(F.size(all_) <= BLOCK, few(all_, F.lit(0))).otherwise(once(cut(all_), many))
+
+    return once(sizes, of)
+
 
-    return F.aggregate(sizes, F.struct(F.lit(0).alias("pos"), empty().alias("out")), step, lambda acc: acc["out"])
+def once(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def value(text: Column, span: Column) -> Column:

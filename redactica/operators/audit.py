@@ -17,12 +17,13 @@ def count(text: Column, label: str, current_year: int, terms: list[dictionary.Te
     if label == "SENSITIVE_DICTIONARY_TERM":
         n = F.regexp_count(text, F.lit(dictionary.java_pattern(terms))) if terms else F.lit(0)
     elif label == "LONG_NUMBER_SEQUENCE":
-        n = F.size(F.filter(S.found(text, java(C.AUDIT[label])), lambda m: F.length(F.regexp_replace(m, "[ -]", "")) >= C.LONG_NUMBER_DIGITS))
+        long = F.size(F.filter(S.found(text, java(C.AUDIT[label])), lambda m: F.length(F.regexp_replace(m, "[ -]", "")) >= C.LONG_NUMBER_DIGITS))
+        n = F.when(detect.may_hold(text, label), long).otherwise(0)
     elif label == "DATA":
-        n = F.size(F.filter(S.spans(text, java(C.AUDIT[label])), lambda x: ~detect.kept_date(text, x, current_year)))
+        n = detect.date_count(text, java(C.AUDIT[label]), current_year)
     else:
-        n = F.regexp_count(text, F.lit(java(C.AUDIT[label])))
-    return n.cast("long")
+        n = detect.counted(text, label, java(C.AUDIT[label]))
+    return F.coalesce(n, F.lit(0)).cast("long")
 
 
 def excluded_labels(active: frozenset[str] | None) -> frozenset[str]:
@@ -34,7 +35,7 @@ def excluded_labels(active: frozenset[str] | None) -> frozenset[str]:
 
 
 def findings(docs: DataFrame, text: Column, current_year: int, keep: Iterable[str] = (), terms: list[dictionary.Term] | None = None, excluded: Iterable[str] = ()) -> DataFrame:
-    """Columns (*keep, one per audit category), then total, status and risk_level."""
+    """Columns (*keep, one per audit category), then total, status and risk_level. A null text has nothing left over: zeros and ok."""
     skip = set(excluded) - {"SENSITIVE_DICTIONARY_TERM"}
     rows = docs.select(*keep, *[(F.lit(0).cast("long") if x in skip else count(text, x, current_year, terms)).alias(x) for x in C.AUDIT_LABELS])
     total = sum((F.col(x) for x in C.AUDIT_LABELS), F.lit(0).cast("long"))

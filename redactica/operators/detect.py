@@ -17,6 +17,23 @@ def detector(label: str) -> str:
     return java(pattern, ignore_case)
 
 
+def may_hold(text: Column, label: str) -> Column:
+    """Whether a text holds what every match of a label needs."""
+    return text.rlike(java(*C.NEEDED[label])) if label in C.NEEDED else F.lit(True)
+
+
+def counted(text: Column, label: str, pattern: str) -> Column:
+    """Matches of a label's pattern; a text without what they need is not searched."""
+    n = F.regexp_count(text, F.lit(pattern))
+    return F.when(may_hold(text, label), n).otherwise(0) if label in C.NEEDED else n
+
+
+def date_count(text: Column, pattern: str, current_year: int) -> Column:
+    """Dates that are not kept; one by one only where a text has a date in words or the words before an act's date."""
+    kept = F.size(F.filter(S.spans(text, pattern), lambda x: ~kept_date(text, x, current_year)))
+    return F.when(text.rlike(java(rf"z\s+dnia\s|{C.MONTHS}", True)), kept).otherwise(counted(text, "DATA", pattern))
+
+
 def kept_date(text: Column, span: Column, current_year: int) -> Column:
     """True for a legal act's date and for a date in words a century old without a life event before it."""
     head = S.before(text, span["s"], C.LEGAL_ACT_CHARS)
@@ -36,8 +53,8 @@ def label_spans(text: Column, label: str, current_year: int) -> Column:
 
 
 def label_counts(docs: DataFrame, text: Column, current_year: int, labels: Iterable[str] = tuple(C.DETECTORS), keep: Iterable[str] = ()) -> DataFrame:
-    """Rows (*keep, label, n) for each document and label, the detectors working independently of each other."""
-    counts = [F.struct(F.lit(x).alias("label"), (F.size(label_spans(text, x, current_year)) if x == "DATA" else F.regexp_count(text, F.lit(detector(x)))).cast("long").alias("n")) for x in labels]
+    """Rows (*keep, label, n) for each document and label, the detectors working independently of each other; a null text has none."""
+    counts = [F.struct(F.lit(x).alias("label"), F.coalesce(date_count(text, detector(x), current_year) if x == "DATA" else counted(text, x, detector(x)), F.lit(0)).cast("long").alias("n")) for x in labels]
     return docs.select(*keep, F.explode(F.array(*counts)).alias("c")).select(*keep, "c.label", "c.n")
 
 
