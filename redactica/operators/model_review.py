@@ -5,11 +5,12 @@ The model is pluggable and off by default; its answers come in as rows of text a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
 from redactica.functions.regex import java
+from redactica.operators import geometry
 
 _MARK = "\u0001"
 
@@ -120,6 +121,21 @@ def located(suggestions: DataFrame, pages: DataFrame) -> DataFrame:
     return suggestions.join(first, ["doc_id", "id"], "left")
 
 
+def suggestion_rects(suggestions: DataFrame, placed: DataFrame) -> DataFrame:
+    """Rows (doc_id, id, page, x0, y0, x1, y1): the boxes, line by line, of the sentences that a redaction missed.
+
+    suggestions has (doc_id, id, kind, sentence), placed words with offsets and boxes. Of each the first page that holds it counts;
+    suggestions of other kinds, and sentences that no page holds unbroken, have no boxes."""
+    order = Window.partitionBy("doc_id", "page").orderBy("block_no", "line_no", "word_no")
+    words = placed.withColumn("i", F.row_number().over(order) - 1)
+    pages = words.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda w: w["text"]).alias("words"))
+    n = F.size(F.filter(F.split("sentence", java(r"\s+")), lambda w: w != ""))
+    at = located(suggestions.filter("kind = 'missed_redaction'").withColumn("n", n), pages).filter("word is not null").select("doc_id", "id", "page", "word", "n")
+    hit = at.join(words, ["doc_id", "page"]).filter((F.col("i") >= F.col("word")) & (F.col("i") < F.col("word") + F.col("n")))
+    boxes = geometry.line_rects(hit.select(F.col("id").alias("span_id"), "doc_id", "page", F.col("id").alias("label"), "block_no", "line_no", "start", "x0", "y0", "x1", "y1"))
+    return boxes.select("doc_id", F.col("span_id").alias("id"), "page", "x0", "y0", "x1", "y1")
+
+
 def assembled(comparison: DataFrame, narrative: DataFrame) -> DataFrame:
     """Rows (doc_id, id, kind, category, sentence_indices); ids count the items of each kind in order."""
     a = comparison.select("doc_id", F.concat(F.lit("comparison-"), F.col("ord").cast("string")).alias("id"), F.col("finding_type").alias("kind"), "category", F.array("sentence_index").alias("sentence_indices"))

@@ -27,11 +27,21 @@ def report(status: Column, ext: Column, counters: Column, risk: Column, findings
 
 
 def batch_report(files: DataFrame) -> DataFrame:
-    """Rows (text) of the batch's summary, of files (position, name, error, risk_level, masked)."""
+    """Rows (batch, text): one summary of each batch, of files (batch, position, name, error, risk_level, masked)."""
     line = F.struct("position", F.concat(F.lit("* "), review.safe_name(F.col("name")), F.lit(": "), F.when(F.col("error").isNotNull(), F.concat(F.lit("error, "), "error")).otherwise(F.concat(F.lit("ok, risk "), "risk_level", F.lit(", masked "), F.col("masked").cast("string")))).alias("line"))
-    rows = files.groupBy((F.col("position") / 1000).cast("long").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNull()).alias("ok"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("lines"))
+    rows = files.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNull()).alias("ok"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("lines"))
     head = F.concat(F.lit("Files: "), F.col("n").cast("string"), F.lit("\nDone: "), F.col("ok").cast("string"), F.lit("\nFailed: "), (F.col("n") - F.col("ok")).cast("string"))
-    return rows.select("part", F.concat(head, F.lit("\n"), "lines").alias("text"))
+    return rows.select("batch", F.concat(head, F.lit("\n"), "lines").alias("text"))
+
+
+def batch_checklist(files: DataFrame) -> DataFrame:
+    """Rows (batch, text): what to review of a batch, the riskiest first, and how many files failed; of files as batch_report takes them."""
+    line = F.struct("place", F.concat(F.lit("[ ] "), review.safe_name(F.col("name")), F.lit(" (risk: "), F.coalesce("risk_level", F.lit("unknown")), F.lit(")")).alias("line"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n")
+    done = review.batch_priorities(files).groupBy("batch").agg(body.alias("lines"))
+    counts = files.groupBy("batch").agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad"))
+    head = F.concat(F.lit("Review: "), F.col("ok").cast("string"), F.lit(", failed: "), F.col("bad").cast("string"))
+    return counts.join(done, "batch", "left").select("batch", F.concat_ws("\n", head, "lines").alias("text"))
 
 
 def checklist(docs: DataFrame) -> DataFrame:

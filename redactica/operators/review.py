@@ -10,7 +10,8 @@ from redactica.functions.regex import java
 
 
 def classified(files: DataFrame, name: str = "name") -> DataFrame:
-    """Adds family, stem, grp and generation to files that the engine wrote; others drop. The first matching family counts."""
+    """Adds family, stem, grp and generation to files that the engine wrote; others drop. The first matching family counts. A number
+    beyond 64 bits is none that the engine gives, so such a file drops as well."""
     family, stem, number = (F.lit(None).cast("string"),) * 3
     for key, pattern in reversed(C.OUTPUT_FAMILIES.items()):
         hit, batch = F.col(name).rlike(pattern), key.startswith("batch_")
@@ -18,7 +19,7 @@ def classified(files: DataFrame, name: str = "name") -> DataFrame:
         stem = F.when(hit, F.lit(None) if batch else F.regexp_extract(name, pattern, 1)).otherwise(stem)
         number = F.when(hit, F.regexp_extract(name, pattern, 1 if batch else 2)).otherwise(number)
     rows = files.withColumns({"family": family, "stem": stem, "number": number}).filter("family is not null")
-    return rows.withColumns({"grp": F.concat_ws("|", "stem", "family"), "generation": F.when(F.col("number") == "", 1).otherwise(F.substring("number", 2, 20).cast("int"))})
+    return rows.withColumns({"grp": F.concat_ws("|", "stem", "family"), "generation": F.when(F.col("number") == "", 1).otherwise(F.expr("try_cast(substring(number, 2) as bigint)"))}).filter("generation is not null")
 
 
 def superseded(files: DataFrame, *folder: str) -> DataFrame:
@@ -77,6 +78,12 @@ def prioritised(items: DataFrame) -> DataFrame:
     return items.withColumn("place", F.row_number().over(w))
 
 
+def batch_priorities(files: DataFrame) -> DataFrame:
+    """Files of a batch (batch, position, name, error, risk_level) that succeeded, with their place: by risk, then as they came in."""
+    w = Window.partitionBy("batch").orderBy(risk_rank(F.col("risk_level")), "position")
+    return files.filter("error is null").withColumn("place", F.row_number().over(w))
+
+
 def with_status(items: DataFrame, statuses: DataFrame) -> DataFrame:
     """Items with their stored status; 'needs_review' where there is none or it is unknown."""
     known = statuses.filter(F.col("status").isin(*C.REVIEW_STATUSES)).select("output_name", "status")
@@ -97,6 +104,13 @@ def restricted(items: DataFrame, fresh: DataFrame) -> DataFrame:
 _LINES = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+def page_census(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, page, label, n): placeholders on each page, numbered from 1; for texts that are split into pages."""
+    pages = docs.select("doc_id", F.posexplode(F.split(text_col, C.PAGE_SEPARATOR, -1)).alias("k", "t"))
+    found = pages.select("doc_id", (F.col("k") + 1).alias("page"), F.explode(F.regexp_extract_all("t", F.lit(C.PLACEHOLDER), F.lit(0))).alias("label"))
+    return found.groupBy("doc_id", "page", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def placeholder_census(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (doc_id, line_no, label, n): placeholders on each line that is not blank."""
     lines = docs.select("doc_id", F.posexplode(F.split(text_col, _LINES, -1)).alias("k", "line")).filter(~F.col("line").rlike(java(r"^\s*$")))

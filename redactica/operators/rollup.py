@@ -40,6 +40,35 @@ def batch_summary(files: DataFrame) -> DataFrame:
     return files.agg(F.count(F.lit(1)).alias("input_count"), F.count_if(F.col("error_kind").isNull()).alias("success_count"), F.count_if(F.col("error_kind").isNotNull()).alias("error_count"), F.coalesce(F.sum("masked"), F.lit(0)).alias("total_masked"))
 
 
+def batch_result(files: DataFrame, counters: DataFrame, findings: DataFrame, statuses: Iterable[str], risks: Iterable[str] = C.RISK_LEVELS) -> DataFrame:
+    """One row per batch: input_count, success_count, error_count, total_masked, and the maps counters, findings (label to sum), errors
+    (text to files), risks and ner (value to files, zero-filled), and `files`: a struct per file, in order of position.
+
+    files has (batch, doc_id, position, name, error, risk_level, ner_status, masked); counters and findings have (batch, label, n).
+    An unknown status of the entity recogniser counts as 'unavailable'. Maps form from sums by key, so only one small row per key
+    and one short row per file meet."""
+    known = [*dict.fromkeys([*statuses, "unavailable"])]
+    ner = F.when(F.col("ner_status").isin(*known), F.col("ner_status")).otherwise("unavailable")
+
+    def sums(rows: DataFrame, name: str) -> DataFrame:
+        pairs = rows.groupBy("batch", "key").agg(F.sum("n").alias("n")).filter("n > 0")
+        return pairs.groupBy("batch").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias(name))
+
+    def zeros(values: Iterable[str], name: str) -> Column:
+        keys = F.array(*[F.lit(v) for v in values])
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.try_element_at(F.col(name), k), F.lit(0)))).alias(name)
+
+    counts = files.groupBy("batch").agg(F.count(F.lit(1)).alias("input_count"), F.count_if(F.col("error").isNull()).alias("success_count"), F.count_if(F.col("error").isNotNull()).alias("error_count"), F.coalesce(F.sum("masked"), F.lit(0)).alias("total_masked"), F.array_sort(F.collect_list(F.struct("position", "name", "error", "risk_level", "masked"))).alias("files"))
+    per_file = {"errors": F.col("error"), "risks": F.when(F.col("error").isNull(), F.col("risk_level")), "ner": F.when(F.col("error").isNull(), ner)}
+    maps = {"counters": counters.withColumnRenamed("label", "key"), "findings": findings.withColumnRenamed("label", "key")}
+    maps |= {k: files.select("batch", c.alias("key"), F.lit(1).cast("long").alias("n")).filter("key is not null") for k, c in per_file.items()}
+    for name, rows in maps.items():
+        counts = counts.join(sums(rows, name), "batch", "left")
+    none = F.expr("cast(map() as map<string,bigint>)")
+    plain = [F.coalesce(name, none).alias(name) for name in ("counters", "findings", "errors")]
+    return counts.select("batch", "input_count", "success_count", "error_count", "total_masked", *plain, zeros(risks, "risks"), zeros(known, "ner"), "files")
+
+
 def detected(counters: DataFrame, audit: DataFrame, ner: DataFrame) -> DataFrame:
     """Rows (doc_id, label, n): masked and residual findings add up; of named entities the larger count holds."""
     found = merged(counters.unionByName(audit), "doc_id")

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
@@ -14,18 +20,59 @@ def masked_table(masked: DataFrame, path: str) -> None:
     masked.write.mode("errorifexists").parquet(path)
 
 
+def named_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes rows (name, content: binary) as files of these names and returns (name, size); each task writes its own files straight into
+    the folder, a URI that all machines reach. A file appears whole under its name, so a task that runs again only writes it again."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                path = f"{root}/{name}"
+                if not re.fullmatch(r"(?:[^/\\]+/)?[^/\\]+", name) or ".." in name.split("/"):
+                    raise ValueError("a name is that of a file, in one subfolder at most")
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                made = f"{path}.{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(made) as out:
+                    out.write(content.as_buffer())
+                system.move(made, path)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.binary_length(batch.column(1)), pa.int64())], ["name", "size"])
+
+    return rows.select("name", "content").filter("content is not null").mapInArrow(each, "name string, size long")
+
+
+def masked_names(docs: DataFrame, listing: DataFrame) -> DataFrame:
+    """Adds `name` to documents (folder, stem, ext): <stem>_ANON.docx for DOCX, else txt/<stem>_ANON.txt, with the first number that is
+    free in the folder's listing. Of documents with one stem the numbers go on."""
+    families = ("anon_txt", "anon_docx", "report", "checklist")
+    free = free_suffix(docs, listing, families).withColumn("first", F.when(F.col("suffix") == "", 1).otherwise(F.expr("try_cast(substring(suffix, 2) as int)")))
+    w = Window.partitionBy("folder", "stem").orderBy(*[c for c in docs.columns if c in ("position", "ext", "doc_id")])
+    rows = docs.join(free, ["folder", "stem"]).withColumn("number", F.col("first") + F.row_number().over(w) - 1)
+    suffix = F.when(F.col("number") == 1, "").otherwise(F.concat(F.lit("_"), F.col("number").cast("string")))
+    name = F.when(F.col("ext") == "docx", output_name(F.col("stem"), "anon_docx", suffix)).otherwise(F.concat(F.lit("txt/"), output_name(F.col("stem"), "anon_txt", suffix)))
+    return rows.withColumn("name", name).drop("suffix", "first", "number")
+
+
+def masked_files(masked: DataFrame, listing: DataFrame, folder: str) -> DataFrame:
+    """Writes masked documents (folder, stem, ext, text, content) under their names: the text, or for DOCX the masked copy in `content`."""
+    bytes_ = F.when(F.col("ext") == "docx", F.col("content")).otherwise(F.encode("text", "UTF-8"))
+    return named_files(masked_names(masked, listing).select("name", bytes_.alias("content")), folder)
+
+
 def output_name(stem: Column, family: str, suffix: Column) -> Column:
     tail = {"anon_txt": "_ANON%s.txt", "anon_docx": "_ANON%s.docx", "visual": "_ANON_VISUAL%s.pdf", "review": "_ANON_REVIEW%s.pdf", "original_redacted": "_ORIGINAL_REDACTED%s.pdf", "report": "_RAPORT%s.txt", "checklist": "_REVIEW_CHECKLIST%s.txt", "manual_edits": "_MANUAL_EDITS%s.json"}[family]
     return F.concat(stem, F.format_string(tail, suffix))
 
 
-def free_suffix(stems: DataFrame, listing: DataFrame, families: tuple[str, ...], most: int = 10_000) -> DataFrame:
+def free_suffix(stems: DataFrame, listing: DataFrame, families: tuple[str, ...]) -> DataFrame:
     """Rows (folder, stem, suffix): the first of '', _2, _3, ... that is free for every companion at once.
 
     Taken numbers are gathered per stem, so only stems with collisions carry any."""
     taken = review.classified(listing).filter(F.col("family").isin(*families)).groupBy("folder", "stem").agg(F.collect_set("generation").alias("taken"))
     rows = stems.select("folder", "stem").distinct().join(taken, ["folder", "stem"], "left")
-    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.coalesce(F.size("taken"), F.lit(0)) + 1), F.coalesce("taken", F.expr("cast(array() as array<int>)"))))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1).cast("long"), (F.coalesce(F.size("taken"), F.lit(0)) + 1).cast("long")), F.coalesce("taken", F.expr("cast(array() as array<bigint>)"))))
     return rows.select("folder", "stem", F.when(free == 1, "").otherwise(F.concat(F.lit("_"), free.cast("string"))).alias("suffix"))
 
 
