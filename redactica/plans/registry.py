@@ -1,7 +1,7 @@
 """All queries of the library, from the modules that hold them."""
 
-from redactica.plans import more, queries
+from redactica.plans import further, more, queries
 
-MODULES = (queries, more)
+MODULES = (queries, more, further)
 QUERIES = queries.QUERIES
 SQL = queries.SQL

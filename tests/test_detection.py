@@ -57,7 +57,7 @@ def test_native_gates_equal_cascade(spark):
     rows = docs.select("id", detect.label_spans(t, "DATA", 2026).alias("d"), detect.organisations(t).alias("o"), detect.table_pairs(t, "NIP").alias("n"), detect.table_pairs(t, "REGON").alias("r"), detect.weak_phones(t, True).alias("w"), detect.town_mentions(t, detect.town_pattern(detect.town_names(t))).alias("m")).collect()
     for row in rows:
         text = texts[row.id]
-        towns = cascade.towns(cascade.town_names(text)) or (lambda _: [])
+        towns = cascade.Gazetteer([text])
         wanted = [cascade.by_pattern("DATA", 2026)(text), cascade.organisations(text), cascade.table_pairs(("NIP",))(text), cascade.table_pairs(("REGON",))(text), cascade.weak_phones(text), towns(text)]
         assert [[(x.s, x.e) for x in got] for got in row[1:]] == [[s[:2] for s in w] for w in wanted], text
 
@@ -151,3 +151,59 @@ def test_large_dictionary_by_join_finds_marks_and_long_terms(spark):
     want = docs.select("doc_id", F.explode(dictionary.labelled_spans(F.col("text"), terms)).alias("x")).select("doc_id", "x.s", "x.e", "x.label").collect()
     assert got == sorted(r[:] for r in want) and {r[3] for r in got} == set("ABCDEFG")
     assert dictionary.spans_by_join(docs, table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 256, 257, 1000])
+def test_many_matches_have_the_places_of_few(spark, n):
+    text = "ż" + "ab 12 😀" * n
+    row = spark.range(1).select(S.spans(F.lit(text), r"\d+").alias("x"), S.spans(F.lit(None).cast("string"), r"\d+").alias("none")).first()
+    assert [(x.s, x.e) for x in row.x] == [m.span() for m in python(r"\d+").finditer(text)] and row.none is None
+
+
+def test_twenty_thousand_matches_take_no_square(spark):
+    import time
+
+    began = time.time()
+    assert spark.range(1).select(F.size(S.spans(F.lit("1 x " * 20_000), r"\d")).alias("n")).first().n == 20_000
+    assert time.time() - began < 3
+
+
+def test_needed_parts_hide_no_match(spark):
+    texts = [t.upper() if i % 3 else t for i, t in enumerate(_texts(400))] + [g[0] for g in GOLDEN] + ["Firma \u017fp. z o.o.", "n\u0131p 5260001246"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    rows = {(r.id, r.label): r.n for r in detect.label_counts(docs, F.col("text"), 2026, keep=["id"]).collect()}
+    for i, t in enumerate(texts):
+        for label in C.DETECTORS:
+            pattern, fold = C.DETECTORS[label]
+            found = [m for m in python(pattern, fold).finditer(t) if label != "DATA" or not cascade.kept_date(t, m.start(), m[0], 2026)]
+            assert rows[i, label] == len(found) == len(list(cascade.by_pattern(label, 2026)(t))), (label, t)
+
+
+def test_null_text_is_counted_and_audited(spark):
+    docs = spark.createDataFrame([(1, None)], "doc_id long, text string")
+    row = audit.findings(docs, F.col("text"), 2026, ["doc_id"], dictionary.parse("a = [A]")).first()
+    assert all(row[x] == 0 for x in C.AUDIT_LABELS) and (row.total, row.status, row.risk_level) == (0, "ok", "ok")
+    assert all(r.n == 0 for r in detect.label_counts(docs, F.col("text"), 2026).collect())
+
+
+FOREIGN = "Straße = [A]\nKis = [B]\nsklep | kelwin = [C]\nSp. z o.o. = [D]\nKowalski-Nowak = [E]\na b c d e f g h i = [F]\n\\E.x = [G]"
+FOREIGN_TEXTS = ["Die Straße hier", "STRASSE straße", "Kıs KIS K\u0130S k\u0131s", "\u017fklep \u212aelwin SKLEP", "Acme Sp. z  o.o., sp.z o.o.", "KOWALSKI-NOWAK Kowalski - Nowak", "A b c d e f g h I j", "\\e.X \\E", "", None]
+
+
+def test_dictionary_beyond_ascii(spark):
+    terms = dictionary.parse(FOREIGN)
+    docs = spark.createDataFrame(list(enumerate(FOREIGN_TEXTS)), "doc_id long, text string")
+    native = {r.doc_id: r.m for r in docs.select("doc_id", dictionary.masked(F.col("text"), terms).alias("m")).collect()}
+    for i, t in enumerate(FOREIGN_TEXTS):
+        if t is not None:
+            assert native[i] is not None and cascade.substitute(t, 2026, terms)[0] is not None
+    assert native[0] == "Die [A] hier" and native[1] == "STRASSE [A]" and native[3] == "[C] [C] [C]" and native[4] == "Acme [D], sp.z o.o."
+    assert native[5] == "[E] Kowalski - Nowak" and native[6] == "[F] j" and native[7] == "[G] \\E" and native[2].startswith("[B] [B]") and native[9] is None
+    for i in (0, 1, 3, 4, 5, 6, 7):
+        assert cascade.substitute(FOREIGN_TEXTS[i], 2026, terms)[0] == native[i]
+    table = spark.createDataFrame([(t.term, t.label) for t in terms], "key string, label string")
+    got = sorted(r[:] for r in dictionary.spans_by_join(docs, table).collect())
+    want = docs.select("doc_id", F.explode(dictionary.labelled_spans(F.col("text"), terms)).alias("x")).select("doc_id", "x.s", "x.e", "x.label").collect()
+    assert got == sorted(r[:] for r in want)
+    with pytest.raises(ValueError, match="labels"):
+        dictionary.labelled_spans(F.col("text"), dictionary.parse("\n".join(f"t{i} = [L{i}]" for i in range(101))))

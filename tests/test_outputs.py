@@ -55,7 +55,7 @@ def test_manual_note(spark):
 
 
 def test_batch_and_checklist(spark):
-    files = spark.createDataFrame([(0, "C:\\a.txt", None, "ok", 1), (1, "b.pdf", "file processing failed", None, 0)], "position int, name string, error string, risk_level string, masked int")
+    files = spark.createDataFrame([("x", 0, "C:\\a.txt", None, "ok", 1), ("x", 1, "b.pdf", "file processing failed", None, 0)], "batch string, position int, name string, error string, risk_level string, masked int")
     assert reports.batch_report(files).first().text == "Files: 2\nDone: 1\nFailed: 1\n* a.txt: ok, risk ok, masked 1\n* b.pdf: error, file processing failed"
     docs = spark.createDataFrame([(1, "x [EMAIL]\n[PESEL]", {"EMAIL": 1}, {"LONG_NUMBER_SEQUENCE": 1}, True), (2, "", {}, {}, False)], "doc_id int, text string, counters map<string,bigint>, findings map<string,bigint>, is_pdf boolean")
     got = {r.doc_id: r.text for r in reports.checklist(docs).collect()}
@@ -104,3 +104,23 @@ def test_command_line(spark, tmp_path, capfd):
     assert spark.read.parquet(f"{tmp_path}/out").first().masked == "PESEL [PESEL] alfa"
     assert cli.main(["build-index", f"{tmp_path}/in", f"{tmp_path}/index"], spark) == 0
     assert cli.main(["ask", f"{tmp_path}/index", "alfa"], spark) == 0 and cli.main(["audit", f"{tmp_path}/in"], spark) == 0
+
+
+def test_masked_files_have_free_names(spark, tmp_path):
+    from redactica.sources import writers
+
+    listing = spark.createDataFrame([("f", "a_ANON.txt"), ("f", "a_ANON_99999999999999999999.txt"), ("f", "a_RAPORT_2.txt")], "folder string, name string")
+    rows = [("f", "a", "txt", "zażółć", None, 1), ("f", "a", "pdf", "x", None, 2), ("f", "b", "txt", "", None, 3), ("f", "c", "docx", None, b"PK", 4), ("f", "d", "txt", None, None, 5)]
+    docs = spark.createDataFrame(rows, "folder string, stem string, ext string, text string, content binary, doc_id long")
+    written = {r.name: r.size for r in writers.masked_files(docs, listing, f"file://{tmp_path}/out").collect()}
+    assert written == {"txt/a_ANON_3.txt": 1, "txt/a_ANON_4.txt": 10, "txt/b_ANON.txt": 0, "c_ANON.docx": 2}
+    assert (tmp_path / "out/txt/a_ANON_4.txt").read_text() == "zażółć" and (tmp_path / "out/c_ANON.docx").read_bytes() == b"PK"
+    assert sorted(p.name for p in (tmp_path / "out/txt").iterdir()) == ["a_ANON_3.txt", "a_ANON_4.txt", "b_ANON.txt"]
+    with pytest.raises(Exception, match="a name is that of a file"):
+        writers.named_files(spark.createDataFrame([("../x", b"")], "name string, content binary"), f"file://{tmp_path}/out").collect()
+
+
+def test_scalar_function(spark):
+    mask = cascade.register(spark, 2026, "mask_here")
+    rows = spark.createDataFrame([("PESEL 12345678901",), (None,)], "t string")
+    assert [r[0] for r in rows.select(mask("t")).collect()] == [r[0] for r in rows.selectExpr("mask_here(t)").collect()] == ["PESEL [PESEL]", None]
