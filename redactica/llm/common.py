@@ -24,6 +24,7 @@ LONG_WORD = 512
 #: Bits of one row of a filter that comes to the driver, and of a whole filter of ids.
 BLOCK_BITS = 1 << 20
 ID_BITS = 1 << 26
+_ODD = 0x9E3779B97F4A7C15
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
@@ -110,6 +111,22 @@ def word_hashes(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return a, b
 
 
+def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k consecutive items, by doubling."""
+    out, width, power, taken, left = None, 1, _ODD, 0, h
+    while True:
+        if k & width:
+            if out is None:
+                out, taken = left, width
+            else:
+                n = len(h) - (taken + width) + 1
+                out, taken = out[:n] * np.uint64(power) + left[taken : taken + n], taken + width
+        if 2 * width > k:
+            return mixed(out)
+        left = left[:-width] * np.uint64(power) + left[width:]
+        width, power = 2 * width, power * power & 0xFFFFFFFFFFFFFFFF
+
+
 def key_filter(keys: DataFrame, bits: int) -> np.ndarray:
     """Bit (m mod bits) of all rows (m: a hash), built in tasks and put together on the driver: an eighth of `bits` bytes at any size.
 

@@ -6,11 +6,13 @@ Patterns are classed by length. Each class has a shift table over hashed blocks
 may skip. Where the shift is zero, the bucket of that suffix hash selects patterns, and bytes are compared directly. Documents
 of a batch are searched in many lanes that advance together.
 
-The benchmark is streamed to the driver and compiled in blocks of bounded bytes; each block is broadcast and is one narrow pass
-over the documents. There is no shuffle.
+A pattern is two places in the normalised benchmark, which is held once, so a block of benchmark text takes few times its bytes. The
+benchmark is streamed to the driver and compiled in blocks of bounded bytes, long items in overlapping parts; each block is broadcast
+and is one narrow pass over the documents. There is no shuffle.
 
-Defined results: a null or wordless text has no words, no hits and is clean. A null item id counts as hit but is no item. Repeated
-document rows give a row each. An empty benchmark leaves every document clean. Other columns are ignored.
+Defined results: a null or wordless text has no words, no hits and is clean; a very long one is searched whole. A null item id counts
+as hit but is no item; rows of one item id are one item. Repeated document rows give a row each. An empty table of documents gives no
+rows, an empty benchmark leaves every document clean. Ties cannot be. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,14 +21,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redactica.llm.common import map_arrow, short_batches, stored
+from redactica.llm.common import map_arrow, run_hashes, short_batches, stored, word_hashes
 
 WINDOW = 13
 #: Normalised benchmark bytes in one broadcast block.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 16_000_000
 #: Passes that are chained before the result so far is written.
 CHAIN = 6
 LANE = 2048
@@ -40,46 +43,93 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class PatternClass:
-    """Wu-Manber tables for patterns of similar length."""
+    """Wu-Manber tables for windows lo:hi of a text, of similar length."""
 
-    def __init__(self, patterns: list[bytes], owners: list[list[str]]):
-        self.patterns, self.owners = patterns, owners
-        self.m = m = min(LONGEST_PREFIX, min(map(len, patterns)))
+    def __init__(self, blocks: np.ndarray, lo: np.ndarray, hi: np.ndarray, number: np.ndarray):
+        self.m = m = int(min(LONGEST_PREFIX, (hi - lo).min()))
         self.b = b = min(8, m)
         self.mask = np.uint64((1 << 8 * b) - 1)
-        joined = b"".join(p[:m] for p in patterns)
-        blocks = _unaligned(joined)
-        starts = np.arange(len(patterns), dtype=np.int64) * m
         self.shift = np.full(1 << TABLE_BITS, m - b + 1, np.int16)
-        for j in range(b, m + 1):
-            np.minimum.at(self.shift, self.slot(blocks[starts + j - b]), m - j)
-        self.buckets: dict[int, list[int]] = {}
-        for i, h in enumerate(self.slot(blocks[starts + m - b]).tolist()):
-            self.buckets.setdefault(h, []).append(i)
+        for j in range(b, m + 1):  # a later block leaves less to skip
+            self.shift[self.slot(blocks[lo + j - b])] = m - j
+        slots = self.slot(blocks[lo + m - b])
+        order = np.argsort(slots, kind="stable")
+        self.slots, self.lo, self.hi, self.number = slots[order].astype(np.int32), lo[order].astype(np.int32), hi[order].astype(np.int32), number[order].astype(np.int32)
+        self.head = blocks[self.lo] & self.mask
 
     def slot(self, blocks: np.ndarray) -> np.ndarray:
         return (((blocks & self.mask) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
-    def search(self, text: bytes, blocks: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(byte offset, pattern) of every occurrence."""
+    def search(self, patterns: bytes, text: bytes, blocks: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(byte offset, bytes, number) of every occurrence."""
         n, back = len(text), self.b - 1
         at = np.arange(self.m - 1, n, LANE, dtype=np.int64)
         ends = np.minimum(at + LANE, n)
-        found = []
         while at.size:
             slots = self.slot(blocks[at - back])
             shift = self.shift[slots]
             if (zero := shift == 0).any():
-                found.append((at[zero], slots[zero]))
+                first, last = (np.searchsorted(self.slots, slots[zero], side) for side in ("left", "right"))
+                size = last - first
+                start = np.repeat(at[zero] - self.m + 1, size)
+                which = np.arange(len(start)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+                same = np.flatnonzero((blocks[start] & self.mask) == self.head[which])
+                for s, i in zip(start[same].tolist(), which[same].tolist(), strict=True):
+                    lo, hi = int(self.lo[i]), int(self.hi[i])
+                    if text.startswith(patterns[lo:hi], s):
+                        yield s, hi - lo, int(self.number[i])
             at = at + np.maximum(shift, 1)
             going = at < ends
             at, ends = at[going], ends[going]
-        for positions, slots in found:
-            for p, h in zip(positions.tolist(), slots.tolist(), strict=True):
-                start = p - self.m + 1
-                for i in self.buckets[h]:
-                    if text.startswith(self.patterns[i], start):
-                        yield start, i
+
+
+class Patterns:
+    """The distinct windows of items (item id or None, words), the items of each, and the tables to search them."""
+
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+        self.text = b" ".join([b"", *(b" ".join(w) for _, w in items), b""])
+        raw = np.frombuffer(self.text + b" ", np.uint8)
+        space = raw == 32
+        starts, ends = np.flatnonzero(space[:-1] & ~space[1:]) + 1, np.flatnonzero(~space[:-1] & space[1:]) + 1
+        counts = np.array([len(w) for _, w in items], np.int64)
+        item = np.repeat(np.arange(len(items)), counts)
+        ids = {i: k for k, i in enumerate(dict.fromkeys(i for i, _ in items if i is not None))}
+        self.items = list(ids)
+        owner = np.array([-1 if i is None else ids[i] for i, _ in items], np.int64)
+        full = np.flatnonzero(item[: max(0, len(item) - window + 1)] == item[window - 1 :]) if len(item) >= window else np.zeros(0, np.int64)
+        ha, hb = word_hashes(self.text + b"12345678", starts, ends - starts)
+        ka, kb = (run_hashes(h, window)[full] if full.size else np.zeros(0, np.uint64) for h in (ha, hb))
+        short = np.flatnonzero((counts < window) & (counts > 0))
+        begin = np.cumsum(counts) - counts
+        marks = [xxhash.xxh3_128_intdigest(b" ".join(items[i][1])) for i in short.tolist()]
+        lo = np.concatenate([starts[full], starts[begin[short]]]) - 1
+        hi = np.concatenate([ends[full + window - 1], ends[begin[short] + counts[short] - 1]]) + 1
+        whose = owner[np.concatenate([item[full], short])]
+        words = np.concatenate([np.full(len(full), window), counts[short]])
+        ka = np.concatenate([ka, np.array([m >> 64 for m in marks], np.uint64)])
+        kb = np.concatenate([kb, np.array([m & 0xFFFFFFFFFFFFFFFF for m in marks], np.uint64)])
+        order = np.lexsort((whose, kb, ka))
+        ka, kb, whose = ka[order], kb[order], whose[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (ka[1:] != ka[:-1]) | (kb[1:] != kb[:-1])
+        other = new.copy()
+        other[1:] |= whose[1:] != whose[:-1]
+        number = np.cumsum(new) - 1
+        own = other & (whose >= 0)
+        self.owners, self.owned = whose[own].astype(np.int32), np.searchsorted(number[own], np.arange(int(new.sum()) + 1))
+        lo, hi = lo[order][new], hi[order][new]
+        self.words = words[order][new].astype(np.int32)
+        kind = np.array([int(x).bit_length() for x in range(LONGEST_PREFIX + 1)])[np.minimum(hi - lo, LONGEST_PREFIX)]
+        blocks = _unaligned(self.text)
+        self.classes = [PatternClass(blocks, lo[x], hi[x], x) for x in (np.flatnonzero(kind == k) for k in np.unique(kind))]
+
+    def search(self, text: bytes) -> list[tuple[int, int, int]]:
+        """(byte offset, bytes, number) of every occurrence, in order."""
+        blocks = _unaligned(text)
+        return sorted(x for c in self.classes for x in c.search(self.text, text, blocks))
+
+    def of(self, number: int) -> list[str]:
+        return [self.items[i] for i in self.owners[self.owned[number] : self.owned[number + 1]].tolist()]
 
 
 def _unaligned(data: bytes) -> np.ndarray:
@@ -87,31 +137,25 @@ def _unaligned(data: bytes) -> np.ndarray:
     return np.ndarray((len(data),), "<u8", data + b"\0" * 8, strides=(1,))
 
 
-def compile_patterns(windows: dict[bytes, set[str]]) -> list[PatternClass]:
-    by_length: dict[int, list[bytes]] = {}
-    for p in windows:
-        by_length.setdefault(min(len(p), LONGEST_PREFIX).bit_length(), []).append(p)
-    return [PatternClass(ps, [sorted(windows[p]) for p in ps]) for _, ps in sorted(by_length.items())]
-
-
-def pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[list[PatternClass]]:
+def pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Patterns]:
     """Streams the items and compiles a block whenever enough bytes have come; at least one block."""
-    windows: dict[bytes, set[str]] = {}
-    held, any_yet = 0, False
+    held: list[tuple[str | None, list[bytes]]] = []
+    size, any_yet = 0, False
     for item, text in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
-        words = words_of(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            pattern = b" " + b" ".join(words[i : i + window]) + b" "
-            windows.setdefault(pattern, set()).update([] if item is None else [item])
-            held += len(words[i]) + 1
-            if held >= block_bytes:
-                yield compile_patterns(windows)
-                windows, held, any_yet = {}, 0, True
-    if windows or not any_yet:
-        yield compile_patterns(windows)
-
-
-def scan(classes: list[PatternClass], texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
+        words, at = words_of(text), 0
+        while words and (at == 0 or at + window - 1 < len(words)):
+            part = words[at : at + max(1, block_bytes // 8) + window - 1]
+            held.append((item, part))
+            size += sum(map(len, part)) + len(part)
+            at += max(1, block_bytes // 8)
+            if size >= block_bytes:
+                yield Patterns(held, window)
+                held, size, any_yet = [], 0, True
+    if held or not any_yet:
+        yield Patterns(held, window)
+
+
+def scan(patterns: Patterns, texts: list[str | None]) -> Iterator[tuple[int, list[tuple[int, int]], set[str]]]:
     """Per text: words, merged hit intervals of words, ids of items with occurring windows."""
     split = [words_of(t) for t in texts]
     pieces = [b" ".join(w) for w in split]
@@ -120,22 +164,21 @@ def scan(classes: list[PatternClass], texts: list[str | None]) -> Iterator[tuple
     for p in pieces:
         starts.append(at)
         at += len(p) + 3
-    blocks = _unaligned(buffer)
-    hits = sorted(((s, len(c.patterns[i]), c, i) for c in classes for s, i in c.search(buffer, blocks)), key=lambda x: x[:2])
+    hits = patterns.search(buffer)
     k = 0
     for d, words in enumerate(split):
         spans, items, seen_at, index = [], set(), starts[d], 0
         limit = starts[d + 1] if d + 1 < len(starts) else len(buffer)
         while k < len(hits) and hits[k][0] < limit:
-            s, _, c, i = hits[k]
+            s, _, number = hits[k]
             index += buffer.count(b" ", seen_at, s)
             seen_at = s
-            end = index + c.patterns[i].count(b" ") - 1
+            end = index + int(patterns.words[number])
             if spans and index <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], max(end, spans[-1][1]))
             else:
                 spans.append((index, end))
-            items.update(c.owners[i])
+            items.update(patterns.of(number))
             k += 1
         yield len(words), spans, items
 

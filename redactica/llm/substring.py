@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from redactica.llm.common import ID_BITS, in_filter, key_filter, map_arrow, mixed, parted, short_batches, stored, word_hashes
+from redactica.llm.common import ID_BITS, in_filter, key_filter, map_arrow, mixed, parted, run_hashes, short_batches, stored, word_hashes
 
 WINDOW = 20
 GRAM = 6
@@ -44,26 +44,9 @@ LAST_ID = (1 << 63) - 1
 HELD = 400_000
 _PLACE_BITS = 26
 _BLOCK = 1 << 25
-_M = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _grams(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k consecutive items, by doubling."""
-    out, width, power, taken, left = None, 1, _M, 0, h
-    while True:
-        if k & width:
-            if out is None:
-                out, taken = left, width
-            else:
-                n = len(h) - (taken + width) + 1
-                out, taken = out[:n] * np.uint64(power) + left[taken : taken + n], taken + width
-        if 2 * width > k:
-            return mixed(out)
-        left = left[:-width] * np.uint64(power) + left[width:]
-        width, power = 2 * width, power * power & 0xFFFFFFFFFFFFFFFF
-
-
 class Walk(NamedTuple):
     """The windows of some texts, in runs that share their smallest gram."""
 
@@ -92,7 +75,7 @@ def walk(texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> Wal
     text, starts, ends = text[kept], starts[kept], ends[kept]
     ha, hb = word_hashes(data, starts, ends - starts)
     n = len(text) - window + 1
-    small = _grams(ha, gram)
+    small = run_hashes(ha, gram)
     place, span = np.uint64((1 << _PLACE_BITS) - 1), window - gram + 1
     at = np.empty(n, np.int64)
     for b in range(0, n, _BLOCK):  # the leftmost smallest gram of each window; ties of the upper bits go to the left
@@ -109,7 +92,7 @@ def walk(texts: list[str | None], window: int = WINDOW, gram: int = GRAM) -> Wal
     first = np.flatnonzero(change)
     length = np.diff(np.append(first, n))
     first, length = first[whole[first]], length[whole[first]]
-    return Walk(text[first], own[first], length, small[at[first]], first, _grams(hb, window), _grams(ha, window))
+    return Walk(text[first], own[first], length, small[at[first]], first, run_hashes(hb, window), run_hashes(ha, window))
 
 
 def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -124,7 +107,7 @@ def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator
     yield batch.slice(start)
 
 
-def repeated_grams(rows: DataFrame, window: int, gram: int, bits: int) -> np.ndarray:
+def repeatedrun_hashes(rows: DataFrame, window: int, gram: int, bits: int) -> np.ndarray:
     """The filter over rows (id, t, text): bit (hash mod bits) is set for all grams that lead two runs or more."""
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -214,7 +197,7 @@ def edges(rows: DataFrame, seen: np.ndarray, window: int, gram: int) -> DataFram
 def spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM, bits: int = FILTER_BITS) -> DataFrame:
     """Rows (id, t, at, n, id0, at0) of rows (id, t, text): n windows from position `at` of a document, which start at `at0` of id0 first."""
     equal = Window.partitionBy("done", "key", "proof").orderBy("id", "t", "at")
-    found = edges(rows, repeated_grams(rows, window, gram, bits), window, gram)
+    found = edges(rows, repeatedrun_hashes(rows, window, gram, bits), window, gram)
     found = found.select("*", *[F.first(c).over(equal.rowsBetween(Window.unboundedPreceding, 0)).alias(f"f_{c}") for c in ("id", "at")], *[F.lag(c).over(equal).alias(f"p_{c}") for c in ("id", "t", "at")])
     above = F.col("id") > F.col("f_id")
     own = F.coalesce((F.col("p_id") == F.col("id")) & (F.col("p_t") == F.col("t")) & (F.col("p_at") < F.col("at")), F.lit(False))

@@ -56,7 +56,7 @@ def brute_decontaminate(docs, items, window=13):
 @pytest.mark.parametrize("block", [2_000_000, 120])
 def test_decontaminate_brute_force(spark, block):
     rng = random.Random(2)
-    items = [(i, prose(n, rng)) for i, n in enumerate([30, 13, 12, 5, 1, 0, 40])] + [(9, None), (10, "Quite unlike!")]
+    items = [(i, prose(n, rng)) for i, n in enumerate([30, 13, 12, 5, 1, 0, 40])] + [(9, None), (10, "Quite unlike!"), (11, prose(400, rng)), (12, "alpha beta"), (13, "Alpha, BETA")]
     docs = [(i, prose(rng.randint(0, 60), rng) + " " + (items[i % 3][1].upper() if i % 3 else "")) for i in range(60)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.decontaminate(frame(spark, docs), bench, block_bytes=block).collect()
