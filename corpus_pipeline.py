@@ -35,8 +35,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate group one document stays: that with the smallest id, and of the texts with that id the one with the
-    smallest hash; its repeated rows stay with it. A row without an id goes if its fingerprint is that of a document with one, else it
-    stays. Wordless texts are near-duplicates of each other. Only texts that may go are shuffled."""
+    smallest hash; its repeated rows stay with it. A row without an id goes if its group has a document with one, else it stays.
+    Wordless texts are near-duplicates of each other. Only texts that may go are shuffled."""
     docs = _columns(docs)
     gone = stored(simhash.duplicates(simhash.near_duplicates(docs)), "duplicates")
     keys = [F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none")]

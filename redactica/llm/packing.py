@@ -6,8 +6,9 @@ hands up its bins of at most half the capacity (best fit leaves one at most) and
 parts: no merge can ever fill more, so the items of a merge stay bounded while none of its savings is lost. Groups of parts merge
 these bins as items, again best-fit, and hand up what is left, until one group remains. Only bins move, never pieces.
 
-Defined results: a null text is empty, its one piece holds the end id alone. Repeated rows are packed each. An empty table gives no
-rows. Other columns are ignored.
+Defined results: a null text is empty, its one piece holds the end id alone; a very long one is cut into as many pieces as it needs.
+Repeated rows, and rows without an id, are packed each. Of equally long pieces the one that comes first is placed first. An empty table
+gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], k) for c, k in enumerate(kinds)], names[: len(kinds)])
 
-    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), one, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return map_arrow(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), one, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[tuple[int, int]], list[int]]:

@@ -11,8 +11,9 @@ thousands of texts differ in a few bits only, is cut into blocks, and each pair
 one task. A task emits a spanning star of each group it has linked, never its pairs.
 
 Defined results: a text without words, or null, has fingerprint zero. A very long text is read whole. Rows with equal fingerprints
-share a component, named by its smallest id. Rows without an id are never a component's name. Repeated rows give a row each; other
-columns are ignored, whatever their names; an empty table gives no rows.
+share a component, named by its smallest id; rows without an id are never its name, and without any other it has none. Rows of one id
+with different texts are documents of their own. Repeated rows give a row each; other columns are ignored, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def keyed(table: DataFrame, differing: int = DIFFERING, block: int = BLOCK, leve
 
 def links(table: DataFrame, differing: int = DIFFERING, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that join all nodes whose fingerprints link; table has rows (fp, node, p0, p1, ...), fp distinct."""
-    distances = [c for c in table.columns if c not in ("fp", "node")]
+    distances = [c for c in table.columns if c[0] == "p" and c[1:].isdigit()]
     keys = ["mask", "bits", "lo", "hi"]
     names = [*keys, "node", "fp", *distances]
 
@@ -202,12 +203,16 @@ def _stars(cols: list[np.ndarray], differing: int) -> Iterator[pa.RecordBatch]:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, differing: int = DIFFERING) -> DataFrame:
-    """Rows (doc_id, text_hash, fp, component_id); the text's hash tells rows of one id apart."""
+    """Rows (doc_id, text_hash, fp, root, component_id). The text's hash tells rows of one id apart; root, a fingerprint, tells components
+    apart, which is more than their names do where rows share an id but not their text."""
     signed = stored(signatures(docs, id_col, text_col, shingle), "signatures")
-    table = stored(pivot_table(signed.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))), "pivots")
-    found = components(links(table, differing))
-    named = table.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return signed.join(named, "fp", "left").select("doc_id", "text_hash", "fp", "component_id")
+    table = stored(pivot_table(signed.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp"))), "pivots")
+    found = components(links(table, differing)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    linked_ = table.select("fp", "least").join(found, "fp")
+    names = linked_.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = table.select("fp", "least").join(linked_.select("fp", "root").join(names, "root"), "fp", "left")
+    named = named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return signed.join(named, "fp", "left").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def text_hash(text: Column) -> Column:
@@ -216,11 +221,11 @@ def text_hash(text: Column) -> Column:
 
 def duplicates(found: DataFrame) -> DataFrame:
     """Rows (doc_id, text_hash) of near_duplicates that one document of each component makes superfluous: the one with the smallest
-    id, and among texts with that id the one with the smallest hash, stays; so do its repeated rows, and rows outside of components."""
-    rows = found.filter("component_id is not null").select("doc_id", "text_hash", "component_id")
+    id, and among texts with that id the one with the smallest hash, stays; so do its repeated rows, and rows of components without ids."""
+    rows = found.filter("component_id is not null").select("doc_id", "text_hash", "root", "component_id")
     named = rows.filter("doc_id = component_id")
-    several = named.groupBy("doc_id").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).filter("first <> last").select("doc_id", "first")
-    rest = named.join(several, "doc_id").filter("text_hash <> first").select("doc_id", "text_hash")
+    several = named.groupBy("root").agg(F.min("text_hash").alias("first"), F.max("text_hash").alias("last")).filter("first <> last").select("root", "first")
+    rest = named.join(several, "root").filter("text_hash <> first").select("doc_id", "text_hash")
     return rows.filter("doc_id is null or doc_id <> component_id").select("doc_id", "text_hash").unionByName(rest).distinct()
 
 

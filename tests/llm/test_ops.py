@@ -145,6 +145,19 @@ def test_components_of_a_long_chain(spark):
     assert common.components(edges.limit(0)).count() == 0
 
 
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(21)
+    base = prose(400, rng).split()
+    near = " ".join([*base[:200], "changed", *base[201:]])
+    assert 0 < (brute_fingerprint(" ".join(base)) ^ brute_fingerprint(near)).bit_count() <= 3
+    docs = [(1, " ".join(base)), (5, near), (5, "quite another text " * 5), (9, "and one more of them " * 5), (None, "and one more of them " * 5)]
+    found = simhash.near_duplicates(frame(spark, docs))
+    assert sorted((r.doc_id or 0, r.component_id) for r in found.collect()) == [(0, 9), (1, 1), (5, 1), (5, 5), (9, 9)]
+    gone = {(r.doc_id, r.text_hash) for r in simhash.duplicates(found).collect()}
+    hashes = dict(spark.createDataFrame(docs, "d long, t string").select("t", simhash.text_hash(F.col("t"))).collect())
+    assert gone == {(5, hashes[near]), (None, hashes[docs[4][1]])}
+
+
 def test_simhash_odd(spark):
     rows = simhash.near_duplicates(frame(spark, ODD)).collect()
     assert len(rows) == len(ODD)

@@ -49,6 +49,27 @@ def test_stages(spark, tables):
     assert set(packed) == set(clean)
 
 
+def test_run_equals_brute_force_stage_by_stage(spark, tables):
+    """All but the toxicity score, which its own tests hold against labels, by plain loops over the whole fixture."""
+    from test_ops import brute_components, brute_decontaminate, brute_fingerprint, brute_substring, checked_packing
+
+    path, _ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in corpus_pipeline.drop_toxic(spark, docs, path).collect()]
+    last = 1 << 40  # a row without an id comes after all others
+    fps = {d: brute_fingerprint(t) for d, t in rows if d is not None}
+    named = brute_components(fps)
+    rows = [(last if d is None else d, t) for d, t in rows if (brute_fingerprint(t) not in fps.values() if d is None else named[d] == d)]
+    texts = dict(rows)
+    cut = [(d, left if gone else texts[d]) for d, _, gone, left in brute_substring(rows)]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
+    clean = {d for d, words, hit, _ in brute_decontaminate(cut, items) if not (hit and 20 * hit >= words)}
+    want = [(None if d == last else d, t) for d, t in cut if d in clean]
+    got = corpus_pipeline.run(spark, path).collect()
+    assert {r.doc_id for r in got} == {d for d, _ in want} and len(want) < len(cut) < docs.count()
+    checked_packing(got, want, 2048)
+
+
 def test_run_and_empty(spark, tables, tmp_path):
     path, _ = tables
     assert corpus_pipeline.run(spark, path).count() > 100
