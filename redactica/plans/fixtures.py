@@ -37,10 +37,16 @@ def notes_sql(dialect: str) -> str:
     return f"SELECT k AS doc_id, concat({_ALWAYS.replace('{d}', day)}, {some}) AS text FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d FROM orders)"
 
 
+#: Bytes of a table for each core, beyond which its scan gives every core enough to do.
+SMALL = 16 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of fewer files than there are cores, dealt out evenly; a table of many files stays as its files are."""
+    """Rows of a small table, dealt out evenly over the cores; a larger one stays as its scan splits it, and no text is shuffled. The
+    optimizer knows the size, so no file is listed here."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SMALL else rows
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,13 +97,20 @@ def test_model_calls(spark):
     assert model_review.comparison_findings(got.filter("status = 'completed'")).first().sentence_index == 2
 
 
-def test_command_line(spark, tmp_path, capfd):
+def test_command_line(spark, tmp_path, capfd, monkeypatch):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a_ANON.txt").write_text("PESEL 12345678901 alfa")
     assert cli.main(["mask", f"{tmp_path}/in", f"{tmp_path}/out"], spark) == 0
     assert spark.read.parquet(f"{tmp_path}/out").first().masked == "PESEL [PESEL] alfa"
     assert cli.main(["build-index", f"{tmp_path}/in", f"{tmp_path}/index"], spark) == 0
     assert cli.main(["ask", f"{tmp_path}/index", "alfa"], spark) == 0 and cli.main(["audit", f"{tmp_path}/in"], spark) == 0
+    assert "No answer: generation_unavailable" in capfd.readouterr().out
+    (tmp_path / "some_model.py").write_text("def say(prompt, schema):\n    return 'Yes.'\ndef slow(prompt, schema):\n    raise TimeoutError(prompt)\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    for args in (["ask", f"{tmp_path}/index", "alfa", "--client", "some_model:say"], ["ask", f"{tmp_path}/index", "zzz", "--client", "some_model:say"], ["ask", f"{tmp_path}/index", "alfa", "--client", "some_model:slow"], ["model-status"], ["model-status", "--client", "some_model:say"], ["model-status", "--client", "some_model:none"]):
+        assert cli.main(args, spark) == 0
+    said = capfd.readouterr().out
+    assert "Yes.\nSources:" in said and "No answer: no_relevant_context" in said and "No answer: timeout" in said and said.endswith("disabled\navailable\nprocessing_error\n")
 
 
 def test_masked_files_have_free_names(spark, tmp_path):
