@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = linked_.groupBy("root").agg(F.min("least").alias("component_id"))
     named = table.select("fp", "least").join(linked_.select("fp", "root").join(names, "root"), "fp", "left")
     named = named.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    named = stored(named, "named")  # a table of its own, so that a fingerprint of very many rows can be split in the join
     return signed.join(named, "fp", "left").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
