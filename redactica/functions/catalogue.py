@@ -138,6 +138,8 @@ OUTPUT_FAMILIES = {
     "checklist": r"^(.+)_REVIEW_CHECKLIST(_\d+)?\.txt$",
     "manual_edits": r"^(.+)_MANUAL_EDITS(_\d+)?\.json$",
 }
+#: What a box drawn by hand, or taken over from a suggestion, is called; the first is the plain one.
+MANUAL_LABELS = ("RECZNE", "AI_SUGESTIA")
 FINAL_FAMILIES = ("anon_txt", "anon_docx", "visual", "review", "original_redacted", "manual_edits")
 ABBREVIATIONS = ("np.", "itp.", "itd.", "tzw.", "m.in.", "tj.", "ul.", "al.", "pl.", "godz.", "tel.", "dr.", "mgr.", "prof.", "inż.", "nr.", "zł.", "pkt.", "art.", "ust.", "poz.", "wg.", "ok.", "r.", "w.", "os.")
 SENTENCE_START = rf"[{UPPER}0-9\"„“(]"

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,18 @@ def load(spark: SparkSession, path: str) -> list[Term]:
     return parse(rows[0].value)
 
 
+def chosen(spark: SparkSession, path: str | None = None, terms: list[Term] | None = None) -> tuple[list[Term] | None, str]:
+    """A dictionary and its status: 'not selected', 'loaded', or 'invalid' where the file is malformed or cannot be read."""
+    if path is not None and terms is not None:
+        raise ValueError("a path or terms, not both")
+    if path is None:
+        return terms, "not selected" if terms is None else "loaded"
+    try:
+        return load(spark, path), "loaded"
+    except (ValueError, AnalysisException, PySparkException):
+        return None, "invalid"
+
+
 def ordered(terms: list[Term]) -> list[Term]:
     """Longer terms first."""
     return sorted(terms, key=lambda t: (len(t.key), len(t.term)), reverse=True)

@@ -60,11 +60,19 @@ def paired_reports(outputs: DataFrame, reports: DataFrame) -> DataFrame:
     return rows.groupBy("folder", "name").agg(best["report"].alias("report"))
 
 
-def preferred_artefact(outputs: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds `artefact`: the first of visual, original-layout and review PDF of the same stem and number, else the output itself."""
+def preferred_artefact(outputs: DataFrame, files: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """Adds `artefact`: of a text output the first of visual, original-layout and review PDF of the same stem and number, then, of the
+    listing (folder, name), the PDF that is named like the output itself, as older versions wrote it. Else, and for other kinds, itself."""
     place = F.array_position(F.array(*[F.lit(x) for x in ("visual", "original_redacted", "review")]), F.col("family"))
     pdf = files.filter(F.col("family").isin("visual", "original_redacted", "review")).groupBy("folder", "stem", "number").agg(F.min_by("name", place).alias("pdf"))
-    return outputs.join(pdf, ["folder", "stem", "number"], "left").withColumn("artefact", F.coalesce("pdf", "name")).drop("pdf")
+    rows = outputs.join(pdf, ["folder", "stem", "number"], "left")
+    found = F.col("pdf")
+    if listing is not None:
+        like = listing.select("folder", F.col("name").alias("old")).filter(F.col("old").endswith(".pdf")).distinct()
+        rows = rows.withColumn("old", F.regexp_replace("name", r"\.txt$", ".pdf")).join(like.withColumn("there", F.lit(True)), ["folder", "old"], "left")
+        found = F.coalesce(found, F.when(F.col("there"), F.col("old")))
+    is_text = F.col("family") == "anon_txt"
+    return rows.withColumn("artefact", F.when(is_text & found.isNotNull(), found).otherwise(F.col("name"))).drop("pdf", "old", "there")
 
 
 

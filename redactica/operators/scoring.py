@@ -61,7 +61,7 @@ def span_scores(status: DataFrame) -> DataFrame:
 
 
 def layer(label: Column) -> Column:
-    return F.when(label.startswith("NER_"), "ner").when(label.isin("RECZNE", "AI_SUGESTIA"), "manual").otherwise("regex")
+    return F.when(label.startswith("NER_"), "ner").when(label.isin(*C.MANUAL_LABELS), "manual").otherwise("regex")
 
 
 def over_redaction(fills: DataFrame, chars: DataFrame) -> DataFrame:
@@ -83,6 +83,27 @@ def doc_summary(scores: DataFrame) -> DataFrame:
     )
 
 
+def words_under(over: DataFrame, words: DataFrame) -> DataFrame:
+    """Rows (doc_id, page, word): source words (doc_id, page, word, box) with their centre in a fill of over_redaction, once for each."""
+    w = _centred(words).select(F.col("doc_id").alias("wd"), F.col("page").alias("wp"), "word", "cx", "cy")
+    return over.join(w, (F.col("doc_id") == F.col("wd")) & (F.col("page") == F.col("wp")) & inside("cx", "cy", "")).select("doc_id", "page", "word")
+
+
+def doc_details(scores: DataFrame, layers: DataFrame, over: DataFrame) -> DataFrame:
+    """Per document, of span scores with `expect`: must and covered, the sorted ids of spans that are partial, full, keep_redacted and
+    residue, over_rects, and the map layers, which counts covered spans by the layers (doc_id, span_id, layer) that hid them; '?' if
+    none is known. over has the fills of over_redaction."""
+    must, keep, covered = F.col("expect") == "must", F.col("expect") == "keep", F.col("status") == "covered"
+    ids = lambda c, name: F.array_sort(F.collect_list(F.when(c, F.col("span_id")))).alias(name)
+    rows = scores.groupBy("doc_id").agg(F.count_if(must).alias("must"), F.count_if(must & covered).alias("covered"), ids(must & (F.col("status") == "partial"), "partial"), ids(must & (F.col("status") == "full"), "full"), ids(keep & (F.col("leaked") < F.col("total")), "keep_redacted"), ids(~keep & (F.col("residue") > 0), "residue"))
+    hidden = scores.filter(must & covered).select("doc_id", "span_id").join(layers.select("doc_id", "span_id", "layer").distinct(), ["doc_id", "span_id"], "left")
+    by_layer = hidden.groupBy("doc_id", F.coalesce("layer", F.lit("?")).alias("layer")).agg(F.count(F.lit(1)).alias("n"))
+    maps = by_layer.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("layer", "n")))).alias("layers"))
+    rects = over.groupBy("doc_id").agg(F.count(F.lit(1)).alias("over_rects"))
+    none = F.expr("cast(map() as map<string,bigint>)")
+    return rows.join(rects, "doc_id", "left").join(maps, "doc_id", "left").withColumns({"over_rects": F.coalesce("over_rects", F.lit(0).cast("long")), "layers": F.coalesce("layers", none)})
+
+
 def recall(summary: DataFrame) -> DataFrame:
     return summary.agg(F.sum("must").alias("must"), F.sum("covered").alias("covered"), F.round(100 * F.sum("covered") / F.sum("must"), 1).alias("recall"))
 

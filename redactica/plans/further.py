@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
 from redactica.functions.regex import java
-from redactica.operators import audit, cascade, detect, dictionary, geometry, model_review, reports, retrieval, review, rollup
+from redactica.operators import audit, cascade, detect, dictionary, geometry, model_review, reports, retrieval, review, rollup, scoring
 from redactica.plans.fixtures import CURRENT_YEAR, notes, spread
 from redactica.plans.more import P, _part
-from redactica.plans.queries import MASKED_TEXT, SQL, K, query, table, when
+from redactica.plans.queries import MASKED_TEXT, SQL, K, _chars, _fills, query, table, when
+from redactica.sources import readers
 
 #: (name, another case); the stem of the fifth is too short to be inflected.
 TOWNS = (("Borowiec Dolny", "Borowcu Dolnym"), ("Kamionka", "Kamionki"), ("Zalesie", "Zalesiu"), ("Jastrowo", "Jastrowie"), ("Dąbie", "Dąbiu"), ("Stary Młyn", "Starym Młynie"))
@@ -245,3 +246,66 @@ def answer_outcomes(spark, sf_dir):
     texts = spark.createDataFrame([("a", 1, "alfa"), ("b", 2, "beta")], "source_file string, chunk_index int, text string")
     said = spark.createDataFrame([(1, "Yes.", None), (2, None, "timeout"), (3, "half", "refused")], "q_id int, answer string, error string")
     return retrieval.formatted(retrieval.answers(asked, retrieval.top_k(retrieval.token_index(texts), asked), said))
+
+
+LABELS_JSON = """concat('{"active_labels": ', case p % 6 when 0 then '["PESEL", "NIP"]' when 1 then '["PESEL", 3]' when 2 then '[]' when 3 then '"PESEL"' when 4 then 'null' else '["NIP", "NIP"]' end,
+  ', "active_pages": ', case p % 5 when 0 then '[3, 1]' when 1 then '[1, true]' when 2 then '[0, 2]' when 3 then '[1.5]' else '[2, 2]' end,
+  ', "strip_signatures": ', case p % 4 when 0 then 'true' when 1 then '1' when 2 then '"true"' else 'false' end, case when p % 7 = 6 then '' else '}' end)"""
+
+
+@query("typed_sidecars", f"SELECT p AS doc_id, CASE WHEN p % 7 < 6 AND p % 6 = 0 THEN 'NIP,PESEL' WHEN p % 7 < 6 AND p % 6 = 5 THEN 'NIP' END AS labels, CASE WHEN p % 7 < 6 AND p % 5 = 0 THEN '1,3' WHEN p % 7 < 6 AND p % 5 = 4 THEN '2' END AS pages, p % 7 < 6 AND p % 4 = 0 AS strip FROM {P}")
+def typed_sidecars(spark, sf_dir):
+    s = _part(spark, sf_dir).select("p", readers.selection(F.expr(LABELS_JSON)).alias("s"))
+    return s.select(F.col("p").alias("doc_id"), F.array_join("s.labels", ",").alias("labels"), F.array_join(F.col("s.pages").cast("array<string>"), ",").alias("pages"), F.col("s.strip_signatures").alias("strip"))
+
+
+EDITS_JSON = """concat('{"removed": [[', p, ', "PESEL", 1, 2.5, 3, 4], [1, "x", 0, 0, 1], [2, "y", null, 0, 1, 1]', case when p % 3 = 0 then '' else ', 7' end,
+  '], "added": ', case when p % 4 = 3 then '"none"' else concat('[{"page": ', p % 5, ', "x0": 0, "y0": 0, "x1": 5, "y1": 5, "label": ', case p % 4 when 0 then '"AI_SUGESTIA"' when 1 then 'null' else '"PESEL"' end, '}, {"page": 1}, 3]') end, '}')"""
+
+
+@query("manual_edits_read", f"SELECT p AS doc_id, CAST(p AS BIGINT) AS removed_page, CAST(2.5 AS DOUBLE) AS removed_y0, CASE WHEN p % 4 <> 3 THEN CAST(p % 5 AS BIGINT) END AS added_page, CASE WHEN p % 4 <> 3 THEN CASE p % 4 WHEN 0 THEN 'AI_SUGESTIA' ELSE 'RECZNE' END END AS added_label, CASE WHEN p % 4 = 3 THEN 1 ELSE 2 END AS n FROM {P}")
+def manual_edits_read(spark, sf_dir):
+    e = _part(spark, sf_dir).select(F.col("p").alias("doc_id"), readers.manual_edits(F.expr(EDITS_JSON)).alias("e"))
+    first = lambda name, field: F.try_element_at(f"e.{name}", F.lit(1))[field]
+    return e.select("doc_id", first("removed", "page").alias("removed_page"), first("removed", "y0").alias("removed_y0"), first("added", "page").alias("added_page"), first("added", "label").alias("added_label"), (F.size("e.removed") + F.size("e.added")).alias("n"))
+
+
+@query("stored_suggestions", f"SELECT p AS doc_id, p % 3 = 0 AS compared, CASE WHEN p % 2 = 0 THEN concat('f', p) END AS fingerprint, CAST(CASE p % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS INT) AS resolved FROM {P}")
+def stored_suggestions(spark, sf_dir):
+    text = F.expr("""concat('{"comparison_result": ', case p % 3 when 0 then '{"status": "completed"}' when 1 then '[1]' else 'null' end, ', "original_text_sha256": ', case when p % 2 = 0 then concat('"f', p, '"') else '12' end,
+      ', "resolved": ', case p % 4 when 0 then '{"comparison-1": "accepted", "narrative-1": "rejected", "narrative-2": "open"}' when 1 then '{"comparison-1": "accepted", "x": 1}' when 2 then '[1]' else 'null' end, '}')""")
+    s = _part(spark, sf_dir).select(F.col("p").alias("doc_id"), readers.stored_suggestions(text).alias("s"))
+    return s.select("doc_id", F.col("s.comparison").isNotNull().alias("compared"), "s.fingerprint", F.size("s.resolved").alias("resolved"))
+
+
+@query("artefact_of_any_kind", f"SELECT concat('a', p, CASE WHEN p % 4 = 3 THEN '_ANON.docx' ELSE '_ANON.txt' END) AS name, concat('a', p, CASE p % 4 WHEN 0 THEN '_ANON.pdf' WHEN 1 THEN '_ANON_REVIEW.pdf' WHEN 2 THEN '_ANON.txt' ELSE '_ANON.docx' END) AS artefact FROM {P}")
+def artefact_of_any_kind(spark, sf_dir):
+    names = F.expr("case p % 4 when 0 then array('_ANON.txt', '_ANON.pdf') when 1 then array('_ANON.txt', '_ANON.pdf', '_ANON_REVIEW.pdf') when 2 then array('_ANON.txt', '_ANON_2.pdf') else array('_ANON.docx', '_ANON_VISUAL.pdf') end")
+    listing = _part(spark, sf_dir).select(F.lit("f").alias("folder"), F.explode(F.transform(names, lambda x: F.concat(F.lit("a"), F.col("p").cast("string"), x))).alias("name"))
+    files = review.classified(listing)
+    return review.preferred_artefact(files.filter("family in ('anon_txt', 'anon_docx')"), files, listing).select("name", "artefact")
+
+
+@query("words_under_boxes", "SELECT p_partkey AS page, concat('w', p_partkey) AS word FROM part WHERE p_partkey % 7 = 0")
+def words_under_boxes(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("doc_id"), F.col("p_partkey").alias("page"))
+    word = lambda text, x: p.select("doc_id", "page", F.concat(F.lit(text), F.col("page").cast("string")).alias("word"), F.lit(x).alias("x0"), F.lit(2.0).alias("y0"), F.lit(x + 6).alias("x1"), F.lit(8.0).alias("y1"))
+    words = word("w", 502.0).unionByName(word("v", 540.0)).unionByName(word("u", 1.0))
+    return scoring.words_under(scoring.over_redaction(_fills(spark, sf_dir), _chars(spark, sf_dir)), words).select("page", "word")
+
+
+@query("doc_details", """WITH s AS (SELECT p_partkey AS p, p_partkey % 50 AS doc_id, p_partkey % 5 AS n, CASE WHEN p_partkey % 3 = 0 THEN 'keep' ELSE 'must' END AS expect FROM part)
+SELECT doc_id, count(*) FILTER (expect = 'must') AS must, count(*) FILTER (expect = 'must' AND n = 4) AS covered,
+  coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) FILTER (expect = 'must' AND n IN (1, 2, 3)), '') AS "partial", coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) FILTER (expect = 'must' AND n = 0), '') AS "full",
+  coalesce(string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) FILTER (expect = 'keep' AND n > 0), '') AS keep_redacted, '' AS residue, count(*) FILTER (p % 7 = 0) AS over_rects,
+  count(*) FILTER (expect = 'must' AND n = 4 AND p % 4 < 2) AS regex, count(*) FILTER (expect = 'must' AND n = 4 AND p % 4 IN (1, 2)) AS ner, count(*) FILTER (expect = 'must' AND n = 4 AND p % 4 = 3) AS unknown FROM s GROUP BY doc_id""")
+def doc_details(spark, sf_dir):
+    chars, fills = _chars(spark, sf_dir), _fills(spark, sf_dir)
+    scores = scoring.span_scores(scoring.char_status(chars, fills))
+    scores = scores.withColumn("expect", scoring.expectation(F.when(F.col("span_id") % 3 == 0, "public_figure").otherwise("pesel")))
+    label = F.explode(F.expr("case span_id % 4 when 0 then array('PESEL') when 1 then array('PESEL', 'NER_PERSON', 'NER_ORG') when 2 then array('NER_ORG') else cast(array() as array<string>) end"))
+    layers = scores.select("doc_id", "span_id", label.alias("label")).withColumn("layer", scoring.layer(F.col("label")))
+    out = scoring.doc_details(scores, layers, scoring.over_redaction(fills, chars))
+    listed = [F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("partial", "full", "keep_redacted", "residue")]
+    named = [F.coalesce(F.try_element_at("layers", F.lit(k)), F.lit(0)).alias(n) for k, n in (("regex", "regex"), ("ner", "ner"), ("?", "unknown"))]
+    return out.select("doc_id", "must", "covered", *listed, "over_rects", *named)

@@ -122,3 +122,57 @@ def ocr_words(boxes: DataFrame, zoom: float = 3.0) -> DataFrame:
     from redactica.operators.geometry import confident
 
     return confident(boxes).withColumns({c: F.col(c) / zoom for c in ("x0", "y0", "x1", "y1")})
+
+
+def _typed(v: Column, path: str, kind: str) -> Column:
+    """The value at a path if it is of that kind, as JSON has it: a number is no truth value, nor the other way round."""
+    found = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(found).startswith(kind), found)
+
+
+def selection(text: Column) -> Column:
+    """Struct (labels, pages, strip_signatures) of a sidecar of selected categories.
+
+    labels and pages are null, which means all, unless they are a list of strings, or of whole numbers from 1, that is not empty; one
+    item of another type spoils its list. Signatures are stripped only where it says true. A sidecar that is no object selects nothing."""
+    v = F.try_parse_json(text)
+
+    def listed(name: str, kind: str) -> Column:
+        items = F.try_variant_get(_typed(v, f"$.{name}", "ARRAY"), "$", "array<variant>")
+        return F.when((F.size(items) > 0) & F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x) == kind, F.lit(False))), items)
+
+    labels = F.transform(listed("active_labels", "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    pages = F.transform(listed("active_pages", "BIGINT"), lambda x: F.try_variant_get(x, "$", "bigint"))
+    strip = F.coalesce(F.try_variant_get(_typed(v, "$.strip_signatures", "BOOLEAN"), "$", "boolean"), F.lit(False))
+    in_order = lambda a: F.array_sort(F.array_distinct(a))
+    return F.struct(in_order(labels).alias("labels"), F.when(F.forall(pages, lambda p: p >= 1), in_order(pages)).alias("pages"), strip.alias("strip_signatures"))
+
+
+def manual_edits(text: Column) -> Column:
+    """Struct (removed, added) of a sidecar of manual edits, each a list of boxes (page, label, x0, y0, x1, y1).
+
+    A removed box is a list of six values, an added one an object; entries of another shape, or without a number where one belongs, are
+    skipped. An added box of an unknown label, or of none, is a plain manual one."""
+    v, names = F.try_parse_json(text), ("page", "label", "x0", "y0", "x1", "y1")
+
+    def entries(name: str, kind: str, at: Callable[[int], str]) -> Column:
+        items = F.coalesce(F.try_variant_get(_typed(v, f"$.{name}", "ARRAY"), "$", "array<variant>"), F.expr("cast(array() as array<variant>)"))
+        if kind == "ARRAY":
+            items = F.filter(items, lambda x: F.coalesce(F.size(F.try_variant_get(x, "$", "array<variant>")) == 6, F.lit(False)))
+        shaped = F.filter(items, lambda x: F.coalesce(F.schema_of_variant(x).startswith(kind), F.lit(False)))
+        kinds = ("bigint", "string", *["double"] * 4)
+        boxes = F.transform(shaped, lambda x: F.struct(*[F.try_variant_get(x, at(i), k).alias(n) for i, (n, k) in enumerate(zip(names, kinds, strict=True))]))
+        return F.filter(boxes, lambda b: b["page"].isNotNull() & b["x0"].isNotNull() & b["y0"].isNotNull() & b["x1"].isNotNull() & b["y1"].isNotNull())
+
+    known = F.transform(entries("added", "OBJECT", lambda i: f"$.{names[i]}"), lambda b: b.withField("label", F.when(b["label"].isin(*C.MANUAL_LABELS), b["label"]).otherwise(C.MANUAL_LABELS[0])))
+    return F.struct(entries("removed", "ARRAY", lambda i: f"$[{i}]").alias("removed"), known.alias("added"))
+
+
+def stored_suggestions(text: Column) -> Column:
+    """Struct (comparison, narrative, fingerprint, resolved) of a sidecar of suggestions: two objects as JSON and a string, null if they
+    are none, and the ids that were accepted or rejected; other entries are left out."""
+    v = F.try_parse_json(text)
+    said = F.coalesce(F.try_variant_get(_typed(v, "$.resolved", "OBJECT"), "$", "map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    resolved = F.map_filter(F.transform_values(said, lambda k, x: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))), lambda k, x: F.coalesce(x.isin("accepted", "rejected"), F.lit(False)))
+    results = [F.to_json(_typed(v, f"$.{name}_result", "OBJECT")).alias(name) for name in ("comparison", "narrative")]
+    return F.struct(*results, F.try_variant_get(_typed(v, "$.original_text_sha256", "STRING"), "$", "string").alias("fingerprint"), resolved.alias("resolved"))

@@ -207,3 +207,14 @@ def test_dictionary_beyond_ascii(spark):
     assert got == sorted(r[:] for r in want)
     with pytest.raises(ValueError, match="labels"):
         dictionary.labelled_spans(F.col("text"), dictionary.parse("\n".join(f"t{i} = [L{i}]" for i in range(101))))
+
+
+def test_a_dictionary_says_whether_it_was_loaded(spark, tmp_path):
+    good, bad = tmp_path / "good.txt", tmp_path / "bad.txt"
+    good.write_text("Kowalski = [KLIENT]\n")
+    bad.write_text("Kowalski\n")
+    terms, status = dictionary.chosen(spark, str(good))
+    assert [t.label for t in terms] == ["KLIENT"] and status == "loaded"
+    assert dictionary.chosen(spark) == (None, "not selected")
+    assert dictionary.chosen(spark, terms=terms) == (terms, "loaded")
+    assert dictionary.chosen(spark, str(bad)) == dictionary.chosen(spark, str(tmp_path / "none.txt")) == (None, "invalid")
