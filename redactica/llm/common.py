@@ -53,6 +53,10 @@ def _file_system(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    return _file_system(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that nothing reads any more."""
     _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
