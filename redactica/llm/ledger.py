@@ -47,7 +47,7 @@ class Rule(NamedTuple):
 
 #: The three base rules, then two more.
 RULES = {
-    "assign": Rule(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", r"(?i:passw|secret|token|key)[\"' :=]", group=1, least=8),
+    "assign": Rule(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "(?i:passw|secret|token|api_?key)", group=1, least=8),
     "access": Rule(r"AKIA[A-Z0-9]{12,}", "AKIA"),
     "hex": Rule(r"[0-9a-f]{32,}", "[0-9a-f]{32}"),
     "private_key": Rule(r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----", "-----BEGIN "),
