@@ -10,8 +10,8 @@ scanned with, and what they found there, as places and never as values. A run
 3. scans those rows with those rules and appends the outcome to the ledger in one commit: a run that fails adds nothing,
 4. joins the findings of the ledger back to all rows, paths with old blobs among them.
 
-A text moves only to meet the list of what is to be scanned, and not even then when that list is short, as it is when few blobs are
-new: then it is broadcast (`BROADCAST_ROWS`, a checked size). Copies under different ids are dealt by blob and id, so that a hot blob
+A text moves only to meet the list of what is to be scanned, and not even then when few rows are new: then the list is broadcast
+(`FEW`, and a checked size, `BROADCAST_ROWS`). Copies under different ids are dealt by blob and id, so that a hot blob
 is in no single task.
 
 A match is the leftmost one that does not overlap the match before of its rule; matches whose value is too short are dropped after
@@ -34,6 +34,8 @@ from redactica.llm.common import documents, exists, scratch, stored
 
 #: Rows (blob, path) of 40 bytes that are broadcast at most.
 BROADCAST_ROWS = 100_000
+#: The share of all rows that the list may be to be broadcast, as one in so many.
+FEW = 8
 FINDINGS = "array<struct<rule:string,start:int,end:int>>"
 
 
@@ -98,7 +100,7 @@ def extend(docs: DataFrame, ledger: str, rules: dict[str, Rule] = RULES, id_col:
     rows = stored(docs.select(F.col(f"`{id_col}`").alias("path"), *marks), "versions")
     todo = stored(pending(rows, ledger, rules), "pending")
     if n := todo.count():
-        way = "broadcast" if n <= BROADCAST_ROWS else "shuffle_hash"
+        way = "broadcast" if n <= min(BROADCAST_ROWS, rows.count() // FEW) else "shuffle_hash"
         picked = docs.select(*marks, F.coalesce(text, F.lit("")).alias("text")).join(todo.hint(way), ["blob", "own"])
         each = [F.when(F.array_contains("missing", key) & F.col("text").rlike(r.sign), found_by(name, r, F.col("text"))).otherwise(_none()) for key, (name, r) in zip(named(rules), rules.items(), strict=True)]
         scanned = picked.select("blob", F.col("missing").alias("rules"), F.concat(*each).alias("findings"))

@@ -70,7 +70,7 @@ def test_ledger_ways_agree_and_empty(spark, tmp_path, monkeypatch):
     rng = random.Random(2)
     docs = frame(spark, [(i % 40, secret_text(rng)) for i in range(120)])
     want = sorted(map(str, ledger.scan(docs, str(tmp_path / "a")).collect()))
-    monkeypatch.setattr(ledger, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ledger, "FEW", 1)
     assert sorted(map(str, ledger.scan(docs, str(tmp_path / "b")).collect())) == want
     assert ledger.scan(docs.limit(0), str(tmp_path / "c")).count() == 0 and not (tmp_path / "c").exists()
 
