@@ -1,9 +1,8 @@
 """Private dictionaries: parsing, one longest-first alternation, counting, masking and spans, all on columns.
 
 A dictionary is configuration: its terms are checked against MOST_TERMS and become one literal pattern that is compiled once per task;
-of each match the patterns of the labels say which it is. A larger dictionary, or one of more labels than MOST_LABELS, is a table, and
-meets the texts in an equality join (spans_by_join). Letters match as the pattern's engine says, whatever the case: the join only
-chooses candidates by a coarser folding, and the term's own pattern decides.
+of each match the patterns of the labels say which it is. A larger dictionary, or one of more labels than MOST_LABELS, is a table;
+`automaton` finds its terms.
 """
 
 from __future__ import annotations
@@ -100,7 +99,7 @@ def labelled_spans(text: Column, terms: list[Term]) -> Column:
     for t in ordered(terms):
         by_label.setdefault(t.label, []).append(t)
     if len(by_label) > MOST_LABELS:
-        raise ValueError(f"over {MOST_LABELS} labels; a table of terms can be joined")
+        raise ValueError(f"over {MOST_LABELS} labels; a table of terms has no such bound")
 
     def label(value: Column) -> Column:
         name = F.lit(next(reversed(by_label), None)).cast("string")  # what no other label's pattern takes is of the last
@@ -123,33 +122,3 @@ def counts(docs: DataFrame, text: Column, terms: list[Term], *keep: str) -> Data
 
 def masked(text: Column, terms: list[Term]) -> Column:
     return S.spliced(text, labelled_spans(text, terms), lambda x: F.concat(F.lit("["), x["label"], F.lit("]")))
-
-
-def folded(value: Column) -> Column:
-    """At least as coarse as any matching that ignores case: both cases, single blanks, and the letters whose cases are not of one length."""
-    plain = F.trim(F.regexp_replace(F.translate(value, "\u0130\u1e9e\u0131", "i\u00dfi"), java(r"\s+"), " "))
-    return F.lower(F.translate(F.upper(plain), "\u212a\u2126\u212b", "K\u03a9\u00c5"))
-
-
-def spans_by_join(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows (doc_id, s, e, label) for a dictionary of any size: a table (key, label), joined by equality.
-
-    Words and single marks are the atoms of keys and texts. Runs of as many atoms of the documents (doc_id, text) as some key has,
-    with blanks but no line break between, are the other side of the join. Of the hits of a document the leftmost count, the longest
-    first, as with the pattern."""
-    text, atom = F.col("text"), java(r"\w+|[^\w\s]")
-    sizes = [r.n for r in terms.select(F.size(S.found(F.col("key"), atom)).alias("n")).filter("n > 0").distinct().orderBy("n").collect()]
-    atoms = docs.select("doc_id", "text", S.spans(text, atom).alias("w")).withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w")))).filter("size(w) > 0")
-    fitting = F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.size("w") - F.col("i") + 1)
-    runs = atoms.withColumn("n", F.explode(fitting))
-    runs = runs.select("doc_id", F.element_at("w", F.col("i"))["s"].alias("s"), F.element_at("w", F.col("i") + F.col("n") - 1)["e"].alias("e"), "text")
-    value = F.substring(text, F.col("s") + 1, F.col("e") - F.col("s"))
-    keyed = runs.select("doc_id", "s", "e", value.alias("v")).filter(~F.col("v").rlike(r"[\r\n]"))
-    own = F.concat(F.lit(r"(?iu)\A\Q"), F.regexp_replace(F.replace(F.trim("key"), F.lit("\\E"), F.lit(r"\E\\E\Q")), java(r"\s+"), r"\\E\\s+\\Q"), F.lit(r"\E\z"))
-    named = terms.select(folded(F.col("key")).alias("fold"), own.alias("own"), "label")
-    hits = keyed.withColumn("fold", folded(F.col("v"))).join(named, "fold")
-    hits = hits.filter(F.regexp(F.regexp_replace("v", java(r"\s+"), " "), F.col("own")))
-    found = F.array_sort(F.collect_list(F.struct("s", (-F.col("e")).alias("back"), "e", "label")))
-    kind = "array<struct<s:int,back:int,e:int,label:string>>"
-    kept = F.aggregate("all", S.empty(kind), lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] < F.try_element_at(acc, F.lit(-1))["e"]), acc).otherwise(F.concat(acc, F.array(x))))
-    return hits.groupBy("doc_id").agg(found.alias("all")).select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.s", "x.e", "x.label")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
 from redactica.functions.regex import java
-from redactica.operators import audit, cascade, detect, dictionary, geometry, model_review, reports, retrieval, review, rollup, scoring
+from redactica.operators import audit, automaton, cascade, detect, dictionary, geometry, model_review, reports, retrieval, review, rollup, scoring
 from redactica.plans.fixtures import CURRENT_YEAR, notes, spread
 from redactica.plans.more import P, _part
 from redactica.plans.queries import MASKED_TEXT, SQL, K, _chars, _fills, query, table, when
@@ -167,8 +167,8 @@ def dictionary_foreign(spark, sf_dir):
 
 @query("dictionary_joined", f"SELECT label, CAST(count(*) * m AS BIGINT) AS n FROM {P}, (VALUES ('ULICA', 1), ('OSOBA', 3), ('MIEJSCE', 1), ('FORMA', 1), ('KLIENT', 2)) v(label, m) GROUP BY label, m")
 def dictionary_joined(spark, sf_dir):
-    terms = spark.createDataFrame([(t.term, t.label) for t in dictionary.parse(FOREIGN)], "key string, label string")
-    return dictionary.spans_by_join(_foreign(spark, sf_dir), terms).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    terms = spark.createDataFrame([(t.term, t.label) for t in dictionary.parse(FOREIGN)], "term string, label string")
+    return automaton.spans(_foreign(spark, sf_dir), terms).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- batches --------------------------------------------------------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from redactica.functions import catalogue as C
 from redactica.functions import spans as S
 from redactica.functions.regex import java, python
-from redactica.operators import audit, cascade, detect, dictionary
+from redactica.operators import audit, automaton, cascade, detect, dictionary
 
 TABLE = "NIP\nREGON\n526-000-12-46\n012345678"
 GOLDEN = [
@@ -131,26 +131,26 @@ def test_no_value_leaves_the_engine(spark):
     assert "Borow" not in rows and "Lipowa" not in rows
 
 
-def test_large_dictionary_by_join(spark):
+def test_large_dictionary(spark):
     terms = dictionary.parse("alfa = [A]\nalfa beta = [B]\nbeta gamma = [C]\nŻółć = [D]")
     texts = ["Alfa  beta gamma, alfa\nbeta", "żółć alfabeta alfa-beta", "", None, "beta gamma beta\tgamma 😀 alfa"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    table = spark.createDataFrame([(t.key, t.label) for t in terms], "key string, label string")
-    got = sorted(r[:] for r in dictionary.spans_by_join(docs, table).collect())
+    table = spark.createDataFrame([(t.term, t.label) for t in terms], "term string, label string")
+    got = sorted(r[:] for r in automaton.spans(docs, table).collect())
     want = docs.select("doc_id", F.explode(dictionary.labelled_spans(F.col("text"), terms)).alias("x")).select("doc_id", "x.s", "x.e", "x.label").collect()
     assert got == sorted(r[:] for r in want) and len(got) > 6
 
 
-def test_large_dictionary_by_join_finds_marks_and_long_terms(spark):
+def test_large_dictionary_finds_marks_and_long_terms(spark):
     long = "a b c d e f g h i j"
     terms = dictionary.parse(f"Nowak-Kowalska = [A]\nSp. z o.o. = [B]\n{long} = [C]\nC++ = [D]\n-x = [E]\nz = [F]\n😀 k. = [G]")
     texts = ["Anna NOWAK-KOWALSKA, Acme sp. z  o.o., Nowak - Kowalska", f"{long} k", "C++ c+ xC++ C++y", "a-x a-xy --x", "sp.\nz o.o. 😀 K.😀\nk.", "...", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    table = spark.createDataFrame([(t.key, t.label) for t in terms], "key string, label string")
-    got = sorted(r[:] for r in dictionary.spans_by_join(docs, table).collect())
+    table = spark.createDataFrame([(t.term, t.label) for t in terms], "term string, label string")
+    got = sorted(r[:] for r in automaton.spans(docs, table).collect())
     want = docs.select("doc_id", F.explode(dictionary.labelled_spans(F.col("text"), terms)).alias("x")).select("doc_id", "x.s", "x.e", "x.label").collect()
     assert got == sorted(r[:] for r in want) and {r[3] for r in got} == set("ABCDEFG")
-    assert dictionary.spans_by_join(docs, table.limit(0)).count() == 0
+    assert automaton.spans(docs, table.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("n", [0, 1, 256, 257, 1000])
@@ -201,8 +201,8 @@ def test_dictionary_beyond_ascii(spark):
     assert native[5] == "[E] Kowalski - Nowak" and native[6] == "[F] j" and native[7] == "[G] \\E" and native[2].startswith("[B] [B]") and native[9] is None
     for i in (0, 1, 3, 4, 5, 6, 7):
         assert cascade.substitute(FOREIGN_TEXTS[i], 2026, terms)[0] == native[i]
-    table = spark.createDataFrame([(t.term, t.label) for t in terms], "key string, label string")
-    got = sorted(r[:] for r in dictionary.spans_by_join(docs, table).collect())
+    table = spark.createDataFrame([(t.term, t.label) for t in terms], "term string, label string")
+    got = sorted(r[:] for r in automaton.spans(docs, table).collect())
     want = docs.select("doc_id", F.explode(dictionary.labelled_spans(F.col("text"), terms)).alias("x")).select("doc_id", "x.s", "x.e", "x.label").collect()
     assert got == sorted(r[:] for r in want)
     with pytest.raises(ValueError, match="labels"):
