@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from redactica.operators import automaton
-from redactica.plans.fixtures import spread
-from redactica.plans.queries import documents, query, table
+from redactica.operators import automaton, cascade, detect
+from redactica.plans.fixtures import CURRENT_YEAR, listing, listing_sql, spread
+from redactica.plans.more import P
+from redactica.plans.queries import K, documents, query, table
+from redactica.sources import writers
 
 # --- dictionaries -----------------------------------------------------------------------------------------------------------------
 
@@ -44,3 +46,50 @@ def dictionary_records(spark, sf_dir):
     terms = term(t("customer"), F.col("c_name"), "KLIENT").unionByName(term(t("supplier"), F.col("s_name"), "DOSTAWCA")).unionByName(term(t("part"), F.col("p_name"), "TOWAR"))
     terms = terms.unionByName(term(t("part"), F.substring_index("p_name", " ", 1), "CECHA")).distinct()
     return automaton.masked(docs, terms).select("doc_id", F.explode("counters").alias("label", "n"))
+
+
+# --- dates that stay --------------------------------------------------------------------------------------------------------------
+
+#: (text before the date, whether the date stays) by k % 8.
+HEADS = (
+    ("'Ustawa. Z dnia '", True),
+    ("'Ustawa o czynszu. Nowa z dnia '", False),
+    ("'przepisy ustawy i kodeksu z  dnia '", True),
+    ("'Z dnia '", False),
+    ("'Dyrektywa! rozporządzenie z dnia '", True),
+    ("concat('Ustawa ', repeat('o czynszu ', 16), 'z dnia ')", False),
+    ("concat('KONWENCJA', chr(10), 'Z DNIA ')", True),
+    ("'ustawa. Przepis; kodeks? Z dnia '", True),
+)
+_HEAD = "CASE k % 8 " + " ".join(f"WHEN {n} THEN {t}" for n, (t, _) in enumerate(HEADS)) + " END"
+
+
+@query("kept_dates_heads", "SELECT CAST(k % 8 AS INT) AS head, count(*) AS docs, count(*) FILTER (k % 8 IN (" + ", ".join(str(n) for n, (_, kept) in enumerate(HEADS) if not kept) + f")) AS in_columns, count(*) FILTER (k % 8 IN ({', '.join(str(n) for n, (_, kept) in enumerate(HEADS) if not kept)})) AS in_cascade FROM {K} GROUP BY 1")
+def kept_dates_heads(spark, sf_dir):
+    """Dates after many heads, masked or not by both forms of the one rule."""
+    rows = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
+    docs = rows.select(F.col("k").alias("doc_id"), (F.col("k") % 8).cast("int").alias("head"), F.expr(f"concat({_HEAD.replace('chr(10)', chr(39) + chr(92) + 'n' + chr(39))}, cast(k % 28 + 1 as string), ' maja 2004 r.')").alias("text"))
+    native = docs.select("doc_id", "head", F.size(detect.label_spans(F.col("text"), "DATA", CURRENT_YEAR)).alias("a"))
+    masked = cascade.masked(docs, CURRENT_YEAR).select("doc_id", F.coalesce(F.try_element_at("counters", F.lit("DATA")), F.lit(0)).alias("b"))
+    return native.join(masked, "doc_id").groupBy("head").agg(F.count(F.lit(1)).alias("docs"), F.sum("a").cast("long").alias("in_columns"), F.sum("b").cast("long").alias("in_cascade"))
+
+
+# --- names ------------------------------------------------------------------------------------------------------------------------
+
+_STEM = "CASE WHEN p % 3 = 1 THEN 'skan' ELSE concat('umowa', cast(p as varchar(20))) END"
+_MORE = f"SELECT concat('f', cast(p_partkey % 7 as varchar(20))) AS folder, concat({_STEM.replace('p %', 'p_partkey %').replace('cast(p ', 'cast(p_partkey ')}, '_RAPORT_', cast(p_partkey % 9 + 4 as varchar(20)), '.txt') AS name, CAST(1 AS BIGINT) AS bytes FROM part WHERE p_partkey % 3 < 2"
+_TO_NAME = f"SELECT concat('f', cast(p % 7 as varchar(20))) AS folder, {_STEM} AS stem, CASE WHEN e = 2 THEN 'docx' ELSE 'txt' END AS ext, p * 10 + e AS doc_id"
+
+
+@query("masked_names", f"""WITH l AS ({listing_sql()} UNION ALL {_MORE}),
+t AS (SELECT DISTINCT folder, regexp_extract(name, '^(.+)_(ANON|RAPORT|REVIEW_CHECKLIST)(_[0-9]+)?[.]txt$', 1) AS stem, CASE WHEN x = '' THEN 1 ELSE CAST(substr(x, 2) AS BIGINT) END AS n
+  FROM (SELECT *, regexp_extract(name, '^(.+)_(ANON|RAPORT|REVIEW_CHECKLIST)(_[0-9]+)?[.]txt$', 3) AS x FROM l WHERE regexp_matches(name, '^(.+)_(ANON|RAPORT|REVIEW_CHECKLIST)(_[0-9]+)?[.]txt$'))),
+d AS ({_TO_NAME} FROM (SELECT p, unnest(range(p % 4 + 1)) AS e FROM {P})),
+r AS (SELECT *, row_number() OVER (PARTITION BY folder, stem ORDER BY ext, doc_id) AS k FROM d),
+f AS (SELECT folder, stem, n, row_number() OVER (PARTITION BY folder, stem ORDER BY n) AS k FROM (SELECT folder, stem, unnest(range(1, c + m + 1)) AS n FROM (SELECT folder, stem, count(*) AS c, (SELECT count(*) FROM t WHERE t.folder = d.folder AND t.stem = d.stem) AS m FROM d GROUP BY 1, 2)) ANTI JOIN t USING (folder, stem, n))
+SELECT folder, doc_id, concat(CASE WHEN ext = 'docx' THEN '' ELSE 'txt/' END, stem, '_ANON', CASE WHEN n = 1 THEN '' ELSE concat('_', n) END, '.', ext) AS name FROM r JOIN f USING (folder, stem, k)""")
+def masked_names(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    there = listing(spark, sf_dir).unionByName(spark.sql(_MORE.replace("FROM part", "FROM {part}"), part=part))
+    docs = spark.sql(f"{_TO_NAME} FROM (SELECT p_partkey AS p, explode(sequence(0, p_partkey % 4)) AS e FROM {{part}})", part=part)
+    return writers.masked_names(docs, there).select("folder", "doc_id", "name")

@@ -1,18 +1,15 @@
-"""Sinks: masked text, reports, checklists, manifests, exports and collision-safe names. All write through Spark's committers."""
+"""Sinks: masked text, reports, checklists, manifests, exports and collision-safe names. All write through Spark's committers, or those of `named`."""
 
 from __future__ import annotations
 
-import re
-import uuid
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
+from redactica.functions.ranks import running
 from redactica.operators import review, rollup
+from redactica.sources import named
+from redactica.sources.scratch import stored
 
 
 def masked_table(masked: DataFrame, path: str) -> None:
@@ -20,45 +17,27 @@ def masked_table(masked: DataFrame, path: str) -> None:
     masked.write.mode("errorifexists").parquet(path)
 
 
-def named_files(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes rows (name, content: binary) as files of these names and returns (name, size); each task writes its own files straight into
-    the folder, a URI that all machines reach. A file appears whole under its name, so a task that runs again only writes it again."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder)
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                path = f"{root}/{name}"
-                if not re.fullmatch(r"(?:[^/\\]+/)?[^/\\]+", name) or ".." in name.split("/"):
-                    raise ValueError("a name is that of a file, in one subfolder at most")
-                system.create_dir(path.rpartition("/")[0], recursive=True)
-                made = f"{path}.{uuid.uuid4().hex}.tmp"
-                with system.open_output_stream(made) as out:
-                    out.write(content.as_buffer())
-                system.move(made, path)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.cast(pc.binary_length(batch.column(1)), pa.int64())], ["name", "size"])
-
-    return rows.select("name", "content").filter("content is not null").mapInArrow(each, "name string, size long")
-
-
 def masked_names(docs: DataFrame, listing: DataFrame) -> DataFrame:
-    """Adds `name` to documents (folder, stem, ext): <stem>_ANON.docx for DOCX, else txt/<stem>_ANON.txt, with the first number that is
-    free in the folder's listing. Of documents with one stem the numbers go on."""
+    """Adds `number` and `name` to documents (folder, stem, ext): <stem>_ANON.docx for DOCX, else txt/<stem>_ANON.txt, the documents of
+    one stem taking, in order, the numbers that no companion in the folder's listing has. A stem may have very many documents."""
     families = ("anon_txt", "anon_docx", "report", "checklist")
-    free = free_suffix(docs, listing, families).withColumn("first", F.when(F.col("suffix") == "", 1).otherwise(F.expr("try_cast(substring(suffix, 2) as int)")))
-    w = Window.partitionBy("folder", "stem").orderBy(*[c for c in docs.columns if c in ("position", "ext", "doc_id")])
-    rows = docs.join(free, ["folder", "stem"]).withColumn("number", F.col("first") + F.row_number().over(w) - 1)
+    order = [c for c in ("position", "ext", "doc_id") if c in docs.columns]
+    ranked = running(docs, ["folder", "stem"], order, "_rank")
+    taken = review.classified(listing).filter(F.col("family").isin(*families)).select("folder", "stem", "generation").distinct()
+    # so many numbers below a taken one are free
+    holes = running(taken, ["folder", "stem"], ["generation"], "_j").select("folder", "stem", (F.col("generation") - 1 - F.col("_j")).alias("_rank"))
+    both = ranked.withColumn("_taken", F.lit(0)).unionByName(holes.withColumn("_taken", F.lit(1)), allowMissingColumns=True)
+    counted = running(both, ["folder", "stem"], ["_rank", F.desc("_taken")], "_below", F.col("_taken")).filter("_taken = 0")
+    rows = counted.withColumn("number", F.col("_rank") + 1 + F.col("_below"))
     suffix = F.when(F.col("number") == 1, "").otherwise(F.concat(F.lit("_"), F.col("number").cast("string")))
     name = F.when(F.col("ext") == "docx", output_name(F.col("stem"), "anon_docx", suffix)).otherwise(F.concat(F.lit("txt/"), output_name(F.col("stem"), "anon_txt", suffix)))
-    return rows.withColumn("name", name).drop("suffix", "first", "number")
+    return rows.withColumn("name", name).select(*docs.columns, "number", "name")
 
 
 def masked_files(masked: DataFrame, listing: DataFrame, folder: str) -> DataFrame:
     """Writes masked documents (folder, stem, ext, text, content) under their names: the text, or for DOCX the masked copy in `content`."""
     bytes_ = F.when(F.col("ext") == "docx", F.col("content")).otherwise(F.encode("text", "UTF-8"))
-    return named_files(masked_names(masked, listing).select("name", bytes_.alias("content")), folder)
+    return named.write(stored(masked_names(masked, listing).select("name", bytes_.alias("content")), "named"), folder)
 
 
 def output_name(stem: Column, family: str, suffix: Column) -> Column:
