@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPANS = "array<struct<s:int,e:int>>"
+SPAN, LINED = "struct<s:int,e:int>", "struct<s:int,e:int,line:int>"
+SPANS = f"array<{SPAN}>"
+#: Noncharacters, which mark matches.
+MARKS = "\ufdd0\ufdd1\ufdd2"
 #: Matches that are appended to one array; more are put together from blocks, as appending copies what is there.
 BLOCK = 256
 
@@ -24,31 +27,70 @@ def _pair(a: str, x: Column, b: str, y: Column) -> Column:
     return F.named_struct(F.lit(a), x, F.lit(b), y)
 
 
-def spans(text: Column, pattern: str | Column) -> Column:
-    """Spans of all matches of a pattern that matches no empty string: what lies between the matches, and they, add up."""
-    m = found(text, pattern)
-    sizes = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(m)), m, lambda a, b: _pair("g", F.length(a), "m", F.length(b)))
+def _blocks(items: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["pos"] + x["g"]
-        e = s + x["m"]
-        return _pair("pos", e, "out", F.concat(acc["out"], F.array(_pair("s", s, "e", e))))
 
-    def few(part: Column, start: Column) -> Column:
-        return F.aggregate(part, _pair("pos", start, "out", empty()), step, lambda acc: acc["out"])
+def scan(items: Column, state: Column, kind: str, step, last=None) -> Column:
+    """A fold over an array that gives out elements of a kind on its way: step(state, x) is the next state and an array of what comes
+    out, last(state) what comes out in the end. What has come out is appended block by block, so the time is about linear."""
+
+    def one(acc: Column, x: Column) -> Column:
+        after, out = step(acc["state"], x)
+        return _pair("state", after, "out", F.concat(acc["out"], out))
+
+    def few(block: Column, before: Column) -> Column:
+        return F.aggregate(block, _pair("state", before, "out", empty(f"array<{kind}>")), one)
+
+    def ended(acc: Column) -> Column:
+        return acc["out"] if last is None else F.concat(acc["out"], last(acc["state"]))
+
+    def many(acc: Column, block: Column) -> Column:
+        return once(few(block, acc["state"]), lambda r: _pair("state", r["state"], "out", F.concat(acc["out"], F.array(r["out"]))))
+
+    def whole(all_: Column) -> Column:
+        blocks = F.aggregate(_blocks(all_), _pair("state", state, "out", empty(f"array<array<{kind}>>")), many, lambda acc: _pair("state", acc["state"], "out", F.flatten(acc["out"])))
+        return F.when(F.size(all_) <= BLOCK, ended(few(all_, state))).otherwise(once(blocks, ended))
+
+    return once(items, whole)
+
+
+def first_at(items: Column, place: Column, field: str = "s") -> Column:
+    """How many elements of an array, sorted by a field, lie before a place."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(items) + 1)).cast("int"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = ((acc["lo"] + acc["hi"]) / 2).cast("int")
+        lower = F.element_at(items, F.least(mid + 1, F.size(items)))[field] < place
+        return F.when(acc["lo"] >= acc["hi"], acc).when(lower, _pair("lo", mid + 1, "hi", acc["hi"])).otherwise(_pair("lo", acc["lo"], "hi", mid))
+
+    return F.when(F.size(items) == 0, 0).otherwise(F.aggregate(steps, _pair("lo", F.lit(0), "hi", F.size(items)), halve, lambda acc: acc["lo"]))
+
 
-    def many(blocks: Column) -> Column:
-        totals = F.transform(blocks, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + x["g"] + x["m"]))
-        starts = F.aggregate(totals, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
-        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), few))
+def spans(text: Column, pattern: str | Column, lines: bool = False) -> Column:
+    """Spans of all matches of a pattern that matches no empty string; with `lines` they have the number of line breaks before them too.
 
-    def cut(all_: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda b: F.slice(all_, b * BLOCK + 1, F.lit(BLOCK)))
+    One search marks the matches, and the pieces between the marks add up to places. The marks are code points that no text is to hold;
+    in one that does, they stand for a third such code point."""
+    first, last, other = MARKS
+    clean = F.when(F.contains(text, F.lit(first)) | F.contains(text, F.lit(last)), F.translate(text, first + last, other * 2)).otherwise(text)
+    marked = F.regexp_replace(clean, F.lit(pattern) if isinstance(pattern, str) else pattern, F.lit(f"{first}$0{last}"))
+    parts = F.split(marked, first, -1)  # what is before the first match, and each match with what follows it
+    breaks = (lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))) if lines else (lambda x: F.lit(0))
+
+    def pair(a: Column, b: Column) -> Column:
+        return F.named_struct(F.lit("g"), F.length(a) - F.instr(a, last), F.lit("m"), F.instr(b, last) - 1, F.lit("n"), breaks(a))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        s, line = at["s"] + x["g"], at["e"] + x["n"]
+        span = F.named_struct(F.lit("s"), s, F.lit("e"), s + x["m"], F.lit("line"), line) if lines else _pair("s", s, "e", s + x["m"])
+        return _pair("s", s + x["m"], "e", line), F.array(span)
 
     def of(all_: Column) -> Column:
-        return F.when(F.size(all_) <= BLOCK, few(all_, F.lit(0))).otherwise(once(cut(all_), many))
+        sizes = F.zip_with(F.slice(all_, F.lit(1), F.size(all_) - 1), F.slice(all_, F.lit(2), F.size(all_) - 1), pair)
+        return F.when(F.size(all_) <= 1, empty(f"array<{LINED if lines else SPAN}>")).otherwise(scan(sizes, _pair("s", F.lit(0), "e", F.lit(0)), LINED if lines else SPAN, step))
 
-    return once(sizes, of)
+    return F.when(text.isNull(), F.lit(None)).otherwise(once(parts, of))
 
 
 def once(value: Column, f) -> Column:
@@ -72,17 +114,45 @@ def overlaps(a: Column, b: Column) -> Column:
 def merged(sorted_spans: Column) -> Column:
     """Overlapping spans (touching ones not) become one."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (x["s"] < F.try_element_at(acc, F.lit(-1))["e"]), joined).otherwise(F.concat(acc, F.array(x)))
+    def step(open_: Column, x: Column) -> tuple[Column, Column]:
+        goes_on = open_.isNotNull() & (x["s"] < open_["e"])
+        joined = _pair("s", open_["s"], "e", F.greatest(open_["e"], x["e"]))
+        return F.when(goes_on, joined).otherwise(_pair("s", x["s"], "e", x["e"])), F.when(open_.isNull() | goes_on, empty()).otherwise(F.array(open_))
+
+    return scan(sorted_spans, F.lit(None).cast(SPAN), SPAN, step, lambda open_: F.when(open_.isNull(), empty()).otherwise(F.array(open_)))
+
+
+def disjoint(sorted_spans: Column, kind: str) -> Column:
+    """Of spans sorted by their start, each that begins where or after the last one that stays has ended."""
+    return scan(sorted_spans, F.lit(0), kind, lambda end, x: (F.when(x["s"] >= end, x["e"]).otherwise(end), F.when(x["s"] >= end, F.array(x)).otherwise(empty(f"array<{kind}>"))))
+
+
+def free_of(taken: Column, x: Column) -> Column:
+    """Whether a span overlaps none of disjoint, sorted ones."""
+    n = first_at(taken, x["s"])
+    clear = once(n, lambda k: ((k == 0) | (F.try_element_at(taken, F.greatest(k, F.lit(1)))["e"] <= x["s"])) & ((k == F.size(taken)) | (F.try_element_at(taken, k + 1)["s"] >= x["e"])))
+    return F.when(F.size(taken) <= 16, ~F.exists(taken, lambda y: overlaps(x, y))).otherwise(clear)
+
+
+def ranked_claims(found: Column, kind: str, ranks: int, overlapping: tuple[int, ...] = ()) -> Column:
+    """Of spans with a rank (r) those that overlap none of a lower rank that stays, sorted; those of a rank in `overlapping` may overlap
+    each other, and the first of them stays. A rank at a time, and each span is looked up among those that stay by halving."""
+
+    def step(taken: Column, rank: Column) -> Column:
+        def of(new: Column) -> Column:
+            left = F.filter(new, lambda x: (x["s"] < x["e"]) & free_of(taken, x))
+            left = F.when(rank.isin(*overlapping), disjoint(F.array_sort(left), kind)).otherwise(left) if overlapping else left
+            return F.when(F.size(new) == 0, taken).otherwise(F.array_sort(F.concat(taken, left)))
+
+        return once(F.filter(found, lambda x: x["r"] == rank), of)
 
-    return F.aggregate(sorted_spans, empty(), step)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ranks - 1)), empty(f"array<{kind}>"), step)
 
 
-def first_claim(sorted_spans: Column, kind: str) -> Column:
-    """Keeps, in order, every span that overlaps none kept before."""
-    return F.aggregate(sorted_spans, empty(kind), lambda acc, x: F.when(F.exists(acc, lambda y: overlaps(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+def first_claim(ranked_spans: Column, kind: str) -> Column:
+    """Keeps, in order, every span that overlaps none kept before. `ranked_claims` does so without the square of
+    their number."""
+    return F.aggregate(ranked_spans, empty(kind), lambda acc, x: F.when(F.exists(acc, lambda y: overlaps(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
 
 
 def spliced(text: Column, sorted_spans: Column, mark) -> Column:

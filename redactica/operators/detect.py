@@ -49,7 +49,10 @@ def kept_date(text: Column, span: Column, current_year: int) -> Column:
 
 def label_spans(text: Column, label: str, current_year: int) -> Column:
     found = S.spans(text, detector(label))
-    return F.filter(found, lambda x: ~kept_date(text, x, current_year)) if label == "DATA" else found
+    if label != "DATA":
+        return found
+    # one by one only where a text has a date in words or the words before an act's date
+    return F.when(text.rlike(java(rf"z\s+dnia\s|{C.MONTHS}", True)), F.filter(found, lambda x: ~kept_date(text, x, current_year))).otherwise(found)
 
 
 def label_counts(docs: DataFrame, text: Column, current_year: int, labels: Iterable[str] = tuple(C.DETECTORS), keep: Iterable[str] = ()) -> DataFrame:
@@ -81,16 +84,21 @@ def organisations(text: Column) -> Column:
 
 
 def table_pairs(text: Column, label: str) -> Column:
-    """Values (s, e) claimed by bare labels: each takes the nearest free value after it, a few lines ahead at most."""
-    lined = lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), S.line_of(text, x["s"]).alias("line"))
-    labels = F.transform(S.spans(text, java(C.BARE_LABEL[label], True)), lined)
-    values = F.transform(S.spans(text, java(C.BARE_VALUE[label])), lined)
+    """Values (s, e) claimed by bare labels: each takes the nearest free value after it, a few lines ahead at most.
 
-    def claim(out: Column, x: Column) -> Column:
-        free = F.filter(values, lambda v: (v["s"] >= x["s"]) & (v["line"] - x["line"] <= C.TABLE_LINES_AHEAD) & ~F.exists(out, lambda o: o["s"] == v["s"]))
-        return F.when(F.size(free) > 0, F.concat(out, F.transform(F.slice(free, 1, 1), lambda v: F.struct(v["s"].alias("s"), v["e"].alias("e"))))).otherwise(out)
+    Labels go forward, so the values that are taken end with the last one taken: that is all that one label tells the next."""
+    labels, values = S.spans(text, java(C.BARE_LABEL[label], True), lines=True), S.spans(text, java(C.BARE_VALUE[label]), lines=True)
 
-    return F.aggregate(labels, S.empty(), claim)
+    def claims(free: Column) -> Column:
+        def claim(last: Column, x: Column) -> tuple[Column, Column]:
+            k = F.greatest(S.first_at(free, x["s"]) + 1, last + 1)
+            near = S.once(F.try_element_at(free, k), lambda v: F.when(v["line"] - x["line"] <= C.TABLE_LINES_AHEAD, F.array(F.struct(v["s"].alias("s"), v["e"].alias("e")))).otherwise(S.empty()))
+            return F.when(F.try_element_at(free, k)["line"] - x["line"] <= C.TABLE_LINES_AHEAD, k).otherwise(last), near
+
+        return S.scan(labels, F.lit(0), S.SPAN, claim)
+
+    needed = text.rlike(java(C.BARE_LABEL[label], True))
+    return F.when(needed, S.once(values, claims)).otherwise(S.empty())
 
 
 def town_names(text: Column) -> Column:

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from redactica.operators import automaton, cascade, detect
-from redactica.plans.fixtures import CURRENT_YEAR, listing, listing_sql, spread
+from redactica.operators import automaton, cascade, claims, detect
+from redactica.plans.fixtures import CURRENT_YEAR, listing, listing_sql, notes, spread
+from redactica.plans.further import letters
 from redactica.plans.more import P
-from redactica.plans.queries import K, documents, query, table
+from redactica.plans.queries import MASKED, K, documents, per_label, query, table
 from redactica.sources import writers
 
 # --- dictionaries -----------------------------------------------------------------------------------------------------------------
@@ -93,3 +94,42 @@ def masked_names(spark, sf_dir):
     there = listing(spark, sf_dir).unionByName(spark.sql(_MORE.replace("FROM part", "FROM {part}"), part=part))
     docs = spark.sql(f"{_TO_NAME} FROM (SELECT p_partkey AS p, explode(sequence(0, p_partkey % 4)) AS e FROM {{part}})", part=part)
     return writers.masked_names(docs, there).select("folder", "doc_id", "name")
+
+
+# --- first claim and pairing in columns ---------------------------------------------------------------------------------------------
+
+
+@query("claims_in_columns", f"SELECT label, 'regex' AS source, n FROM ({per_label(MASKED)}) WHERE n > 0")
+def claims_in_columns(spark, sf_dir):
+    return claims.claimed(notes(spark, sf_dir), CURRENT_YEAR).groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("letter_claims", f"SELECT label, CAST(sum(n) AS BIGINT) AS n FROM (SELECT unnest(['POSTAL_CODE', 'MIEJSCOWOSC', 'NAZWA_FIRMY', 'ULICA', 'DATA']) AS label, unnest([1, CASE WHEN k % 6 = 4 THEN 1 ELSE 2 END, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END, CASE WHEN k % 4 = 1 THEN 1 ELSE 0 END, CASE WHEN k % 7 = 3 THEN 1 ELSE 0 END]) AS n FROM {K}) GROUP BY label")
+def letter_claims(spark, sf_dir):
+    return claims.claimed(letters(spark, sf_dir), CURRENT_YEAR).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Labels (N) and values (v) on lines of their own, by k % 6: which value, from 0, each label takes.
+_LAYOUTS = (("NNvv", (0, 1)), ("vNv", (1,)), ("N.....v", ()), ("N....vNv", (1,)), ("NvNN", (0,)), ("NN...v.v", (0,)))
+_LINE = {"N": "'NIP'", ".": "'-'"}
+
+
+def _layout(parts: str) -> str:
+    values, lines = 0, []
+    for c in parts:
+        lines.append(_LINE.get(c) or f"concat('526', lpad(cast(k % 1000 as varchar(20)), 3, '0'), '124', '{values}')")
+        values += c == "v"
+    return "concat_ws(chr(10), " + ", ".join(lines) + ")"
+
+
+_TAKEN = "CASE k % 6 " + " ".join(f"WHEN {n} THEN '{','.join(map(str, taken))}'" for n, (_, taken) in enumerate(_LAYOUTS)) + " END"
+
+
+@query("pairing_layouts", f"SELECT k AS doc_id, {_TAKEN} AS taken FROM {K}")
+def pairing_layouts(spark, sf_dir):
+    """Which values bare labels claim, by their last digit, in layouts with free, far, shared and missing values."""
+    rows = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")))
+    text = "CASE k % 6 " + " ".join(f"WHEN {n} THEN {_layout(parts)}" for n, (parts, _) in enumerate(_LAYOUTS)) + " END"
+    docs = rows.select(F.col("k").alias("doc_id"), F.expr(text.replace("chr(10)", "'\\n'").replace("varchar(20)", "string")).alias("text"))
+    digits = F.transform(detect.table_pairs(F.col("text"), "NIP"), lambda x: F.substring(F.col("text"), x["e"], F.lit(1)))
+    return docs.select("doc_id", F.array_join(digits, ",").alias("taken"))
