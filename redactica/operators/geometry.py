@@ -1,4 +1,4 @@
-"""Words, spans and rectangles. Every join is an equi-join on (doc_id, page) with a range condition, so pages stay apart."""
+"""Words, spans and rectangles. Pages stay apart, and on a page only what is near meets: offsets by bins, boxes by cells of grids."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
+from redactica.functions import grid
 from redactica.functions.regex import java
 
 PAGE = ["doc_id", "page"]
@@ -51,7 +52,7 @@ def safe_padding(text: Column, hyphen_at_start: bool) -> Column:
 
 def span_words(placed: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows (span_id, doc_id, page, label, *word) of the words under each span (span_id, doc_id, page, label, s, e) that maps to words."""
-    hit = spans.join(placed, PAGE).filter((F.col("end") > F.col("s")) & (F.col("start") < F.col("e")))
+    hit = grid.overlapping(spans, placed, PAGE, ("s", "e"), ("start", "end"))
     w = Window.partitionBy(*PAGE, "span_id")
     first = F.min(F.struct("start", "end", "text")).over(w)
     last = F.max(F.struct("start", "end", "text")).over(w)
@@ -92,7 +93,7 @@ def span_status(spans: DataFrame, rects: DataFrame, kept: DataFrame, removed: Da
 def trimmed(rects: DataFrame, glyphs: DataFrame) -> DataFrame:
     """Boxes (rect_id, ...) pulled back from glyphs that they graze, unless that would uncover a glyph they cover."""
     g = glyphs.select(*PAGE, *[F.col(c).alias(f"g{c}") for c in ("x0", "y0", "x1", "y1")])
-    hit = rects.join(g, PAGE).filter("least(gx1, x1) > greatest(gx0, x0) and least(gy1, y1) > greatest(gy0, y0)")
+    hit = grid.meeting(rects, g, PAGE, "least(gx1, x1) > greatest(gx0, x0) and least(gy1, y1) > greatest(gy0, y0)", b_box=("gx0", "gy0", "gx1", "gy1"))
     mid, covered = "(gy0 + gy1) / 2", "(gy0 + gy1) / 2 between y0 and y1"
     edges = hit.groupBy("rect_id").agg(
         F.expr(f"count_if({covered})").alias("n"),
@@ -110,8 +111,10 @@ def overlapping(rects: DataFrame, areas: DataFrame) -> DataFrame:
     """Boxes that share a line with an area: overlap sideways, and over half of the lower height in common."""
     a = areas.select(*PAGE, *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
     shorter = "least(y1 - y0, ay1 - ay0)"
-    cond = F.expr(f"x0 < ax1 and ax0 < x1 and {shorter} > 0 and least(y1, ay1) - greatest(y0, ay0) > 0.5 * {shorter}")
-    return rects.join(a, (rects["doc_id"] == a["doc_id"]) & (rects["page"] == a["page"]) & cond, "left_semi")
+    cond = f"x0 < ax1 and ax0 < x1 and {shorter} > 0 and least(y1, ay1) - greatest(y0, ay0) > 0.5 * {shorter}"
+    sides = ["x0", "y0", "x1", "y1"]
+    met = grid.meeting(rects.select(*PAGE, *sides).distinct(), a, PAGE, cond, b_box=("ax0", "ay0", "ax1", "ay1"))
+    return rects.join(met.select(*PAGE, *sides).distinct(), [*PAGE, *sides], "left_semi")
 
 
 def visible(automatic: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:

@@ -100,25 +100,47 @@ def narrative_suggestions(answers: DataFrame, answer: str = "response", most: st
     return rows.select("doc_id", "status", "f.confidence", "f.category", "f.sentence_indices")
 
 
-def word_run(haystack: Column, needle: Column) -> Column:
-    """0-based place of the first run of words, in exact case or else in any; null if there is none."""
+def _words(sentence: str) -> Column:
+    return F.filter(F.split(sentence, java(r"\s+")), lambda w: w != "")
 
-    def at(h: Column, n: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(h) - F.size(n) + 1, F.lit(1))), lambda i: F.slice(h, i, F.size(n)) == n)
-        return F.try_element_at(starts, F.lit(1)) - 1
 
-    low = lambda a: F.transform(a, F.lower)
-    return F.when((F.size(needle) > 0) & (F.size(needle) <= F.size(haystack)), F.coalesce(at(haystack, needle), at(low(haystack), low(needle))))
+def _runs(rows: DataFrame, of: list[str], top: int) -> DataFrame:
+    """Rows (*of, i, k, exact, any) of words (*of, i, text): hashes of the run of 2^k words from place i, in exact case and in any, for
+    k up to `top`; a run is made of two runs of half its length."""
+    along = Window.partitionBy(*of).orderBy("i")
+    now = rows.withColumns({"e0": F.xxhash64(F.lit(1), "text"), "a0": F.xxhash64(F.lit(2), F.lower("text"))})
+    for k in range(top):
+        for c in "ea":
+            later = F.lead(f"{c}{k}", 1 << k).over(along)
+            now = now.withColumn(f"{c}{k + 1}", F.when(later.isNotNull(), F.xxhash64(f"{c}{k}", later)))
+    every = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"e{k}").alias("exact"), F.col(f"a{k}").alias("any")) for k in range(top + 1)])
+    return now.select(*of, "i", every.alias("runs"))
 
 
 def located(suggestions: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds page and word to suggestions (doc_id, id, sentence): the first page whose words hold the sentence unbroken.
-
-    pages has rows (doc_id, page, words)."""
-    place = word_run(F.col("words"), F.filter(F.split("sentence", java(r"\s+")), lambda w: w != ""))
-    hits = suggestions.join(pages, "doc_id").withColumn("at", place).filter("at is not null")
-    first = hits.groupBy("doc_id", "id").agg(F.min(F.struct("page", "at")).alias("p")).select("doc_id", "id", "p.page", F.col("p.at").alias("word"))
-    return suggestions.join(first, ["doc_id", "id"], "left")
+    """Adds page and word to suggestions (doc_id, id, sentence): the first page whose words hold the sentence unbroken, and there the first
+    place in exact case, or else in any.
+
+    pages has rows (doc_id, page, words). Two runs of a power of two words, which overlap, make up a sentence: the index has the hashes
+    of all such runs that the document's sentences need, a sentence looks its first one up, and its last one stands where it must."""
+    asked = suggestions.select("doc_id", "id", _words("sentence").alias("w")).withColumn("n", F.size("w")).filter("n > 0").withColumn("k", F.floor(F.log2("n")).cast("int"))
+    top = asked.agg(F.max("k")).first()[0] or 0
+    own = _runs(asked.select("doc_id", "id", F.posexplode("w").alias("i", "text")), ["doc_id", "id"], top)
+    ends = own.join(asked.select("doc_id", "id", "n", "k"), ["doc_id", "id"]).withColumn("off", F.col("n") - F.pow(F.lit(2), F.col("k")).cast("int"))
+    run = lambda c: F.element_at("runs", F.col("k") + 1)[c]
+    first = ends.filter("i = 0").select("doc_id", "id", "k", "off", run("exact").alias("e1"), run("any").alias("any"))
+    last = ends.filter("i = off").select("doc_id", "id", run("exact").alias("e2"), run("any").alias("any2"))
+    wanted = first.join(last, ["doc_id", "id"])
+
+    needed = asked.groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
+    words = pages.join(needed, "doc_id").select("doc_id", "page", "ks", F.posexplode("words").alias("i", "text"))
+    index = _runs(words.select("doc_id", "page", "i", "text", "ks"), ["doc_id", "page", "ks"], top)
+    index = index.select("doc_id", "page", "i", F.explode(F.filter("runs", lambda r: F.array_contains("ks", r["k"]) & r["any"].isNotNull())).alias("r")).select("doc_id", "page", "i", "r.*")
+    begun = index.join(wanted, ["doc_id", "k", "any"]).withColumn("at", F.col("i")).withColumn("begin", F.col("exact") == F.col("e1"))
+    begun = begun.select("doc_id", "id", "page", "at", "begin", "k", "e2", (F.col("at") + F.col("off")).alias("i"), F.col("any2").alias("any"))
+    hits = begun.join(index, ["doc_id", "page", "k", "i", "any"]).select("doc_id", "id", "page", (~(F.col("begin") & (F.col("exact") == F.col("e2")))).alias("folded"), "at")
+    best = hits.groupBy("doc_id", "id").agg(F.min(F.struct("page", "folded", "at")).alias("p")).select("doc_id", "id", "p.page", F.col("p.at").alias("word"))
+    return suggestions.join(best, ["doc_id", "id"], "left")
 
 
 def suggestion_rects(suggestions: DataFrame, placed: DataFrame) -> DataFrame:
@@ -129,7 +151,7 @@ def suggestion_rects(suggestions: DataFrame, placed: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", "page").orderBy("block_no", "line_no", "word_no")
     words = placed.withColumn("i", F.row_number().over(order) - 1)
     pages = words.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda w: w["text"]).alias("words"))
-    n = F.size(F.filter(F.split("sentence", java(r"\s+")), lambda w: w != ""))
+    n = F.size(_words("sentence"))
     at = located(suggestions.filter("kind = 'missed_redaction'").withColumn("n", n), pages).filter("word is not null").select("doc_id", "id", "page", "word", "n")
     hit = at.join(words, ["doc_id", "page"]).filter((F.col("i") >= F.col("word")) & (F.col("i") < F.col("word") + F.col("n")))
     boxes = geometry.line_rects(hit.select(F.col("id").alias("span_id"), "doc_id", "page", F.col("id").alias("label"), "block_no", "line_no", "start", "x0", "y0", "x1", "y1"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
+from redactica.functions import grid
 
 
 def expectation(tag: Column, enabled: tuple[str, ...] = ()) -> Column:
@@ -44,13 +45,14 @@ def char_status(chars: DataFrame, fills: DataFrame, glyphs: DataFrame | None = N
     With the output's glyphs a character leaks if the same glyph is still there; without, if no fill covers its centre."""
     c = _centred(chars)
     f = fills.select("doc_id", "page", *[F.col(k).alias(f"f{k}") for k in ("x0", "y0", "x1", "y1")])
-    key = ["doc_id", "span_id", "i"]
-    cover = c.join(f, ["doc_id", "page"]).filter(inside("cx", "cy", "f")).select(key).distinct().withColumn("covered", F.lit(True))
+    key, centre = ["doc_id", "span_id", "i"], ("cx", "cy", "cx", "cy")
+    cover = grid.meeting(c, f, ["doc_id", "page"], inside("cx", "cy", "f"), centre, ("fx0", "fy0", "fx1", "fy1"), C.POINT_TOLERANCE).select(key).distinct().withColumn("covered", F.lit(True))
     rows = c.join(cover, key, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
     if glyphs is None:
         return rows.withColumn("leaked", ~F.col("covered"))
-    g = glyphs.select("doc_id", "page", F.col("c").alias("gc"), *[F.col(k).alias(f"g{k}") for k in ("x0", "y0", "x1", "y1")])
-    still = c.join(g, (c["doc_id"] == g["doc_id"]) & (c["page"] == g["page"]) & (c["c"] == g["gc"]) & inside("cx", "cy", "g", C.GLYPH_TOLERANCE), "left_semi").select(key).withColumn("leaked", F.lit(True))
+    g = glyphs.select("doc_id", "page", "c", *[F.col(k).alias(f"g{k}") for k in ("x0", "y0", "x1", "y1")])
+    met = grid.meeting(c, g, ["doc_id", "page", "c"], inside("cx", "cy", "g", C.GLYPH_TOLERANCE), centre, ("gx0", "gy0", "gx1", "gy1"), C.GLYPH_TOLERANCE)
+    still = met.select(key).distinct().withColumn("leaked", F.lit(True))
     return rows.join(still, key, "left").withColumn("leaked", F.coalesce("leaked", F.lit(False)))
 
 
@@ -66,8 +68,10 @@ def layer(label: Column) -> Column:
 
 def over_redaction(fills: DataFrame, chars: DataFrame) -> DataFrame:
     """Fills that touch no key character."""
-    c = _centred(chars).select(F.col("doc_id").alias("cd"), F.col("page").alias("cp"), "cx", "cy")
-    return fills.join(c, (F.col("doc_id") == F.col("cd")) & (F.col("page") == F.col("cp")) & inside("cx", "cy", ""), "left_anti")
+    c = _centred(chars).select("doc_id", "page", "cx", "cy").distinct()
+    box = ["doc_id", "page", "x0", "y0", "x1", "y1"]
+    met = grid.meeting(c, fills.select(box).distinct(), ["doc_id", "page"], inside("cx", "cy", ""), ("cx", "cy", "cx", "cy"), tolerance=C.POINT_TOLERANCE)
+    return fills.join(met.select(box).distinct(), box, "left_anti")
 
 
 def doc_summary(scores: DataFrame) -> DataFrame:
@@ -85,8 +89,9 @@ def doc_summary(scores: DataFrame) -> DataFrame:
 
 def words_under(over: DataFrame, words: DataFrame) -> DataFrame:
     """Rows (doc_id, page, word): source words (doc_id, page, word, box) with their centre in a fill of over_redaction, once for each."""
-    w = _centred(words).select(F.col("doc_id").alias("wd"), F.col("page").alias("wp"), "word", "cx", "cy")
-    return over.join(w, (F.col("doc_id") == F.col("wd")) & (F.col("page") == F.col("wp")) & inside("cx", "cy", "")).select("doc_id", "page", "word")
+    w = _centred(words).select("doc_id", "page", "word", "cx", "cy")
+    boxes = over.select("doc_id", "page", "x0", "y0", "x1", "y1")
+    return grid.meeting(w, boxes, ["doc_id", "page"], inside("cx", "cy", ""), ("cx", "cy", "cx", "cy"), tolerance=C.POINT_TOLERANCE).select("doc_id", "page", "word")
 
 
 def doc_details(scores: DataFrame, layers: DataFrame, over: DataFrame) -> DataFrame:

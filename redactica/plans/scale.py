@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from redactica.operators import automaton, cascade, claims, detect
-from redactica.plans.fixtures import CURRENT_YEAR, listing, listing_sql, notes, spread
+from redactica.functions import catalogue as C
+from redactica.functions import grid
+from redactica.operators import automaton, cascade, claims, detect, geometry, model_review, retrieval, scoring
+from redactica.plans.fixtures import CURRENT_YEAR, listing, listing_sql, notes, spread, words, words_sql
 from redactica.plans.further import letters
 from redactica.plans.more import P
-from redactica.plans.queries import MASKED, K, documents, per_label, query, table
+from redactica.plans.queries import MASKED, SQL, K, _chars, _fills, documents, per_label, query, table
 from redactica.sources import writers
 
 # --- dictionaries -----------------------------------------------------------------------------------------------------------------
@@ -133,3 +135,81 @@ def pairing_layouts(spark, sf_dir):
     docs = rows.select(F.col("k").alias("doc_id"), F.expr(text.replace("chr(10)", "'\\n'").replace("varchar(20)", "string")).alias("text"))
     digits = F.transform(detect.table_pairs(F.col("text"), "NIP"), lambda x: F.substring(F.col("text"), x["e"], F.lit(1)))
     return docs.select("doc_id", F.array_join(digits, ",").alias("taken"))
+
+
+# --- retrieval --------------------------------------------------------------------------------------------------------------------
+
+_CHUNKS = SQL["chunks"].replace("\nSELECT CAST(doc_id", ",\np AS (SELECT CAST(doc_id").replace("sha256(piece) AS text_sha256", "piece") + ")"
+_TOKENS = r"list_transform(list_filter(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+'), lambda x: length(x) >= 2), lambda x: lower(x))"
+
+
+@query("retrieve_blocks", f"""{_CHUNKS},
+x AS (SELECT source_file, chunk_index, {_TOKENS.format('piece')} AS ws FROM p),
+i AS (SELECT source_file, chunk_index, len(ws) AS n, token, count(*) AS tf FROM (SELECT *, unnest(ws) AS token FROM x) GROUP BY ALL),
+q AS (SELECT q_id, token, count(*) AS asked FROM (SELECT item_id AS q_id, unnest({_TOKENS.format('text')}) AS token FROM benchmark) GROUP BY ALL),
+s AS (SELECT q_id, source_file, chunk_index, sum((1 + ln(tf)) * asked) / (1 + ln(n)) AS score FROM i JOIN q USING (token) GROUP BY q_id, source_file, chunk_index, n)
+SELECT q_id, rank, source_file, chunk_index, score FROM (SELECT q_id, source_file, chunk_index, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, source_file, chunk_index) AS INT) AS rank FROM s) WHERE rank <= 3""")
+def retrieve_blocks(spark, sf_dir):
+    """The three best chunks of all documents for each benchmark text, taken as a question."""
+    pieces = retrieval.chunks(documents(spark, sf_dir), "doc_id")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("question"))
+    found, _ = retrieval.top_k_blocks(retrieval.block_index(pieces), asked, 3)
+    return found.select("q_id", "rank", "source_file", "chunk_index", F.round("score", 6).alias("score"))
+
+
+# --- sentences on pages -------------------------------------------------------------------------------------------------------------
+
+
+@query("sentence_places", f"""WITH w AS (SELECT doc_id, page, line_no * 12 + word_no AS i, text FROM ({words_sql()})),
+p AS (SELECT doc_id, page, list(text ORDER BY i) AS ws FROM w GROUP BY ALL),
+q AS (SELECT doc_id, page AS asked, CASE WHEN page % 2 = 0 THEN lower(array_to_string(ws[5 : 4 + page % 9 + 2], ' ')) ELSE array_to_string(ws[5 : 4 + page % 9 + 2], ' ') END AS s FROM p WHERE len(ws) >= 16),
+h AS (SELECT q.doc_id, q.asked, w.page, w.i, array_to_string(p.ws[w.i + 1 : w.i + len(string_split(q.s, ' '))], ' ') AS t, q.s FROM q JOIN w ON w.doc_id = q.doc_id AND lower(w.text) = lower(string_split(q.s, ' ')[1]) JOIN p ON p.doc_id = w.doc_id AND p.page = w.page),
+b AS (SELECT doc_id, asked, min({{'page': page, 'folded': t <> s, 'i': i}}) AS m FROM h WHERE lower(t) = lower(s) GROUP BY ALL)
+SELECT doc_id, asked, m.page AS page, CAST(m.i AS INT) AS word FROM b""")
+def sentence_places(spark, sf_dir):
+    """Runs of two to ten words of every page, every other one in lower case, and where they come first in their document."""
+    rows = words(spark, sf_dir).groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "word_no", "text"))), lambda x: x["text"]).alias("words"))
+    run = F.array_join(F.slice("words", F.lit(5), F.col("page") % 9 + 2), " ")
+    asked = rows.filter("size(words) >= 16").select("doc_id", F.col("page").alias("id"), F.when(F.col("page") % 2 == 0, F.lower(run)).otherwise(run).alias("sentence"))
+    found = model_review.located(asked, rows)
+    return found.select("doc_id", F.col("id").alias("asked"), "page", F.col("word").cast("int").alias("word"))
+
+
+# --- offsets and boxes --------------------------------------------------------------------------------------------------------------
+
+
+_MARKS = C.SAFE_PADDING.replace("'", "''")
+
+
+@query("spans_cut_words", f"""WITH w AS (SELECT *, line_no * 12 + word_no AS i FROM ({words_sql()})),
+m AS (SELECT doc_id, page FROM w WHERE i = 5 AND length(text) >= 2 AND contains('{_MARKS}', right(text, 1)) INTERSECT SELECT doc_id, page FROM w WHERE i = 2)
+SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM w JOIN m USING (doc_id, page) WHERE i BETWEEN 2 AND 5 GROUP BY doc_id, page, line_no""")
+def spans_cut_words(spark, sf_dir):
+    """Spans that end one character short of their last word have boxes where that character is a mark."""
+    placed = geometry.word_pages(words(spark, sf_dir))
+    i = F.col("line_no") * 12 + F.col("word_no")
+    ends = placed.groupBy("doc_id", "page").agg(F.max(F.when(i == 2, F.col("start"))).alias("s"), F.max(F.when((i == 5) & (F.length("text") >= 2), F.col("end") - 1)).alias("e")).filter("e is not null and s is not null")
+    spans = ends.select(F.xxhash64("doc_id", "page").alias("span_id"), "doc_id", "page", F.lit("X").alias("label"), "s", "e")
+    return geometry.line_rects(geometry.span_words(placed, spans)).select("doc_id", "page", "x0", "y0", "x1", "y1")
+
+
+@query("glyph_scores", """WITH c AS (SELECT p_partkey AS p, unnest(range(4)) AS i FROM part), s AS (SELECT p, i, i < p % 5 AS covered, CASE p % 4 WHEN 0 THEN true WHEN 1 THEN i >= 2 WHEN 2 THEN false ELSE i = 3 END AS leaked FROM c)
+SELECT p AS span_id, count(*) FILTER (leaked) AS leaked, count(*) FILTER (leaked AND covered) AS residue, CASE count(*) FILTER (leaked) WHEN 0 THEN 'covered' WHEN 4 THEN 'full' ELSE 'partial' END AS status FROM s GROUP BY p""")
+def glyph_scores(spark, sf_dir):
+    """The output still has all, some or none of the glyphs; where another glyph stands in their place, they are gone."""
+    chars, fills = _chars(spark, sf_dir), _fills(spark, sf_dir)
+    i, p = F.col("i"), F.col("page")
+    stays = F.when(p % 4 == 0, F.lit(True)).when(p % 4 == 1, i >= 2).when(p % 4 == 2, F.lit(False)).otherwise(i == 3)
+    glyphs = chars.select("doc_id", "page", F.when(stays, F.col("c")).otherwise("#").alias("c"), (F.col("x0") + 0.4).alias("x0"), "y0", (F.col("x1") + 0.4).alias("x1"), "y1")
+    return scoring.span_scores(scoring.char_status(chars, fills, glyphs)).select("span_id", "leaked", "residue", "status")
+
+
+@query("crowded_page", "WITH b AS (SELECT o_orderkey AS k, CAST(o_orderkey % 200 * 5 AS DOUBLE) AS x0, CAST(o_orderkey // 200 * 10 AS DOUBLE) AS y0 FROM orders) SELECT a.k, count(*) AS n FROM b a JOIN b c ON abs(a.x0 - c.x0) < 8 AND abs(a.y0 - c.y0) < 10 AND 10 - abs(a.y0 - c.y0) > 5 GROUP BY a.k")
+def crowded_page(spark, sf_dir):
+    """All boxes on one page, and how many each shares a line and a place with."""
+    k = F.col("o_orderkey")
+    boxes = table(spark, sf_dir, "orders").select(F.lit(1).alias("doc_id"), F.lit(1).alias("page"), k.alias("k"), (k % 200 * 5).cast("double").alias("x0"), (F.floor(k / 200) * 10).cast("double").alias("y0"))
+    boxes = boxes.withColumns({"x1": F.col("x0") + 8, "y1": F.col("y0") + 10})
+    other = boxes.select("doc_id", "page", F.col("k").alias("k2"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
+    met = grid.meeting(boxes, other, ["doc_id", "page"], "x0 < ax1 and ax0 < x1 and least(y1, ay1) - greatest(y0, ay0) > 5", b_box=("ax0", "ay0", "ax1", "ay1"))
+    return met.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
