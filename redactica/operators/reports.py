@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
+from redactica.functions.ranks import running
 from redactica.operators import review
 
 NOTE_BEGIN, NOTE_END = "--- manual edits ---", "--- end of manual edits ---"
@@ -26,22 +27,40 @@ def report(status: Column, ext: Column, counters: Column, risk: Column, findings
     return F.concat_ws("\n", *lines)
 
 
-def batch_report(files: DataFrame) -> DataFrame:
-    """Rows (batch, text): one summary of each batch, of files (batch, position, name, error, risk_level, masked)."""
-    line = F.struct("position", F.concat(F.lit("* "), review.safe_name(F.col("name")), F.lit(": "), F.when(F.col("error").isNotNull(), F.concat(F.lit("error, "), "error")).otherwise(F.concat(F.lit("ok, risk "), "risk_level", F.lit(", masked "), F.col("masked").cast("string")))).alias("line"))
-    rows = files.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNull()).alias("ok"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("lines"))
+#: Characters of one part of a batch's text, about.
+PART_CHARS = 1 << 16
+
+
+def in_parts(lines: DataFrame, order: list, part_chars: int = PART_CHARS) -> DataFrame:
+    """Rows (batch, part, text) of lines (batch, line, columns of `order`): a batch's text in parts, which follow each other with a line
+    break between them. Where a line stands is the sum of the lengths before it, so no batch is in one task or cell."""
+    placed = running(lines, ["batch"], order, "at", F.length("line") + 1)
+    rows = placed.groupBy("batch", F.floor(F.col("at") / part_chars).alias("bin")).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
+    numbered = running(rows.select("batch", "bin", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text")), ["batch"], ["bin"], "part")
+    return numbered.select("batch", F.col("part").cast("int").alias("part"), "text")
+
+
+def _headed(heads: DataFrame, lines: DataFrame) -> DataFrame:
+    return heads.withColumns({"first": F.lit(0), "rank": F.lit(0), "position": F.lit(0).cast("long")}).unionByName(lines.withColumn("first", F.lit(1)))
+
+
+def batch_report(files: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Rows (batch, part, text): one summary of each batch, in parts, of files (batch, position, name, error, risk_level, masked)."""
+    said = F.when(F.col("error").isNotNull(), F.concat(F.lit("error, "), "error")).otherwise(F.concat(F.lit("ok, risk "), "risk_level", F.lit(", masked "), F.col("masked").cast("string")))
+    lines = files.select("batch", F.lit(0).alias("rank"), F.col("position").cast("long").alias("position"), F.concat(F.lit("* "), review.safe_name(F.col("name")), F.lit(": "), said).alias("line"))
+    counts = files.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNull()).alias("ok"))
     head = F.concat(F.lit("Files: "), F.col("n").cast("string"), F.lit("\nDone: "), F.col("ok").cast("string"), F.lit("\nFailed: "), (F.col("n") - F.col("ok")).cast("string"))
-    return rows.select("batch", F.concat(head, F.lit("\n"), "lines").alias("text"))
+    return in_parts(_headed(counts.select("batch", head.alias("line")), lines), ["first", "rank", "position"], part_chars)
 
 
-def batch_checklist(files: DataFrame) -> DataFrame:
-    """Rows (batch, text): what to review of a batch, the riskiest first, and how many files failed; of files as batch_report takes them."""
-    line = F.struct("place", F.concat(F.lit("[ ] "), review.safe_name(F.col("name")), F.lit(" (risk: "), F.coalesce("risk_level", F.lit("unknown")), F.lit(")")).alias("line"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n")
-    done = review.batch_priorities(files).groupBy("batch").agg(body.alias("lines"))
+def batch_checklist(files: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
+    """Rows (batch, part, text): what to review of a batch, in parts, the riskiest first, and how many files failed; of files as
+    batch_report takes them."""
+    line = F.concat(F.lit("[ ] "), review.safe_name(F.col("name")), F.lit(" (risk: "), F.coalesce("risk_level", F.lit("unknown")), F.lit(")"))
+    lines = files.filter("error is null").select("batch", review.risk_rank(F.col("risk_level")).alias("rank"), F.col("position").cast("long").alias("position"), line.alias("line"))
     counts = files.groupBy("batch").agg(F.count_if(F.col("error").isNull()).alias("ok"), F.count_if(F.col("error").isNotNull()).alias("bad"))
     head = F.concat(F.lit("Review: "), F.col("ok").cast("string"), F.lit(", failed: "), F.col("bad").cast("string"))
-    return counts.join(done, "batch", "left").select("batch", F.concat_ws("\n", head, "lines").alias("text"))
+    return in_parts(_headed(counts.select("batch", head.alias("line")), lines), ["first", "rank", "position"], part_chars)
 
 
 def checklist(docs: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def top_k_blocks(index: BlockIndex, questions: DataFrame, k: int = 3, first_bloc
         return parts.select("q_id", "block", "source_file", "chunk_index", (F.col("s") / (1 + F.ln("n_tokens"))).alias("score")).filter("score > 0")
 
     order = (F.desc(F.round("score", 9)), F.lower("source_file"), F.col("chunk_index"))
-    early = stored(_best(blocks, first_blocks, F.desc("bound"), F.col("block")).select("q_id", "block", "n"), "early")
+    early = stored(_best(blocks, max(first_blocks, k), F.desc("bound"), F.col("block")).select("q_id", "block", "n"), "early")
     found = stored(_best(scored(early), k, *order).drop("rank"), "found")
     least = found.groupBy("q_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
     later = blocks.join(early.select("q_id", "block"), ["q_id", "block"], "left_anti").join(least, "q_id", "left")

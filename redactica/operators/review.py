@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
+from redactica.functions.ranks import running
 from redactica.functions.regex import java
 
 
@@ -82,14 +83,14 @@ def risk_rank(risk: Column) -> Column:
 
 def prioritised(items: DataFrame) -> DataFrame:
     """Adds `place`: high risk first, then warnings, ok and unknown, by lower-cased name within each workspace."""
-    w = Window.partitionBy("workspace").orderBy(risk_rank(F.col("risk_level")), F.lower("output_name"), "output_name")
-    return items.withColumn("place", F.row_number().over(w))
+    placed = running(items, ["workspace"], [risk_rank(F.col("risk_level")), F.lower("output_name"), "output_name"], "place")
+    return placed.withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def batch_priorities(files: DataFrame) -> DataFrame:
     """Files of a batch (batch, position, name, error, risk_level) that succeeded, with their place: by risk, then as they came in."""
-    w = Window.partitionBy("batch").orderBy(risk_rank(F.col("risk_level")), "position")
-    return files.filter("error is null").withColumn("place", F.row_number().over(w))
+    placed = running(files.filter("error is null"), ["batch"], [risk_rank(F.col("risk_level")), "position"], "place")
+    return placed.withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def with_status(items: DataFrame, statuses: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
+from redactica.functions.ranks import running
 
 
 def merged(counters: DataFrame, *keys: str) -> DataFrame:
@@ -42,11 +43,11 @@ def batch_summary(files: DataFrame) -> DataFrame:
 
 def batch_result(files: DataFrame, counters: DataFrame, findings: DataFrame, statuses: Iterable[str], risks: Iterable[str] = C.RISK_LEVELS) -> DataFrame:
     """One row per batch: input_count, success_count, error_count, total_masked, and the maps counters, findings (label to sum), errors
-    (text to files), risks and ner (value to files, zero-filled), and `files`: a struct per file, in order of position.
+    (text to files), risks and ner (value to files, zero-filled). The files themselves are rows: batch_files.
 
     files has (batch, doc_id, position, name, error, risk_level, ner_status, masked); counters and findings have (batch, label, n).
     An unknown status of the entity recogniser counts as 'unavailable'. Maps form from sums by key, so only one small row per key
-    and one short row per file meet."""
+    meets."""
     known = [*dict.fromkeys([*statuses, "unavailable"])]
     ner = F.when(F.col("ner_status").isin(*known), F.col("ner_status")).otherwise("unavailable")
 
@@ -58,7 +59,7 @@ def batch_result(files: DataFrame, counters: DataFrame, findings: DataFrame, sta
         keys = F.array(*[F.lit(v) for v in values])
         return F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.try_element_at(F.col(name), k), F.lit(0)))).alias(name)
 
-    counts = files.groupBy("batch").agg(F.count(F.lit(1)).alias("input_count"), F.count_if(F.col("error").isNull()).alias("success_count"), F.count_if(F.col("error").isNotNull()).alias("error_count"), F.coalesce(F.sum("masked"), F.lit(0)).alias("total_masked"), F.array_sort(F.collect_list(F.struct("position", "name", "error", "risk_level", "masked"))).alias("files"))
+    counts = files.groupBy("batch").agg(F.count(F.lit(1)).alias("input_count"), F.count_if(F.col("error").isNull()).alias("success_count"), F.count_if(F.col("error").isNotNull()).alias("error_count"), F.coalesce(F.sum("masked"), F.lit(0)).alias("total_masked"))
     per_file = {"errors": F.col("error"), "risks": F.when(F.col("error").isNull(), F.col("risk_level")), "ner": F.when(F.col("error").isNull(), ner)}
     maps = {"counters": counters.withColumnRenamed("label", "key"), "findings": findings.withColumnRenamed("label", "key")}
     maps |= {k: files.select("batch", c.alias("key"), F.lit(1).cast("long").alias("n")).filter("key is not null") for k, c in per_file.items()}
@@ -66,7 +67,13 @@ def batch_result(files: DataFrame, counters: DataFrame, findings: DataFrame, sta
         counts = counts.join(sums(rows, name), "batch", "left")
     none = F.expr("cast(map() as map<string,bigint>)")
     plain = [F.coalesce(name, none).alias(name) for name in ("counters", "findings", "errors")]
-    return counts.select("batch", "input_count", "success_count", "error_count", "total_masked", *plain, zeros(risks, "risks"), zeros(known, "ner"), "files")
+    return counts.select("batch", "input_count", "success_count", "error_count", "total_masked", *plain, zeros(risks, "risks"), zeros(known, "ner"))
+
+
+def batch_files(files: DataFrame) -> DataFrame:
+    """Rows (batch, place, position, name, error, risk_level, masked): the files of each batch, numbered from 1 in order of position."""
+    rows = running(files.select("batch", "position", "name", "error", "risk_level", "masked"), ["batch"], ["position"], "place")
+    return rows.withColumn("place", F.col("place") + 1)
 
 
 def detected(counters: DataFrame, audit: DataFrame, ner: DataFrame) -> DataFrame:
@@ -90,12 +97,10 @@ def upgraded_status(status: Column, has_gap: Column) -> Column:
 
 def ordered(counters: DataFrame, order: Iterable[str] = (*C.LABELS, *C.NER_LABELS)) -> DataFrame:
     """Adds `place`: labels in the given order first, then the others by name."""
-    from pyspark.sql import Window
-
     known = list(order)
     rank = F.array_position(F.array(*[F.lit(x) for x in known]), F.col("label"))
     rank = F.when(rank > 0, rank).otherwise(len(known) + 1)
-    return counters.withColumn("place", F.row_number().over(Window.orderBy(rank, "label")))
+    return running(counters, [], [rank, "label"], "place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def dictionary_result(labels: DataFrame, hits: DataFrame) -> DataFrame:

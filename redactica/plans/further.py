@@ -186,14 +186,29 @@ def batch_priorities(spark, sf_dir):
     return review.batch_priorities(_files(spark, sf_dir)).select("batch", "name", "place")
 
 
-@query("batch_checklist", f"SELECT batch, concat('Review: ', count(*) FILTER (error IS NULL), ', failed: ', count(*) FILTER (error IS NOT NULL), chr(10), string_agg(concat('[ ] ', name, ' (risk: ', risk_level, ')'), chr(10) ORDER BY {_RANK}, position) FILTER (error IS NULL)) AS text FROM {_FILES} GROUP BY batch")
+#: Few enough characters for several parts of a batch.
+_PART = 2048
+
+
+def _parted(lines: str) -> str:
+    """SQL of the parts of lines (batch, first, rank, position, line)."""
+    return f"""WITH f AS {_FILES}, l AS ({lines}), a AS (SELECT batch, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY batch ORDER BY first, rank, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM l)
+SELECT batch, CAST(dense_rank() OVER (PARTITION BY batch ORDER BY bin) - 1 AS INT) AS part, text FROM (SELECT batch, pos // {_PART} AS bin, string_agg(line, chr(10) ORDER BY pos) AS text FROM a GROUP BY 1, 2)"""
+
+
+@query("batch_checklist", _parted(f"SELECT batch, 0 AS first, 0 AS rank, 0 AS position, concat('Review: ', count(*) FILTER (error IS NULL), ', failed: ', count(*) FILTER (error IS NOT NULL)) AS line FROM f GROUP BY batch UNION ALL SELECT batch, 1, {_RANK}, position, concat('[ ] ', name, ' (risk: ', risk_level, ')') FROM f WHERE error IS NULL"))
 def batch_checklist(spark, sf_dir):
-    return reports.batch_checklist(_files(spark, sf_dir))
+    return reports.batch_checklist(_files(spark, sf_dir), _PART)
 
 
-@query("batch_report", f"SELECT batch, concat('Files: ', count(*), chr(10), 'Done: ', count(*) FILTER (error IS NULL), chr(10), 'Failed: ', count(*) FILTER (error IS NOT NULL), chr(10), string_agg(concat('* ', name, CASE WHEN error IS NULL THEN concat(': ok, risk ', risk_level, ', masked ', masked) ELSE concat(': error, ', error) END), chr(10) ORDER BY position)) AS text FROM {_FILES} GROUP BY batch")
+@query("batch_report", _parted("SELECT batch, 0 AS first, 0 AS rank, 0 AS position, concat('Files: ', count(*), chr(10), 'Done: ', count(*) FILTER (error IS NULL), chr(10), 'Failed: ', count(*) FILTER (error IS NOT NULL)) AS line FROM f GROUP BY batch UNION ALL SELECT batch, 1, 0, position, concat('* ', name, CASE WHEN error IS NULL THEN concat(': ok, risk ', risk_level, ', masked ', masked) ELSE concat(': error, ', error) END) FROM f"))
 def batch_report(spark, sf_dir):
-    return reports.batch_report(_files(spark, sf_dir))
+    return reports.batch_report(_files(spark, sf_dir), _PART)
+
+
+@query("batch_files", f"SELECT batch, name, row_number() OVER (PARTITION BY batch ORDER BY position) AS place FROM {_FILES}")
+def batch_files(spark, sf_dir):
+    return rollup.batch_files(_files(spark, sf_dir)).select("batch", "name", "place")
 
 
 _NER = ("available", "disabled", "model_missing")
@@ -212,7 +227,7 @@ def batch_result(spark, sf_dir):
     counters = files.select("batch", F.lit("PESEL").alias("label"), F.col("masked").cast("long").alias("n"))
     findings = files.select("batch", F.lit("EMAIL").alias("label"), F.when(F.col("p") % 2 == 0, 1).otherwise(0).cast("long").alias("n"))
     done = rollup.batch_result(files, counters, findings, _NER)
-    totals = F.map_from_arrays(F.array(*[F.lit(x) for x in ("input", "success", "error", "masked", "files")]), F.array("input_count", "success_count", "error_count", F.col("total_masked").cast("long"), F.size("files").cast("long")))
+    totals = F.map_from_arrays(F.array(*[F.lit(x) for x in ("input", "success", "error", "masked", "files")]), F.array("input_count", "success_count", "error_count", F.col("total_masked").cast("long"), "input_count"))
     maps = (("counter", F.col("counters")), ("finding", F.col("findings")), ("error", F.col("errors")), ("risk", F.col("risks")), ("ner", F.col("ner")), ("total", totals))
     out = None
     for kind, m in maps:

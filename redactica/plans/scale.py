@@ -14,7 +14,7 @@ from redactica.plans.fixtures import CURRENT_YEAR, listing, listing_sql, notes,
 from redactica.plans.further import letters
 from redactica.plans.more import P
 from redactica.plans.queries import MASKED, SQL, K, _chars, _fills, documents, per_label, query, table
-from redactica.sources import writers
+from redactica.sources import folder, named, scratch, writers
 
 # --- dictionaries -----------------------------------------------------------------------------------------------------------------
 
@@ -213,3 +213,31 @@ def crowded_page(spark, sf_dir):
     other = boxes.select("doc_id", "page", F.col("k").alias("k2"), *[F.col(c).alias(f"a{c}") for c in ("x0", "y0", "x1", "y1")])
     met = grid.meeting(boxes, other, ["doc_id", "page"], "x0 < ax1 and ax0 < x1 and least(y1, ay1) - greatest(y0, ay0) > 5", b_box=("ax0", "ay0", "ax1", "ay1"))
     return met.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- folders ------------------------------------------------------------------------------------------------------------------------
+
+_EXT = "CASE doc_id % 7 WHEN 0 THEN 'TXT' WHEN 1 THEN 'docx' WHEN 2 THEN 'xyz' ELSE 'txt' END"
+
+
+def _folder(spark, sf_dir) -> str:
+    """Documents as files in subfolders: text, text with a broken byte, what is no DOCX, and a kind that nothing reads."""
+    docs = documents(spark, sf_dir)
+    name = F.concat(F.lit("s"), (F.col("doc_id") % 5).cast("string"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit("."), F.expr(_EXT))
+    data = F.encode("text", "UTF-8")
+    path = scratch.folder(spark, "documents")
+    named.write(docs.select(name.alias("name"), F.when(F.col("doc_id") % 7 == 3, F.concat(data, F.unhex(F.lit("FF")))).otherwise(data).alias("content")), path)
+    return path
+
+
+@query("folder_read", f"SELECT lower({_EXT}) AS ext, CASE doc_id % 7 WHEN 1 THEN 'processing' WHEN 2 THEN 'unsupported' WHEN 3 THEN 'decode' END AS error_kind, count(*) AS n, CAST(sum(CASE WHEN doc_id % 7 IN (1, 2, 3) THEN 0 ELSE length(text) END) AS BIGINT) AS chars, CAST(sum(strlen(text) + CASE WHEN doc_id % 7 = 3 THEN 1 ELSE 0 END) AS BIGINT) AS bytes FROM documents GROUP BY ALL")
+def folder_read(spark, sf_dir):
+    rows = folder.files(spark, _folder(spark, sf_dir), part_bytes=8 << 20)
+    return rows.groupBy("ext", "error_kind").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars"), F.sum("size").alias("bytes"))
+
+
+@query("folder_filtered", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, sha256(text) AS hash FROM documents WHERE {_EXT} IN ('TXT', 'txt') AND doc_id % 7 <> 3 AND doc_id % 5 = 2")
+def folder_filtered(spark, sf_dir):
+    """Only files of one subfolder and extension are opened."""
+    rows = folder.files(spark, _folder(spark, sf_dir)).filter(F.col("path").startswith("s2/") & (F.col("ext") == "txt")).filter("error_kind is null")
+    return rows.select(F.regexp_extract("path", r"d(\d+)\.", 1).alias("doc_id"), F.sha2("text", 256).alias("hash"))
