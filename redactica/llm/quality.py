@@ -2,17 +2,20 @@
 
 Trusted text is what labels mark as good. Four fifths of it are counted, the rest sets the thresholds; no row is left out. The model
 is one of 4-grams of characters of any script (lower case, white space collapsed), one for each language with trusted text. A word that
-repeats the word before it is written, with its blank, as one character of its own (`AGAIN`), so the model learns how rare that is in trusted text, and
-text that repeats a word over and over surprises it as noise does. Counts,
-and the shares and backoff weights made of them, are rows by (language, n-gram) and are never gathered. Texts are packed into
+repeats the word before it is not spelled again; instead each word has one more 4-gram, which says whether it is such a repeat and hangs
+on nothing before it. So the model learns how rare repeats are in trusted text, and text that repeats a word over and over surprises it
+as noise does, however long it goes on. Counts, and the shares and backoff weights made of them, are rows by (language, n-gram) and are never gathered. Texts are packed into
 compressed blocks of one language; a block asks for its distinct n-grams only, the answers come by an equality join and meet the
 block's texts again by its number. So what is shuffled is trusted texts, packed texts and the distinct n-grams of each block, and it
-grows with the corpus. Documents are read twice; if they were dealt to other partitions the second time, that is an error.
+grows with the corpus. The blocks are written once and read twice, so a lost executor, or a table that is dealt otherwise when it is
+read again, changes nothing.
 
 A document's mean surprise is drawn towards its language's trusted mean by `PRIOR` symbols, so short texts are not judged by a few
-letters. A document is kept if its perplexity is at most `MARGIN` times its language's quantile of the held-back trusted documents.
+letters. A document is kept if its perplexity is at most its language's quantile of the held-back trusted documents (raised where these are
+few, `SLACK`).
 
-Defined results: null and empty texts have no symbols and the trusted mean, and are kept. Very long texts are read whole. A perplexity
+Defined results: null and empty texts have no symbols and the trusted mean, and are kept. Very long texts are read whole.
+The characters U+E000 to U+E002 of a text are read as U+FFFD. A perplexity
 that equals the threshold is kept. A null language is 'und'. A language without
 both counted and held-back trusted documents uses the model and threshold of all trusted text ('other'). Where that has none either,
 all documents are kept. Repeated rows give a row each; an empty table gives no rows; other columns are ignored, whatever their names.
@@ -35,22 +38,26 @@ from redactica.llm.common import selected, short_batches, stored
 
 PRIOR = 60.0
 QUANTILE = 0.99
-#: How far above the quantile a perplexity may lie: a quantile of few documents is unsure, and noise lies far above it.
-MARGIN = 1.1
+#: A quantile of n documents is raised by this many parts in n: of few it is unsure, and of many it is left as it is.
+SLACK = 3.0
 OTHER = -1
 #: Characters of a block of texts, and of all blocks that a task has open (one for each language); how hard blocks are compressed.
 BLOCK_CHARS, HELD_CHARS, ZSTD = 3_000_000, 18_000_000, 9
 #: Bits of a character, and the characters an unseen one is among.
 BITS, UNICODE = 21, 0x110000
 LAST = (1 << BITS) - 1
-#: From the private use area.
-AGAIN = "\ue000"
+#: What a word is besides its letters: one that repeats the word before, or any other; what they and the filler before them are read
+#: as where they are in a text.
+AGAIN, FRESH, FILL, PLAIN = 0xE000, 0xE001, 0xE002, "\ufffd"
+_MARKS = {AGAIN: PLAIN, FRESH: PLAIN, FILL: PLAIN}
 
 
-def written(text: str | None) -> str:
-    """The text as the model reads it: lower case, single blanks, and AGAIN for a word that repeats the one before and for its blank."""
-    words = text.lower().split() if text else []
-    return "".join([AGAIN if a == b else f" {b}" for a, b in zip(["", *words], words, strict=False)])[1:]
+def written(text: str | None) -> tuple[str, int, int]:
+    """The text as the model reads it, in lower case, with single blanks and without words that repeat the one before; how many of its
+    words do so, and how many do not."""
+    words = text.translate(_MARKS).lower().split() if text else []
+    kept = [b for a, b in zip(["", *words], words, strict=False) if a != b]
+    return " ".join(kept), len(words) - len(kept), len(kept)
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -91,10 +98,12 @@ def _unpacked(data: bytes) -> list:
 
 
 def coded(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(p, q, which, n): first and last two characters of the distinct 4-grams; which of them stand in the texts, in order; how many in each text."""
-    normal = [written(t) for t in texts]
-    n = np.array([len(t) + 1 if t else 0 for t in normal], np.int64)
-    cp = np.frombuffer("".join(f"   {t} " for t in normal if t).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    """(p, q, which, n): first and last two characters of the distinct 4-grams; which of them stand in the texts, in order; how many in
+    each text. After its characters a text has a 4-gram for each word, of three fillers and AGAIN or FRESH."""
+    said = [written(t) for t in texts]
+    n = np.array([len(t) + 1 if t else 0 for t, _, _ in said], np.int64)
+    events = np.array([x[1:] for x in said], np.int64).reshape(-1, 2)
+    cp = np.frombuffer("".join(f"   {t} " for t, _, _ in said if t).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     if not len(cp):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), n
     pair, pairs = pd.factorize(cp[:-1] << BITS | cp[1:])
@@ -104,11 +113,18 @@ def coded(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     code += pair[at + 2]
     del cp, pair, at
     which, codes = pd.factorize(code)
-    p, q = pairs[codes // len(pairs)], pairs[codes % len(pairs)]
+    fill = FILL << BITS
+    p = np.append(pairs[codes // len(pairs)], [fill | FILL] * 2)
+    q = np.append(pairs[codes % len(pairs)], [fill | AGAIN, fill | FRESH])
     order = np.lexsort((q, p))
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
-    return p[order], q[order], rank[which], n
+    own = events.sum(axis=1)
+    before = np.cumsum(own) - own
+    every = np.empty(int(n.sum() + own.sum()), np.int32)
+    every[np.arange(len(which)) + np.repeat(before, n)] = rank[which]
+    every[np.arange(int(own.sum())) + np.repeat(np.cumsum(n), own)] = np.repeat(np.tile(rank[-2:], len(n)), events.ravel())
+    return p[order], q[order], every, n + own
 
 
 def _keys(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -198,8 +214,6 @@ def surprises(blocks: DataFrame, known: DataFrame, number: dict[str, int], other
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         place = right["i"].to_numpy()
-        if not len(place) and left.num_rows:
-            raise ValueError("a block without answers: the documents came in other partitions when they were read again")
         alphas, gammas = right["alpha"].fill_null(0).to_numpy(), right["gamma"].fill_null(1).to_numpy()
         out = []
         for lang, ids, data in zip(left["lang"].to_pylist(), left["ids"].to_pylist(), left["data"], strict=True):
@@ -239,11 +253,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     other = any(r.lang not in number for r in langs.select("lang").distinct().toLocalIterator())
 
     table = stored(model(counted(selected(rows, good.filter(~_held())).select("text", "lang"), number, other)), "model")
-    scored = stored(surprises(packed(rows), table, number, other), "scored")
+    scored = stored(surprises(stored(packed(rows), "blocks"), table, number, other), "scored")
 
     held = scored.join(good.filter(_held()), "id")
     means = held.groupBy("m").agg((F.sum("surprise") / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))
-    limits = perplexity(held.join(F.broadcast(means), "m")).groupBy("m").agg((MARGIN * F.percentile_approx("perplexity", quantile, 10_000)).alias("threshold"))
+    limits = perplexity(held.join(F.broadcast(means), "m")).groupBy("m").agg((F.percentile_approx("perplexity", quantile, 10_000) * (1 + F.lit(SLACK) / F.count(F.lit(1)))).alias("threshold"))
     judged = means.join(limits, "m")
     names = docs.sparkSession.createDataFrame([(k, v) for k, v in number.items()], "lang string, own int")
     out = scored.join(F.broadcast(names), "lang", "left").filter(F.col("m") == F.coalesce("own", F.lit(OTHER))).join(F.broadcast(judged), "m", "left")

@@ -211,3 +211,18 @@ def test_tampering_is_found(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.verified for r in merkle.query(spark, str(tmp_path)).collect()}
     assert got == {d: not (d is not None and zlib.crc32(str(d).encode()) % 3 == 0 and t == "Abc") for d, t, *_ in docs}
+
+
+# --- quality: blocks are written once -------------------------------------------------------------------------------------------
+
+
+def test_quality_of_a_table_that_is_dealt_anew_at_every_reading(spark):
+    from redactica.llm import quality
+
+    rng = random.Random(21)
+    words = ["alpha", "beta", "of", "the", "gamma"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(30)), "en") for i in range(200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(150)], "doc_id long, quality int")
+    want = {r.doc_id: round(r.perplexity, 9) for r in quality.quality(docs, labels).collect()}
+    dealt = docs.repartition(7, F.rand())
+    assert {r.doc_id: round(r.perplexity, 9) for r in quality.quality(dealt, labels).collect()} == want

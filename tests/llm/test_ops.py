@@ -452,8 +452,8 @@ def brute_kneser_ney(texts):
     """ln P of each 4-gram's last character, by interpolated modified Kneser-Ney, in plain dictionaries."""
     counts = defaultdict(int)
     for t in texts:
-        for i in range(len(t) - 3):
-            counts[t[i : i + 4]] += 1
+        for g in t:
+            counts[g] += 1
     level = {4: dict(counts)}
     for k in (3, 2, 1):
         level[k] = defaultdict(int)
@@ -478,7 +478,14 @@ def brute_kneser_ney(texts):
         c = level[k].get(g, 0)
         return (c - (off[k][min(c, 3)] if c else 0)) / sum(seen) + sum(off[k][min(x, 3)] for x in seen) / sum(seen) * below
 
-    return lambda t: sum(-np.log(chance(t[i : i + 4])) for i in range(len(t) - 3))
+    return lambda t: sum(-np.log(chance(g)) for g in t)
+
+
+def four_grams(text):
+    """Those of a text's characters, and one for each word that says whether it repeats the word before."""
+    low, again, fresh = quality.written(text)
+    spelled, fill = f"   {low} " if low else "", chr(quality.FILL) * 3
+    return [spelled[i : i + 4] for i in range(len(spelled) - 3)] + [fill + chr(quality.AGAIN)] * again + [fill + chr(quality.FRESH)] * fresh
 
 
 def test_quality_equals_a_plain_model(spark):
@@ -488,20 +495,20 @@ def test_quality_equals_a_plain_model(spark):
     labels = [(d, 1) for d, _, _ in docs[:150]]
     got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
     held = {r.id for r in spark.range(150).filter(quality._held()).collect()}
-    read = lambda t: f"   {quality.written(t)} " if t else ""
-    symbols = lambda t: len(quality.written(t)) + 1 if t else 0
+    read, symbols = four_grams, lambda t: len(four_grams(t))
     for lang, model in (("a", "a"), ("b", "b"), ("c", "ab")):
         own = [(d, t) for d, t, x in docs if d < 150 and x in model]
         surprise = brute_kneser_ney([read(t) for d, t in own if d not in held])
         kept = [(d, t) for d, t in own if d in held]
         mean = sum(surprise(read(t)) for _, t in kept) / max(1, sum(symbols(t) for _, t in kept))
         worth = lambda t: np.exp((surprise(read(t)) + quality.PRIOR * mean) / (symbols(t) + quality.PRIOR))  # noqa: E731, B023
-        limit = sorted(worth(t) for _, t in kept)[int(np.ceil(quality.QUANTILE * len(kept))) - 1] * quality.MARGIN
+        limit = sorted(worth(t) for _, t in kept)[int(np.ceil(quality.QUANTILE * len(kept))) - 1] * (1 + quality.SLACK / len(kept))
         for d, t, x in docs:
             if x == lang:
                 assert got[d].n_symbols == symbols(t) and abs(got[d].perplexity / worth(t) - 1) < 1e-4 and abs(got[d].threshold / limit - 1) < 1e-4
                 assert got[d].keep == (got[d].perplexity <= got[d].threshold or not symbols(t))
-    assert quality.written(" The the\n the The cat ") == f"the{quality.AGAIN * 3} cat"
+    assert quality.written(" The the\n the The cat ") == ("the cat", 3, 2) and quality.written("\ue000 x\ue001") == ("\ufffd x\ufffd", 0, 2)
+    assert quality.written(None) == quality.written(" ") == ("", 0, 0)
 
 
 def test_quality_keeps_clean_and_drops_noise(spark):
@@ -560,7 +567,7 @@ def test_quality_model_sums_to_one(spark):
         return table.get(key, (0, 1))[0] + gamma * (chance(c, context[1:]) if context else 1 / quality.UNICODE)
 
     for context in ("", "a", "a b", " ящ", "zzz"):
-        assert abs(sum(chance(c, context) for c in "ab ящ" + quality.AGAIN) + rest * chance("一", context) - 1) < 1e-9
+        assert abs(sum(chance(c, context) for c in "ab ящ" + chr(quality.AGAIN) + chr(quality.FRESH)) + rest * chance("一", context) - 1) < 1e-9
 
 
 # --- chat -----------------------------------------------------------------------------------------------------------------------
