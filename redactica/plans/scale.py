@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
 from redactica.functions import grid
-from redactica.operators import automaton, cascade, claims, detect, geometry, model_review, retrieval, scoring
+from redactica.operators import automaton, cascade, claims, detect, geometry, model_review, retrieval, scoring, synthetic
 from redactica.plans.fixtures import CURRENT_YEAR, listing, listing_sql, notes, spread, words, words_sql
 from redactica.plans.further import letters
 from redactica.plans.more import P
@@ -241,3 +241,70 @@ def folder_filtered(spark, sf_dir):
     """Only files of one subfolder and extension are opened."""
     rows = folder.files(spark, _folder(spark, sf_dir)).filter(F.col("path").startswith("s2/") & (F.col("ext") == "txt")).filter("error_kind is null")
     return rows.select(F.regexp_extract("path", r"d(\d+)\.", 1).alias("doc_id"), F.sha2("text", 256).alias("hash"))
+
+
+# --- invented documents with answer keys ----------------------------------------------------------------------------------------------
+
+#: What the rules are to cover; names need a model of entities, and references are no label of theirs.
+RULED = ("pesel", "nip", "regon", "iban", "id_card", "phone", "email", "address", "postal_code", "place_name", "company_name", "facility_name", "birth_date")
+_SLOTS = [(k, kind, m) for k, pages in enumerate(synthetic.KINDS.values()) for kind in synthetic.VALUES if (m := sum(p.count("{" + kind + "}") for p in pages))]
+_DEALT = "(VALUES " + ", ".join(f"({k}, '{kind}', {m})" for k, kind, m in _SLOTS) + ") v(k, kind, m)"
+
+
+def _corpus(spark, sf_dir):
+    return scratch.stored(synthetic.corpus(spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")))), "corpus")
+
+
+@query("corpus_keys", f"SELECT kind, CAST(sum(m) AS BIGINT) AS spans, CAST(sum(m) AS BIGINT) AS valid FROM orders JOIN {_DEALT} ON o_orderkey % {len(synthetic.KINDS)} = k GROUP BY kind")
+def corpus_keys(spark, sf_dir):
+    """How many spans of each kind there are, and how many of them have valid check digits, where their kind has any."""
+    value = F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s"))
+    tests = {"pesel": scoring.pesel_valid(value), "nip": scoring.nip_valid(F.replace(value, F.lit("-"), F.lit(""))), "regon": scoring.regon_valid(value), "iban": scoring.iban_valid(value)}
+    valid = F.lit(True)
+    for kind, test in tests.items():
+        valid = F.when(F.col("kind") == kind, test).otherwise(valid)
+    return synthetic.keys(_corpus(spark, sf_dir)).groupBy("kind").agg(F.count(F.lit(1)).alias("spans"), F.count_if(valid).alias("valid"))
+
+
+@query("corpus_recall", f"SELECT kind, CAST(sum(m) AS BIGINT) AS spans, CAST(sum(CASE WHEN kind IN ({', '.join(map(repr, RULED))}) THEN m ELSE 0 END) AS BIGINT) AS covered FROM orders JOIN {_DEALT} ON o_orderkey % {len(synthetic.KINDS)} = k GROUP BY kind")
+def corpus_recall(spark, sf_dir):
+    """What the rules claim, as boxes on the pages, held against the characters of the answer keys."""
+    made = _corpus(spark, sf_dir)
+    key = synthetic.keys(made)
+    found = cascade.claimed(synthetic.documents(made), CURRENT_YEAR)
+    spans = found.select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("page").cast("string"), F.col("start").cast("string")).alias("span_id"), "doc_id", "page", "label", F.col("start").alias("s"), F.col("end").alias("e"))
+    boxes = geometry.line_rects(geometry.span_words(geometry.word_pages(synthetic.words(made)), spans))
+    scores = scoring.span_scores(scoring.char_status(synthetic.key_chars(key), boxes))
+    return key.select("span_id", "kind").join(scores.select("span_id", "status"), "span_id").groupBy("kind").agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.col("status") == "covered").alias("covered"))
+
+
+# --- approved exports ---------------------------------------------------------------------------------------------------------------
+
+_ITEMS = "SELECT concat('w', cast(p % 7 as varchar(20))) AS workspace, concat('a', cast(p as varchar(20)), '_ANON.txt') AS output_name, CASE WHEN p % 4 <> 1 THEN concat('a', cast(p as varchar(20)), '_RAPORT.txt') END AS report_name, CASE WHEN p % 3 = 0 THEN concat('a', cast(p as varchar(20)), '_ANON_VISUAL.pdf') ELSE concat('a', cast(p as varchar(20)), '_ANON.txt') END AS artefact, CASE p % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'needs_review' ELSE 'approved' END AS status, CASE WHEN p % 2 = 0 THEN 'ok' END AS risk_level, p"
+
+
+def _items_and_files(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    items = spark.sql(f"{_ITEMS} FROM {{part}}", part=part)
+    names = F.array_compact(F.array("output_name", F.when(F.col("p") % 8 != 2, F.col("report_name")), F.col("artefact"), F.concat(F.lit("source"), F.col("p").cast("string"))))
+    files = items.select("workspace", F.explode(F.array_distinct(names)).alias("name")).withColumn("content", F.encode(F.concat(F.lit("of "), "name"), "UTF-8"))
+    return items.drop("p"), files
+
+
+@query("approved_files", f"""WITH i AS ({_ITEMS} FROM (SELECT p_partkey AS p FROM part)), a AS (SELECT * FROM i WHERE status = 'approved'),
+f AS (SELECT workspace, concat('txt/', output_name) AS name, output_name AS src FROM a UNION ALL SELECT workspace, concat('txt/', report_name), report_name FROM a WHERE report_name IS NOT NULL AND p % 8 <> 2 UNION ALL SELECT workspace, artefact, artefact FROM a WHERE artefact <> output_name)
+SELECT workspace, name, sha256('of ' || src) AS hash FROM f""")
+def approved_files(spark, sf_dir):
+    copied, _ = writers.approved_batch(*_items_and_files(spark, sf_dir))
+    return copied.select("workspace", "name", F.sha2("content", 256).alias("hash"))
+
+
+@query("approved_index", f"""WITH i AS ({_ITEMS} FROM (SELECT p_partkey AS p FROM part)), a AS (SELECT *, report_name IS NOT NULL AND p % 8 <> 2 AS has FROM i WHERE status = 'approved')
+SELECT workspace, count(*) AS files, count(*) FILTER (has) AS reports, count(*) FILTER (NOT has) AS missing, string_agg(CASE WHEN NOT has THEN output_name END, ',' ORDER BY output_name) AS missing_names, CAST(7 + 2 * count(*) + greatest(count(*) FILTER (has), 1) + greatest(count(*) FILTER (NOT has), 1) + 4 AS BIGINT) AS lines FROM a GROUP BY workspace""")
+def approved_index(spark, sf_dir):
+    """What the index of an export says, read back from its parts."""
+    _, index = writers.approved_batch(*_items_and_files(spark, sf_dir))
+    whole = index.groupBy("workspace").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n").alias("t"))
+    n = lambda name: F.regexp_extract("t", rf"(?m)^{name}: (\d+)$", 1).cast("long")
+    missing = F.array_sort(F.regexp_extract_all(F.element_at(F.split("t", r"\nWithout a report:\n"), 2), F.lit(r"(?m)^\* (\S+)$"), F.lit(1)))
+    return whole.select("workspace", n("Files").alias("files"), n("Reports").alias("reports"), n("Missing reports").alias("missing"), F.array_join(missing, ",").alias("missing_names"), F.size(F.split("t", "\n")).cast("long").alias("lines"))

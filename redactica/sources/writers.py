@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
 from redactica.functions.ranks import running
-from redactica.operators import review, rollup
+from redactica.operators import reports, review, rollup
 from redactica.sources import named
 from redactica.sources.scratch import stored
 
@@ -85,5 +85,37 @@ def approved_export(items: DataFrame, texts: DataFrame) -> tuple[DataFrame, Data
     return texts.join(ok.select("output_name"), "output_name", "left_semi"), ok.filter("report_name is null").select("workspace", "output_name")
 
 
+def approved_batch(items: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files to write, rows (workspace, name, content); the index of each workspace, rows (workspace, part, text)) of items (workspace,
+    output_name, report_name, artefact, status, risk_level) and the files that there are (workspace, name, content).
+
+    Of each approved item go the masked text and the report, into the folder of texts, and the companion that shows the document, if it
+    is another file. The index names files and says what is missing; it holds no text and no path of a source."""
+    ok = items.filter("status = 'approved'").select("workspace", "output_name", "report_name", "artefact", "risk_level").distinct()
+    kinds = F.array(F.struct(F.col("output_name").alias("name"), F.lit("text").alias("kind")), F.struct(F.col("report_name").alias("name"), F.lit("report").alias("kind")), F.struct(F.when(F.col("artefact") != F.col("output_name"), F.col("artefact")).alias("name"), F.lit("companion").alias("kind")))
+    wanted = ok.select("workspace", "output_name", "risk_level", F.explode(kinds).alias("f")).select("workspace", "output_name", "risk_level", "f.*").filter("name is not null")
+    there = stored(wanted.join(files.select("workspace", "name").distinct(), ["workspace", "name"], "left_semi"), "approved")
+    copied = files.join(there.select("workspace", "name", "kind"), ["workspace", "name"])
+    place = F.when(F.col("kind") == "companion", F.col("name")).otherwise(F.concat(F.lit("txt/"), "name"))
+    texts, reports_ = there.filter("kind = 'text'"), there.filter("kind = 'report'")
+    missing = texts.join(reports_.select("workspace", "output_name"), ["workspace", "output_name"], "left_anti")
+
+    counts = ok.select("workspace").distinct()
+    for name, rows in (("files", texts), ("reports", reports_), ("missing", missing)):
+        counts = counts.join(rows.groupBy("workspace").agg(F.count(F.lit(1)).alias(name)), "workspace", "left")
+    counts = counts.fillna(0, ["files", "reports", "missing"])
+    said = lambda label, n: F.concat(F.lit(f"{label}: "), F.col(n).cast("string"))
+    none = lambda n: F.when(F.col(n) == 0, F.lit("* none"))
+    fixed = [
+        (0, F.lit("Approved files")), (1, said("Files", "files")), (2, said("Reports", "reports")), (3, said("Missing reports", "missing")), (4, F.lit("Approved by hand; no source, and nothing that was not approved, is here.")),
+        (10, F.lit("Texts:")), (11, none("files")), (20, F.lit("Reports copied:")), (21, none("reports")), (30, F.lit("Without a report:")), (31, none("missing")), (40, F.lit("Texts of documents: none")), (41, F.lit("Paths of sources: none")), (42, F.lit("Terms of dictionaries: none")),
+    ]
+    lines = counts.select(F.col("workspace").alias("batch"), F.explode(F.array(*[F.struct(F.lit(k).alias("section"), F.lit("").alias("name"), line.alias("line")) for k, line in fixed])).alias("x")).select("batch", "x.*").filter("line is not null")
+    for section, rows, line in ((11, texts, F.concat(F.lit("* "), "output_name", F.lit("\n  risk: "), F.coalesce("risk_level", F.lit("unknown")))), (21, reports_, F.concat(F.lit("* "), "name")), (31, missing, F.concat(F.lit("* "), "output_name"))):
+        lines = lines.unionByName(rows.select(F.col("workspace").alias("batch"), F.lit(section).alias("section"), "name", line.alias("line")))
+    index = reports.in_parts(lines, ["section", "name"]).withColumnRenamed("batch", "workspace")
+    return copied.select("workspace", place.alias("name"), "content"), index
+
+
 def knowledge_index(chunks: DataFrame, path: str) -> None:
     chunks.select("source_file", "chunk_id", "chunk_index", "text").write.mode("errorifexists").parquet(path)
