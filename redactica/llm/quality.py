@@ -4,11 +4,11 @@ Trusted text is what labels mark as good. Four fifths of it are counted, the res
 is one of 4-grams of characters of any script (lower case, white space collapsed), one for each language with trusted text. A word that
 repeats the word before it is not spelled again; instead each word has one more 4-gram, which says whether it is such a repeat and hangs
 on nothing before it. So the model learns how rare repeats are in trusted text, and text that repeats a word over and over surprises it
-as noise does, however long it goes on. Counts, and the shares and backoff weights made of them, are rows by (language, n-gram) and are never gathered. Texts are packed into
-compressed blocks of one language; a block asks for its distinct n-grams only, the answers come by an equality join and meet the
+as noise does, however long it goes on. Counts, and the shares and backoff weights made of them, are rows by (language, n-gram) and are
+never gathered. Texts are packed into compressed blocks of one language; a block asks for its distinct n-grams only, the answers come by an equality join and meet the
 block's texts again by its number. So what is shuffled is trusted texts, packed texts and the distinct n-grams of each block, and it
-grows with the corpus. The blocks are written once and read twice, so a lost executor, or a table that is dealt otherwise when it is
-read again, changes nothing.
+grows with the corpus. Documents are read twice; blocks that come out otherwise the second time are written and asked about again, so a
+lost executor, or a table that is dealt anew at every reading, changes nothing.
 
 A document's mean surprise is drawn towards its language's trusted mean by `PRIOR` symbols, so short texts are not judged by a few
 letters. A document is kept if its perplexity is at most its language's quantile of the held-back trusted documents (raised where these are
@@ -197,7 +197,8 @@ def model(counts: DataFrame) -> DataFrame:
 
 
 def surprises(blocks: DataFrame, known: DataFrame, number: dict[str, int], other: bool) -> DataFrame:
-    """Rows (id, lang, m, n, surprise) of blocks, for each model that a text goes by."""
+    """Rows (id, lang, m, n, surprise) of blocks, for each model that a text goes by; a block without answers comes back whole, in the
+    columns block, ids and data, which are null otherwise."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +213,15 @@ def surprises(blocks: DataFrame, known: DataFrame, number: dict[str, int], other
     found = F.expr("alpha is not null or gamma is not null or p = 0 and q = 0")  # the empty n-gram is always answered, so a block that asked has rows
     answers = asked.join(known, ["m", "p", "q"], "left").filter(found).select(F.col("block").alias("b"), "i", F.col("alpha").cast("float").alias("alpha"), F.col("gamma").cast("float").alias("gamma"))
 
+    kinds = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("m", pa.int32()), ("n", pa.int64()), ("surprise", pa.float64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())])
+
+    def rows_of(n: int, **given) -> pa.Table:
+        return pa.table([given.get(f.name, pa.nulls(n, f.type)) for f in kinds], kinds)
+
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         place = right["i"].to_numpy()
+        if not len(place) and left.num_rows:  # the documents were dealt otherwise when they were read for the questions
+            return rows_of(left.num_rows, lang=left["lang"], block=left["b"], ids=left["ids"], data=left["data"])
         alphas, gammas = right["alpha"].fill_null(0).to_numpy(), right["gamma"].fill_null(1).to_numpy()
         out = []
         for lang, ids, data in zip(left["lang"].to_pylist(), left["ids"].to_pylist(), left["data"], strict=True):
@@ -231,11 +239,25 @@ def surprises(blocks: DataFrame, known: DataFrame, number: dict[str, int], other
                 chance = alpha[: len(p)] + gamma[x3] * chance
                 ends = np.cumsum(n)
                 sums = np.concatenate([[0.0], np.cumsum(-np.log(chance)[which])])
-                out.append(pa.table({"id": pa.array(ids, pa.int64()), "lang": pa.array([lang] * len(ids), pa.string()), "m": pa.array(np.full(len(ids), m, np.int32)), "n": pa.array(n), "surprise": pa.array(sums[ends] - sums[ends - n])}))
-        return pa.concat_tables(out) if out else pa.schema([("id", pa.int64()), ("lang", pa.string()), ("m", pa.int32()), ("n", pa.int64()), ("surprise", pa.float64())]).empty_table()
+                out.append(rows_of(len(ids), id=pa.array(ids, pa.int64()), lang=pa.array([lang] * len(ids), pa.string()), m=pa.array(np.full(len(ids), m, np.int32)), n=pa.array(n), surprise=pa.array(sums[ends] - sums[ends - n])))
+        return pa.concat_tables(out) if out else kinds.empty_table()
 
     texts = blocks.select(F.col("block").alias("b"), "lang", "ids", "data")
-    return texts.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(score, "id long, lang string, m int, n long, surprise double")
+    return texts.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(score, "id long, lang string, m int, n long, surprise double, block long, ids array<long>, data binary")
+
+
+def scored_all(rows: DataFrame, known: DataFrame, number: dict[str, int], other: bool) -> DataFrame:
+    """The surprises of rows (id, text, lang). Texts are packed for the questions and again for the answers; blocks that were dealt
+    otherwise the second time have been written by then, and are asked about once more."""
+    done: DataFrame | None = None
+    blocks = packed(rows)
+    while True:
+        out = stored(surprises(blocks, known, number, other), "scored")
+        own = out.filter("data is null").select("id", "lang", "m", "n", "surprise")
+        done = done.unionByName(own) if done is not None else own
+        blocks = out.filter("data is not null").select("block", "lang", "ids", "data")
+        if blocks.isEmpty():
+            return done
 
 
 def _held(col: str = "id"):
@@ -253,7 +275,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     other = any(r.lang not in number for r in langs.select("lang").distinct().toLocalIterator())
 
     table = stored(model(counted(selected(rows, good.filter(~_held())).select("text", "lang"), number, other)), "model")
-    scored = stored(surprises(stored(packed(rows), "blocks"), table, number, other), "scored")
+    scored = scored_all(rows, table, number, other)
 
     held = scored.join(good.filter(_held()), "id")
     means = held.groupBy("m").agg((F.sum("surprise") / F.greatest(F.sum("n"), F.lit(1))).alias("mean"))

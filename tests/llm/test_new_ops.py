@@ -213,7 +213,7 @@ def test_tampering_is_found(spark, tmp_path):
     assert got == {d: not (d is not None and zlib.crc32(str(d).encode()) % 3 == 0 and t == "Abc") for d, t, *_ in docs}
 
 
-# --- quality: blocks are written once -------------------------------------------------------------------------------------------
+# --- quality of what is read twice ----------------------------------------------------------------------------------------------
 
 
 def test_quality_of_a_table_that_is_dealt_anew_at_every_reading(spark):
@@ -224,5 +224,6 @@ def test_quality_of_a_table_that_is_dealt_anew_at_every_reading(spark):
     docs = spark.createDataFrame([(i, " ".join(rng.choice(words) for _ in range(30)), "en") for i in range(200)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(150)], "doc_id long, quality int")
     want = {r.doc_id: round(r.perplexity, 9) for r in quality.quality(docs, labels).collect()}
-    dealt = docs.repartition(7, F.rand())
+    chance = F.udf(lambda _: random.SystemRandom().random(), "double").asNondeterministic()
+    dealt = docs.withColumn("r", chance("doc_id")).repartition(7, "r").drop("r")
     assert {r.doc_id: round(r.perplexity, 9) for r in quality.quality(dealt, labels).collect()} == want
