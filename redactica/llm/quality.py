@@ -215,8 +215,8 @@ def surprises(blocks: DataFrame, known: DataFrame, number: dict[str, int], other
 
     kinds = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("m", pa.int32()), ("n", pa.int64()), ("surprise", pa.float64()), ("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("data", pa.binary())])
 
-    def rows_of(n: int, **given) -> pa.Table:
-        return pa.table([given.get(f.name, pa.nulls(n, f.type)) for f in kinds], kinds)
+    def rows_of(size: int, **given) -> pa.Table:
+        return pa.table([given.get(f.name, pa.nulls(size, f.type)) for f in kinds], kinds)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         place = right["i"].to_numpy()
