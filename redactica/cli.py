@@ -13,13 +13,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from redactica.operators import audit, cascade, dictionary, retrieval
-from redactica.sources import readers, writers
+from redactica.sources import local_model, readers, writers
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="redactica")
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for verb, *names in (("mask", "source", "target"), ("audit", "source"), ("build-index", "source", "target"), ("ask", "index", "question"), ("model-status",)):
+    for verb, *names in (("mask", "source", "target"), ("audit", "source"), ("build-index", "source", "target"), ("ask", "index", "question"), ("model-status",), ("warm-up", "model")):
         p = verbs.add_parser(verb)
         for n in names:
             p.add_argument(n)
@@ -27,9 +27,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             p.add_argument("--dictionary")
         if verb == "ask":
             p.add_argument("--top", type=int, default=3)
+        if verb == "warm-up":
+            p.add_argument("--url", default=local_model.DEFAULT)
         if verb in ("ask", "model-status"):
             p.add_argument("--client")
     args = parser.parse_args(argv)
+    if args.verb == "warm-up":
+        print(local_model.LocalModel(args.model, args.url).warm_up())
+        return 0
     spark = spark or SparkSession.builder.appName("redactica").getOrCreate()
     year = datetime.now(timezone.utc).year
     if args.verb in ("mask", "audit"):
@@ -38,7 +43,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         terms = dictionary.load(spark, args.dictionary) if args.dictionary else None
         writers.masked_table(cascade.masked(docs, year, terms=terms), args.target)
     elif args.verb == "audit":
-        audit.findings(docs.filter("text is not null"), F.col("text"), year, ["path"]).select("path", "total", "status", "risk_level").show(1000, False)
+        for r in audit.findings(docs.filter("text is not null"), F.col("text"), year, ["path"]).select("path", "total", "status", "risk_level").toLocalIterator():
+            print(*r, sep="\t")
     elif args.verb == "build-index":
         writers.knowledge_index(retrieval.chunks(readers.approved(spark, args.source)), args.target)
     elif args.verb == "model-status":

@@ -14,7 +14,7 @@ from redactica.functions.regex import java
 from redactica.operators import audit, automaton, cascade, detect, dictionary, geometry, model_review, reports, retrieval, review, rollup, scoring
 from redactica.plans.fixtures import CURRENT_YEAR, notes, spread
 from redactica.plans.more import P, _part
-from redactica.plans.queries import MASKED_TEXT, SQL, K, _chars, _fills, query, table, when
+from redactica.plans.queries import MASKED_TEXT, SQL, TOKENS, K, _chars, _fills, _index, query, table, when
 from redactica.sources import readers
 
 #: (name, another case); the stem of the fifth is too short to be inflected.
@@ -104,6 +104,12 @@ def mask_function(spark, sf_dir):
     return spark.sql("SELECT doc_id, mask_text(text) AS masked FROM {notes}", notes=notes(spark, sf_dir))
 
 
+@query("mask_counted", f"SELECT doc_id, masked, CAST(len(regexp_extract_all(masked, '[[][A-Z_]+[]]')) AS BIGINT) AS n FROM ({MASKED_TEXT})")
+def mask_counted(spark, sf_dir):
+    cascade.register_counted(spark, CURRENT_YEAR, "mask_counted")
+    return spark.sql("SELECT doc_id, m.text AS masked, aggregate(map_values(m.counters), 0L, (a, x) -> a + x) AS n FROM (SELECT doc_id, mask_counted(text) AS m FROM {notes})", notes=notes(spark, sf_dir))
+
+
 # --- real text: the catalogue's patterns without lookaround, which the other engine lacks -------------------------------------------
 
 
@@ -255,12 +261,21 @@ def suggestion_rects(spark, sf_dir):
     return model_review.suggestion_rects(asked, geometry.word_pages(words))
 
 
-@query("answer_outcomes", "SELECT * FROM (VALUES (1, concat('Yes.', chr(10), 'Sources:', chr(10), '* a#1')), (2, concat('No answer: timeout', chr(10), 'Sources:', chr(10), '* a#1')), (3, concat('No answer: processing_error', chr(10), 'Sources:', chr(10), '* b#2')), (4, concat('No answer: generation_unavailable', chr(10), 'Sources:', chr(10), '* b#2', chr(10), '* a#1')), (5, 'No answer: no_relevant_context')) v(q_id, text)")
+_ASKED = "SELECT item_id AS q_id, CASE WHEN item_id % 5 = 4 THEN 'zzzqx' ELSE array_to_string(string_split(text, ' ')[1:4], ' ') END AS question FROM benchmark"
+
+
+@query("answer_outcomes", f"""WITH {TOKENS}, a AS ({_ASKED}), q AS (SELECT q_id, token, count(*) AS asked FROM (SELECT q_id, unnest(list_transform(list_filter(regexp_extract_all(question, '[\\p{{L}}\\p{{N}}_]+'), lambda x: length(x) >= 2), lambda x: lower(x))) AS token FROM a) GROUP BY ALL),
+s AS (SELECT q_id, CAST(doc_id AS VARCHAR) AS name, sum((1 + ln(tf)) * asked) / (1 + ln(n)) AS score FROM i JOIN q USING (token) GROUP BY q_id, doc_id, n),
+r AS (SELECT q_id, name, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, name) AS rank FROM s),
+l AS (SELECT q_id, string_agg(concat('* ', name, '#1'), chr(10) ORDER BY rank) AS sources FROM r WHERE rank <= 3 GROUP BY q_id)
+SELECT q_id, CASE WHEN sources IS NULL THEN 'No answer: no_relevant_context' ELSE concat(CASE q_id % 5 WHEN 0 THEN concat('Yes, ', q_id, '.') WHEN 1 THEN 'No answer: timeout' WHEN 2 THEN 'No answer: processing_error' ELSE 'No answer: generation_unavailable' END, chr(10), 'Sources:', chr(10), sources) END AS text FROM a LEFT JOIN l USING (q_id)""")
 def answer_outcomes(spark, sf_dir):
-    asked = spark.createDataFrame([(1, "alfa"), (2, "alfa"), (3, "beta"), (4, "beta alfa beta"), (5, "gamma")], "q_id int, question string")
-    texts = spark.createDataFrame([("a", 1, "alfa"), ("b", 2, "beta")], "source_file string, chunk_index int, text string")
-    said = spark.createDataFrame([(1, "Yes.", None), (2, None, "timeout"), (3, "half", "refused")], "q_id int, answer string, error string")
-    return retrieval.formatted(retrieval.answers(asked, retrieval.top_k(retrieval.token_index(texts), asked), said))
+    """Questions of the benchmark's first words on all documents, with answers, errors and silence by their number."""
+    item = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), "text")
+    n = F.col("q_id") % 5
+    asked = item.select("q_id", F.when(n == 4, "zzzqx").otherwise(F.array_join(F.slice(F.split("text", " "), 1, 4), " ")).alias("question"))
+    said = item.filter(n < 4).select("q_id", F.when(n == 0, F.concat(F.lit("Yes, "), F.col("q_id").cast("string"), F.lit("."))).when(n == 2, "half").alias("answer"), F.when(n == 1, "timeout").when(n == 2, "refused").alias("error"))
+    return retrieval.formatted(retrieval.answers(asked, retrieval.top_k(_index(spark, sf_dir), asked), said.filter("answer is not null or error is not null")))
 
 
 LABELS_JSON = """concat('{"active_labels": ', case p % 6 when 0 then '["PESEL", "NIP"]' when 1 then '["PESEL", 3]' when 2 then '[]' when 3 then '"PESEL"' when 4 then 'null' else '["NIP", "NIP"]' end,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
 from redactica.functions import grid
-from redactica.operators import automaton, cascade, claims, detect, geometry, model_review, retrieval, scoring, synthetic
+from redactica.operators import automaton, cascade, claims, detect, geometry, model_review, retrieval, review, scoring, synthetic
 from redactica.plans.fixtures import CURRENT_YEAR, listing, listing_sql, notes, spread, words, words_sql
 from redactica.plans.further import letters
 from redactica.plans.more import P
@@ -308,3 +308,62 @@ def approved_index(spark, sf_dir):
     n = lambda name: F.regexp_extract("t", rf"(?m)^{name}: (\d+)$", 1).cast("long")
     missing = F.array_sort(F.regexp_extract_all(F.element_at(F.split("t", r"\nWithout a report:\n"), 2), F.lit(r"(?m)^\* (\S+)$"), F.lit(1)))
     return whole.select("workspace", n("Files").alias("files"), n("Reports").alias("reports"), n("Missing reports").alias("missing"), F.array_join(missing, ",").alias("missing_names"), F.size(F.split("t", "\n")).cast("long").alias("lines"))
+
+
+# --- small rules, on varied input -----------------------------------------------------------------------------------------------------
+
+_HYPHENS = r"\x{AD}\x{2010}\x{2011}\x{2012}\x{2013}\x{2014}\-"
+_PADS = "".join("\\" + c if c in r"[]\^-&" else c for c in C.SAFE_PADDING).replace("'", "''")
+_PLAIN = rf"regexp_matches(text, '^[ {_PADS}]*$')"
+
+
+@query("safe_paddings", rf"WITH w AS (SELECT DISTINCT text FROM (SELECT right(text, i) AS text FROM ({words_sql()}), (SELECT unnest([1, 2, 4]) AS i))) SELECT text, {_PLAIN} OR regexp_matches(text, '^[{_HYPHENS}][\p{{L}}{_HYPHENS} {_PADS}]+$') AS at_start, {_PLAIN} OR regexp_matches(text, '^[\p{{L}}{_HYPHENS} {_PADS}]+[{_HYPHENS}]$') AS at_end FROM w")
+def safe_paddings(spark, sf_dir):
+    """The ends of all words, and whether a span that leaves them may hide them."""
+    ends = words(spark, sf_dir).select(F.explode(F.array(*[F.right("text", F.lit(i)) for i in (1, 2, 4)])).alias("text")).distinct()
+    return ends.select("text", geometry.safe_padding(F.col("text"), True).alias("at_start"), geometry.safe_padding(F.col("text"), False).alias("at_end"))
+
+
+@query("safe_names", f"SELECT p, CASE p % 6 WHEN 4 THEN 'unknown' WHEN 5 THEN 'unknown' ELSE concat('a', p, '.txt') END AS name FROM {P}")
+def safe_names(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    name = F.concat(F.lit("a"), F.col("p").cast("string"), F.lit(".txt"))
+    path = F.when(F.col("p") % 6 == 0, name).when(F.col("p") % 6 == 1, F.concat(F.lit("C:\\x y\\"), name)).when(F.col("p") % 6 == 2, F.concat(F.lit("/x/../"), name, F.lit(" "))).when(F.col("p") % 6 == 3, F.concat(F.lit("x/y\\"), name)).when(F.col("p") % 6 == 4, "x/")
+    return part.select("p", review.safe_name(path).alias("name"))
+
+
+@query("size_texts", f"SELECT p, CASE WHEN b / 1048576 >= 0.1 THEN printf('%.1f MB', b / 1048576) ELSE printf('%d KB', greatest(1, CAST(round(b / 1024) AS BIGINT))) END AS size FROM (SELECT p, CAST(p * 1237 + 3 AS DOUBLE) AS b FROM {P})")
+def size_texts(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    return part.select("p", review.size_text((F.col("p") * 1237 + 3).cast("double")).alias("size"))
+
+
+_SAID = "concat('Ala ma ', cast(p as varchar(20)), ' koty.')"
+
+
+@query("review_prompts", f"SELECT p AS doc_id, 2 + p % 2 AS sentences, concat('F', chr(10), 'S1: Kto pyta?', chr(10), 'S2: ', {_SAID}, CASE WHEN p % 2 = 1 THEN concat(chr(10), 'S3: Koniec.') ELSE '' END, chr(10), 'S1: Kto pyta? [X]', chr(10), 'F') AS data FROM {P}")
+def review_prompts(spark, sf_dir):
+    """What a prompt holds between its fences, which are random."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    docs = part.select(F.col("p").alias("doc_id"), F.concat(F.lit("Kto pyta? "), F.expr(_SAID.replace("varchar(20)", "string")), F.when(F.col("p") % 2 == 1, " Koniec.").otherwise("")).alias("text"), F.lit("Kto pyta? [X]").alias("masked"))
+    made = model_review.prompts(docs, "text", "masked")
+    rows = made.select("doc_id", F.col("max_sentence").cast("long").alias("sentences"), F.replace("prompt", F.col("fence"), F.lit("F")).alias("t"))
+    return rows.select("doc_id", "sentences", F.regexp_extract("t", r"(?s)(F\nS1.*\nF)$", 1).alias("data"))
+
+
+_NARRATIVES = (
+    ("""'{"suggestions": [{"confidence": "likely", "category": "QUASI_IDENTIFIER_COMBINATION", "sentence_indices": [1, ' || {k} || ']}]}'""", True),
+    ("""'{"suggestions": [{"confidence": "sure", "category": "QUASI_IDENTIFIER_COMBINATION", "sentence_indices": [1]}]}'""", False),
+    ("""'{"suggestions": [{"confidence": "certain", "category": "OTHER", "sentence_indices": [1]}]}'""", False),
+    ("""'{"suggestions": [{"confidence": "certain", "category": "QUASI_IDENTIFIER_COMBINATION", "sentence_indices": [0, 99]}]}'""", False),
+    ("""'{"suggestions": []}'""", False),
+    ("""'no answer ' || {k}""", None),
+)
+
+
+@query("narratives_valid", "SELECT p AS doc_id, CASE p % 6 WHEN 5 THEN 'invalid_response' ELSE 'completed' END AS status, CASE WHEN p % 6 = 0 THEN 'likely' END AS confidence, CASE WHEN p % 6 = 0 THEN concat('1,', p % 5 + 1) END AS sentences FROM " + P)
+def narratives_valid(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("p"))
+    answer = "CASE p % 6 " + " ".join(f"WHEN {n} THEN {t.replace('{k}', 'cast(p % 5 + 1 as string)')}" for n, (t, _) in enumerate(_NARRATIVES)) + " END"
+    found = model_review.narrative_suggestions(part.select(F.col("p").alias("doc_id"), F.expr(answer).alias("response"), F.lit(5).alias("max_sentence")))
+    return found.select("doc_id", "status", "confidence", F.array_join(F.col("sentence_indices").cast("array<string>"), ",").alias("sentences"))
