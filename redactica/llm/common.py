@@ -1,13 +1,7 @@
-"""Shared helpers: scratch tables in the shared folder, Arrow mapping, connected components."""
+"""Shared helpers: Arrow mapping, filters of fixed size, connected components; scratch tables are those of the library."""
 
 from __future__ import annotations
 
-import atexit
-import functools
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from redactica.sources.scratch import file_system, stored
+from redactica.sources.scratch import folder as scratch
+
 #: Rows in one Arrow batch; texts can be very long, so batches are kept short.
 BATCH_ROWS = 1000
 #: Longer words are hashed one by one.
@@ -28,46 +25,13 @@ _ODD = 0x9E3779B97F4A7C15
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-@functools.cache
-def _own_dir() -> str:
-    path = tempfile.mkdtemp(prefix="redactica-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir), deleted when the application ends.
-
-    Without that setting a local session gets a folder of its own; a cluster, whose machines see different disks, is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = f"file://{_own_dir()}"
-    path = f"{root.rstrip('/')}/redactica/{name}-{uuid.uuid4().hex}"
-    _file_system(spark, path).deleteOnExit(spark._jvm.org.apache.hadoop.fs.Path(path))
-    return path
-
-
-def _file_system(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-
 def exists(spark: SparkSession, path: str) -> bool:
-    return _file_system(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+    return file_system(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a scratch table that nothing reads any more."""
-    _file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts lineage so that a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    file_system(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def short_batches(spark: SparkSession) -> None:
