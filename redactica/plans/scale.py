@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
 from redactica.functions import grid
-from redactica.operators import automaton, cascade, claims, detect, geometry, model_review, retrieval, review, scoring, synthetic
+from redactica.operators import automaton, cascade, claims, detect, geometry, model_review, ner, retrieval, review, scoring, synthetic
 from redactica.plans.fixtures import CURRENT_YEAR, listing, listing_sql, notes, spread, words, words_sql
 from redactica.plans.further import letters
 from redactica.plans.more import P
@@ -367,3 +367,18 @@ def narratives_valid(spark, sf_dir):
     answer = "CASE p % 6 " + " ".join(f"WHEN {n} THEN {t.replace('{k}', 'cast(p % 5 + 1 as string)')}" for n, (t, _) in enumerate(_NARRATIVES)) + " END"
     found = model_review.narrative_suggestions(part.select(F.col("p").alias("doc_id"), F.expr(answer).alias("response"), F.lit(5).alias("max_sentence")))
     return found.select("doc_id", "status", "confidence", F.array_join(F.col("sentence_indices").cast("array<string>"), ",").alias("sentences"))
+
+
+@query("corpus_entities", f"SELECT kind, CAST(sum(m) AS BIGINT) AS spans, CAST(sum(CASE WHEN kind = 'company_name' THEN 0 ELSE m END) AS BIGINT) AS whole FROM orders JOIN {_DEALT} ON o_orderkey % {len(synthetic.KINDS)} = k WHERE kind IN ('person_private', 'public_figure', 'place_name', 'company_name') GROUP BY kind")
+def corpus_entities(spark, sf_dir):
+    """A model that sees surnames, towns and the first word of a firm: names of persons are widened to their first name, others stay."""
+    key = synthetic.keys(_corpus(spark, sf_dir)).filter(F.col("kind").isin("person_private", "public_figure", "place_name", "company_name"))
+    key = key.withColumn("doc_id", F.col("doc_id") * 10 + F.col("page"))
+    value = F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s"))
+    blank = F.instr(value, " ")
+    start = F.when(F.col("kind").isin("person_private", "public_figure"), F.col("s") + blank).otherwise(F.col("s"))
+    end = F.when(F.col("kind") == "company_name", F.col("s") + blank - 1).otherwise(F.col("e"))
+    said = F.when(F.col("kind") == "place_name", "placeName").when(F.col("kind") == "company_name", "orgName").otherwise("persName")
+    found = key.select("doc_id", F.lit("raw").alias("pass"), F.col("s").alias("ord"), start.cast("int").alias("start"), end.cast("int").alias("end"), said.alias("model_label"))
+    out = ner.resolved(key.select("doc_id", "text").distinct(), found).filter("exclusion is null").select("doc_id", F.col("start").alias("s"), F.col("end").alias("e"), F.lit(1).alias("hit"))
+    return key.join(out, ["doc_id", "s", "e"], "left").groupBy("kind").agg(F.count(F.lit(1)).alias("spans"), F.count("hit").alias("whole"))
