@@ -3,6 +3,9 @@
 Boxes lie in the cells of grids, the cells of each grid being twice as large as those of the one before. A box belongs to the grid of its
 own size, where it touches four cells at most; two boxes meet in the coarser of their grids. However large a box or crowded a page is,
 each is written out a few times for every grid in use, of which there are some sixty at most.
+
+The optimizer takes what is written out to be as small as the table it comes from, and would send it whole through the driver; `apart`
+keeps it where it is.
 """
 
 from __future__ import annotations
@@ -17,6 +20,11 @@ BIN = 64
 SIDES = ("x0", "y0", "x1", "y1")
 
 
+def apart(rows: DataFrame) -> DataFrame:
+    """Rows to join by a shuffle of both sides, whatever size the optimizer takes them for."""
+    return rows.hint("merge")
+
+
 def _grid(side: Column) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(CELL)) / CELL))).cast("int")
 
@@ -39,7 +47,7 @@ def meeting(a: DataFrame, b: DataFrame, on: list[str], cond: Column | str, a_box
     own = lambda rows, c: rows.select(_grid(F.greatest(c[2] - c[0], c[3] - c[1])).alias("g")).distinct()
     grids = sorted(r.g for r in own(a, left).unionByName(own(b, right)).distinct().collect() if r.g is not None)
     keys = [*on, "_grid", "_cx", "_cy"]
-    rows = _celled(a, left, "ga", grids).join(_celled(b, right, "gb", grids), keys)
+    rows = apart(_celled(a, left, "ga", grids)).join(apart(_celled(b, right, "gb", grids)), keys)
     size = F.lit(CELL) * F.pow(F.lit(2.0), F.col("_grid"))
     first = (F.col("_cx") == F.greatest(F.floor(left[0] / size), F.floor(right[0] / size))) & (F.col("_cy") == F.greatest(F.floor(left[1] / size), F.floor(right[1] / size)))
     met = rows.filter((F.col("_grid") == F.greatest("_ga", "_gb")) & first & (F.expr(cond) if isinstance(cond, str) else cond))
@@ -50,5 +58,5 @@ def overlapping(a: DataFrame, b: DataFrame, on: list[str], a_ends: tuple[str, st
     """Pairs of rows whose half-open intervals of offsets overlap; a pair comes once, in the first bin that both touch."""
     bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / BIN), F.floor(F.greatest(F.col(s), F.col(e) - 1) / BIN)))
     (s, e), (start, end) = a_ends, b_ends
-    rows = a.withColumn("_bin", bins(s, e)).join(b.withColumn("_bin", bins(start, end)), [*on, "_bin"])
+    rows = apart(a.withColumn("_bin", bins(s, e))).join(apart(b.withColumn("_bin", bins(start, end))), [*on, "_bin"])
     return rows.filter((F.col(end) > F.col(s)) & (F.col(start) < F.col(e)) & (F.col("_bin") == F.floor(F.greatest(s, start) / BIN))).drop("_bin")

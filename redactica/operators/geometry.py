@@ -101,7 +101,7 @@ def trimmed(rects: DataFrame, glyphs: DataFrame) -> DataFrame:
         F.expr(f"min(case when not {covered} and {mid} > y1 then gy0 end)").alias("bottom"),
         F.expr(f"collect_list(case when {covered} then struct(gy0, gy1) end)").alias("own"),
     )
-    rows = rects.join(edges, "rect_id", "left").withColumns({"ny0": F.greatest("y0", F.coalesce("top", "y0")), "ny1": F.least("y1", F.coalesce("bottom", "y1"))})
+    rows = rects.join(grid.apart(edges), "rect_id", "left").withColumns({"ny0": F.greatest("y0", F.coalesce("top", "y0")), "ny1": F.least("y1", F.coalesce("bottom", "y1"))})
     share = F.forall("own", lambda o: F.least(o["gy1"], F.col("ny1")) - F.greatest(o["gy0"], F.col("ny0")) >= C.COVERED_GLYPH_SHARE * (o["gy1"] - o["gy0"]))
     ok = (F.coalesce("n", F.lit(0)) > 0) & share
     return rows.select(*[c for c in rects.columns if c not in ("y0", "y1")], F.when(ok, F.col("ny0")).otherwise(F.col("y0")).alias("y0"), F.when(ok, F.col("ny1")).otherwise(F.col("y1")).alias("y1"))
@@ -114,7 +114,7 @@ def overlapping(rects: DataFrame, areas: DataFrame) -> DataFrame:
     cond = f"x0 < ax1 and ax0 < x1 and {shorter} > 0 and least(y1, ay1) - greatest(y0, ay0) > 0.5 * {shorter}"
     sides = ["x0", "y0", "x1", "y1"]
     met = grid.meeting(rects.select(*PAGE, *sides).distinct(), a, PAGE, cond, b_box=("ax0", "ay0", "ax1", "ay1"))
-    return rects.join(met.select(*PAGE, *sides).distinct(), [*PAGE, *sides], "left_semi")
+    return rects.join(grid.apart(met.select(*PAGE, *sides).distinct()), [*PAGE, *sides], "left_semi")
 
 
 def visible(automatic: DataFrame, removed: DataFrame, added: DataFrame) -> DataFrame:

@@ -47,13 +47,13 @@ def char_status(chars: DataFrame, fills: DataFrame, glyphs: DataFrame | None = N
     f = fills.select("doc_id", "page", *[F.col(k).alias(f"f{k}") for k in ("x0", "y0", "x1", "y1")])
     key, centre = ["doc_id", "span_id", "i"], ("cx", "cy", "cx", "cy")
     cover = grid.meeting(c, f, ["doc_id", "page"], inside("cx", "cy", "f"), centre, ("fx0", "fy0", "fx1", "fy1"), C.POINT_TOLERANCE).select(key).distinct().withColumn("covered", F.lit(True))
-    rows = c.join(cover, key, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
+    rows = c.join(grid.apart(cover), key, "left").withColumn("covered", F.coalesce("covered", F.lit(False)))
     if glyphs is None:
         return rows.withColumn("leaked", ~F.col("covered"))
     g = glyphs.select("doc_id", "page", "c", *[F.col(k).alias(f"g{k}") for k in ("x0", "y0", "x1", "y1")])
     met = grid.meeting(c, g, ["doc_id", "page", "c"], inside("cx", "cy", "g", C.GLYPH_TOLERANCE), centre, ("gx0", "gy0", "gx1", "gy1"), C.GLYPH_TOLERANCE)
     still = met.select(key).distinct().withColumn("leaked", F.lit(True))
-    return rows.join(still, key, "left").withColumn("leaked", F.coalesce("leaked", F.lit(False)))
+    return rows.join(grid.apart(still), key, "left").withColumn("leaked", F.coalesce("leaked", F.lit(False)))
 
 
 def span_scores(status: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def over_redaction(fills: DataFrame, chars: DataFrame) -> DataFrame:
     c = _centred(chars).select("doc_id", "page", "cx", "cy").distinct()
     box = ["doc_id", "page", "x0", "y0", "x1", "y1"]
     met = grid.meeting(c, fills.select(box).distinct(), ["doc_id", "page"], inside("cx", "cy", ""), ("cx", "cy", "cx", "cy"), tolerance=C.POINT_TOLERANCE)
-    return fills.join(met.select(box).distinct(), box, "left_anti")
+    return fills.join(grid.apart(met.select(box).distinct()), box, "left_anti")
 
 
 def doc_summary(scores: DataFrame) -> DataFrame:
@@ -101,12 +101,12 @@ def doc_details(scores: DataFrame, layers: DataFrame, over: DataFrame) -> DataFr
     must, keep, covered = F.col("expect") == "must", F.col("expect") == "keep", F.col("status") == "covered"
     ids = lambda c, name: F.array_sort(F.collect_list(F.when(c, F.col("span_id")))).alias(name)
     rows = scores.groupBy("doc_id").agg(F.count_if(must).alias("must"), F.count_if(must & covered).alias("covered"), ids(must & (F.col("status") == "partial"), "partial"), ids(must & (F.col("status") == "full"), "full"), ids(keep & (F.col("leaked") < F.col("total")), "keep_redacted"), ids(~keep & (F.col("residue") > 0), "residue"))
-    hidden = scores.filter(must & covered).select("doc_id", "span_id").join(layers.select("doc_id", "span_id", "layer").distinct(), ["doc_id", "span_id"], "left")
+    hidden = scores.filter(must & covered).select("doc_id", "span_id").join(grid.apart(layers.select("doc_id", "span_id", "layer").distinct()), ["doc_id", "span_id"], "left")
     by_layer = hidden.groupBy("doc_id", F.coalesce("layer", F.lit("?")).alias("layer")).agg(F.count(F.lit(1)).alias("n"))
     maps = by_layer.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("layer", "n")))).alias("layers"))
     rects = over.groupBy("doc_id").agg(F.count(F.lit(1)).alias("over_rects"))
     none = F.expr("cast(map() as map<string,bigint>)")
-    return rows.join(rects, "doc_id", "left").join(maps, "doc_id", "left").withColumns({"over_rects": F.coalesce("over_rects", F.lit(0).cast("long")), "layers": F.coalesce("layers", none)})
+    return rows.join(grid.apart(rects), "doc_id", "left").join(grid.apart(maps), "doc_id", "left").withColumns({"over_rects": F.coalesce("over_rects", F.lit(0).cast("long")), "layers": F.coalesce("layers", none)})
 
 
 def recall(summary: DataFrame) -> DataFrame:
