@@ -37,7 +37,7 @@ def history_plan(files: DataFrame) -> DataFrame:
 
 def size_text(size: Column) -> Column:
     mb = size / (1024 * 1024)
-    return F.when(mb >= 0.1, F.format_string("%.1f MB", mb)).otherwise(F.format_string("%d KB", F.greatest(F.lit(1), F.round(size / 1024).cast("int"))))
+    return F.when(mb >= 0.1, F.format_string("%.1f MB", F.bround(mb, 1))).otherwise(F.format_string("%d KB", F.greatest(F.lit(1), F.round(size / 1024).cast("int"))))
 
 
 def file_name_pii(name: Column) -> Column:
