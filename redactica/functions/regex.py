@@ -41,6 +41,21 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iu)" if ignore_case else "") + "".join(out)
 
 
+_HEAD = re.compile(r"((?:\(\?<![^()]*\))+)(\\d|\[[^\[\]]*\])(?:\{(\d+)\}|(?![*+?{]))")
+_EITHER = re.compile(r"\(\?:\\d(\(\?:[^()|]*\)\{\d+\})\|\\d(\(\?:[^()|]*\)\{\d+\})\)")
+
+
+def _behind(pattern: str) -> str:
+    """The same pattern with what must not stand before it asked after its first character: a search then skips to such characters."""
+    pattern = re.sub(r"^((?:\(\?<![^()]*\))+)" + _EITHER.pattern, lambda m: f"{m[1]}\\d(?:{m[2]}|{m[3]})", pattern)
+    m = _HEAD.match(pattern)
+    if not m:
+        return pattern
+    first, n = m[2], int(m[3] or 1)
+    looks = re.sub(r"\(\?<!([^()]*)\)", lambda x: f"(?<!{x[1]}{first})", m[1])
+    return first + looks + (f"{first}{{{n - 1}}}" if n > 1 else "") + pattern[m.end() :] if n else pattern
+
+
 @functools.cache
 def python(pattern: str, ignore_case: bool = False) -> re.Pattern[str]:
-    return re.compile(pattern, re.IGNORECASE if ignore_case else 0)
+    return re.compile(_behind(pattern), re.IGNORECASE if ignore_case else 0)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from redactica.functions import catalogue as C
 from redactica.functions.regex import java
 from redactica.operators import audit, automaton, cascade, detect, dictionary, geometry, model_review, reports, retrieval, review, rollup, scoring
-from redactica.plans.fixtures import CURRENT_YEAR, notes, spread
+from redactica.plans.fixtures import CURRENT_YEAR, dealt, notes
 from redactica.plans.more import P, _part
 from redactica.plans.queries import MASKED_TEXT, SQL, TOKENS, K, _chars, _fills, _index, query, table, when
 from redactica.sources import readers
@@ -41,7 +41,7 @@ CODE = "concat(lpad(cast(c % 100 as varchar(20)), 2, '0'), '-', lpad(cast(k % 10
 
 def letters(spark, sf_dir):
     """Rows (doc_id, k, code, town, place, text) of orders."""
-    rows = spread(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")))
+    rows = dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")))
     return spark.sql(f"SELECT k AS doc_id, k, {CODE} AS code, {_town(0)} AS town, {_town(1)} AS place, {_letter(CODE, _town(0), _town(1))} AS text FROM {{rows}}", rows=rows)
 
 
