@@ -17,9 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redactica.sources.scratch import stored
+
 #: Code points of the terms of one part, which is also the most states it has; an automaton takes some 25 bytes for each.
 PART_CHARS = 2_000_000
 #: Parts that are broadcast for one pass over the texts.
@@ -247,23 +251,21 @@ def parts(terms: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
 
 
 def _passes(terms: DataFrame, part_chars: int) -> Iterator[list]:
-    """Broadcast parts, so many at a time; the driver holds one part."""
+    """Broadcast automata, so many at a time; the driver holds one part."""
     sc = terms.sparkSession.sparkContext
     held = []
-    for r in parts(terms, part_chars).toLocalIterator():
-        held.append(sc.broadcast(bytes(r.automaton)))
+    built = parts(terms, part_chars).persist(StorageLevel.DISK_ONLY)
+    built.count()  # all parts at once; the iterator would have them built one after the other
+    for r in built.toLocalIterator():
+        held.append(sc.broadcast(pickle.loads(bytes(r.automaton))))
         if len(held) == PARTS_AT_ONCE:
             yield held
             held = []
+    built.unpersist()
     if held:
         yield held
 
 
-@functools.lru_cache(maxsize=PARTS_AT_ONCE)
-def _unpacked(data: bytes) -> Automaton:
-    return pickle.loads(data)
-
-
 def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     start, held, size = 0, [], 0
     for k, t in enumerate(texts):
@@ -276,62 +278,131 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield start, held
 
 
-def _found(texts: list[str | None], shared: list) -> Iterator[tuple[int, list[tuple]]]:
-    """(row, its hits with the label's name) of the texts that have any."""
+#: Bits of a place within a text; above them is the text's row, so places of a batch ascend over its texts.
+_WITHIN = 32
+#: What is known of a hit: where it begins and ends, the lengths of its key and its term, the term's place, and its label.
+_FIELDS = (("at", np.int64), ("to", np.int64), ("key", np.int32), ("raw", np.int32), ("place", np.int64), ("label", np.int32))
+
+
+def _firsts(h: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of the hits that begin at a place the first in the dictionary's order, in the order of places."""
+    order = np.lexsort((h["place"], -h["raw"], -h["key"], h["at"]))
+    at = h["at"][order]
+    own = np.ones(len(at), bool)
+    own[1:] = at[1:] != at[:-1]
+    return {name: h[name][order[own]] for name, _ in _FIELDS}
+
+
+def _counting(h: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of hits that begin at different places, in order, the leftmost ones that do not overlap."""
+    after = np.searchsorted(h["at"], h["to"])
+    if (after == np.arange(1, len(after) + 1)).all():
+        return h
+    chosen, next_, k = [], after.tolist(), 0
+    while k < len(next_):
+        chosen.append(k)
+        k = next_[k]
+    return {name: h[name][chosen] for name, _ in _FIELDS}
+
+
+def _joined(some: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {name: np.concatenate([np.zeros(0, kind), *(h[name] for h in some)]) for name, kind in _FIELDS}
+
+
+def _found(texts: list[str | None], shared: list) -> tuple[dict[str, np.ndarray], list[str]]:
+    """(the first hits of each place of the texts, names of their labels)."""
+    names, some = {}, []
     for first, block in _blocks(texts):
-        scan, by_text = Scan(block), {}
+        scan, here = Scan(block), []
         for s in shared:
-            a = _unpacked(s.value)
-            for row, *hit, label in zip(*(x.tolist() for x in scan.hits(a)), strict=True):
-                by_text.setdefault(row, []).append((*hit, a.labels[label]))
-        yield from ((first + k, by_text[k]) for k in sorted(by_text))
+            a = s.value
+            text, start, end, key, raw, place, label = scan.hits(a)
+            row = (first + text).astype(np.int64) << _WITHIN
+            own = np.array([names.setdefault(x, len(names)) for x in a.labels], np.int32)
+            here.append(dict(zip((name for name, _ in _FIELDS), (row + start, row + end, key, raw, place, own[label] if len(label) else label), strict=True)))
+        some.append(_firsts(_joined(here)))
+    return _joined(some), list(names)
+
 
+def _rows(h: dict[str, np.ndarray], ids: pa.Array, names: list[str]) -> pa.RecordBatch:
+    row, within = h["at"] >> _WITHIN, (1 << _WITHIN) - 1
+    columns = [ids.take(pa.array(row)), pa.array((h["at"] & within).astype(np.int32)), pa.array((h["to"] & within).astype(np.int32)), pa.array(names, pa.string()).take(pa.array(h["label"]))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "s", "e", "label"])
 
-_HIT = "s int, e int, key int, raw int, place long, label string"
-_HITS = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string()]
 
+#: A hit as it is shuffled.
+_HIT = np.dtype([("at", np.int32), ("to", np.int32), ("key", np.int32), ("raw", np.int32), ("place", np.int64), ("label", np.int32)])
 
-def hits(docs: DataFrame, shared: list, claim: bool) -> DataFrame:
-    """Rows (doc_id, hit) of documents (doc_id, text) for broadcast parts; only those that count if these are all parts."""
+
+def _packed(docs: DataFrame, shared: list) -> DataFrame:
+    """Rows (doc_id, names, of): the first hits of each place of a document's text for some of the parts, and the names of their labels."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, out = [], []
-            for row, found in _found(b.column(1).to_pylist(), shared):
-                now = [(s, e, 0, 0, 0, label) for s, e, label in claimed(found)] if claim else found
-                rows += [row] * len(now)
-                out += now
-            if out:
-                columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), _HITS, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *columns], ["doc_id", *(c.split()[0] for c in _HIT.split(", "))])
-
-    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_HIT}")
+            h, names = _found(b.column(1).to_pylist(), shared)
+            row = h["at"] >> _WITHIN
+            rows, begin = np.unique(row, return_index=True)
+            own, label = np.unique(row << _WITHIN | h["label"], return_inverse=True)
+            first = np.searchsorted(own, rows << _WITHIN)
+            cut = np.zeros(len(row), _HIT)
+            for name, _ in _FIELDS:
+                cut[name] = h[name] & ((1 << _WITHIN) - 1) if name in ("at", "to") else h[name]
+            cut["label"] = label - np.repeat(first, np.diff([*begin, len(row)]))
+            called = pa.array(names, pa.string()).take(pa.array(own & ((1 << _WITHIN) - 1)))
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(np.append(begin, len(row)).astype(np.int64) * _HIT.itemsize), pa.py_buffer(cut.tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.append(first, len(own)), pa.int32()), called), data.cast(pa.binary())], ["doc_id", "names", "of"])
+
+    return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, names array<string>, of binary")
+
+
+def _gathered(docs: DataFrame, passes: list[list]) -> DataFrame:
+    """Rows (doc_id, of): what each pass found in a document with any hit."""
+    found = functools.reduce(DataFrame.unionByName, (_packed(docs, p) for p in passes))
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("names", "of")).alias("of"))
+
+
+def _merged(of: pa.Array) -> tuple[dict[str, np.ndarray], list[str]]:
+    """(the hits of a batch of documents that count, names of their labels), of what the passes found."""
+    each = of.flatten()
+    row = np.repeat(np.arange(len(of)), pc.fill_null(pc.list_value_length(of), 0).to_numpy(zero_copy_only=False))
+    data, called = each.field("of").to_pylist(), each.field("names")
+    size = np.array([len(x) // _HIT.itemsize for x in data], np.int64)
+    hits = np.frombuffer(b"".join(data), _HIT)
+    names = called.flatten().dictionary_encode()
+    many = pc.list_value_length(called).to_numpy(zero_copy_only=False).astype(np.int64)
+    h = {name: hits[name].astype(kind) for name, kind in _FIELDS}
+    above = np.repeat(row, size).astype(np.int64) << _WITHIN
+    h["at"], h["to"] = above + h["at"], above + h["to"]
+    h["label"] = names.indices.to_numpy(zero_copy_only=False)[np.repeat(np.cumsum(many) - many, size) + h["label"]] if len(hits) else h["label"]
+    return _counting(_firsts(h)), names.dictionary.to_pylist()
 
 
 def spans(docs: DataFrame, terms: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
     """Rows (doc_id, s, e, label) of documents (doc_id, text), doc_id being unique, for a dictionary (term, label, place) of any size."""
     passes = list(_passes(terms, part_chars))
+    kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, s int, e int, label string"
     if len(passes) <= 1:
-        return hits(docs, passes[0] if passes else [], True).select("doc_id", "s", "e", "label")
-    found = functools.reduce(DataFrame.unionByName, (hits(docs, p, False) for p in passes))
-    order = F.array_sort(F.collect_list(F.struct("s", (-F.col("key")).alias("key"), (-F.col("raw")).alias("raw"), "place", "e", "label")))
+        shared = passes[0] if passes else []
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                h, names = _found(b.column(1).to_pylist(), shared)
+                yield _rows(_counting(h), b.column(0), names)
+
+        return docs.select("doc_id", "text").mapInArrow(each, kind)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, out = [], []
-            for row, of in enumerate(b.column(1).to_pylist()):
-                now = claimed([(h["s"], h["e"], -h["key"], -h["raw"], h["place"], h["label"]) for h in of])
-                rows += [row] * len(now)
-                out += now
-            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *columns], ["doc_id", "s", "e", "label"])
+            h, names = _merged(b.column(1))
+            yield _rows(h, b.column(0), names)
 
-    rows = found.groupBy("doc_id").agg(order.alias("of"))
-    return rows.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, s int, e int, label string")
+    return _gathered(stored(docs.select("doc_id", "text"), "texts"), passes).mapInArrow(merge, kind)
 
 
 def masked(docs: DataFrame, terms: DataFrame, part_chars: int = PART_CHARS) -> DataFrame:
-    """Rows (doc_id, masked, counters) of documents (doc_id, text), doc_id being unique; a null text stays null."""
+    """Rows (doc_id, masked, counters) of documents (doc_id, text), doc_id being unique; a null text stays null.
+
+    Where more than one pass reads the texts they are written first: a text may come out otherwise when it is made again."""
     passes = list(_passes(terms, part_chars))
     whole = len(passes) <= 1
     shared = passes[0] if passes else []
@@ -348,15 +419,20 @@ def masked(docs: DataFrame, terms: DataFrame, part_chars: int = PART_CHARS) -> D
         for b in batches:
             texts = b.column(1).to_pylist()
             if whole:
-                found = {row: claimed(of) for row, of in _found(texts, shared)}
+                h, names = _found(texts, shared)
+                h = _counting(h)
             else:
-                found = {k: sorted((h["s"], h["e"], h["label"]) for h in of or ()) for k, of in enumerate(b.column(2).to_pylist())}
-            done = [put(t, found.get(k, [])) for k, t in enumerate(texts)]
+                h, names = _merged(b.column(2))
+            within = (1 << _WITHIN) - 1
+            cuts = np.searchsorted(h["at"] >> _WITHIN, np.arange(len(texts) + 1)).tolist()
+            start, end, label = (h["at"] & within).tolist(), (h["to"] & within).tolist(), [names[x] for x in h["label"].tolist()]
+            done = [put(t, list(zip(start[lo:hi], end[lo:hi], label[lo:hi], strict=True))) for t, lo, hi in zip(texts, cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.map_(pa.string(), pa.int64()))], ["doc_id", "masked", "counters"])
 
     rows = docs.select("doc_id", "text")
     if not whole:
-        rows = rows.join(spans(docs, terms, part_chars).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e", "label")).alias("of")), "doc_id", "left")
+        rows = stored(rows, "texts")
+        rows = rows.join(_gathered(rows, passes), "doc_id", "left")
     return rows.mapInArrow(each, kind)
 
 
