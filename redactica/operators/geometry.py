@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from redactica.functions import catalogue as C
 from redactica.functions import grid
 from redactica.functions.regex import java
+from redactica.sources.scratch import stored
 
 PAGE = ["doc_id", "page"]
 
@@ -52,7 +53,11 @@ def safe_padding(text: Column, hyphen_at_start: bool) -> Column:
 
 def span_words(placed: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows (span_id, doc_id, page, label, *word) of the words under each span (span_id, doc_id, page, label, s, e) that maps to words."""
-    hit = grid.overlapping(spans, placed, PAGE, ("s", "e"), ("start", "end"))
+    spans = stored(spans, "spans")
+    reach = spans.groupBy(*PAGE).agg(F.min("s").alias("_s"), F.max("e").alias("_e"))
+    # words stay on their page's partition; those that no span of the page reaches are not dealt out over bins
+    near = grid.apart(placed).join(grid.apart(reach), PAGE).filter("end > _s and start < _e").drop("_s", "_e")
+    hit = grid.overlapping(spans, near, PAGE, ("s", "e"), ("start", "end"))
     w = Window.partitionBy(*PAGE, "span_id")
     first = F.min(F.struct("start", "end", "text")).over(w)
     last = F.max(F.struct("start", "end", "text")).over(w)
