@@ -7,7 +7,9 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,14 +35,30 @@ def pieces(text: str, size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP)
     return [p for a, b in spans if (p := text[a:b].strip())]
 
 
+#: Bytes of text that are cut into pieces together.
+TOGETHER = 4 << 20
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch whose texts have so many bytes together, or of one row."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + (most or TOGETHER), "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def chunks(docs: DataFrame, source: str = "source_file", text_col: str = "text", size: int = C.CHUNK_CHARS, overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
-    """Rows (source_file, chunk_id, chunk_index, text). Each piece starts where the last one ended, so texts are walked in Python."""
+    """Rows (source_file, chunk_id, chunk_index, text). Each piece starts where the last one ended, so texts are walked in Python, some
+    bytes of a batch at a time."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.string()]
         for b in batches:
-            rows = [(n, f"{n}#{k}", k, t) for n, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, t in enumerate(pieces(text or "", size, overlap), 1)]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["source_file", "chunk_id", "chunk_index", "text"])
+            for part in slices(b, 1):
+                rows = [(n, f"{n}#{k}", k, t) for n, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for k, t in enumerate(pieces(text or "", size, overlap), 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["source_file", "chunk_id", "chunk_index", "text"])
 
     return docs.select(F.col(source).cast("string"), F.col(text_col)).mapInArrow(each, "source_file string, chunk_id string, chunk_index int, text string")
 
@@ -49,11 +67,26 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.regexp_extract_all(text, F.lit(java(r"[\w]+")), F.lit(0)), lambda t: F.length(t) >= C.MIN_TOKEN), F.lower)
 
 
+def counted(pieces: DataFrame, keep: list[str]) -> DataFrame:
+    """Rows (*keep, n_tokens, token, tf) of pieces (*keep, text): the tokens of each piece are counted where it lies."""
+    rows = pieces.select(*keep, tokens(F.col("text")).alias("t"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            many = pc.fill_null(pc.list_value_length(b.column(len(keep))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            of = b.column(len(keep)).flatten().dictionary_encode()
+            pair, tf = np.unique(np.repeat(np.arange(b.num_rows), many) * max(len(of.dictionary), 1) + of.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            row, token = np.divmod(pair, max(len(of.dictionary), 1))
+            columns = [*(b.column(k).take(pa.array(row)) for k in range(len(keep))), pa.array(many[row].astype(np.int32)), of.dictionary.take(pa.array(token)), pa.array(tf.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "token", "tf"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(each, f"{kinds}, n_tokens int, token string, tf long")
+
+
 def token_index(pieces: DataFrame) -> DataFrame:
-    """Rows (source_file, chunk_index, n_tokens, token, tf): an inverted index to write once and join often."""
-    rows = pieces.select("source_file", "chunk_index", tokens(F.col("text")).alias("t"))
-    rows = rows.select("source_file", "chunk_index", F.size("t").alias("n_tokens"), F.explode("t").alias("token"))
-    return rows.groupBy("source_file", "chunk_index", "n_tokens", "token").agg(F.count(F.lit(1)).alias("tf"))
+    """Rows (source_file, chunk_index, n_tokens, token, tf): an inverted index to write once and join often. A piece is one row."""
+    return counted(pieces, ["source_file", "chunk_index"])
 
 
 def top_k(index: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
@@ -79,9 +112,8 @@ class BlockIndex(NamedTuple):
 def block_index(pieces: DataFrame, block_chunks: int = BLOCK_CHUNKS) -> BlockIndex:
     """The index of rows (source_file, chunk_index, text); chunks that follow each other are in one block."""
     placed = running(pieces.select("source_file", "chunk_index", "text"), [], ["source_file", "chunk_index"], "place")
-    rows = placed.select("source_file", "chunk_index", F.floor(F.col("place") / block_chunks).alias("block"), tokens(F.col("text")).alias("t"))
-    rows = rows.select("source_file", "chunk_index", "block", F.size("t").alias("n_tokens"), F.explode("t").alias("token"))
-    postings = stored(rows.groupBy("token", "block", "source_file", "chunk_index", "n_tokens").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    rows = placed.select("source_file", "chunk_index", F.floor(F.col("place") / block_chunks).alias("block"), "text")
+    postings = stored(counted(rows, ["source_file", "chunk_index", "block"]), "postings")
     bounds = postings.groupBy("token", "block").agg(F.max(_impact()).alias("most"), F.count(F.lit(1)).alias("n"))
     return BlockIndex(postings, stored(bounds.withColumn("salt", F.pmod(F.col("block"), F.lit(SALTS)).cast("int")), "bounds"))
 
