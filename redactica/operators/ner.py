@@ -5,6 +5,7 @@ The model itself is pluggable: whoever runs one gives rows of `entities` (doc_id
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ def normalised(value: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(plain, java(r"\s*-\s*"), "-"), java(r"\s+"), " ")))
 
 
+@functools.cache
 def _phrases(phrases: tuple[str, ...]) -> str:
     """A pattern of whole values, and of phrases of several words anywhere at word bounds."""
     several = [re.escape(p) for p in phrases if len(re.findall(r"\w+", p)) > 1]
@@ -151,6 +153,10 @@ def resolve(text: str, entities: list[tuple[str, int, int, int, str]]) -> Iterat
         yield start, end, label, why
 
 
+#: Tasks for each core that entities are resolved in.
+TASKS = 4
+
+
 def resolved(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """Rows (doc_id, start, end, label, exclusion); entities of one document meet by doc_id."""
     labelled = entities.withColumn("label", internal_label(F.col("model_label"))).filter("label is not null")
@@ -165,7 +171,9 @@ def resolved(docs: DataFrame, entities: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["doc_id", "start", "end", "label", "exclusion"])
 
-    return docs.select("doc_id", "text").join(grouped, "doc_id").select("doc_id", "text", "entities").mapInArrow(each, "doc_id long, start int, end int, label string, exclusion string")
+    # so many tasks however few bytes the rows have: the work is in Python, and small partitions would be put together
+    met = docs.select("doc_id", "text").join(grouped, "doc_id").select("doc_id", "text", "entities")
+    return met.repartition(TASKS * met.sparkSession.sparkContext.defaultParallelism, "doc_id").mapInArrow(each, "doc_id long, start int, end int, label string, exclusion string")
 
 
 def zero_filled(found: DataFrame, labels: tuple[str, ...] = C.NER_LABELS) -> DataFrame:

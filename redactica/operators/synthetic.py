@@ -180,8 +180,13 @@ def words(made: DataFrame) -> DataFrame:
 
 
 def key_chars(key: DataFrame) -> DataFrame:
-    """Rows (doc_id, span_id, page, i, c, box) of the characters of keys that are not blank."""
-    rows = key.select("*", F.explode(F.sequence(F.lit(0), F.col("e") - F.col("s") - 1)).alias("i"))
-    head = F.substring(F.col("text"), F.lit(1), F.col("s") + F.col("i"))
-    rows = rows.select("doc_id", "span_id", "page", "i", F.substring(F.col("text"), F.col("s") + F.col("i") + 1, F.lit(1)).alias("c"), S.line_of(F.col("text"), F.col("s") + F.col("i")).alias("line"), F.length(F.substring_index(head, "\n", -1)).alias("column")).filter(r"c not in (' ', '\n')")
-    return rows.select("doc_id", "span_id", "page", "i", "c", *_boxed(F.col("line"), F.col("column"), F.col("column") + 1))
+    """Rows (doc_id, span_id, page, i, c, box) of the characters of keys that are not blank. Where a key begins is found once for all of
+    its characters."""
+    value = F.substring(F.col("text"), F.col("s") + 1, F.col("e") - F.col("s"))
+    begin = F.length(F.substring_index(F.substring(F.col("text"), F.lit(1), F.col("s")), "\n", -1))
+    rows = key.select("doc_id", "span_id", "page", value.alias("v"), S.line_of(F.col("text"), F.col("s")).alias("first"), begin.alias("begin"))
+    rows = rows.select("*", F.posexplode(F.split("v", "\n", -1)).alias("k", "part"))
+    ahead = F.when(F.col("k") > 0, F.expr(r"length(substring_index(v, '\n', k)) + 1")).otherwise(0)
+    rows = rows.select("doc_id", "span_id", "page", (F.col("first") + F.col("k")).alias("line"), F.when(F.col("k") == 0, F.col("begin")).otherwise(0).alias("begin"), ahead.alias("ahead"), F.posexplode(F.split("part", "")).alias("j", "c")).filter("c not in ('', ' ')")
+    column = F.col("begin") + F.col("j")
+    return rows.select("doc_id", "span_id", "page", (F.col("ahead") + F.col("j")).alias("i"), "c", *_boxed(F.col("line"), column, column + 1))
