@@ -72,6 +72,11 @@ DETECTORS: dict[str, tuple[str, bool]] = {
     "POSTAL_CODE": (r"(?<!\w)\d{2}-\d{3}(?!\w)", False),
     "PERSON_NAME_TYPO": (PERSON_NAME_TYPO, False),
 }
+#: What the first character of a detector's match is, of either case where the detector ignores case.
+FIRST = {
+    "PESEL": r"\d", "DOWOD_OSOBISTY": "[A-Z]", "IBAN": "P", "NIP": "N", "REGON": "R", "NAZWA_FIRMY": rf"[{UPPER}\d]", "TELEFON": r"[+\d]", "DATA": r"\d",
+    "ULICA": "[AaPpUu]", "MIEJSCOWOSC": f"[{UPPER}]", "POSTAL_CODE": r"\d", "PERSON_NAME_TYPO": f"[{UPPER}]",
+}
 #: What a text must hold anywhere for a detector or an audit pattern to match: (pattern, ignores case), cheap to look for.
 NEEDED: dict[str, tuple[str, bool]] = {
     "EMAIL": ("@", False), "PESEL": (r"\d{11}", False), "IBAN": (r"PL\s?[\dO]{2}", True), "NIP": ("NIP", True), "REGON": ("REGON", True),
@@ -84,6 +89,8 @@ PHONE_CONTEXT = r"(?:tel\.?|telefon|kom\.?|mobile|fax|kontakt|numer telefonu|pho
 BARE_LABEL = {"NIP": r"(?<!\w)NIP(?!\w)", "REGON": r"(?<!\w)REGON(?!\w)"}
 BARE_VALUE = {"NIP": r"(?<!\w)\d(?:[\s-]?\d){9}(?!\w)", "REGON": r"(?<!\w)(?:\d(?:[\s-]?\d){13}|\d(?:[\s-]?\d){8})(?!\w)"}
 ORGANISATION_KIND = r"(?i:wspóln\w*|spółdziel\w*|nzoz|spzoz|przychodni\w*|poradni\w*|laborator\w*|stowarzysz\w*|fundacj\w*|hotel\w*|pensjonat\w*|restaurac\w*|kawiarni\w*|sklep\w*|firm[aąęy]|zakład\w*|ośrod\w*|klub\w*|aptek\w*|gabinet\w*|szkoł\w*|szkol\w*|przedszkol\w*)"
+#: What a quoted name begins with.
+QUOTES = ("„", ",,", '"', "“")
 QUOTED = r"(?:„|,,|\"|“)[^„”\"“\n]{2,60}(?:”|\"|“)"
 QUOTED_ORGANISATION = rf"(?<!\w){ORGANISATION_KIND}(?:{GAP}+[{UPPER}][{LETTER}-]*){{0,2}}(?:{GAP}+|{GAP}*\n{GAP}*){QUOTED}"
 PATRON_WORD = rf"[{UPPER}][{LETTER}.-]*"

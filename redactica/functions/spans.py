@@ -11,6 +11,8 @@ SPANS = f"array<{SPAN}>"
 MARKS = "\ufdd0\ufdd1\ufdd2"
 #: Matches that are appended to one array; more are put together from blocks, as appending copies what is there.
 BLOCK = 256
+#: Elements that are looked at one by one rather than by halving.
+FEW = 16
 
 
 def empty(kind: str = SPANS) -> Column:
@@ -64,7 +66,8 @@ def first_at(items: Column, place: Column, field: str = "s") -> Column:
         lower = F.element_at(items, F.least(mid + 1, F.size(items)))[field] < place
         return F.when(acc["lo"] >= acc["hi"], acc).when(lower, _pair("lo", mid + 1, "hi", acc["hi"])).otherwise(_pair("lo", acc["lo"], "hi", mid))
 
-    return F.when(F.size(items) == 0, 0).otherwise(F.aggregate(steps, _pair("lo", F.lit(0), "hi", F.size(items)), halve, lambda acc: acc["lo"]))
+    halved = F.aggregate(steps, _pair("lo", F.lit(0), "hi", F.size(items)), halve, lambda acc: acc["lo"])
+    return F.when(F.size(items) <= FEW, F.size(F.filter(items, lambda x: x[field] < place))).otherwise(halved)
 
 
 def spans(text: Column, pattern: str | Column, lines: bool = False) -> Column:
@@ -86,9 +89,14 @@ def spans(text: Column, pattern: str | Column, lines: bool = False) -> Column:
         span = F.named_struct(F.lit("s"), s, F.lit("e"), s + x["m"], F.lit("line"), line) if lines else _pair("s", s, "e", s + x["m"])
         return _pair("s", s + x["m"], "e", line), F.array(span)
 
+    def one(a: Column, b: Column) -> Column:
+        line = [F.lit("line"), breaks(a)] if lines else []
+        return F.transform(F.array(F.length(a)), lambda n: F.named_struct(F.lit("s"), n, F.lit("e"), n + F.instr(b, last) - 1, *line))
+
     def of(all_: Column) -> Column:
         sizes = F.zip_with(F.slice(all_, F.lit(1), F.size(all_) - 1), F.slice(all_, F.lit(2), F.size(all_) - 1), pair)
-        return F.when(F.size(all_) <= 1, empty(f"array<{LINED if lines else SPAN}>")).otherwise(scan(sizes, _pair("s", F.lit(0), "e", F.lit(0)), LINED if lines else SPAN, step))
+        many = scan(sizes, _pair("s", F.lit(0), "e", F.lit(0)), LINED if lines else SPAN, step)
+        return F.when(F.size(all_) <= 1, empty(f"array<{LINED if lines else SPAN}>")).when(F.size(all_) == 2, one(F.element_at(all_, 1), F.element_at(all_, 2))).otherwise(many)
 
     return F.when(text.isNull(), F.lit(None)).otherwise(once(parts, of))
 
@@ -131,22 +139,36 @@ def free_of(taken: Column, x: Column) -> Column:
     """Whether a span overlaps none of disjoint, sorted ones."""
     n = first_at(taken, x["s"])
     clear = once(n, lambda k: ((k == 0) | (F.try_element_at(taken, F.greatest(k, F.lit(1)))["e"] <= x["s"])) & ((k == F.size(taken)) | (F.try_element_at(taken, k + 1)["s"] >= x["e"])))
-    return F.when(F.size(taken) <= 16, ~F.exists(taken, lambda y: overlaps(x, y))).otherwise(clear)
+    return F.when(F.size(taken) <= FEW, ~F.exists(taken, lambda y: overlaps(x, y))).otherwise(clear)
 
 
 def ranked_claims(found: Column, kind: str, ranks: int, overlapping: tuple[int, ...] = ()) -> Column:
-    """Of spans with a rank (r) those that overlap none of a lower rank that stays, sorted; those of a rank in `overlapping` may overlap
-    each other, and the first of them stays. A rank at a time, and each span is looked up among those that stay by halving."""
+    """Of spans (s, e, r, ...) with a rank (r) those that overlap none of a lower rank that stays, sorted; those of a rank in `overlapping`
+    may overlap each other, and the first of them stays. Where two have the same place, the lower rank decides for both. If what is left
+    is disjoint, all of it stays; else a rank at a time, and each span is looked up among those that stay by halving."""
+
+    def by_rank(all_: Column) -> Column:
+        def step(taken: Column, rank: Column) -> Column:
+            def of(new: Column) -> Column:
+                left = F.filter(new, lambda x: free_of(taken, x))
+                left = F.when(rank.isin(*overlapping), disjoint(F.sort_array(left), kind)).otherwise(left) if overlapping else left
+                return F.when(F.size(new) == 0, taken).otherwise(F.sort_array(F.concat(taken, left)))
+
+            return once(F.filter(all_, lambda x: x["r"] == rank), of)
 
-    def step(taken: Column, rank: Column) -> Column:
-        def of(new: Column) -> Column:
-            left = F.filter(new, lambda x: (x["s"] < x["e"]) & free_of(taken, x))
-            left = F.when(rank.isin(*overlapping), disjoint(F.array_sort(left), kind)).otherwise(left) if overlapping else left
-            return F.when(F.size(new) == 0, taken).otherwise(F.array_sort(F.concat(taken, left)))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ranks - 1)), empty(f"array<{kind}>"), step)
 
-        return once(F.filter(found, lambda x: x["r"] == rank), of)
+    def before(all_: Column, i: Column) -> Column:
+        return F.element_at(all_, F.greatest(i, F.lit(1)))
+
+    def placed(all_: Column) -> Column:
+        return F.filter(all_, lambda x, i: (i == 0) | (before(all_, i)["s"] != x["s"]) | (before(all_, i)["e"] != x["e"]))
+
+    def whole(all_: Column) -> Column:
+        clashes = F.filter(all_, lambda x, i: (i > 0) & (before(all_, i)["e"] > x["s"]))
+        return F.when(F.size(clashes) == 0, all_).otherwise(by_rank(all_))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ranks - 1)), empty(f"array<{kind}>"), step)
+    return once(once(F.sort_array(F.filter(found, lambda x: x["s"] < x["e"])), placed), whole)
 
 
 def first_claim(ranked_spans: Column, kind: str) -> Column:

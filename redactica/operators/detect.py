@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -12,8 +14,17 @@ from redactica.functions import spans as S
 from redactica.functions.regex import java
 
 
+def _begins(first: str, pattern: str) -> str:
+    """The same pattern, which asks for the first character of a match before it looks behind."""
+    return f"(?={first}){pattern}"
+
+
 def detector(label: str) -> str:
     pattern, ignore_case = C.DETECTORS[label]
+    if label in C.FIRST:
+        pattern = _begins(C.FIRST[label], pattern)
+    if label == "EMAIL":  # what comes before the @ holds none, so nothing is gained by giving any of it back
+        pattern = pattern.replace("+@", "++@", 1)
     return java(pattern, ignore_case)
 
 
@@ -51,8 +62,9 @@ def label_spans(text: Column, label: str, current_year: int) -> Column:
     found = S.spans(text, detector(label))
     if label != "DATA":
         return found
-    # one by one only where a text has a date in words or the words before an act's date
-    return F.when(text.rlike(java(rf"z\s+dnia\s|{C.MONTHS}", True)), F.filter(found, lambda x: ~kept_date(text, x, current_year))).otherwise(found)
+    # of many dates one by one only where a text has a date in words or the words before an act's date
+    plain = lambda f: (F.size(f) > S.FEW) & ~text.rlike(java(rf"z\s+dnia\s|{C.MONTHS}", True))
+    return S.once(found, lambda f: F.when(plain(f), f).otherwise(F.filter(f, lambda x: ~kept_date(text, x, current_year))))
 
 
 def label_counts(docs: DataFrame, text: Column, current_year: int, labels: Iterable[str] = tuple(C.DETECTORS), keep: Iterable[str] = ()) -> DataFrame:
@@ -66,7 +78,7 @@ def has_phone_context(text: Column, start: Column) -> Column:
 
 
 def weak_phones(text: Column, with_context: bool) -> Column:
-    return F.filter(S.spans(text, java(C.WEAK_PHONE)), lambda x: has_phone_context(text, x["s"]) == F.lit(with_context))
+    return F.filter(S.spans(text, java(_begins(r"\d", C.WEAK_PHONE))), lambda x: has_phone_context(text, x["s"]) == F.lit(with_context))
 
 
 def organisations(text: Column) -> Column:
@@ -79,25 +91,31 @@ def organisations(text: Column) -> Column:
         head = F.substring(value, F.lit(1), F.length(value) - F.length(name))
         return F.when(F.contains(head, F.lit("\n")), F.struct((x["e"] - F.length(name)).alias("s"), x["e"].alias("e"))).otherwise(x)
 
-    both = F.concat(F.transform(S.spans(text, java(C.QUOTED_ORGANISATION)), trimmed), S.spans(text, java(C.PATRON_FACILITY)))
-    return S.merged(F.array_sort(both))
+    has_quote = functools.reduce(operator.or_, (F.contains(text, F.lit(q)) for q in C.QUOTES))
+    names = F.when(has_quote, F.transform(S.spans(text, java(C.QUOTED_ORGANISATION)), trimmed)).otherwise(S.empty())
+    patrons = F.when(F.contains(text, F.lit("im.")), S.spans(text, java(C.PATRON_FACILITY))).otherwise(S.empty())
+    both = S.once(F.concat(names, patrons), lambda x: F.when(F.size(x) < 2, x).otherwise(S.merged(F.array_sort(x))))
+    return F.when(text.isNotNull(), both)
 
 
 def table_pairs(text: Column, label: str) -> Column:
     """Values (s, e) claimed by bare labels: each takes the nearest free value after it, a few lines ahead at most.
 
     Labels go forward, so the values that are taken end with the last one taken: that is all that one label tells the next."""
-    labels, values = S.spans(text, java(C.BARE_LABEL[label], True), lines=True), S.spans(text, java(C.BARE_VALUE[label]), lines=True)
+    named, valued = java(_begins(C.FIRST[label], C.BARE_LABEL[label]), True), java(_begins(r"\d", C.BARE_VALUE[label]))
+    labels, values = S.spans(text, named, lines=True), S.spans(text, valued, lines=True)
 
     def claims(free: Column) -> Column:
         def claim(last: Column, x: Column) -> tuple[Column, Column]:
-            k = F.greatest(S.first_at(free, x["s"]) + 1, last + 1)
+            k = F.greatest(x["k"], last + 1)
             near = S.once(F.try_element_at(free, k), lambda v: F.when(v["line"] - x["line"] <= C.TABLE_LINES_AHEAD, F.array(F.struct(v["s"].alias("s"), v["e"].alias("e")))).otherwise(S.empty()))
             return F.when(F.try_element_at(free, k)["line"] - x["line"] <= C.TABLE_LINES_AHEAD, k).otherwise(last), near
 
-        return S.scan(labels, F.lit(0), S.SPAN, claim)
+        # the first value after each label, looked up once
+        ahead = F.transform(labels, lambda x: F.named_struct(F.lit("line"), x["line"], F.lit("k"), S.first_at(free, x["s"]) + 1))
+        return S.scan(ahead, F.lit(0), S.SPAN, claim)
 
-    needed = text.rlike(java(C.BARE_LABEL[label], True))
+    needed = may_hold(text, label) & text.rlike(named)
     return F.when(needed, S.once(values, claims)).otherwise(S.empty())
 
 
@@ -112,24 +130,31 @@ def _quoted(word: Column) -> Column:
 
 def town_word(word: Column) -> Column:
     """A pattern of all inflections of one word of a town's name."""
-    stem = F.regexp_replace(word, java(C.PLACE_ENDING, True), "")
     letters = java(f"[{C.LETTER}]")
-    open_ = F.concat(_quoted(stem), F.when(stem == word, F.lit(f"{letters}{{0,{C.PLACE_MAX_INFLECTION}}}")).otherwise(F.lit(f"{letters}{{1,{C.PLACE_MAX_INFLECTION}}}")))
-    return F.when(F.length(stem) < C.PLACE_MIN_STEM, _quoted(word)).otherwise(open_)
+
+    def of(stem: Column) -> Column:
+        open_ = F.concat(_quoted(stem), F.when(stem == word, F.lit(f"{letters}{{0,{C.PLACE_MAX_INFLECTION}}}")).otherwise(F.lit(f"{letters}{{1,{C.PLACE_MAX_INFLECTION}}}")))
+        return F.when(F.length(stem) < C.PLACE_MIN_STEM, _quoted(word)).otherwise(open_)
+
+    return S.once(F.regexp_replace(word, java(C.PLACE_ENDING, True), ""), of)
 
 
 def town_pattern(names: Column) -> Column:
     """One pattern for all towns, null without any: whole names, and first words with an adjective; the longest first."""
     gap = java(C.PLACE_GAP)
 
-    def of(name: Column) -> Column:
-        words = F.transform(F.split(name, " "), town_word)
+    def of(words: Column) -> Column:
         sibling = F.concat(F.element_at(words, 1), F.lit(gap + java(C.PLACE_ADJECTIVE)))
         return F.when(F.size(words) > 1, F.array(F.array_join(words, gap), sibling)).otherwise(F.array(F.array_join(words, gap)))
 
-    full = F.flatten(F.transform(names, of))
-    longest = F.array_sort(full, lambda a, b: F.length(b) - F.length(a))
-    return F.when(F.size(names) > 0, F.concat(F.lit(java(r"(?<![\w@.-])(?:", True)), F.array_join(longest, "|"), F.lit(java(r")(?![\w@-])"))))
+    def any_of(names: Column) -> Column:
+        full = F.flatten(F.transform(names, lambda name: S.once(F.transform(F.split(name, " "), town_word), of)))
+        longest = F.array_sort(full, lambda a, b: F.length(b) - F.length(a))
+        initials = F.array_join(F.array_distinct(F.transform(names, lambda name: F.substring(name, 1, 1))), "")
+        head = F.concat(F.lit("(?iu)(?=["), initials, F.lit(java(r"])(?<![\w@.-])(?:")))
+        return F.when(F.size(names) > 0, F.concat(head, F.array_join(longest, "|"), F.lit(java(r")(?![\w@-])"))))
+
+    return S.once(names, any_of)
 
 
 def town_mentions(text: Column, pattern: Column) -> Column:
