@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from redactica.functions import catalogue as C
 from redactica.functions import grid
+from redactica.functions import spans as S
 from redactica.functions.regex import java
 from redactica.sources.scratch import stored
 
@@ -77,6 +78,38 @@ def line_rects(mapped: DataFrame) -> DataFrame:
     return rows.groupBy("span_id", *PAGE, "label", "run").agg(*box).drop("run")
 
 
+BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
+
+
+def page_rects(text: Column, words: Column, spans: Column) -> Column:
+    """The boxes of `line_rects` of one page whose words (s, e, line, box), sorted, and spans (s, e) lie in one row: each span's words are
+    found by halving. A crowded page is better left in rows."""
+
+    def side(under: Column, name: str, f) -> Column:
+        return F.round(f(F.transform(under, lambda w: w[name])), 2)
+
+    def box(under: Column) -> Column:
+        return F.named_struct(*[x for name, f in (("x0", F.array_min), ("y0", F.array_min), ("x1", F.array_max), ("y1", F.array_max)) for x in (F.lit(name), side(under, name, f))])
+
+    def lines(under: Column) -> Column:
+        several = F.transform(F.array_distinct(F.transform(under, lambda w: w["line"])), lambda n: S.once(F.filter(under, lambda w: w["line"] == n), box))
+        return F.when(F.element_at(under, 1)["line"] == F.element_at(under, -1)["line"], F.array(box(under))).otherwise(several)
+
+    def of(span: Column, words: Column) -> Column:
+        first, end = S.first_at(words, span["s"] + 1, "e"), S.first_at(words, span["e"], "s")
+        under = S.once(first, lambda k: F.slice(words, k + 1, F.greatest(end - k, F.lit(0))))
+
+        def kept(under: Column) -> Column:
+            start, stop = F.element_at(under, 1)["s"], F.element_at(under, -1)["e"]
+            left = F.substring(text, start + 1, F.greatest(span["s"] - start, F.lit(0)))
+            right = F.substring(text, span["e"] + 1, F.greatest(stop - span["e"], F.lit(0)))
+            return safe_padding(left, False) & safe_padding(right, True)
+
+        return S.once(under, lambda u: F.when(F.size(u) == 0, S.empty(f"array<{BOX}>")).when(kept(u), lines(u)).otherwise(S.empty(f"array<{BOX}>")))
+
+    return S.once(words, lambda all_: F.flatten(F.transform(spans, lambda x: of(x, all_))))
+
+
 RECT = ["doc_id", "page", "label", "x0", "y0", "x1", "y1"]
 
 

@@ -56,6 +56,16 @@ def char_status(chars: DataFrame, fills: DataFrame, glyphs: DataFrame | None = N
     return rows.join(grid.apart(still), key, "left").withColumn("leaked", F.coalesce("leaked", F.lit(False)))
 
 
+def leaks(centres: Column, boxes: Column, tolerance: float = C.POINT_TOLERANCE) -> Column:
+    """How many centres (cx, cy) of characters lie in none of the boxes of their page, both in one row: `char_status` without a join, for
+    pages of few boxes."""
+
+    def within(c: Column, b: Column) -> Column:
+        return c["cx"].between(b["x0"] - tolerance, b["x1"] + tolerance) & c["cy"].between(b["y0"] - tolerance, b["y1"] + tolerance)
+
+    return F.size(F.filter(centres, lambda c: ~F.exists(boxes, lambda b: within(c, b))))
+
+
 def span_scores(status: DataFrame) -> DataFrame:
     """Rows (doc_id, span_id, total, leaked, residue, status) of characters' status."""
     rows = status.groupBy("doc_id", "span_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("leaked")).alias("leaked"), F.count_if(F.col("leaked") & F.col("covered")).alias("residue"))

@@ -139,9 +139,9 @@ def _text(page: Column) -> Column:
     return F.array_join(F.transform(page, lambda x: x["t"]), "")
 
 
-def documents(made: DataFrame) -> DataFrame:
-    """Rows (doc_id, doc_kind, text) of a corpus."""
-    return made.select("doc_id", "doc_kind", F.array_join(F.transform("pages", _text), C.PAGE_SEPARATOR).alias("text"))
+def documents(made: DataFrame, *keep: str) -> DataFrame:
+    """Rows (doc_id, doc_kind, *keep, text) of a corpus."""
+    return made.select("doc_id", "doc_kind", *keep, F.array_join(F.transform("pages", _text), C.PAGE_SEPARATOR).alias("text"))
 
 
 def paged(made: DataFrame) -> DataFrame:
@@ -153,15 +153,20 @@ def paged(made: DataFrame) -> DataFrame:
 KEY = "struct<kind:string,s:int,e:int>"
 
 
-def keys(made: DataFrame) -> DataFrame:
-    """Rows (doc_id, doc_kind, page, span_id, kind, s, e, text): the answer key, with offsets on the page."""
+def page_keys(pieces: Column) -> Column:
+    """The answer key of a page of pieces: an array of (kind, s, e)."""
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
         end = at + F.length(x["t"])
         one = F.array(F.named_struct(F.lit("kind"), x["kind"], F.lit("s"), at, F.lit("e"), end))
         return end, F.when(x["kind"].isNull(), S.empty(f"array<{KEY}>")).otherwise(one)
 
-    found = paged(made).withColumn("keys", S.scan(F.col("pieces"), F.lit(0), KEY, step))
+    return S.scan(pieces, F.lit(0), KEY, step)
+
+
+def keys(made: DataFrame) -> DataFrame:
+    """Rows (doc_id, doc_kind, page, span_id, kind, s, e, text): the answer key, with offsets on the page."""
+    found = paged(made).withColumn("keys", page_keys(F.col("pieces")))
     rows = found.select("doc_id", "doc_kind", "page", "text", F.posexplode("keys").alias("k", "x"))
     span_id = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("page").cast("string"), F.col("k").cast("string"))
     return rows.select("doc_id", "doc_kind", "page", span_id.alias("span_id"), "x.kind", "x.s", "x.e", "text")
@@ -190,3 +195,29 @@ def key_chars(key: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "span_id", "page", (F.col("first") + F.col("k")).alias("line"), F.when(F.col("k") == 0, F.col("begin")).otherwise(0).alias("begin"), ahead.alias("ahead"), F.posexplode(F.split("part", "")).alias("j", "c")).filter("c not in ('', ' ')")
     column = F.col("begin") + F.col("j")
     return rows.select("doc_id", "span_id", "page", (F.col("ahead") + F.col("j")).alias("i"), "c", *_boxed(F.col("line"), column, column + 1))
+
+
+def page_words(text: Column) -> Column:
+    """The words of a page's text where they are laid out: an array of (s, e, line, box), with offsets on the page."""
+
+    def word(w: Column, begin: Column) -> Column:
+        y = TOP + LINE * w["line"]
+        sides = {"x0": LEFT + WIDTH * (w["s"] - begin), "y0": y, "x1": LEFT + WIDTH * (w["e"] - begin), "y1": y + HEIGHT}
+        return F.named_struct(*[x for name in ("s", "e", "line") for x in (F.lit(name), w[name])], *[x for name, v in sides.items() for x in (F.lit(name), v)])
+
+    lines = F.concat(F.array(F.lit(0)), F.transform(S.spans(text, "\n"), lambda x: x["e"]))
+    found = S.spans(text, "[^ \n]+", lines=True)
+    return S.once(lines, lambda begins: F.transform(found, lambda w: word(w, F.element_at(begins, w["line"] + 1))))
+
+
+def key_centres(text: Column, s: Column, e: Column) -> Column:
+    """The centres (cx, cy) of the characters of a key that are not blank, on a page's text."""
+    head = F.substring(text, F.lit(1), s)
+    begin = F.length(F.substring_index(head, "\n", -1))
+
+    def centre(c: Column, j: Column, k: Column) -> Column:
+        column = F.when(k == 0, begin).otherwise(0) + j
+        return F.named_struct(F.lit("c"), c, F.lit("cx"), LEFT + WIDTH * (column + 0.5), F.lit("cy"), TOP + LINE * (S.line_of(text, s) + k) + HEIGHT / 2)
+
+    parts = F.transform(F.split(F.substring(text, s + 1, e - s), "\n", -1), lambda part, k: F.transform(F.split(part, ""), lambda c, j: centre(c, j, k)))
+    return F.filter(F.flatten(parts), lambda x: ~x["c"].isin("", " "))
