@@ -211,13 +211,18 @@ def page_words(text: Column) -> Column:
 
 
 def key_centres(text: Column, s: Column, e: Column) -> Column:
-    """The centres (cx, cy) of the characters of a key that are not blank, on a page's text."""
-    head = F.substring(text, F.lit(1), s)
-    begin = F.length(F.substring_index(head, "\n", -1))
+    """The centres (c, cx, cy) of the characters of a key that are not blank, on a page's text. Where the key begins is found once."""
+    begin = F.length(F.substring_index(F.substring(text, F.lit(1), s), "\n", -1))
 
-    def centre(c: Column, j: Column, k: Column) -> Column:
-        column = F.when(k == 0, begin).otherwise(0) + j
-        return F.named_struct(F.lit("c"), c, F.lit("cx"), LEFT + WIDTH * (column + 0.5), F.lit("cy"), TOP + LINE * (S.line_of(text, s) + k) + HEIGHT / 2)
+    def parts(at: Column) -> Column:
+        def centre(c: Column, j: Column, left: Column, y: Column) -> Column:
+            return F.named_struct(F.lit("c"), c, F.lit("cx"), left + WIDTH * j, F.lit("cy"), y)
 
-    parts = F.transform(F.split(F.substring(text, s + 1, e - s), "\n", -1), lambda part, k: F.transform(F.split(part, ""), lambda c, j: centre(c, j, k)))
-    return F.filter(F.flatten(parts), lambda x: ~x["c"].isin("", " "))
+        def line(part: Column, k: Column) -> Column:
+            corner = F.named_struct(F.lit("x"), LEFT + WIDTH * (F.when(k == 0, at["begin"]).otherwise(0) + 0.5), F.lit("y"), TOP + LINE * (at["line"] + k) + HEIGHT / 2)
+            return S.once(corner, lambda p: F.transform(F.split(part, ""), lambda c, j: centre(c, j, p["x"], p["y"])))
+
+        return F.flatten(F.transform(F.split(F.substring(text, s + 1, e - s), "\n", -1), line))
+
+    found = S.once(F.named_struct(F.lit("begin"), begin, F.lit("line"), S.line_of(text, s)), parts)
+    return F.filter(found, lambda x: (x["c"] != "") & (x["c"] != " "))
